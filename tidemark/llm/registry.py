@@ -1,11 +1,13 @@
 """The subpackage's queries and, where SQL can express them, their SQL."""
 
-from tidemark.llm import decontaminate
+from tidemark.llm import decontaminate, substrings
 
 QUERIES = {
+    "op2_substring_dedup": substrings.op2_substring_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
 }
 
 ORACLE_SQL = {
+    "op2_substring_dedup": substrings.OP2_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
 }
