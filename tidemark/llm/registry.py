@@ -1,12 +1,13 @@
 """The subpackage's queries and, where SQL can express them, their SQL."""
 
-from tidemark.llm import decontaminate, near, packing, substrings
+from tidemark.llm import decontaminate, near, packing, substrings, toxicity
 
 QUERIES = {
     "op2_substring_dedup": substrings.op2_substring_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op9_minhash_near_dedup": near.op9_minhash_near_dedup,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {

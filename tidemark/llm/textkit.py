@@ -130,6 +130,13 @@ class Words:
         """Of each word, its place within its text."""
         return np.arange(len(self)) - np.repeat(self.first[:-1], self.counts)
 
+    def prefix(self, length: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first `length` bytes of all longer words, and the words' indexes."""
+        at = np.flatnonzero(self.ends - self.starts > length)
+        lo, hi = int(self.offsets[0]), int(self.offsets[-1])
+        s = self.starts[at] - lo
+        return self._hash(table[self.data[lo:hi]], s, s + length), at
+
     def grams(self, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of k words within a text, and the index of the first word of each."""
         n = len(self) - k + 1
@@ -235,3 +242,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def row_key() -> Column:
     """A row's own identity; rows that agree in doc_id and text have equal results."""
     return F.xxhash64("doc_id", "text")
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, column: str, modulus: int, held_out: int, bound: int) -> DataFrame:
+    """At most `bound` labelled documents (text, label) outside the held-out fold, checkpointed.
+
+    The rows with the least hash of doc_id are taken, so the sample is the same at every run; only their
+    ids are broadcast. Labels other than 0 and 1 and rows without doc_id are left out; of several labels
+    of a document the largest holds.
+    """
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (fold != held_out))
+    chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return checkpointed(texts.join(F.broadcast(chosen), "doc_id").select("text", "label"))
+
+
+def is_held_out(modulus: int, remainder: int) -> Column:
+    """A null doc_id has the fold of an empty string."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(modulus)) == remainder
