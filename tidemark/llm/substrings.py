@@ -32,10 +32,10 @@ from tidemark.llm import textkit as K
 
 WINDOW = 13
 BLOCK = 7
-#: Buckets for each shuffle partition.
-BUCKETS = 4
 PACKED = "bucket int, kind int, ids binary, keys binary, counts binary, a binary, b binary, c binary"
-MARKS = "_td_id long, _td_key long, runs binary"
+#: Places in a document: runs of (start, length), or, with the bucket they came from, remainders of hashes.
+MARKS = "_td_id long, _td_key long, bucket int, places binary"
+RUNS = -1
 LAST = (1 << 63) - 1
 
 
@@ -99,8 +99,15 @@ def _unpacked(table: pa.Table) -> dict[str, np.ndarray]:
     return {"ids": ids, "keys": keys, "doc": np.repeat(np.arange(len(ids)), counts), "get": get}
 
 
-def _mark_batch(rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["_td_id", "_td_key", "runs"])
+def _mark_batch(rows: list[tuple[int, int, bytes]], found: list[tuple[int, int, int, bytes]] = ()) -> pa.Table:
+    rows = [(i, k, RUNS, places) for i, k, places in rows] + list(found)
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["_td_id", "_td_key", "bucket", "places"])
+
+
+def _split(g: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and remainder (31 bits) of a hash."""
+    return (g >> np.uint64(32)) % np.uint64(n_buckets), g & np.uint64(0x7FFFFFFF)
 
 
 def _certain(table: pa.Table) -> list[tuple[int, int, bytes]]:
@@ -121,7 +128,7 @@ def _send_anchors(n_buckets: int, window: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = _id_and_key(batch)
-            w = K.words_of(batch.column("_td_text"))
+            w = K.words_of(batch.column("text"))
             g, at = w.grams(block)
             doc, pos = w.doc()[at], w.position()[at]
             keep = w.counts[doc] >= window
@@ -136,11 +143,9 @@ def _send_anchors(n_buckets: int, window: int, block: int):
             shared = (least != most)[group]
             indexed = np.bitwise_or.reduceat((pos % block == 0)[order], first)[group]
             sent = doc == least[group]
-            rest = (g[sent] & np.uint64(0x7FFFFFFF)).astype(np.uint32) | (indexed[sent].astype(np.uint32) << np.uint32(31))
-            p = pos[sent].astype(np.uint32)
-            bucket = ((g[sent] >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.uint32)
-            bucket = bucket.astype(np.uint16) if n_buckets < 1 << 16 else bucket
-            yield _packed(_to_buckets(bucket, doc[sent], ids, keys, [rest, (p & 0xFFFF).astype(np.uint16), (p >> 16).astype(np.uint16)]))
+            bucket, rest = _split(g[sent], n_buckets)
+            rest = rest.astype(np.uint32) | (indexed[sent].astype(np.uint32) << np.uint32(31))
+            yield _packed(_to_buckets(bucket.astype(np.uint32), doc[sent], ids, keys, [rest]))
             if shared.any():
                 yield _packed(_marks_as_packed(_mark_rows(doc[shared], pos[shared], ids, keys), n_buckets))
 
@@ -148,19 +153,22 @@ def _send_anchors(n_buckets: int, window: int, block: int):
 
 
 def _meet_anchors(table: pa.Table) -> pa.Table:
-    rows = _certain(table)
+    rows, found = _certain(table), []
     u = _unpacked(table.filter(pc.equal(table.column("kind"), 0)))
     rest, doc = u["get"]("a", np.uint32), u["doc"]
     if len(rest):
-        pos = u["get"]("b", np.uint16).astype(np.int64) | (u["get"]("c", np.uint16).astype(np.int64) << 16)
         value = rest & np.uint32(0x7FFFFFFF)
         order = np.argsort(value, kind="stable")
         first, counts = _by_doc(value[order])
         many = doc[order[first]] != doc[order[first + counts - 1]]
         many &= np.bitwise_or.reduceat(rest[order] >> np.uint32(31), first) > 0
-        hit = order[np.repeat(many, counts)]
-        rows += _mark_rows(doc[hit], pos[hit], u["ids"], u["keys"])
-    return _mark_batch(rows)
+        hit = np.sort(order[np.repeat(many, counts)])
+        first, counts = _by_doc(doc[hit])
+        bucket = table.column("bucket")[0].as_py()
+        for a, n in zip(first.tolist(), counts.tolist(), strict=True):
+            d = doc[hit[a]]
+            found.append((int(u["ids"][d]), int(u["keys"][d]), bucket, value[hit[a : a + n]].tobytes()))
+    return _mark_batch(rows, found)
 
 
 def _places(blobs: list[bytes]) -> np.ndarray:
@@ -172,16 +180,29 @@ def _places(blobs: list[bytes]) -> np.ndarray:
 
 def _all_places(batch: pa.RecordBatch, w: K.Words) -> np.ndarray:
     """Index among the batch's words of each place that the rows' runs name."""
-    found = [int(w.first[d]) + _places(blobs) for d, blobs in enumerate(batch.column("_td_runs").to_pylist()) if blobs]
+    found = [int(w.first[d]) + _places([m["places"] for m in marks if m["bucket"] == RUNS]) for d, marks in enumerate(batch.column("_td_marks").to_pylist()) if marks]
     return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
+def _hashed_places(batch: pa.RecordBatch, w: K.Words, g: np.ndarray, at: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The same for those that the rows name by bucket and remainder of their hash."""
+    named = [np.empty(0, np.uint64)]
+    for d, marks in enumerate(batch.column("_td_marks").to_pylist()):
+        for m in marks or ():
+            if m["bucket"] != RUNS:
+                rest = np.frombuffer(m["places"], np.uint32).astype(np.uint64)
+                named.append(K.mix((np.uint64(m["bucket"]) << np.uint64(31) | rest) ^ (np.uint64(d) << np.uint64(50))))
+    bucket, rest = _split(g, n_buckets)
+    own = K.mix((bucket << np.uint64(31) | rest) ^ (w.doc()[at].astype(np.uint64) << np.uint64(50)))
+    return at[np.isin(own, np.concatenate(named))]
+
+
 def _send_windows(n_buckets: int, window: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = _id_and_key(batch)
-            w = K.words_of(batch.column("_td_text"))
-            hits = _all_places(batch, w)
+            w = K.words_of(batch.column("text"))
+            hits = np.concatenate((_all_places(batch, w), _hashed_places(batch, w, *w.grams(block), n_buckets)))
             back = np.minimum(window - block, w.position()[hits])
             near = K.cover(len(w), hits - back, back + 1)
             g, at = w.grams(window)
@@ -223,7 +244,7 @@ def _meet_windows(table: pa.Table) -> pa.Table:
 def _cut(schema: list[str], window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w = K.words_of(batch.column("_td_text"), hashes=False)
+            w = K.words_of(batch.column("text"), hashes=False)
             gone = K.cover(len(w), _all_places(batch, w), window)
             total = np.concatenate(([0], np.cumsum(gone)))
             removed = total[w.first[1:]] - total[w.first[:-1]]
@@ -251,20 +272,18 @@ def repeated_words(documents: DataFrame, window: int = WINDOW, block: int = BLOC
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block wherever it starts: window >= 2 * block - 1")
     spark = documents.sparkSession
-    n = BUCKETS * K.partitions(spark)
+    n = K.partitions(spark)
     columns = documents.columns
-    keyed = documents.withColumns(
-        {"_td_text": F.col("text").cast("string"), "_td_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_td_key": K.row_key()}
-    )
-    probe = keyed.select("_td_id", "_td_key", "_td_text")
+    keyed = documents.withColumns({"_td_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_td_key": K.row_key()})
+    key = ["_td_id", "_td_key"]
 
     def gathered(marks: DataFrame) -> DataFrame:
-        return marks.groupBy("_td_id", "_td_key").agg(F.collect_list("runs").alias("_td_runs"))
+        return marks.groupBy(*key).agg(F.collect_list(F.struct("bucket", "places")).alias("_td_marks"))
 
-    anchors = K.map_batches(probe, PACKED, _send_anchors(n, window, block)).groupBy("bucket").applyInArrow(_meet_anchors, MARKS)
-    candidates = keyed.join(gathered(anchors), ["_td_id", "_td_key"]).select("_td_id", "_td_key", "_td_text", "_td_runs")
-    windows = K.map_batches(candidates, PACKED, _send_windows(n, window, block)).groupBy("bucket").applyInArrow(_meet_windows, MARKS)
-    whole = keyed.join(gathered(windows), ["_td_id", "_td_key"], "left").select(*columns, "_td_text", "_td_runs")
+    # both joins take the same columns of the same documents, so that one shuffle of the texts serves both
+    anchors = K.map_batches(keyed.select(*key, "text"), PACKED, _send_anchors(n, window, block)).groupBy("bucket").applyInArrow(_meet_anchors, MARKS)
+    windows = K.map_batches(keyed.join(gathered(anchors), key), PACKED, _send_windows(n, window, block)).groupBy("bucket").applyInArrow(_meet_windows, MARKS)
+    whole = keyed.join(gathered(windows), key, "left")
     schema = T.StructType([*documents.schema.fields, *T.StructType.fromDDL("_td_words long, _td_removed long, _td_kept string, _td_spans array<struct<start:long,length:long>>").fields])
     return K.map_batches(whole, schema, _cut(columns, window))
 

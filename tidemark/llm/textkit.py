@@ -8,6 +8,7 @@ sequences are polynomials over the word hashes. Nulls count as empty texts.
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -261,3 +262,12 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, column: str, modulu
 def is_held_out(modulus: int, remainder: int) -> Column:
     """A null doc_id has the fold of an empty string."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(modulus)) == remainder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Written as Parquet under the shared folder and read again."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    path = f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
