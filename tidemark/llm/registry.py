@@ -1,8 +1,9 @@
 """The subpackage's queries and, where SQL can express them, their SQL."""
 
-from tidemark.llm import decontaminate, near, packing, substrings, toxicity
+from tidemark.llm import decontaminate, near, packing, quality, substrings, toxicity
 
 QUERIES = {
+    "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_substring_dedup": substrings.op2_substring_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
