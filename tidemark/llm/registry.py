@@ -1,11 +1,12 @@
 """The subpackage's queries and, where SQL can express them, their SQL."""
 
-from tidemark.llm import decontaminate, near, packing, quality, substrings, toxicity
+from tidemark.llm import decontaminate, fingerprints, near, packing, quality, substrings, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_substring_dedup": substrings.op2_substring_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_document_fingerprints": fingerprints.op5_document_fingerprints,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op9_minhash_near_dedup": near.op9_minhash_near_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
