@@ -1,6 +1,6 @@
 """The subpackage's queries and, where SQL can express them, their SQL."""
 
-from tidemark.llm import decontaminate, fingerprints, near, packing, quality, substrings, toxicity
+from tidemark.llm import chat, decontaminate, fingerprints, near, packing, quality, substrings, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_document_fingerprints": fingerprints.op5_document_fingerprints,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_minhash_near_dedup": near.op9_minhash_near_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
@@ -15,4 +16,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_substring_dedup": substrings.OP2_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
+    "op8_chat_formatting": chat.OP8_SQL,
 }
