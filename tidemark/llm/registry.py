@@ -1,10 +1,11 @@
 """The subpackage's queries and, where SQL can express them, their SQL."""
 
-from tidemark.llm import chat, decontaminate, fingerprints, near, packing, quality, substrings, toxicity
+from tidemark.llm import chat, decontaminate, fingerprints, licenses, near, packing, quality, substrings, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_substring_dedup": substrings.op2_substring_dedup,
+    "op3_license_scans": licenses.op3_license_scans,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_document_fingerprints": fingerprints.op5_document_fingerprints,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
@@ -15,6 +16,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_substring_dedup": substrings.OP2_SQL,
+    "op3_license_scans": licenses.OP3_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op8_chat_formatting": chat.OP8_SQL,
 }
