@@ -33,101 +33,103 @@ from tidemark.llm import textkit as K
 WINDOW = 13
 BLOCK = 7
 PACKED = "bucket int, kind int, ids binary, keys binary, counts binary, a binary, b binary, c binary"
-#: Places in a document: runs of (start, length), or, with the bucket they came from, remainders of hashes.
-MARKS = "_td_id long, _td_key long, bucket int, places binary"
+#: Places in the documents of a share: runs of (start, length), or remainders of hashes with the bucket they came from.
+MARKS = "share int, bucket int, keys binary, counts binary, places binary"
 RUNS = -1
 LAST = (1 << 63) - 1
+#: Entries gathered before they are compared within the task, and documents worked on at a time.
+GATHER = 1_500_000
+ROWS = 1000
 
 
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 6)
-    names = ("bucket", "kind", "ids", "keys", "counts", "a", "b", "c")
-    columns = list(zip(*rows, strict=True)) or [()] * 8
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=list(names))
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    names, kinds = zip(*[x.split() for x in schema.split(", ")], strict=True)
+    types = [{"int": pa.int32(), "binary": pa.binary()}[k] for k in kinds]
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.table([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=list(names))
 
 
-def _by_doc(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and counts of the runs of equal values."""
-    if not len(doc):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-    return first, np.diff(np.concatenate((first, [len(doc)])))
+def _batches(rows: list[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    yield from _table(rows, schema).to_batches()
 
 
-def _to_buckets(buckets: np.ndarray, doc: np.ndarray, ids: np.ndarray, keys: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
-    """A row for each bucket; entries keep their order, which is by document."""
-    order = np.argsort(buckets, kind="stable")
-    edges = np.flatnonzero(np.diff(buckets[order])) + 1
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows starts."""
+    if not len(columns[0]):
+        return np.empty(0, np.int64)
+    new = np.zeros(len(columns[0]), bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _lengths(first: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.concatenate((first, [n])))
+
+
+def _dealt(to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each destination with the indexes of its entries, which keep their order."""
+    order = np.argsort(to, kind="stable")
+    for part in np.split(order, _changes(to[order])[1:]):
+        if len(part):
+            yield int(to[part[0]]), part
+
+
+def _entry_rows(buckets: np.ndarray, doc: np.ndarray, ids: np.ndarray, keys: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
+    """A row for each bucket. doc, in order: the entries' documents, as indexes of ids and keys."""
     rows = []
-    for part in np.split(order, edges) if len(order) else []:
-        first, counts = _by_doc(doc[part])
+    for bucket, part in _dealt(buckets):
+        first = _changes(doc[part])
         at = doc[part[first]]
         blobs = [c[part].tobytes() for c in columns]
-        rows.append((int(buckets[part[0]]), 0, ids[at].tobytes(), keys[at].tobytes(), counts.astype(np.uint32).tobytes(), *blobs, *[b""] * (3 - len(blobs))))
+        rows.append((bucket, 0, ids[at].tobytes(), keys[at].tobytes(), _lengths(first, len(part)).astype(np.uint32).tobytes(), *blobs, *[b""] * (3 - len(blobs))))
     return rows
 
 
-def _mark_rows(doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """(id, key, runs of places) for each document; doc and pos: the places marked, in any order."""
+def _run_marks(doc: np.ndarray, pos: np.ndarray, keys: np.ndarray, shares: int) -> list[tuple]:
+    """Marks of places, as runs; doc: indexes of keys."""
     order = np.lexsort((pos, doc))
     doc, pos = doc[order], pos[order]
-    first, counts = _by_doc(doc)
-    for a, n in zip(first.tolist(), counts.tolist(), strict=True):
-        p = pos[a : a + n]
-        cut = np.flatnonzero(np.diff(p) > 1) + 1
-        starts, ends = p[np.concatenate(([0], cut))], p[np.concatenate((cut - 1, [n - 1]))]
-        yield int(ids[doc[a]]), int(keys[doc[a]]), np.stack((starts, ends - starts + 1), 1).astype(np.uint32).tobytes()
-
-
-def _marks_as_packed(rows: Iterator[tuple[int, int, bytes]], n_buckets: int) -> list[tuple]:
-    """Marks that are certain travel with the entries; documents are dealt over the buckets."""
-    by: dict[int, list] = {}
-    for i, k, runs in rows:
-        by.setdefault(k % n_buckets, []).append((i, k, runs))
+    first = _changes(doc, pos - np.arange(len(pos)))
+    d, runs = doc[first], np.stack((pos[first], _lengths(first, len(pos))), 1).astype(np.uint32)
     out = []
-    for bucket, found in by.items():
-        ids, keys = np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)
-        counts = np.array([len(x[2]) for x in found], np.uint32)
-        out.append((bucket, 1, ids.tobytes(), keys.tobytes(), counts.tobytes(), b"".join(x[2] for x in found), b"", b""))
+    for share, part in _dealt(np.mod(keys[d], shares)):
+        at = _changes(d[part])
+        out.append((share, RUNS, keys[d[part[at]]].tobytes(), _lengths(at, len(part)).astype(np.uint32).tobytes(), runs[part].tobytes()))
     return out
 
 
-def _unpacked(table: pa.Table) -> dict[str, np.ndarray]:
-    """Entries of all rows of a bucket, one after another; doc: index into ids and keys."""
-    get = lambda name, t: np.frombuffer(b"".join(table.column(name).to_pylist()), t)
-    ids, keys, counts = get("ids", np.int64), get("keys", np.int64), get("counts", np.uint32)
-    return {"ids": ids, "keys": keys, "doc": np.repeat(np.arange(len(ids)), counts), "get": get}
+def _sure(marks: list[tuple]) -> list[tuple]:
+    """Marks that need no bucket, in the form of entries so that they travel along."""
+    return [(share, 1, b"", keys, counts, places, b"", b"") for share, _, keys, counts, places in marks]
 
 
-def _mark_batch(rows: list[tuple[int, int, bytes]], found: list[tuple[int, int, int, bytes]] = ()) -> pa.Table:
-    rows = [(i, k, RUNS, places) for i, k, places in rows] + list(found)
-    columns = list(zip(*rows, strict=True)) or [()] * 4
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["_td_id", "_td_key", "bucket", "places"])
+def _passed(table: pa.Table) -> list[tuple]:
+    return [(r["bucket"], RUNS, r["keys"], r["counts"], r["a"]) for r in table.filter(pc.equal(table.column("kind"), 1)).select(["bucket", "keys", "counts", "a"]).to_pylist()]
 
 
-def _split(g: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and remainder (31 bits) of a hash."""
-    return (g >> np.uint64(32)) % np.uint64(n_buckets), g & np.uint64(0x7FFFFFFF)
+class _Entries:
+    """Entries of all rows of a bucket, one after another; doc: index into ids and keys."""
 
+    def __init__(self, table: pa.Table):
+        self.table = table.filter(pc.equal(table.column("kind"), 0))
+        self.ids, self.keys = self.column("ids", np.int64), self.column("keys", np.int64)
+        self.doc = np.repeat(np.arange(len(self.keys)), self.column("counts", np.uint32))
 
-def _certain(table: pa.Table) -> list[tuple[int, int, bytes]]:
-    rows = []
-    for r in table.filter(pc.equal(table.column("kind"), 1)).to_pylist():
-        at = 0
-        for i, k, n in zip(np.frombuffer(r["ids"], np.int64).tolist(), np.frombuffer(r["keys"], np.int64).tolist(), np.frombuffer(r["counts"], np.uint32).tolist(), strict=True):
-            rows.append((i, k, r["a"][at : at + n]))
-            at += n
-    return rows
+    def column(self, name: str, kind: type) -> np.ndarray:
+        return np.frombuffer(b"".join(self.table.column(name).to_pylist()), kind)
 
 
-def _id_and_key(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return batch.column("_td_id").to_numpy(), batch.column("_td_key").to_numpy()
+def _split(g: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and remainder (31 bits) of a hash."""
+    return (g >> np.uint64(32)) % np.uint64(n_buckets), g & np.uint64(0x7FFFFFFF)
 
 
 def _send_anchors(n_buckets: int, window: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = _id_and_key(batch)
+            ids, keys = batch.column("_td_id").to_numpy(), batch.column("_td_key").to_numpy()
             w = K.words_of(batch.column("text"))
             g, at = w.grams(block)
             doc, pos = w.doc()[at], w.position()[at]
@@ -136,7 +138,8 @@ def _send_anchors(n_buckets: int, window: int, block: int):
             if not len(g):
                 continue
             order = np.argsort(g, kind="stable")
-            first, counts = _by_doc(g[order])
+            first = _changes(g[order])
+            counts = _lengths(first, len(g))
             group = np.empty(len(g), np.int64)
             group[order] = np.repeat(np.arange(len(first)), counts)
             least, most = doc[order[first]], doc[order[first + counts - 1]]
@@ -145,124 +148,174 @@ def _send_anchors(n_buckets: int, window: int, block: int):
             sent = doc == least[group]
             bucket, rest = _split(g[sent], n_buckets)
             rest = rest.astype(np.uint32) | (indexed[sent].astype(np.uint32) << np.uint32(31))
-            yield _packed(_to_buckets(bucket.astype(np.uint32), doc[sent], ids, keys, [rest]))
+            rows = _entry_rows(bucket.astype(np.uint32), doc[sent], ids, keys, [rest])
             if shared.any():
-                yield _packed(_marks_as_packed(_mark_rows(doc[shared], pos[shared], ids, keys), n_buckets))
+                rows += _sure(_run_marks(doc[shared], pos[shared], keys, n_buckets))
+            yield from _batches(rows, PACKED)
 
     return run
 
 
-def _meet_anchors(table: pa.Table) -> pa.Table:
-    rows, found = _certain(table), []
-    u = _unpacked(table.filter(pc.equal(table.column("kind"), 0)))
-    rest, doc = u["get"]("a", np.uint32), u["doc"]
-    if len(rest):
-        value = rest & np.uint32(0x7FFFFFFF)
-        order = np.argsort(value, kind="stable")
-        first, counts = _by_doc(value[order])
-        many = doc[order[first]] != doc[order[first + counts - 1]]
-        many &= np.bitwise_or.reduceat(rest[order] >> np.uint32(31), first) > 0
-        hit = np.sort(order[np.repeat(many, counts)])
-        first, counts = _by_doc(doc[hit])
-        bucket = table.column("bucket")[0].as_py()
-        for a, n in zip(first.tolist(), counts.tolist(), strict=True):
-            d = doc[hit[a]]
-            found.append((int(u["ids"][d]), int(u["keys"][d]), bucket, value[hit[a : a + n]].tobytes()))
-    return _mark_batch(rows, found)
-
-
-def _places(blobs: list[bytes]) -> np.ndarray:
-    runs = np.frombuffer(b"".join(blobs), np.uint32).reshape(-1, 2).astype(np.int64)
-    total = int(runs[:, 1].sum())
-    ends = np.cumsum(runs[:, 1])
-    return np.repeat(runs[:, 0] - (ends - runs[:, 1]), runs[:, 1]) + np.arange(total)
-
-
-def _all_places(batch: pa.RecordBatch, w: K.Words) -> np.ndarray:
-    """Index among the batch's words of each place that the rows' runs name."""
-    found = [int(w.first[d]) + _places([m["places"] for m in marks if m["bucket"] == RUNS]) for d, marks in enumerate(batch.column("_td_marks").to_pylist()) if marks]
-    return np.concatenate(found) if found else np.empty(0, np.int64)
-
-
-def _hashed_places(batch: pa.RecordBatch, w: K.Words, g: np.ndarray, at: np.ndarray, n_buckets: int) -> np.ndarray:
-    """The same for those that the rows name by bucket and remainder of their hash."""
-    named = [np.empty(0, np.uint64)]
-    for d, marks in enumerate(batch.column("_td_marks").to_pylist()):
-        for m in marks or ():
-            if m["bucket"] != RUNS:
-                rest = np.frombuffer(m["places"], np.uint32).astype(np.uint64)
-                named.append(K.mix((np.uint64(m["bucket"]) << np.uint64(31) | rest) ^ (np.uint64(d) << np.uint64(50))))
-    bucket, rest = _split(g, n_buckets)
-    own = K.mix((bucket << np.uint64(31) | rest) ^ (w.doc()[at].astype(np.uint64) << np.uint64(50)))
-    return at[np.isin(own, np.concatenate(named))]
+def _meet_anchors(n_buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        marks = _passed(table)
+        e = _Entries(table)
+        rest = e.column("a", np.uint32)
+        if len(rest):
+            value = rest & np.uint32(0x7FFFFFFF)
+            order = np.argsort(value, kind="stable")
+            first = _changes(value[order])
+            counts = _lengths(first, len(value))
+            many = e.doc[order[first]] != e.doc[order[first + counts - 1]]
+            many &= np.bitwise_or.reduceat(rest[order] >> np.uint32(31), first) > 0
+            hit = np.sort(order[np.repeat(many, counts)])
+            key, value = e.keys[e.doc[hit]], value[hit]
+            bucket = table.column("bucket")[0].as_py()
+            for share, part in _dealt(np.mod(key, n_buckets)):
+                at = _changes(key[part])
+                marks.append((share, bucket, key[part[at]].tobytes(), _lengths(at, len(part)).astype(np.uint32).tobytes(), value[part].tobytes()))
+        return _table(marks, MARKS)
+
+    return run
+
+
+class _Marks:
+    """All marks of a share of the documents."""
+
+    def __init__(self, table: pa.Table):
+        run_keys, runs, self.hashed = [np.empty(0, np.int64)], [np.empty((0, 2), np.int64)], [np.empty(0, np.uint64)]
+        for r in table.to_pylist():
+            keys = np.repeat(np.frombuffer(r["keys"], np.int64), np.frombuffer(r["counts"], np.uint32))
+            if r["bucket"] == RUNS:
+                run_keys.append(keys)
+                runs.append(np.frombuffer(r["places"], np.uint32).reshape(-1, 2).astype(np.int64))
+            else:
+                rest = np.frombuffer(r["places"], np.uint32).astype(np.uint64)
+                self.hashed.append(self.name(np.uint64(r["bucket"]), rest, keys))
+        keys, runs = np.concatenate(run_keys), np.concatenate(runs)
+        order = np.argsort(keys, kind="stable")
+        self.run_keys, self.runs = keys[order], runs[order]
+        self.hashed = np.unique(np.concatenate(self.hashed))
+
+    @staticmethod
+    def name(bucket: np.ndarray, rest: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        return K.mix((bucket << np.uint64(31) | rest) ^ K.mix(keys.view(np.uint64).copy()))
+
+    def places(self, w: K.Words, keys: np.ndarray) -> np.ndarray:
+        """Index among the batch's words of each place marked by a run."""
+        lo, hi = np.searchsorted(self.run_keys, keys, "left"), np.searchsorted(self.run_keys, keys, "right")
+        starts, lengths = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for d in np.flatnonzero(hi > lo).tolist():
+            runs = self.runs[lo[d] : hi[d]]
+            starts.append(runs[:, 0] + w.first[d])
+            lengths.append(runs[:, 1])
+        starts, lengths = np.concatenate(starts), np.concatenate(lengths)
+        ends = np.cumsum(lengths)
+        return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(lengths.sum()))
+
+    def anchors(self, w: K.Words, keys: np.ndarray, block: int, n_buckets: int) -> np.ndarray:
+        """The same for runs of words marked by their hash."""
+        g, at = w.grams(block)
+        if not len(self.hashed):
+            return at[:0]
+        bucket, rest = _split(g, n_buckets)
+        own = self.name(bucket, rest, keys[w.doc()[at]])
+        i = np.minimum(np.searchsorted(self.hashed, own), len(self.hashed) - 1)
+        return at[self.hashed[i] == own]
+
+
+def _slices(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    for batch in table.combine_chunks().to_batches(max_chunksize=ROWS):
+        yield batch
+
+
+def _compared(parts: list[tuple], n_buckets: int) -> list[tuple]:
+    """Rows for the windows gathered so far: (g, g2, id, key, pos) arrays."""
+    g, g2, ids, keys, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((keys, ids, g2, g))
+    g, g2, ids, keys, pos = g[order], g2[order], ids[order], keys[order], pos[order]
+    first = _changes(g, g2)
+    least = np.repeat(ids[first], _lengths(first, len(g)))
+    later = ids > least
+    # entries in order of document
+    sent = np.flatnonzero(~later)
+    sent = sent[np.lexsort((pos[sent], keys[sent], ids[sent]))]
+    one = _changes(ids[sent], keys[sent])
+    doc = np.repeat(np.arange(len(one)), _lengths(one, len(sent)))
+    bucket = (g[sent] >> np.uint64(32)) % np.uint64(n_buckets)
+    rows = _entry_rows(bucket.astype(np.uint32), doc, ids[sent[one]], keys[sent[one]], [g[sent], g2[sent], pos[sent].astype(np.uint32)])
+    if later.any():
+        known, doc = np.unique(keys[later], return_inverse=True)
+        rows += _sure(_run_marks(doc, pos[later], known, n_buckets))
+    return rows
 
 
 def _send_windows(n_buckets: int, window: int, block: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys = _id_and_key(batch)
+    def run(docs: pa.Table, marked: pa.Table) -> pa.Table:
+        marks, rows, parts, size = _Marks(marked), [], [], 0
+        for batch in _slices(docs) if marked.num_rows else ():
+            ids, keys = batch.column("_td_id").to_numpy(), batch.column("_td_key").to_numpy()
             w = K.words_of(batch.column("text"))
-            hits = np.concatenate((_all_places(batch, w), _hashed_places(batch, w, *w.grams(block), n_buckets)))
+            hits = np.concatenate((marks.places(w, keys), marks.anchors(w, keys, block, n_buckets)))
             back = np.minimum(window - block, w.position()[hits])
             near = K.cover(len(w), hits - back, back + 1)
             g, at = w.grams(window)
             g2, _ = w.grams(window, seed=1)
             keep = near[at]
-            g, g2, at = g[keep], g2[keep], at[keep]
-            if not len(g):
-                continue
-            doc, pos = w.doc()[at], w.position()[at]
-            order = np.lexsort((ids[doc], g2, g))
-            new = np.concatenate(([True], (g[order][1:] != g[order][:-1]) | (g2[order][1:] != g2[order][:-1])))
-            first = np.flatnonzero(new)
-            least = np.empty(len(g), np.int64)
-            least[order] = ids[doc[order[first]]][np.cumsum(new) - 1]
-            later = ids[doc] > least
-            sent = ~later
-            bucket = ((g[sent] >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.uint32)
-            yield _packed(_to_buckets(bucket, doc[sent], ids, keys, [g[sent], g2[sent], pos[sent].astype(np.uint32)]))
-            if later.any():
-                yield _packed(_marks_as_packed(_mark_rows(doc[later], pos[later], ids, keys), n_buckets))
+            at = at[keep]
+            doc = w.doc()[at]
+            parts.append((g[keep], (g2[keep] >> np.uint64(32)).astype(np.uint32), ids[doc], keys[doc], w.position()[at]))
+            size += len(at)
+            if size >= GATHER:
+                rows += _compared(parts, n_buckets)
+                parts, size = [], 0
+        if size:
+            rows += _compared(parts, n_buckets)
+        return _table(rows, PACKED)
 
     return run
 
 
-def _meet_windows(table: pa.Table) -> pa.Table:
-    rows = _certain(table)
-    u = _unpacked(table.filter(pc.equal(table.column("kind"), 0)))
-    g, g2, pos, doc = u["get"]("a", np.uint64), u["get"]("b", np.uint64), u["get"]("c", np.uint32).astype(np.int64), u["doc"]
-    if len(g):
-        owner = u["ids"][doc]
-        order = np.lexsort((owner, g2, g))
-        new = np.concatenate(([True], (g[order][1:] != g[order][:-1]) | (g2[order][1:] != g2[order][:-1])))
-        least = owner[order[np.flatnonzero(new)]][np.cumsum(new) - 1]
-        hit = order[owner[order] > least]
-        rows += _mark_rows(doc[hit], pos[hit], u["ids"], u["keys"])
-    return _mark_batch(rows)
+def _meet_windows(n_buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        marks = _passed(table)
+        e = _Entries(table)
+        g, g2, pos = e.column("a", np.uint64), e.column("b", np.uint32), e.column("c", np.uint32).astype(np.int64)
+        if len(g):
+            owner = e.ids[e.doc]
+            order = np.lexsort((owner, g2, g))
+            first = _changes(g[order], g2[order])
+            least = np.repeat(owner[order[first]], _lengths(first, len(g)))
+            hit = order[owner[order] > least]
+            marks += _run_marks(e.doc[hit], pos[hit], e.keys, n_buckets)
+        return _table(marks, MARKS)
 
+    return run
 
-def _cut(schema: list[str], window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+
+def _cut(columns: list[str], window: int, schema: T.StructType):
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+
+    def run(docs: pa.Table, marked: pa.Table) -> pa.Table:
+        marks, out = _Marks(marked), []
+        for batch in _slices(docs):
             w = K.words_of(batch.column("text"), hashes=False)
-            gone = K.cover(len(w), _all_places(batch, w), window)
+            gone = K.cover(len(w), marks.places(w, batch.column("_td_key").to_numpy()), window)
             total = np.concatenate(([0], np.cumsum(gone)))
             removed = total[w.first[1:]] - total[w.first[:-1]]
             kept, spans = [], []
             for d, text in enumerate(w.texts()):
-                if not removed[d]:
-                    kept.append(b" ".join(text.split()))
-                    spans.append([])
-                    continue
-                mask = gone[w.first[d] : w.first[d + 1]]
-                parts = text.split()
-                a, b = K.runs(mask)
-                edges = np.concatenate(([0], np.stack((a, b), 1).ravel(), [len(parts)])).tolist()
-                kept.append(b" ".join([x for s, e in zip(edges[::2], edges[1::2], strict=True) for x in parts[s:e]]))
-                spans.append([{"start": x, "length": y - x} for x, y in zip(a.tolist(), b.tolist(), strict=True)])
-            out = [batch.column(c) for c in schema]
-            out += [pa.array(w.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays(out, names=[*schema, "_td_words", "_td_removed", "_td_kept", "_td_spans"])
+                parts, found = text.split(), []
+                if removed[d]:
+                    a, b = K.runs(gone[w.first[d] : w.first[d + 1]])
+                    edges = np.concatenate(([0], np.stack((a, b), 1).ravel(), [len(parts)])).tolist()
+                    parts = [x for s, e in zip(edges[::2], edges[1::2], strict=True) for x in parts[s:e]]
+                    found = [{"start": x, "length": y - x} for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                kept.append(b" ".join(parts))
+                spans.append(found)
+            new = [pa.array(w.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, spans_type)]
+            out.append(pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *new], names=[*columns, "_td_words", "_td_removed", "_td_kept", "_td_spans"]))
+        return pa.Table.from_batches(out)
 
     return run
 
@@ -271,21 +324,18 @@ def repeated_words(documents: DataFrame, window: int = WINDOW, block: int = BLOC
     """All columns of documents, and `_td_words`, `_td_removed` (counts), `_td_kept` (text), `_td_spans` (word spans removed)."""
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block wherever it starts: window >= 2 * block - 1")
-    spark = documents.sparkSession
-    n = K.partitions(spark)
+    n = K.partitions(documents.sparkSession)
     columns = documents.columns
-    keyed = documents.withColumns({"_td_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_td_key": K.row_key()})
-    key = ["_td_id", "_td_key"]
-
-    def gathered(marks: DataFrame) -> DataFrame:
-        return marks.groupBy(*key).agg(F.collect_list(F.struct("bucket", "places")).alias("_td_marks"))
-
-    # both joins take the same columns of the same documents, so that one shuffle of the texts serves both
-    anchors = K.map_batches(keyed.select(*key, "text"), PACKED, _send_anchors(n, window, block)).groupBy("bucket").applyInArrow(_meet_anchors, MARKS)
-    windows = K.map_batches(keyed.join(gathered(anchors), key), PACKED, _send_windows(n, window, block)).groupBy("bucket").applyInArrow(_meet_windows, MARKS)
-    whole = keyed.join(gathered(windows), key, "left")
     schema = T.StructType([*documents.schema.fields, *T.StructType.fromDDL("_td_words long, _td_removed long, _td_kept string, _td_spans array<struct<start:long,length:long>>").fields])
-    return K.map_batches(whole, schema, _cut(columns, window))
+    keyed = documents.withColumns({"_td_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_td_key": K.row_key()})
+    # documents are dealt into shares once; both steps that need their texts again read the same shuffle
+    shares = keyed.withColumn("_td_share", F.pmod("_td_key", F.lit(n)).cast("int"))
+
+    anchors = K.map_batches(keyed.select("_td_id", "_td_key", "text"), PACKED, _send_anchors(n, window, block))
+    marks = anchors.groupBy("bucket").applyInArrow(_meet_anchors(n), MARKS)
+    windows = shares.groupBy("_td_share").cogroup(marks.groupBy("share")).applyInArrow(_send_windows(n, window, block), PACKED)
+    found = windows.groupBy("bucket").applyInArrow(_meet_windows(n), MARKS)
+    return shares.groupBy("_td_share").cogroup(found.groupBy("share")).applyInArrow(_cut(columns, window, schema), schema)
 
 
 def dedup_substrings(documents: DataFrame) -> DataFrame:
