@@ -1,6 +1,6 @@
 """The subpackage's queries and, where SQL can express them, their SQL."""
 
-from tidemark.llm import chat, decontaminate, fingerprints, licenses, near, packing, quality, substrings, toxicity
+from tidemark.llm import chat, decontaminate, fingerprints, licenses, lm, near, packing, quality, substrings, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_document_fingerprints": fingerprints.op5_document_fingerprints,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_lm_scoring": lm.op7_lm_scoring,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_minhash_near_dedup": near.op9_minhash_near_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
