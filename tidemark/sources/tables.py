@@ -8,14 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+def _schema(text: str) -> T.StructType:
+    kinds = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType()}
+    return T.StructType([T.StructField(n, kinds[k]) for n, k in (x.split() for x in text.split(", "))])
+
+
 _BASE = "token_address string, block_number long, log_index int, block_timestamp long, transaction_hash string, event_type string"
 #: Declared schemas; raw amounts are base-10 strings at rest.
 SCHEMAS = {
-    "swaps": T.StructType.fromDDL(f"{_BASE}, pool_address string, actor string, token0_address string, token1_address string, token0_amount string, token1_amount string, amount_usd double"),
-    "transfers": T.StructType.fromDDL(f"{_BASE}, from_address string, to_address string, amount_raw string"),
-    "liquidity_events": T.StructType.fromDDL(f"{_BASE}, pool_address string, actor string, version string, source_event string, token0_amount string, token1_amount string, liquidity_delta string, event_count int"),
-    "tvl_points": T.StructType.fromDDL("token_address string, block_number long, log_index int, block_timestamp long, pool_address string, tvl_raw string, tvl_usd double"),
-    "holdings": T.StructType.fromDDL("token_address string, address string, balance_raw string, balance_source string"),
+    "swaps": _schema(f"{_BASE}, pool_address string, actor string, token0_address string, token1_address string, token0_amount string, token1_amount string, amount_usd double"),
+    "transfers": _schema(f"{_BASE}, from_address string, to_address string, amount_raw string"),
+    "liquidity_events": _schema(f"{_BASE}, pool_address string, actor string, version string, source_event string, token0_amount string, token1_amount string, liquidity_delta string, event_count int"),
+    "tvl_points": _schema("token_address string, block_number long, log_index int, block_timestamp long, pool_address string, tvl_raw string, tvl_usd double"),
+    "holdings": _schema("token_address string, address string, balance_raw string, balance_source string"),
 }
 
 
