@@ -95,3 +95,26 @@ def test_tables(spark, tmp_path):
     flat = spark.createDataFrame([(1, "p", 5), (1, "q", 6)], "bucket long, pool string, volume long")
     assert tables.flatten_volume(tables.inflate_volume(flat)).count() == 2
     assert tables.query_tables(spark, "select count(*) n from {t} where volume > :v", {"t": flat}, {"v": 5}).first().n == 1
+
+
+def test_normalizers(spark):
+    from tidemark.operators import events
+
+    base = "token_address string, block_number long, log_index int, block_timestamp long, transaction_hash string, pool_address string, actor string"
+    v2 = spark.createDataFrame([("T", 1, 0, 9, "x", "p", "a", "5", "0", "0", "7")], base + ", amount0_in string, amount0_out string, amount1_in string, amount1_out string")
+    r = events.normalize_v2_swap(v2).first()
+    assert (int(r.token0_amount), int(r.token1_amount), r.event_type) == (5, -7, "SWAP")
+    v4 = spark.createDataFrame([("T", 1, 0, 9, "x", "p", "a", "-5", None), ("T", 2, 0, 9, "x", "p", "a", "0", 3), ("T", 3, 0, 9, "x", "p", "a", "9" * 60, 1)], base + ", liquidity_delta string, event_count int")
+    rows = events.normalize_v4_liquidity(v4).orderBy("block_number").collect()
+    assert [(x.event_type, x.quantification_status, x.event_count) for x in rows[:2]] == [("LIQUIDITY_REMOVE", "liquidity_delta_only", 1), ("LIQUIDITY_ADD", "unmapped", 3)]
+    assert rows[2].liquidity_delta is None  # beyond 38 digits: unknown, not 0
+    change = spark.createDataFrame([("T", 1, 0, 9, "x", "p", "a", [-3, 0]), ("T", 2, 0, 9, "x", "p", "a", [-3, 4])], base + ", deltas array<long>")
+    assert [(x.event_type, int(x.amount)) for x in events.normalize_balancer_change(change).orderBy("block_number").collect()] == [("LIQUIDITY_REMOVE", 3), ("LIQUIDITY_ADD", 7)]
+
+
+def test_verification(spark):
+    from tidemark.operators import pools
+
+    facts = spark.createDataFrame([("a", True, True, None, False), ("b", False, True, True, True), ("c", True, None, None, None)], "pool_address string, trusted_factory boolean, bytecode boolean, fee boolean, reserves boolean")
+    got = {r.pool_address: (r.verification_confidence, r.verified) for r in pools.score_verification(facts, ["bytecode", "fee", "reserves"]).collect()}
+    assert got == {"a": (0.5, True), "b": (0.0, False), "c": (0.0, False)}

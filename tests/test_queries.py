@@ -3,6 +3,7 @@
 import pytest
 from conftest import SF, same_rows
 
+from tidemark.plans import more  # noqa: F401
 from tidemark.plans import queries as Q
 
 
