@@ -130,15 +130,18 @@ def edge_confidence(reciprocal: DataFrame, repeated: DataFrame, gas: DataFrame,
 def wallet_clusters(edges: DataFrame, checkpoint) -> DataFrame:
     """token, address, cluster: the least address of each component. checkpoint cuts lineage each round.
 
-    Min-label propagation with pointer jumping; the number of rounds grows with the logarithm of the diameter.
+    Each round every component found so far takes the least label any member hears from a neighbour, and then
+    jumps once more, so components at least halve and the rounds grow with the logarithm of their number.
     """
-    both = checkpoint(edges.select(TOKEN, "a", "b").union(edges.select(TOKEN, F.col("b"), F.col("a"))).distinct())
-    labels = checkpoint(both.groupBy(TOKEN, F.col("a").alias("address")).agg(F.min("b").alias("m")).select(TOKEN, "address", F.least("address", "m").alias("cluster")))
+    turns = F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba", "aa", "bb")])  # with each node beside itself
+    both = checkpoint(edges.select(TOKEN, F.explode(turns).alias("e")).select(TOKEN, "e.*").distinct())
+    labels = both.groupBy(TOKEN, F.col("a").alias("address")).agg(F.min("b").alias("cluster"))
     while True:
-        heard = both.join(labels.withColumnRenamed("address", "b"), [TOKEN, "b"]).groupBy(TOKEN, F.col("a").alias("address")).agg(F.min("cluster").alias("heard"))
-        lower = labels.join(heard, [TOKEN, "address"]).select(TOKEN, "address", F.col("cluster").alias("old"), F.least("cluster", "heard").alias("cluster"))
-        jump = labels.select(TOKEN, F.col("address").alias("cluster"), F.col("cluster").alias("root"))
-        new = checkpoint(lower.join(jump, [TOKEN, "cluster"]).select(TOKEN, "address", "old", F.least("cluster", "root").alias("cluster")))
+        heard = both.join(labels.withColumnRenamed("address", "b"), [TOKEN, "b"]).groupBy(TOKEN, F.col("a").alias("address")).agg(F.min("cluster").alias("heard"), F.max(F.when(F.col("a") == F.col("b"), F.col("cluster"))).alias("old"))
+        # all that share a label take the least that any of them heard, and then what that label has taken
+        taken = heard.groupBy(TOKEN, "old").agg(F.min("heard").alias("new"))
+        jump = taken.select(TOKEN, F.col("old").alias("new"), F.col("new").alias("root"))
+        new = checkpoint(heard.select(TOKEN, "address", "old").join(taken, [TOKEN, "old"]).join(jump, [TOKEN, "new"], "left").select(TOKEN, "address", "old", F.least("new", F.coalesce("root", "new")).alias("cluster")))
         labels = new.drop("old")
         if not new.where("old <> cluster").head(1):
             return labels
