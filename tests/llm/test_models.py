@@ -109,6 +109,59 @@ def test_near_copies_brute_force(spark):
     assert len(kept) == len(by_class)
 
 
+def drifting_family(rng, pairs):
+    """150 texts close to a base; pairs of texts that are too far from all texts but each other."""
+    base = [f"b{i}" for i in range(300)]
+    rows = []
+    for k in range(150):
+        text = list(base)
+        for _ in range(int(rng.integers(1, 3))):
+            text[int(rng.integers(0, 300))] = f"u{k}x{int(rng.integers(0, 1000))}"
+        rows.append((k, " ".join(text)))
+    for _ in range(pairs):
+        at = rng.permutation(60)
+        for chosen in (at[:8], at[:13]):
+            text = list(base)
+            for p in chosen:
+                text[5 * p + 2] = f"alt{p}"
+            rows.append((len(rows), " ".join(text)))
+    return rows
+
+
+def linked_classes(rows, idf):
+    w = K.words_of(pa.array([t for _, t in rows]), K.SPACED_LOWER)
+    doc, h, tf = near.shingles(w, len(rows))
+    runs, at = np.unique(h, return_inverse=True)
+    bag = np.zeros((len(rows), len(runs)))
+    bag[doc, at] = tf * idf[near._cell(h)]
+    low = np.array([np.minimum(bag, b).sum(1) for b in bag])
+    linked = low >= near.SIMILAR * (bag.sum(1)[:, None] + bag.sum(1) - low)
+    label = np.arange(len(rows))
+    while True:
+        new = np.array([label[x].min() for x in linked])
+        if (new == label).all():
+            return dict(enumerate(label.tolist()))
+        label = new
+
+
+@pytest.mark.parametrize("wide, block", [(2, 256), (0, 16)])
+def test_drifting_family_brute_force(spark, monkeypatch, wide, block):
+    monkeypatch.setattr(near, "WIDE", wide)  # so that buckets of this family are wide
+    monkeypatch.setattr(near, "BLOCK", block, raising=False)
+    docs = spark.createDataFrame(drifting_family(np.random.default_rng(1), 300), DOCS)
+    got = {r.doc_id: r.class_id for r in near.near_classes(docs).collect()}
+    assert got == linked_classes([tuple(r) for r in docs.collect()], near.idf_table(docs))
+
+
+def test_all_pairs_across_components_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 4)
+    rows = [(b, i, i % 3 if b else i, 30) for b in (0, 1) for i in range(30)]
+    members = spark.createDataFrame(rows, "bucket long, node long, label long, n long")
+    got = sorted(tuple(r) for r in near._crossing_blocks(members).collect())
+    assert got and set(got) == {(i, j) for i in range(30) for j in range(i + 1, 30)}
+    assert len(set(got)) == 435
+
+
 def test_near_edges(spark):
     assert near.near_classes(spark.createDataFrame([], DOCS)).count() == 0
     extra = spark.createDataFrame([(2, "same text here", 1), (1, "same text here", 2), (3, "other", 3)], DOCS + ", label long")

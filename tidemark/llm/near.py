@@ -14,8 +14,10 @@ on N. Two texts are linked if their weighted Jaccard similarity is at least 0.8.
 4. Where a bucket still holds several components, texts of different components are compared, so that no
    link between different texts is lost to the choice of leader. In a bucket of at most WIDE texts, each with
    each. The texts of wider buckets - a passage or a drifting family that thousands share - get a sharper
-   signature (SHARP_BANDS bands of SHARP_ROWS samples, which texts under 0.8 seldom share) and meet LEADERS
-   leaders in each bucket of it. Texts already joined are never paired, nor any pair twice.
+   signature (SHARP_BANDS bands of SHARP_ROWS samples, which texts under 0.8 seldom share). In rounds, they
+   meet leaders of up to LEADERS other components in each bucket of it, new ones in each bucket and round, as
+   long as that halves the pairs across components or they are many; in the last round all pairs across
+   components that are left are compared. Texts already joined are never paired, nor any pair twice.
 5. Similarities are computed from the texts themselves; components by min-label propagation with pointer
    jumping, checkpointed every round.
 
@@ -27,6 +29,7 @@ give no rows. Extra columns are ignored by `near_classes` and kept by `keep_one`
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +46,12 @@ IDF_SHARE = 0.25
 CELLS = 1 << 18
 SLICES = 64
 WIDE = 32
-#: The sharper signature of texts in wide buckets, and the leaders a text meets in each of its buckets.
+#: The sharper signature of texts in wide buckets, and the leaders a text meets in each of its buckets in a round.
 SHARP_BANDS = 64
 SHARP_ROWS = 10
 LEADERS = 5
+#: Texts of a bucket that a task pairs with each other, or with as many others, in the last round.
+BLOCK = 256
 #: Relative step of the weights that signatures tell apart.
 STEP = 0.05
 DRAWS = 1 << 16
@@ -253,21 +258,49 @@ def _classes(documents: DataFrame) -> DataFrame:
     spread = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n")
     open_ = K.checkpointed(labelled.join(spread, "bucket"))
     wide = open_.where(F.col("n") > WIDE).select(F.col("node").alias("row_key")).distinct()
-    sharp = K.map_batches(source.join(wide, "row_key", "left_semi"), "row_key long, bands array<long>", _signatures(shared, ["row_key"], SHARP_BANDS, SHARP_ROWS))
-    meeting = K.checkpointed(sharp.select(F.col("row_key").alias("node"), F.explode("bands").alias("bucket")))
-    candidates = _crossing(open_.where(F.col("n") <= WIDE)).union(_meet_leaders(meeting.join(labels, "node")))
-    tried = K.checkpointed(candidates.distinct().join(pairs, ["a", "b"], "left_anti"))
+    tried = K.checkpointed(_crossing(open_.where(F.col("n") <= WIDE)).distinct().join(pairs, ["a", "b"], "left_anti"))
     labels = _joined(labels, _linked(tried, source, shared))
-    return _classes_of(signed, texts, labels)
+    sharp = K.checkpointed(K.map_batches(source.join(wide, "row_key", "left_semi"), "row_key long, bands array<long>", _signatures(shared, ["row_key"], SHARP_BANDS, SHARP_ROWS)))
+    return _classes_of(signed, texts, _met(sharp.withColumnRenamed("row_key", "node"), labels, pairs.union(tried), source, shared))
+
+
+def _met(sharp: DataFrame, labels: DataFrame, tried: DataFrame, source: DataFrame, shared) -> DataFrame:
+    """Labels once all pairs across components within a bucket are tried. sharp: node, bands."""
+    before = None
+    for turn in count():
+        members = sharp.join(labels, "node").select("node", "label", F.explode("bands").alias("bucket"))
+        sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count("*").alias("labels"))
+        sizes = K.checkpointed(sizes.where("labels > 1").select("bucket", "n", ((F.col("n") * F.col("n") - F.col("within")) / 2).alias("across")))
+        across, texts = sizes.agg(F.coalesce(F.sum("across"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if not across:
+            return labels
+        last = across <= LEADERS * texts or (before is not None and 2 * across > before)
+        open_ = members.join(sizes.select("bucket", "n"), "bucket")
+        candidates = _crossing_blocks(open_) if last else _meet_leaders(open_, turn)
+        untried = K.checkpointed(candidates.distinct().join(tried, ["a", "b"], "left_anti"))
+        labels = _joined(labels, _linked(untried, source, shared))
+        if last:
+            return labels
+        tried, before = tried.union(untried), across
 
 
-def _meet_leaders(members: DataFrame) -> DataFrame:
-    """Pairs of each text with some leaders of its bucket, those of its own component left out. members: node, bucket, label."""
-    salted = members.withColumn("order", F.xxhash64("node"))
-    leaders = salted.groupBy("bucket", F.pmod("order", F.lit(LEADERS)).alias("salt")).agg(F.min_by(F.struct(F.col("node").alias("other"), F.col("label").alias("label_o")), "order").alias("l"))
+def _meet_leaders(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each text with leaders of other components of its bucket, others in each turn. members: bucket, node, label."""
+    salted = members.withColumns({"salt": F.pmod(F.xxhash64("label", "bucket", F.lit(turn)), F.lit(LEADERS)), "order": F.xxhash64("node", "bucket", F.lit(turn))})
+    leaders = salted.groupBy("bucket", "salt").agg(F.min_by(F.struct(F.col("node").alias("other"), F.col("label").alias("label_o")), "order").alias("l"))
     return members.join(leaders.select("bucket", "l.*"), "bucket").where("label <> label_o").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
 
+def _crossing_blocks(members: DataFrame) -> DataFrame:
+    """Pairs of different components within a bucket of any size n, by pairs of blocks of about BLOCK texts. members: bucket, node, label, n."""
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = members.withColumns({"own": F.pmod(F.xxhash64("node"), blocks), "block": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
+    one = dealt.where("own <= block").select("bucket", F.col("own").alias("lo"), F.col("block").alias("hi"), "node", "label")
+    two = dealt.where("block <= own").select("bucket", F.col("block").alias("lo"), F.col("own").alias("hi"), F.col("node").alias("b"), F.col("label").alias("label_b"))
+    met = one.join(two, ["bucket", "lo", "hi"]).where("label <> label_b and (lo < hi or label < label_b)")
+    return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+
+
 def _classes_of(signed: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
     grouped = texts.join(labels, "node", "left").select("text_hash", "text_id", F.coalesce("label", "node").alias("label"))
     classes = grouped.groupBy("label").agg(F.min("text_id").alias("class_id"))
