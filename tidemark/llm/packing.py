@@ -4,10 +4,9 @@
    remainder, so that all other pieces fill a sequence each.
 2. Pieces are ranked within their length: the ranks are counted by (length, salt) first, so a length
    that a third of all pieces share is still ranked by many tasks.
-3. Matching runs in bulk-synchronous supersteps over documents and gaps in order of size. Both lists are
-   kept run-length encoded, as at most `capacity` sizes with counts, whatever the number of documents.
-   In a superstep the documents of one length, longest first, sweep to the successor gap - the smallest
-   that holds them -, the k-th document taking the k-th such gap, so that ranks resolve every conflict;
+3. Matching runs on the driver, as best-fit decreasing over the histogram of lengths, at most `capacity` lengths by
+   SALTS counts whatever the number of documents; gaps are kept as runs of sequences with counts. The documents
+   of one length, longest first, go to the smallest gap that holds them, the k-th document to the k-th such gap;
    what finds no gap opens sequences; then the gaps are updated.
 4. The matching, as intervals of ranks, is joined to the ranked pieces.
 
@@ -102,7 +101,7 @@ def pieces(documents: DataFrame, tokenizer: str | None = None, capacity: int = C
 
 
 def match(sizes: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Supersteps over run-length encoded documents and gaps.
+    """Best-fit decreasing over run-length encoded documents and gaps, on the driver.
 
     sizes: length -> number of pieces. Returns (length, rank from, rank to, sequence, offset) rows - the
     pieces of these ranks go to consecutive sequences from the one named - and the number of sequences.
