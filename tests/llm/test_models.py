@@ -198,6 +198,18 @@ def test_baseline_and_model(spark):
     assert lm.lm_scores(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_all_training_texts_are_trained_on(spark, monkeypatch):
+    docs, trained, fitted = K.read(spark, SF, "documents"), [], lm.fitted
+
+    def spy(rows, gathered, tokenizer):
+        trained.append(gathered.where("kind = 2").count())
+        return fitted(rows, gathered, tokenizer)
+
+    monkeypatch.setattr(lm, "fitted", spy)
+    got = lm.lm_scores(docs).collect()
+    assert trained == [sum(not r.held_out for r in got)]
+
+
 def test_class_probabilities_sum_to_one_and_gradients_hold():
     counts = np.random.default_rng(0).integers(0, 50, lm.VOCABULARY)
     model = lm.Model(counts, lm.Subwords(None).starts_word)
