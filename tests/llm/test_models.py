@@ -49,6 +49,14 @@ def test_awkward(spark, run):
     assert run(spark.createDataFrame([], DOCS), none).count() == 0
 
 
+def test_labelled_sample_has_one_row_for_each_document(spark):
+    docs = spark.createDataFrame([(1, "a")] * 50 + [(1, "b"), (2, None), (2, None), (3, "c")], DOCS)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0)], LABELS)
+    got = K.labelled_sample(docs, labels, "quality", 1, 1, 3).collect()
+    assert sorted(r.label for r in got) == [0, 1, 1]
+    assert {r.text for r in got} in ({"a", None, "c"}, {"b", None, "c"})
+
+
 def test_labels_of_the_held_out_fold_do_not_matter(spark):
     docs, labels = K.read(spark, SF, "documents"), K.read(spark, SF, "labels")
     turned = labels.withColumn("toxic", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))

@@ -249,14 +249,15 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, column: str, modulu
     """At most `bound` labelled documents (text, label) outside the held-out fold, checkpointed.
 
     The rows with the least hash of doc_id are taken, so the sample is the same at every run; only their
-    ids are broadcast. Labels other than 0 and 1 and rows without doc_id are left out; of several labels
+    ids are broadcast. A document that has several rows gives one text. Labels other than 0 and 1 and rows without doc_id are left out; of several labels
     of a document the largest holds.
     """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (fold != held_out))
     chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return checkpointed(texts.join(F.broadcast(chosen), "doc_id").select("text", "label"))
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min_by(F.struct("text"), F.struct(F.xxhash64("text"), "text")).alias("one"))
+    return checkpointed(one.select("one.text", "label"))
 
 
 def is_held_out(modulus: int, remainder: int) -> Column:
