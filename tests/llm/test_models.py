@@ -152,22 +152,62 @@ def linked_classes(rows, idf):
         label = new
 
 
-@pytest.mark.parametrize("wide, block", [(2, 256), (0, 16)])
-def test_drifting_family_brute_force(spark, monkeypatch, wide, block):
-    monkeypatch.setattr(near, "WIDE", wide)  # so that buckets of this family are wide
-    monkeypatch.setattr(near, "BLOCK", block, raising=False)
+@pytest.mark.parametrize("group", [256, 16])
+def test_drifting_family_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(near, "GROUP", group)
     docs = spark.createDataFrame(drifting_family(np.random.default_rng(1), 300), DOCS)
     got = {r.doc_id: r.class_id for r in near.near_classes(docs).collect()}
     assert got == linked_classes([tuple(r) for r in docs.collect()], near.idf_table(docs))
 
 
-def test_all_pairs_across_components_by_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near, "BLOCK", 4)
-    rows = [(b, i, i % 3 if b else i, 30) for b in (0, 1) for i in range(30)]
-    members = spark.createDataFrame(rows, "bucket long, node long, label long, n long")
-    got = sorted(tuple(r) for r in near._crossing_blocks(members).collect())
-    assert got and set(got) == {(i, j) for i in range(30) for j in range(i + 1, 30)}
-    assert len(set(got)) == 435
+def test_large_drifting_family_brute_force(spark):
+    """2100 texts at all distances from one base: buckets of hundreds that hold many components."""
+    rng = np.random.default_rng(4)
+    base, rows = [f"b{i}" for i in range(120)], []
+    for k in range(2100):
+        text = list(base)
+        for p in rng.choice(120, int(rng.integers(0, 5)), replace=False):
+            text[p] = f"v{int(rng.integers(0, 6))}"
+        rows.append((k, " ".join(text)))
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r.class_id for r in near.near_classes(docs).collect()}
+    want = linked_classes(rows, near.idf_table(docs))
+    assert len(set(want.values())) > 20
+    missed = sum(got[k] != want[k] for k in want)
+    print("texts in another class than by brute force:", missed, "of", len(want))
+    assert missed <= 0.01 * len(want)
+
+
+@pytest.mark.parametrize("labels", [1, 3, 1000])
+def test_every_pair_across_components_meets(spark, monkeypatch, labels):
+    monkeypatch.setattr(near, "GROUP", 8)
+    rng = np.random.default_rng(2)
+    rows = [(s, 100 * s + i, int(i % labels if i > 9 else 2000 + i), 10) for s in (0, 1) for i in range(90)]
+    cells = collections.defaultdict(set)
+    for r in near._blocks(spark.createDataFrame(rows, "set long, node long, label long, bytes long")).collect():
+        cells[r.group].add(r.node)
+    met = {frozenset((a, b)) for c in cells.values() for a in c for b in c if a != b}
+    for s in (0, 1):
+        own = [r for r in rows if r[0] == s]
+        assert all(frozenset((a[1], b[1])) in met for a in own for b in own if a[1] < b[1] and a[2] != b[2])
+    assert all(len({n // 100 for n in c}) == 1 for c in cells.values())
+    assert max(map(len, cells.values())) <= 64 and rng is not None
+
+
+def test_similarities_and_forest():
+    texts = ["a b c d e f g", "a b c d e f g a b c d e f g", "a b c d e f h", "", "x"]
+    idf = np.linspace(1, 1.25, near.CELLS).astype(np.float32)
+    doc, h, tf = near.shingles(K.words_of(pa.array(texts), K.SPACED_LOWER), len(texts))
+    bags = [{x: n * float(idf[near._cell(np.array([x], np.uint64))[0]]) for d, x, n in zip(doc.tolist(), h.tolist(), tf.tolist(), strict=True) if d == i} for i in range(len(texts))]
+    got = near.similarities(doc, h, tf, idf, len(texts))
+    for i, a in enumerate(bags):
+        for j, b in enumerate(bags):
+            high = sum(max(a.get(k, 0), b.get(k, 0)) for k in a.keys() | b.keys())
+            assert abs(got[i, j] - (sum(min(a.get(k, 0), b.get(k, 0)) for k in a.keys() & b.keys()) / high if high else 0)) < 1e-6
+    links = np.zeros((6, 6), bool)
+    for i, j in ((5, 2), (2, 4), (1, 3)):
+        links[i, j] = links[j, i] = True
+    assert near.forest(links).tolist() == [0, 1, 2, 1, 2, 2]
 
 
 def test_near_edges(spark):

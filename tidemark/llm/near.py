@@ -6,20 +6,19 @@ that copies are not judged less alike for being many. Document frequencies come
 table of fixed size indexed by hash, less the mean load of a cell; its error relative to N does not depend
 on N. Two texts are linked if their weighted Jaccard similarity is at least 0.8.
 
-1. Exact copies fall together first; one row of each text goes on, carrying its signature only.
+1. Exact copies fall together first (128 bits of hash); one row of each text goes on, carrying its signature only.
 2. Signatures: improved consistent weighted samples (r, c ~ Gamma(2, 1), beta uniform; the sample of a run
    is its quantised level), with the random numbers drawn from one table by hash of run and sample number.
    BANDS bands of ROWS samples.
-3. In each bucket of a band every text is compared with one leader; the links make components.
-4. Where a bucket still holds several components, texts of different components are compared, so that no
-   link between different texts is lost to the choice of leader. In a bucket of at most WIDE texts, each with
-   each. The texts of wider buckets - a passage or a drifting family that thousands share - get a sharper
-   signature (SHARP_BANDS bands of SHARP_ROWS samples, which texts under 0.8 seldom share). In rounds, they
-   meet leaders of up to LEADERS other components in each bucket of it, new ones in each bucket and round, as
-   long as that halves the pairs across components or they are many; in the last round all pairs across
-   components that are left are compared. Texts already joined are never paired, nor any pair twice.
-5. Similarities are computed from the texts themselves; components by min-label propagation with pointer
-   jumping, checkpointed every round.
+3. In each bucket of a band the texts meet one leader, in groups of about GROUP texts: all pairs of a group are
+   compared, in one task. The links make components.
+4. Where a bucket still holds several components, all its pairs across components are compared, whatever its
+   size, so no link between different texts is lost to the choice of leader. Buckets that share texts are taken
+   together where that takes fewer comparisons than one by one. Their texts are dealt into blocks of about GROUP,
+   a component of many texts into blocks of its own; every two blocks meet in one task, but for two blocks of one
+   component. So a text is sent once for each block it has to meet, not once for each pair.
+5. Similarities are computed exactly from the texts themselves, and a task gives back a spanning forest of its
+   links only. Components by min-label propagation with pointer jumping, checkpointed every round.
 
 Defined results: null and empty texts have no runs and are alike only as exact copies of one another (null
 counts as empty); a class takes its least doc_id, null if it has none; equal rows repeat. Empty tables
@@ -29,11 +28,10 @@ give no rows. Extra columns are ignored by `near_classes` and kept by `keep_one`
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as K
@@ -45,13 +43,9 @@ ROWS = 8
 IDF_SHARE = 0.25
 CELLS = 1 << 18
 SLICES = 64
-WIDE = 32
-#: The sharper signature of texts in wide buckets, and the leaders a text meets in each of its buckets in a round.
-SHARP_BANDS = 64
-SHARP_ROWS = 10
-LEADERS = 5
-#: Texts of a bucket that a task pairs with each other, or with as many others, in the last round.
-BLOCK = 256
+#: Texts of a group, and bytes: what a task compares at a time, or half of it.
+GROUP = 256
+GROUP_BYTES = 4 << 20
 #: Relative step of the weights that signatures tell apart.
 STEP = 0.05
 DRAWS = 1 << 16
@@ -136,19 +130,36 @@ class Sampler:
             if q not in self.rows:
                 self.rows[q] = len(self.rows)
                 self.table = np.concatenate((self.table, self._row(q)[None]))
-        base = np.array([self.rows[q] for q in levels.tolist()], np.int64)[at] * DRAWS
+        base = np.array([self.rows[q] for q in levels.tolist()], np.uint64)[at] * np.uint64(DRAWS)
         table, spread = self.table.ravel(), K.mix(h.copy())
         low = spread & np.uint64(0xFFFFFFFF)
         out = np.empty((len(first), len(self.multipliers)), np.uint64)
-        for k, m in enumerate(self.multipliers):
-            draw = (spread * m >> np.uint64(48)).astype(np.int64)
-            draw += base
-            value = table[draw]
-            value ^= low
-            out[:, k] = np.minimum.reduceat(value, first)
+        for a, b in chunks(first, len(h)):  # of a size that stays in the cache
+            lo, hi = first[a], first[b] if b < len(first) else len(h)
+            part, own, near, places = spread[lo:hi], base[lo:hi], low[lo:hi], first[a:b] - lo
+            draw, value = np.empty(hi - lo, np.uint64), np.empty(hi - lo, np.uint64)
+            for k, m in enumerate(self.multipliers):
+                np.multiply(part, m, out=draw)
+                draw >>= np.uint64(48)
+                draw += own
+                np.take(table, draw.view(np.int64), out=value, mode="clip")
+                value ^= near
+                np.minimum.reduceat(value, places, out=out[a:b, k])
         return out & np.uint64(0xFFFFFFFF)
 
 
+CHUNK = 1 << 14
+
+
+def chunks(first: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that together have about CHUNK of the n runs, one text at least."""
+    a = 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(first, first[a] + CHUNK, side="right")) - 1) if n - first[a] > CHUNK else len(first)
+        yield a, b
+        a = b
+
+
 def _signatures(shared, keep: list[str], n_bands: int, n_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, sampler = shared.value, Sampler(n_bands * n_rows)
@@ -170,30 +181,88 @@ def _signatures(shared, keep: list[str], n_bands: int, n_rows: int):
     return run
 
 
-def weighted_jaccard(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
-    """Similarity of each pair of texts; 0 where either has no words."""
-    sides = []
-    for column in (a, b):
-        w = K.words_of(column, K.SPACED_LOWER)
-        doc, h, tf = shingles(w, len(w.counts))
-        sides.append(((doc.astype(np.uint64) << np.uint64(40)) | h, doc, tf * idf[_cell(h)].astype(np.float64)))
-    (ka, da, wa), (kb, db, wb) = sides
-    n = len(a)
-    total = np.bincount(da, wa, n) + np.bincount(db, wb, n)
-    _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-    low = np.bincount(da[ia], np.minimum(wa[ia], wb[ib]), n)
-    return np.divide(low, total - low, out=np.zeros(n), where=total > 0)
+def similarities(doc: np.ndarray, h: np.ndarray, tf: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
+    """Weighted Jaccard similarity of every two of n texts, from their runs; 0 where either has no words.
+
+    A run that a text has tf times counts as tf runs, (run, 1) to (run, tf), each weighing idf; so what two texts
+    share is the weight of their common runs, a product of matrices over the runs that two or more texts have.
+    """
+    weight = idf[_cell(h)].astype(np.float64)
+    total = np.bincount(doc, tf * weight, n)
+    times = np.arange(int(tf.sum())) - np.repeat(np.cumsum(tf) - tf, tf)
+    if (tf > 1).any():
+        doc, h, weight = np.repeat(doc, tf), K.mix(np.repeat(h, tf) + (times.astype(np.uint64) << np.uint64(40))), np.repeat(weight, tf)
+    _, at, run, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)
+    place = np.full(len(count), -1)
+    place[shared] = np.arange(len(shared))
+    kept = np.flatnonzero(place[run] >= 0)
+    column, doc = place[run[kept]], doc[kept]
+    root, low = np.sqrt(weight[at[shared]]), np.zeros((n, n))
+    order = np.argsort(column, kind="stable")
+    column, doc = column[order], doc[order]
+    for c in range(0, len(shared), 4096):
+        lo, hi = np.searchsorted(column, (c, c + 4096))
+        m = np.zeros((n, min(4096, len(shared) - c)))
+        m[doc[lo:hi], column[lo:hi] - c] = root[column[lo:hi]]
+        low += m @ m.T
+    high = total[:, None] + total - low
+    return np.divide(low, high, out=np.zeros((n, n)), where=low > 0)
+
+
+def forest(linked: np.ndarray) -> np.ndarray:
+    """Of each node of a symmetric matrix of links, the least node of its component."""
+    label = np.arange(len(linked))
+    reach = linked | np.eye(len(linked), dtype=bool)
+    while True:
+        new = np.where(reach, label, len(label)).min(1)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
 
 
-def _verify(shared, least: float):
+def _compare(shared):
+    """Links of groups: rows (group, node, text), in order of group. Gives a spanning forest of each group's links."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            keep = pa.array(weighted_jaccard(batch.column("text_a"), batch.column("text_b"), shared.value) >= least)
-            yield batch.select(["a", "b"]).filter(keep)
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            group = table.column("group").to_numpy()
+            cut = int(np.searchsorted(group, group[-1])) if len(group) else 0
+            held = table.slice(cut)
+            if cut:
+                yield _links(table.slice(0, cut), shared.value)
+        if held is not None and len(held):
+            yield _links(held, shared.value)
 
     return run
 
 
+def _links(table: pa.Table, idf: np.ndarray) -> pa.RecordBatch:
+    node = table.column("node").to_numpy()
+    group = table.column("group").to_numpy()
+    w = K.words_of(table.column("text"), K.SPACED_LOWER)
+    doc, h, tf = shingles(w, len(w.counts))
+    edge = np.concatenate(([0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]))
+    runs = np.searchsorted(doc, edge)
+    a, b = [], []
+    for k in range(len(edge) - 1):
+        lo, hi = edge[k], edge[k + 1]
+        if hi - lo < 2:
+            continue
+        x, y = runs[k], runs[k + 1]
+        label = forest(similarities(doc[x:y] - lo, h[x:y], tf[x:y], idf, hi - lo) >= SIMILAR)
+        other = np.flatnonzero(label != np.arange(hi - lo))
+        a.append(node[lo + label[other]])
+        b.append(node[lo + other])
+    a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the least node of each component of the graph with edges (a, b)."""
     both = edges.select(F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba", "aa", "bb")])).alias("e")).select("e.*")
@@ -218,18 +287,10 @@ def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return K.checkpointed(labels.join(found.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left").select("node", F.coalesce("least", "label").alias("label")))
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
-    """Those of the pairs (a, b) of row keys whose texts are similar."""
-    with_b = pairs.join(texts.select(F.col("row_key").alias("b"), F.col("text").alias("text_b")), "b")
-    with_a = with_b.join(texts.select(F.col("row_key").alias("a"), F.col("text").alias("text_a")), "a")
-    K.small_batches(pairs.sparkSession, rows=400)
-    return K.checkpointed(with_a.select("a", "b", "text_a", "text_b").mapInArrow(_verify(shared, SIMILAR), "a long, b long").distinct())
-
-
-def _crossing(member: DataFrame) -> DataFrame:
-    """Pairs of different components within a bucket of at most WIDE texts. member: bucket, node, label."""
-    other = member.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    return member.join(other, "bucket").where("label < label_b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+def _linked(grouped: DataFrame, texts: DataFrame, shared) -> DataFrame:
+    """Spanning links (a, b) of each group. grouped: group (64 bits of hash: two groups in one cost time, no result), node."""
+    with_text = grouped.join(texts, "node").repartition("group").sortWithinPartitions("group", "node")
+    return K.checkpointed(K.map_batches(with_text, "a long, b long", _compare(shared)).distinct())
 
 
 def near_classes(documents: DataFrame) -> DataFrame:
@@ -240,79 +301,81 @@ def near_classes(documents: DataFrame) -> DataFrame:
 def _classes(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumns({"row_key": K.row_key(), "text_hash": F.unhex(F.md5("text"))})
+    docs = docs.withColumns({"doc_key": F.coalesce(F.col("doc_id"), F.lit(-1)), "text_hash": F.unhex(F.md5("text"))})
     shared = spark.sparkContext.broadcast(idf_table(docs))
-    signed = K.checkpointed(K.map_batches(docs, "doc_id long, row_key long, text_hash binary, bands array<long>", _signatures(shared, ["doc_id", "row_key", "text_hash"], BANDS, ROWS)))
-    texts = signed.groupBy("text_hash").agg(F.min("row_key").alias("node"), F.min("doc_id").alias("text_id"), F.any_value("bands").alias("bands"))
-    texts = K.checkpointed(texts)
+    signed = K.checkpointed(K.map_batches(docs, "doc_id long, text_hash binary, bands array<long>", _signatures(shared, ["doc_id", "text_hash"], BANDS, ROWS)))
+    texts = signed.groupBy("text_hash").agg(F.min("doc_id").alias("text_id"), F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc_key"), F.any_value("bands").alias("bands"))
+    texts = K.checkpointed(texts.withColumn("node", F.monotonically_increasing_id()))
     members = texts.select("node", F.explode("bands").alias("bucket"))
-    leaders = members.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("bucket", "a")
-    wanted = K.checkpointed(members.join(leaders, "bucket").select("node", "bucket", "a"))  # members of buckets of two or more
-    pairs = K.checkpointed(wanted.where("a < node").select("a", F.col("node").alias("b")).distinct())
+    leaders = members.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
+    wanted = K.checkpointed(members.join(leaders, "bucket"))  # members of buckets of two or more
     nodes = wanted.select("node").distinct()
-    source = K.stored(docs.select("row_key", "text").join(nodes.withColumnRenamed("node", "row_key"), "row_key", "left_semi").dropDuplicates(["row_key"]))
-    first = _linked(pairs, source, shared)
+    needed = texts.join(nodes, "node", "left_semi").select("text_hash", "doc_key", "node")
+    source = docs.select("text_hash", "doc_key", "text").join(needed, ["text_hash", "doc_key"]).groupBy("text_hash", "doc_key", "node").agg(F.any_value("text").alias("text"))
+    source = K.stored(source.select("node", "text"))
+    met = wanted.where("a < node").groupBy("a", "node").agg(F.max(F.ceil(F.col("n") / GROUP)).alias("parts"))
+    met = K.checkpointed(met.withColumn("group", F.xxhash64("a", "parts", F.pmod(F.xxhash64("node"), "parts"))))
+    first = _linked(met.select("group", "node").union(met.select("group", F.col("a").alias("node")).distinct()), source, shared)
     labels = K.checkpointed(nodes.join(components(first), "node", "left").select("node", F.coalesce("label", "node").alias("label")))
     # texts that a leader left apart
     labelled = wanted.select("node", "bucket").join(labels, "node")
-    spread = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n")
-    open_ = K.checkpointed(labelled.join(spread, "bucket"))
-    wide = open_.where(F.col("n") > WIDE).select(F.col("node").alias("row_key")).distinct()
-    tried = K.checkpointed(_crossing(open_.where(F.col("n") <= WIDE)).distinct().join(pairs, ["a", "b"], "left_anti"))
-    labels = _joined(labels, _linked(tried, source, shared))
-    sharp = K.checkpointed(K.map_batches(source.join(wide, "row_key", "left_semi"), "row_key long, bands array<long>", _signatures(shared, ["row_key"], SHARP_BANDS, SHARP_ROWS)))
-    return _classes_of(signed, texts, _met(sharp.withColumnRenamed("row_key", "node"), labels, pairs.union(tried), source, shared))
-
-
-def _met(sharp: DataFrame, labels: DataFrame, tried: DataFrame, source: DataFrame, shared) -> DataFrame:
-    """Labels once all pairs across components within a bucket are tried. sharp: node, bands."""
-    before = None
-    for turn in count():
-        members = sharp.join(labels, "node").select("node", "label", F.explode("bands").alias("bucket"))
-        sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count("*").alias("labels"))
-        sizes = K.checkpointed(sizes.where("labels > 1").select("bucket", "n", ((F.col("n") * F.col("n") - F.col("within")) / 2).alias("across")))
-        across, texts = sizes.agg(F.coalesce(F.sum("across"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if not across:
-            return labels
-        last = across <= LEADERS * texts or (before is not None and 2 * across > before)
-        open_ = members.join(sizes.select("bucket", "n"), "bucket")
-        candidates = _crossing_blocks(open_) if last else _meet_leaders(open_, turn)
-        untried = K.checkpointed(candidates.distinct().join(tried, ["a", "b"], "left_anti"))
-        labels = _joined(labels, _linked(untried, source, shared))
-        if last:
-            return labels
-        tried, before = tried.union(untried), across
-
-
-def _meet_leaders(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each text with leaders of other components of its bucket, others in each turn. members: bucket, node, label."""
-    salted = members.withColumns({"salt": F.pmod(F.xxhash64("label", "bucket", F.lit(turn)), F.lit(LEADERS)), "order": F.xxhash64("node", "bucket", F.lit(turn))})
-    leaders = salted.groupBy("bucket", "salt").agg(F.min_by(F.struct(F.col("node").alias("other"), F.col("label").alias("label_o")), "order").alias("l"))
-    return members.join(leaders.select("bucket", "l.*"), "bucket").where("label <> label_o").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-
-
-def _crossing_blocks(members: DataFrame) -> DataFrame:
-    """Pairs of different components within a bucket of any size n, by pairs of blocks of about BLOCK texts. members: bucket, node, label, n."""
-    blocks = F.ceil(F.col("n") / BLOCK)
-    dealt = members.withColumns({"own": F.pmod(F.xxhash64("node"), blocks), "block": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
-    one = dealt.where("own <= block").select("bucket", F.col("own").alias("lo"), F.col("block").alias("hi"), "node", "label")
-    two = dealt.where("block <= own").select("bucket", F.col("block").alias("lo"), F.col("own").alias("hi"), F.col("node").alias("b"), F.col("label").alias("label_b"))
-    met = one.join(two, ["bucket", "lo", "hi"]).where("label <> label_b and (lo < hi or label < label_b)")
-    return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-
-
-def _classes_of(signed: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+    spread = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("first"), F.count("*").alias("n")).where("lo < hi")
+    open_ = K.checkpointed(labelled.join(spread.select("bucket", "first", "n"), "bucket"))
+    if not open_.isEmpty():
+        sizes = source.select("node", F.octet_length("text").cast("long").alias("bytes"))
+        rest = _linked(_blocks(_gathered(open_).join(sizes, "node")), source, shared)
+        labels = _joined(labels, rest)
     grouped = texts.join(labels, "node", "left").select("text_hash", "text_id", F.coalesce("label", "node").alias("label"))
     classes = grouped.groupBy("label").agg(F.min("text_id").alias("class_id"))
-    return signed.select("doc_id", "row_key", "text_hash").join(grouped.join(classes, "label"), "text_hash")
+    return signed.select("doc_id", "text_hash").join(grouped.join(classes, "label"), "text_hash")
+
+
+def _gathered(members: DataFrame) -> DataFrame:
+    """set, node, label: the sets within which all pairs have to be compared. members: bucket, node, label, first, n (of the bucket).
+
+    Buckets that are connected by common texts make one set if that takes fewer comparisons than bucket by bucket.
+    """
+    family = components(members.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()).withColumnRenamed("label", "family")
+    within = members.join(family, "node")
+    whole = family.groupBy("family").agg(F.count("*").alias("texts"))
+    square = lambda c: F.col(c).cast("double") * F.col(c)
+    apart = within.groupBy("family").agg(F.sum(F.col("n").cast("double")).alias("comparisons"))  # each text of a bucket with n texts
+    together = whole.join(apart, "family").select("family", (square("texts") <= F.col("comparisons")).alias("together"))
+    key = F.when(F.col("together"), F.xxhash64("family", F.lit(0))).otherwise(F.xxhash64("bucket", F.lit(1)))
+    return K.checkpointed(within.join(together, "family").select(key.alias("set"), "node", "label").distinct())
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """group, node: every two blocks of a set, but for two of one component. members: set, node, label, bytes."""
+    parts = lambda n, size: F.greatest(F.ceil(F.col(n) / GROUP), F.ceil(F.col(size) / GROUP_BYTES), F.lit(1))
+    of = members.groupBy("set", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("size")).withColumn("own_parts", F.when(F.col("n") >= GROUP, parts("n", "size")).otherwise(0))
+    small = F.col("own_parts") == 0
+    total = of.groupBy("set").agg(F.sum(F.when(small, F.col("n")).otherwise(0)).alias("n_pool"), F.sum(F.when(small, F.col("size")).otherwise(0)).alias("size_pool"), F.sum("own_parts").alias("big"))
+    total = total.select("set", F.when(F.col("n_pool") > 0, parts("n_pool", "size_pool")).otherwise(0).alias("pool"), "big")
+    # a component of many texts has blocks of its own, after those of the pool; there is at most one for each GROUP texts
+    before = Window.partitionBy("set").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
+    bases = of.where("own_parts > 0").withColumn("base", F.coalesce(F.sum("own_parts").over(before), F.lit(0)))
+    plan = of.join(bases.select("set", "label", "base"), ["set", "label"], "left").join(total, "set")
+    dealt = members.join(plan, ["set", "label"]).withColumn("all", F.col("pool") + F.col("big"))
+    first = F.col("pool") + F.coalesce("base", F.lit(0))
+    after = F.when(first + F.col("own_parts") < F.col("all"), F.sequence(first + F.col("own_parts"), F.col("all") - 1)).otherwise(F.array().cast("array<bigint>"))
+    zero = F.lit(0).cast("long")
+    others = F.when(small, F.sequence(zero, F.col("all") - 1)).otherwise(F.concat(F.when(first > 0, F.sequence(zero, first - 1)).otherwise(F.array().cast("array<bigint>")), after))
+    own = F.when(small, F.pmod(F.xxhash64("label"), "pool")).otherwise(first + F.pmod(F.xxhash64("node"), "own_parts"))
+    cells = dealt.select("set", "node", own.alias("own"), F.explode(others).alias("other"))
+    return cells.select(F.xxhash64("set", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "node").distinct()
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """Documents without near-duplicates: of each class the row with its least doc_id, once (and all rows of a class without doc_id... one)."""
+    """Documents without near-duplicates, with all their columns: of each class one row with its least doc_id, or,
+    in a class without any doc_id, one of its rows."""
     found = _classes(documents)
-    kept = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row_key")).alias("kept")).select(F.col("kept.row_key").alias("_td_key"))
-    keyed = documents.withColumn("_td_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return keyed.join(kept, "_td_key", "left_semi").dropDuplicates(["_td_key"]).select(*documents.columns)
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")
+    kept = found.groupBy("label").agg(F.min(order).alias("kept")).select(F.coalesce("kept.doc_id", F.lit(-1)).alias("_td_id"), F.col("kept.null").alias("_td_null"), F.col("kept.text_hash").alias("_td_hash"))
+    keyed = documents.withColumns({
+        "_td_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_td_null": F.col("doc_id").cast("long").isNull(), "_td_hash": F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))),
+    })
+    return keyed.join(kept, ["_td_id", "_td_null", "_td_hash"], "left_semi").dropDuplicates(["_td_id", "_td_null", "_td_hash"]).select(*documents.columns)
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
