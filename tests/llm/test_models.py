@@ -203,7 +203,7 @@ def test_similarities_and_forest():
     for i, a in enumerate(bags):
         for j, b in enumerate(bags):
             high = sum(max(a.get(k, 0), b.get(k, 0)) for k in a.keys() | b.keys())
-            assert abs(got[i, j] - (sum(min(a.get(k, 0), b.get(k, 0)) for k in a.keys() & b.keys()) / high if high else 0)) < 1e-6
+            assert i == j or abs(got[i, j] - (sum(min(a.get(k, 0), b.get(k, 0)) for k in a.keys() & b.keys()) / high if high else 0)) < 1e-6
     links = np.zeros((6, 6), bool)
     for i, j in ((5, 2), (2, 4), (1, 3)):
         links[i, j] = links[j, i] = True
@@ -247,35 +247,41 @@ def test_baseline_and_model(spark):
 
 
 def test_all_training_texts_are_trained_on(spark, monkeypatch):
-    docs, trained, fitted = K.read(spark, SF, "documents"), [], lm.fitted
+    docs, texts, ids, fitted = K.read(spark, SF, "documents"), [], [], lm.fitted
 
-    def spy(rows, gathered, tokenizer):
-        trained.append(gathered.where("kind = 2").count())
-        return fitted(rows, gathered, tokenizer)
+    def spy(gathered):
+        texts.append(gathered.where("kind = 2").count())
+        model = fitted(gathered)
+        ids.append(float(np.exp(model.after.astype(np.float64)).sum()))
+        return model
 
     monkeypatch.setattr(lm, "fitted", spy)
     got = lm.lm_scores(docs).collect()
-    assert trained == [sum(not r.held_out for r in got)]
+    assert texts == [sum(not r.held_out for r in got)]
+    assert abs(ids[0] - lm.GROUPS - 1) < 1e-3
 
 
-def test_class_probabilities_sum_to_one_and_gradients_hold():
-    counts = np.random.default_rng(0).integers(0, 50, lm.VOCABULARY)
-    model = lm.Model(counts, lm.Subwords(None).starts_word)
-    assert np.allclose(np.bincount(model.of, np.exp(model.within), lm.CLASSES), 1)
-    rng = np.random.default_rng(1)
-    p = {k: v.astype(np.float64) + 0.05 * rng.standard_normal(v.shape) for k, v in model.weights.items()}
-    before, target = rng.integers(0, lm.CLASSES, (3, lm.CONTEXT)), rng.integers(0, lm.CLASSES, (3, lm.CONTEXT))
+@pytest.fixture(scope="module")
+def model():
+    rng = np.random.default_rng(0)
+    m = lm.Model(rng.integers(0, 50, (lm.VOCABULARY, lm.CELLS)) * rng.integers(0, 2, (lm.VOCABULARY, 1)))
+    m.tables(rng.integers(0, 9, (lm.GROUPS + 1, lm.CLASSES)).astype(float))
+    m.within = np.tile(lm.coded(m.weight / m.mass[m.of]), (lm.GROUPS + 1, 1))
+    m.weights = {k: (v + 0.05 * rng.standard_normal(v.shape)).astype(np.float32) for k, v in m.weights.items()}
+    return m
 
-    def loss():
-        return -lm.log_softmax_at(lm.forward(p, before)[-1], target.ravel(), model.n_starts)[0].mean()
 
-    g = lm.gradient(p, before, target)
+def test_probabilities_sum_to_one_and_gradients_hold(model):
+    assert np.allclose(np.bincount(model.of, np.exp(model.within[0] / -lm.SCALE), lm.CLASSES), 1, atol=2e-3)
+    assert np.allclose(np.exp(model.after.astype(np.float64)).sum(1), 1, atol=1e-4)
+    rng = np.random.default_rng(1)
+    p = {k: v.astype(np.float64) for k, v in model.weights.items()}
+    before, target = rng.integers(0, lm.GROUPS + 1, (3, lm.CONTEXT)), rng.integers(0, lm.CLASSES, (3, lm.CONTEXT))
+    after = model.after.astype(np.float64)
+    loss = lambda: -lm.log_softmax_at(lm.forward(p, before, after)[-1], target.ravel()).mean()
+    g = lm.gradient(p, before, target, after)
     for name in p:
-        at = tuple(int(rng.integers(0, n)) for n in p[name].shape)
-        if name == "embed":
-            at = (int(before[0, 0]), 0)
-        if name == "prev":
-            at = (int(before[0, 0]), int(target[0, 0]))
+        at = (int(before[0, 0]), 0) if name == "embed" else tuple(int(rng.integers(0, n)) for n in p[name].shape)
         kept, e = p[name][at], 1e-4
         p[name][at] = kept + e
         up = loss()
@@ -285,9 +291,61 @@ def test_class_probabilities_sum_to_one_and_gradients_hold():
         assert abs((up - down) / (2 * e) - g[name][at]) < 1e-4
 
 
+def naive_score(m, ids):
+    """One id after the other, attention by hand over the ids of the one window that scores it."""
+    p, stride, total = {k: v.astype(np.float64) for k, v in m.weights.items()}, lm.CONTEXT - lm.OVERLAP, 0.0
+    for i in range(len(ids)):
+        k = 0 if i < lm.CONTEXT else (i - lm.OVERLAP) // stride
+        inside = [lm.GROUPS if j == 0 else int(m.group[ids[j - 1]]) for j in range(k * stride, i + 1)]
+        x = [p["embed"][g] + p["place"][j] for j, g in enumerate(inside)]
+        q, keys, values = x[-1] @ p["q"], [v @ p["k"] for v in x], [v @ p["v"] for v in x]
+        a = np.exp([q @ key / math.sqrt(lm.WIDTH) for key in keys])
+        h = x[-1] + sum(w * v for w, v in zip(a / a.sum(), values, strict=True)) @ p["o"]
+        logits = h @ p["out"] + m.after[inside[-1]]
+        total += logits[m.of[ids[i]]] - np.log(np.exp(logits).sum()) - m.within[inside[-1], ids[i]] / lm.SCALE
+    return total
+
+
+def test_scores_equal_a_loop_over_windows_and_ids(model):
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, lm.VOCABULARY, n) for n in (1, 2, lm.CONTEXT - 1, lm.CONTEXT, lm.CONTEXT + 1, 44, 45, 131)]
+    got = lm.text_scores(model, np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
+    assert np.allclose(got, [naive_score(model, t) for t in texts], rtol=1e-4)
+
+
+def test_held_out_texts_score_above_the_word_baseline(spark):
+    docs = K.read(spark, SF.replace("sf0.001", "sf0.1"), "documents")
+    got = lm.lm_scores(docs).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    print("log10 a token on held-out texts: model", got[0] / got[2], "baseline", got[1] / got[2])
+    assert got[0] > got[1]
+
+
+def test_scores_do_not_depend_on_partitions_or_other_columns(spark):
+    docs = K.read(spark, SF, "documents").select("doc_id", "text")
+    one = {r.doc_id: r.score for r in lm.lm_scores(docs.coalesce(1)).collect()}
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        clash = docs.repartition(5).withColumns({"score": F.lit("x"), "train": F.lit(1), "row_key": F.lit("k")})
+        other = {r.doc_id: r.score for r in lm.lm_scores(clash).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert one.keys() == other.keys() and all(abs(one[k] - other[k]) <= 1e-3 * abs(one[k]) for k in one)
+
+
+def test_subwords_of_words_joined_by_other_white_space():
+    texts = ["one\u2003two three", "a\u00a0b", "plain words", "\u3000 x"]
+    sub = lm.Subwords(None)
+    w = K.words_of(pa.array(texts), K.SPACED_LOWER)
+    ids, bounds = sub.sequences(w, sub.of(w, K.SPACED_LOWER))
+    for i, t in enumerate(texts):
+        want = [x for word in re.findall(rb"[^\x20\x09-\x0D]+", t.encode()) for x in sub.enc.encode_ordinary(" " + word.decode())]
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == [*want, lm.END]
+
+
 def test_each_id_is_scored_once():
     bounds = np.cumsum([0, 1, lm.CONTEXT, lm.CONTEXT + 1, 5 * lm.CONTEXT + 3])
-    before, target = lm.framed(np.arange(bounds[-1]) % lm.CLASSES, bounds)
+    before, target = lm.framed(np.arange(bounds[-1]) % lm.GROUPS, np.arange(bounds[-1]) % lm.CLASSES, bounds)
     assert (target >= 0).sum() == bounds[-1]
 
 

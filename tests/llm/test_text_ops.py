@@ -158,8 +158,9 @@ def test_packing(spark, empty):
     from tokenizers import Tokenizer
 
     rng = np.random.default_rng(1)
-    rows = [(i, " ".join(rng.choice(WORDS, int(rng.integers(1, 900))))) for i in range(40)] + AWKWARD
-    got = packing.pack(spark.createDataFrame(rows, DOCS)).collect()
+    rows = [(i, " ".join(rng.choice(WORDS, int(rng.integers(1, 900))))) for i in range(40)] + [(100 + i, "tiny text" * (i % 3)) for i in range(150)] + AWKWARD
+    rows.append((99, "word and 日本 word\n\n" * 70_000))  # over a megabyte: encoded in parts
+    got = packing.pack(spark.createDataFrame([(*r, "x", 1) for r in rows], DOCS + ", item string, uid int")).collect()
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
     want = []
@@ -195,19 +196,44 @@ def best_fit_decreasing(sizes, capacity):
     return len(gaps)
 
 
-@given(st.lists(st.integers(1, 40), max_size=80))
+@given(st.lists(st.tuples(st.integers(1, 9), st.booleans()), max_size=60))
 @settings(max_examples=80, deadline=None)
-def test_matching_is_best_fit_decreasing(sizes):
-    counts = {s: sizes.count(s) for s in set(sizes)}
-    plan, used = packing.match(counts, 40)
-    filled, placed = {}, 0
-    for size, a, b, first, offset in plan:
-        for k in range(b - a):
-            assert filled.get(first + k, 0) == offset
-            filled[first + k] = offset + size
-            placed += 1
-    assert placed == len(sizes) and all(v <= 40 for v in filled.values())
-    assert len(filled) == best_fit_decreasing(sizes, 40)
+def test_items_take_the_smallest_free_gap(rows):
+    rows = sorted(rows, key=lambda r: (-r[0], not r[1]))
+    got = dict(zip(*[x.tolist() for x in reversed(packing.matched(np.array([g for _, g in rows], bool)))], strict=True)) if rows else {}
+    free, want = [], {}
+    for k, (_, gap) in enumerate(rows):
+        if gap:
+            free.append(k)
+        elif free:
+            want[k] = free.pop()
+    assert got == want
+
+
+def test_ranges_are_resolved_by_rank():
+    gaps, items = packing.resolve([(0, 2, 3), (1, 0, 2), (2, 4, 1), (5, 9, 0)])
+    assert gaps == [(1, 0, 0, 2), (0, 0, 2, 2), (2, 0, 4, 1), (0, 2, 5, 1)]
+    assert items == [(2, 0, 0, 2), (2, 2, 2, 2), (5, 0, 4, 1), (5, 1, 5, 1)]
+
+
+@pytest.mark.parametrize("rows, most", [(10**6, 700), (40, 700), (40, 40), (60, 1023)])
+def test_supersteps_pack_as_well_as_best_fit_decreasing(spark, monkeypatch, rows, most):
+    monkeypatch.setattr(packing, "ROWS", rows)
+    rng = np.random.default_rng(most)
+    sizes = [int(x) for x in rng.integers(1, most + 1, 300)]
+    items = K.checkpointed(spark.createDataFrame(list(enumerate(sizes)), "id long, size long"))
+    got = [tuple(r) for r in packing.best_fit(items, 1024).collect()]
+    assert sorted(r[0] for r in got) == list(range(300))
+    sequences = {}
+    for item, sequence, offset in got:
+        sequences.setdefault(sequence, []).append((offset, sizes[item]))
+    for parts in sequences.values():
+        at = 0
+        for offset, size in sorted(parts):
+            assert offset == at
+            at += size
+        assert at <= 1024
+    assert len(sequences) <= best_fit_decreasing(sizes, 1024) * 1.03 + 1
 
 
 CONV = "conv_id long, turn long, role string, text string"
