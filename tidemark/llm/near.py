@@ -18,7 +18,7 @@ on N. Two texts are linked if their weighted Jaccard similarity is at least 0.8.
    a component of many texts into blocks of its own; every two blocks meet in one task, but for two blocks of one
    component. So a text is sent once for each block it has to meet, not once for each pair.
 5. Similarities are computed exactly from the texts themselves, and a task gives back a spanning forest of its
-   links only. Components by min-label propagation with pointer jumping, checkpointed every round.
+   links only. Components by folding nodes into their least neighbours, checkpointed every round.
 
 Defined results: null and empty texts have no runs and are alike only as exact copies of one another (null
 counts as empty); a class takes its least doc_id, null if it has none; equal rows repeat. Empty tables
@@ -264,19 +264,27 @@ def _links(table: pa.Table, idf: np.ndarray) -> pa.RecordBatch:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: the least node of each component of the graph with edges (a, b)."""
-    both = edges.select(F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba", "aa", "bb")])).alias("e")).select("e.*")
-    both = K.checkpointed(both.distinct())  # with each node beside itself
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
-    while True:
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("old"))
-        # all that share a label take the least that any of them heard, and then what that label has taken
-        taken = heard.groupBy("old").agg(F.min("heard").alias("new"))
-        jump = taken.select(F.col("old").alias("new"), F.col("new").alias("root"))
-        new = K.checkpointed(heard.select("node", "old").join(taken, "old").join(jump, "new", "left").select("node", "old", F.least("new", F.coalesce("root", "new")).alias("label")))
-        labels = new.select("node", "label")
-        if not new.where("old <> label").head(1):
-            return labels
+    """node, label: the least node of each component of the graph with edges (a, b). Nodes without an edge to another are left out.
+
+    Each round folds every node into the first of its neighbours and itself, in an order by hash, and that into the
+    first of its own; edges within a folded node go. Nodes and edges shrink by a factor from round to round, also in
+    long chains, so all rounds together cost a few times the first.
+    """
+    ends = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    order = lambda x: F.struct(F.xxhash64(x).alias("h"), F.col(x).alias("x"))
+    edges, folds = K.checkpointed(ends(edges)), []
+    while not folds or not edges.isEmpty():
+        near = edges.select("a", "b").union(edges.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min(order("b")).alias("first"))
+        near = K.checkpointed(near.select("node", F.least("first", order("node"))["x"].alias("to")))
+        fold = K.checkpointed(near.join(near.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to")))
+        folds.append(fold)
+        of = lambda side: fold.select(F.col("node").alias(side), F.col("to").alias(f"to_{side}"))
+        edges = K.checkpointed(ends(edges.join(of("a"), "a").join(of("b"), "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))))
+    root = folds[0].withColumnRenamed("to", "root")
+    for fold in folds[1:]:
+        root = root.join(fold.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    root = K.checkpointed(root)
+    return K.checkpointed(root.join(root.groupBy("root").agg(F.min("node").alias("label")), "root").select("node", "label"))
 
 
 def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -342,7 +350,7 @@ def _gathered(members: DataFrame) -> DataFrame:
     apart = within.groupBy("family").agg(F.sum(F.col("n").cast("double")).alias("comparisons"))  # each text of a bucket with n texts
     together = whole.join(apart, "family").select("family", (square("texts") <= F.col("comparisons")).alias("together"))
     key = F.when(F.col("together"), F.xxhash64("family", F.lit(0))).otherwise(F.xxhash64("bucket", F.lit(1)))
-    return K.checkpointed(within.join(together, "family").select(key.alias("set"), "node", "label").distinct())
+    return K.checkpointed(members.join(family.join(together, "family"), "node").select(key.alias("set"), "node", "label").distinct())
 
 
 def _blocks(members: DataFrame) -> DataFrame:
