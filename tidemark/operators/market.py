@@ -19,7 +19,7 @@ def resolve_swap_pool(swaps: DataFrame, pools: DataFrame) -> DataFrame:
     exact = pools.select(F.col("pool_address").alias("_exact")).distinct()
     pair = pools.groupBy(F.least("token0", "token1").alias("_lo"), F.greatest("token0", "token1").alias("_hi")).agg(F.count("*").alias("_n"), F.min("pool_address").alias("_by_pair")).where("_n = 1").drop("_n")
     lo, hi = F.least("token0_address", "token1_address"), F.greatest("token0_address", "token1_address")
-    found = swaps.join(F.broadcast(exact), swaps.pool_address == F.col("_exact"), "left").join(F.broadcast(pair), (lo == F.col("_lo")) & (hi == F.col("_hi")), "left")
+    found = swaps.join(exact, swaps.pool_address == F.col("_exact"), "left").join(pair, (lo == F.col("_lo")) & (hi == F.col("_hi")), "left")
     return found.withColumn("pool", F.coalesce("_exact", "_by_pair")).drop("_exact", "_by_pair", "_lo", "_hi")
 
 
@@ -113,7 +113,7 @@ def liquidity_flow(liq: DataFrame, pools: DataFrame, keys: list[str], target: st
     event_count weighs the counts, never the amounts. An amount is null where actions exist but none is known.
     """
     side = pools.select("pool_address", F.col("token0").alias("_t0"))
-    rows = liq.join(F.broadcast(side), "pool_address").withColumn("bucket", S.bucket_ts(F.col("block_timestamp"), seconds))
+    rows = liq.join(side, "pool_address").withColumn("bucket", S.bucket_ts(F.col("block_timestamp"), seconds))
     known = S.liquidity_quantified(F.col("version"), F.col("token0_amount"), F.col("token1_amount"))
     amount = F.when(known, F.when(F.col("_t0") == target, F.col("token0_amount")).otherwise(F.col("token1_amount")))
     add, remove = F.col("event_type") == "LIQUIDITY_ADD", F.col("event_type") == "LIQUIDITY_REMOVE"
@@ -191,16 +191,16 @@ def series_summary(series: DataFrame) -> DataFrame:
     )
 
 
-def withdrawal_events(liq: DataFrame, tvl: DataFrame, pools: DataFrame, target: str = TARGET) -> DataFrame:
+def withdrawal_events(liq: DataFrame, tvl: DataFrame, pools: DataFrame, target: str = TARGET, extra: list[str] | None = None) -> DataFrame:
     """Each removal: its target amount, and its share of the pool's TVL as of its block."""
     from tidemark.operators.asof import asof_join
 
-    side = F.broadcast(pools.select("pool_address", F.col("token0").alias("_t0")))
+    side = pools.select("pool_address", F.col("token0").alias("_t0"))
     gone = liq.where("event_type = 'LIQUIDITY_REMOVE'").join(side, "pool_address")
     known = S.liquidity_quantified(F.col("version"), F.col("token0_amount"), F.col("token1_amount"))
     gone = gone.withColumns({"amount": F.when(known, F.when(F.col("_t0") == target, F.col("token0_amount")).otherwise(F.col("token1_amount"))), "status": F.when(known, "quantified").otherwise("liquidity_delta_only")})
     state = asof_join(gone, tvl.select("token_address", "pool_address", F.col("block_number").alias("_b"), "tvl_raw"), ["token_address", "pool_address"], "block_number", "_b", ["tvl_raw"])
-    return state.select("token_address", "pool_address", "block_number", "log_index", "actor", "event_count", "amount", "status", "tvl_raw", F.round(F.try_divide("amount", "tvl_raw"), 9).alias("share"))
+    return state.select("token_address", "pool_address", "block_number", "log_index", "actor", "event_count", "amount", "status", "tvl_raw", F.round(F.try_divide("amount", "tvl_raw"), 9).alias("share"), *(extra or []))
 
 
 def withdrawal_summary(events: DataFrame) -> DataFrame:
@@ -208,3 +208,13 @@ def withdrawal_summary(events: DataFrame) -> DataFrame:
     return events.groupingSets([["token_address", "pool_address"], ["token_address"]], "token_address", "pool_address").agg(
         F.sum("amount").alias("removed"), F.sum("event_count").alias("actions"), F.sum(F.when(F.col("status") == "quantified", F.col("event_count")).otherwise(0)).alias("quantified_actions"), F.max("share").alias("max_share")
     )
+
+
+def withdrawal_severity(events: DataFrame, concentration: DataFrame, incidents: DataFrame, large: int = 10**22) -> DataFrame:
+    """Per token, of removals up to the incident (all, where it is 0): their number, what they took of the token's TVL (at most 1), and whether any
+    moved more than `large` of token0."""
+    rows = events.join(incidents, "token_address").where((F.col("incident_block") == 0) | (F.col("block_number") <= F.col("incident_block")))
+    out = rows.groupBy("token_address").agg(F.sum("event_count").alias("removals"), F.sum("amount").alias("_removed"), F.coalesce(F.bool_or(F.abs("token0_amount") > large), F.lit(False)).alias("large_sells"))
+    out = out.join(concentration.select("token_address", "total_tvl"), "token_address", "left")
+    share = F.try_divide(F.coalesce(F.col("_removed").cast("double"), F.lit(0.0)), F.col("total_tvl").cast("double"))
+    return out.select("token_address", "removals", F.when(share > 1, 1.0).otherwise(F.coalesce(share, F.lit(0.0))).alias("severity"), "large_sells")

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 TOKEN = "token_address"
 
 
-def discover_pools(swaps: DataFrame, start: int, end: int) -> DataFrame:
-    """Venues that traded a token within the blocks, with trades, first and last block, most traded first."""
-    seen = swaps.where(F.col("block_number").between(start, end)).groupBy(TOKEN, "pool_address").agg(F.count("*").alias("trade_count"), F.min("block_number").alias("first_block"), F.max("block_number").alias("last_block"))
+def discover_pools(swaps: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Venues that traded a token, within the blocks if given, with trades, first and last block, most traded first."""
+    if start is not None:
+        swaps = swaps.where(F.col("block_number").between(start, end))
+    seen = swaps.groupBy(TOKEN, "pool_address").agg(F.count("*").alias("trade_count"), F.min("block_number").alias("first_block"), F.max("block_number").alias("last_block"))
     return seen.withColumn("rank", F.row_number().over(Window.partitionBy(TOKEN).orderBy(F.desc("trade_count"), "pool_address")))
 
 
@@ -39,7 +41,7 @@ def resolve_pool_first_match(rows: DataFrame, pools: DataFrame) -> DataFrame:
     first = pools.withColumn("_r", F.row_number().over(pair)).where("_r = 1").select(F.least("token0", "token1").alias("_lo"), F.greatest("token0", "token1").alias("_hi"), F.col("pool_address").alias("_first"))
     exact = pools.select(F.col("pool_address").alias("_exact"))
     lo, hi = F.least("token0_address", "token1_address"), F.greatest("token0_address", "token1_address")
-    out = rows.join(F.broadcast(exact), rows.pool_address == F.col("_exact"), "left").join(F.broadcast(first), (lo == F.col("_lo")) & (hi == F.col("_hi")), "left")
+    out = rows.join(exact, rows.pool_address == F.col("_exact"), "left").join(first, (lo == F.col("_lo")) & (hi == F.col("_hi")), "left")
     return out.withColumn("pool", F.coalesce("_exact", "_first")).drop("_exact", "_first", "_lo", "_hi")
 
 
@@ -95,6 +97,6 @@ def holdings(trajectory: DataFrame, pools: DataFrame, contracts: DataFrame) -> D
     """Trajectories with the kind of address and the net change. contracts: address."""
     known = pools.select(F.explode(F.array("pool_address", "custody_address")).alias("address")).distinct().withColumn("_p", F.lit(True))
     code = contracts.select("address").distinct().withColumn("_c", F.lit(True))
-    rows = trajectory.join(F.broadcast(known), "address", "left").join(code, "address", "left")
+    rows = trajectory.join(known, "address", "left").join(code, "address", "left")
     kind = F.when(F.col("_p"), "pool").when(F.col("_c"), "contract").otherwise("eoa")
     return rows.select(TOKEN, "address", kind.alias("address_type"), "start_balance", "end_balance", (F.col("end_balance") - F.col("start_balance")).alias("net_change"), "peak_balance", "moved_in", "moved_out", "source")

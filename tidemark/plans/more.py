@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import events, market, pools, research
-from tidemark.plans.queries import GRAPH, LQ, RS, TRAJ, TVL, _daily, _edges, _rs, _trajectory, _withdrawals, WD, query
+from tidemark.plans.queries import GRAPH, INC, LQ, RS, TRAJ, TVL, _daily, _edges, _incidents, _rs, _trajectory, _withdrawals, WD, query
 from tidemark.sources.adapters import ctes, view
 
 POOLS = ctes("pools", "swaps")
 
 
 @query("combine_route_events", ctes("swaps", "transfers", "liquidity_events") + """, a as (select token_address, block_number, event_type from swaps union all select token_address, block_number, event_type from transfers union all select token_address, block_number, event_type from liquidity_events)
-select token_address, case when event_type = 'SWAP' then 'swaps' when event_type like 'LIQUIDITY%' then 'liquidity_events' when event_type = 'TOKEN_TRANSFER' then 'transfers' else 'position_events' end as table_name, count(*) as n, min(block_number) as first_block, max(block_number) as last_block from a where block_number between 1000 and 9000 group by 1, 2""")
+select token_address, case when event_type = 'SWAP' then 'swaps' when event_type like 'LIQUIDITY%' then 'liquidity_events' when event_type = 'TOKEN_TRANSFER' then 'transfers' else 'position_events' end as table_name, count(*) as n, min(block_number) as first_block, max(block_number) as last_block from a group by 1, 2""")
 def combine_route_events(spark, d):
     rows = events.combine_events(view(spark, d, "swaps"), view(spark, d, "transfers"), view(spark, d, "liquidity_events"))
-    routed = events.route_events(events.block_window(rows, 1000, 9000))
+    routed = events.route_events(rows)
     return routed.groupBy("token_address", "table_name").agg(F.count("*").alias("n"), F.min("block_number").alias("first_block"), F.max("block_number").alias("last_block"))
 
 
@@ -24,9 +24,9 @@ def attach_block_time(spark, d):
     return events.attach_block_time(view(spark, d, "transfers"), view(spark, d, "ev")).select("token_address", "block_number", "log_index", "block_timestamp")
 
 
-@query("discover_pools", ctes("swaps") + "select token_address, pool_address, count(*) as trade_count, min(block_number) as first_block, max(block_number) as last_block, cast(row_number() over (partition by token_address order by count(*) desc, pool_address) as int) as rank from swaps where block_number between 1000 and 9000 group by 1, 2")
+@query("discover_pools", ctes("swaps") + "select token_address, pool_address, count(*) as trade_count, min(block_number) as first_block, max(block_number) as last_block, cast(row_number() over (partition by token_address order by count(*) desc, pool_address) as int) as rank from swaps group by 1, 2")
 def discover_pools(spark, d):
-    return pools.discover_pools(view(spark, d, "swaps"), 1000, 9000)
+    return pools.discover_pools(view(spark, d, "swaps"))
 
 
 @query("swap_pool_first_match", POOLS + """, f as (select least(token0, token1) lo, greatest(token0, token1) hi, arg_min(pool_address, ordinal) as p from pools group by 1, 2), m as (select s.token_address, coalesce(x.pool_address, f.p) as pool
@@ -92,9 +92,9 @@ def market_extremes(spark, d):
     return view(spark, d, "swaps").where(F.abs("token0_amount") > 40_000).select("token_address", "block_number", "log_index", "pool_address", "token0_amount")
 
 
-@query("crash_window", ctes("liquidity_events") + "select token_address, block_number, log_index, event_type from liquidity_events where block_number between 4900 and 5050")
+@query("crash_window", ctes("liquidity_events") + f", {INC} select token_address, block_number, log_index, event_type from liquidity_events join inc using (token_address) where block_number between incident_block - 100 and incident_block + 50")
 def crash_window(spark, d):
-    return research.crash_window(view(spark, d, "liquidity_events"), 5000).select("token_address", "block_number", "log_index", "event_type")
+    return research.crash_window(view(spark, d, "liquidity_events"), _incidents(spark, d)).select("token_address", "block_number", "log_index", "event_type")
 
 
 @query("cluster_transfers", ctes("transfers", "swaps") + "select token_address, block_number, log_index, from_address, to_address, amount_raw from transfers where from_address in (select actor from swaps where token0_amount > 20000) and to_address in (select actor from swaps where token0_amount > 20000)")
@@ -110,3 +110,10 @@ def percentile_rank(spark, d):
     from pyspark.sql import Window
 
     return _daily(spark, d).where("volume is not null").select("token_address", "bucket", F.round(100 * F.cume_dist().over(Window.partitionBy("token_address").orderBy("volume")), 6).alias("pct"))
+
+
+@query("block_window", ctes("transfers", "liquidity_events") + f", {INC} select t.token_address, t.block_number, t.log_index from transfers t join inc using (token_address) where t.block_number <= incident_block")
+def block_window(spark, d):
+    """Transfers up to the token's incident: the window's end is each token's own."""
+    rows = view(spark, d, "transfers").join(_incidents(spark, d), "token_address").where("block_number <= incident_block")
+    return rows.select("token_address", "block_number", "log_index")

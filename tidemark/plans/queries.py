@@ -14,7 +14,6 @@ from tidemark.sources.adapters import ctes, view
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-INCIDENT = 5000
 
 
 def query(name: str, sql: str | None = None):
@@ -302,65 +301,7 @@ def portfolios(spark, d):
 
 # wallets, flows, graph
 
-WAL = RS + """, st0 as (select token_address, actor, count(*) as swap_count, cast(sum(case when target_delta_signed < 0 then 0 else coalesce(amount_usd_e4, 0) end) as bigint) as bought_e4, cast(sum(case when target_delta_signed < 0 then coalesce(amount_usd_e4, 0) else 0 end) as bigint) as sold_e4,
- max(coalesce(amount_usd_e4, 0)) as max_single_e4, cast(sum(amount) as bigint) as tokens from rs group by 1, 2), st as (select *, bought_e4 - sold_e4 as net_e4, bought_e4 + sold_e4 as total_e4 from st0)
-"""
-
-
-def _percentile(column: str, name: str) -> str:
-    return f"""{name}0 as (select token_address, {column} as v, row_number() over (partition by token_address order by {column}) - 1 as i, count(*) over (partition by token_address) as n from st),
-{name}1 as (select *, greatest(0.0::double, least(0.99::double * (n + 1) - 1, (n - 1)::double)) as pos from {name}0),
-{name} as (select token_address, min(v) + (max(v) - min(v)) * max(pos - floor(pos)) as value from {name}1 where i = floor(pos) or i = floor(pos) + 1 group by 1)"""
-
-
-FLAGS = WAL + ", " + _percentile("max_single_e4", "qa") + ", " + _percentile("abs(net_e4)", "qb") + ", " + _percentile("swap_count", "qc") + """,
-fl as (select st.*, max_single_e4 >= qa.value as large_trade, abs(net_e4) >= qb.value as large_mover, swap_count >= ceil(qc.value) as high_activity,
- (max_single_e4 >= qa.value)::int + (abs(net_e4) >= qb.value)::int + (swap_count >= ceil(qc.value))::int as n_flags, (max_single_e4 >= qa.value)::int + (abs(net_e4) >= qb.value)::int + (swap_count >= ceil(qc.value))::int > 0 as notable
- from st join qa using (token_address) join qb using (token_address) join qc using (token_address))
-"""
-
-
-@query("wallet_stats", WAL + "select * from st")
-def wallet_stats(spark, d):
-    return wallets.wallet_stats(_rs(spark, d))
-
-
-@query("exclusive_percentile", WAL + ", " + _percentile("total_e4", "q") + " select token_address, value from q")
-def exclusive_percentile(spark, d):
-    return wallets.exclusive_percentile(wallets.wallet_stats(_rs(spark, d)), "total_e4")
-
-
-@query("wallet_flags", FLAGS + "select * from fl")
-def wallet_flags(spark, d):
-    return wallets.wallet_flags(wallets.wallet_stats(_rs(spark, d)))
-
-
-@query("wallet_ranking", FLAGS + """, r as (select *, cast(row_number() over (partition by token_address order by n_flags desc, abs(net_e4) desc, total_e4 desc, actor) as int) as rank,
- row_number() over (partition by token_address, notable order by n_flags desc, abs(net_e4) desc, total_e4 desc, actor) as r from fl) select * exclude (r) from r where notable or r <= 200""")
-def wallet_ranking(spark, d):
-    return wallets.wallet_ranking(wallets.wallet_flags(wallets.wallet_stats(_rs(spark, d))))
-
-
-@query("tx_flows", ctes("swaps", "transfers") + """, s as (select token_address, transaction_hash, count(*) as swap_count, cast(sum(target_delta_signed) as bigint) as swap_delta from swaps group by 1, 2), t as (select token_address, transaction_hash, count(*) as transfer_count, cast(sum(amount_raw) as bigint) as transfer_amount from transfers group by 1, 2)
-select token_address, transaction_hash, coalesce(swap_count, 0) as swap_count, coalesce(swap_delta, 0) as swap_delta, coalesce(transfer_count, 0) as transfer_count, coalesce(transfer_amount, 0) as transfer_amount, coalesce(transfer_amount, 0) - coalesce(swap_delta, 0) as gap from s full join t using (token_address, transaction_hash)""")
-def tx_flows(spark, d):
-    return wallets.tx_flows(view(spark, d, "swaps"), view(spark, d, "transfers"))
-
-
-SEND = ctes("swaps") + ", sf as (select token_address, actor, cast(sum(greatest(target_delta_signed, 0)) as bigint) as sell, cast(sum(greatest(-target_delta_signed, 0)) as bigint) as buy, cast(sum(target_delta_signed) as bigint) as net, count(distinct transaction_hash) as n_tx from swaps group by 1, 2)\n"
-
-
-@query("sender_flows", SEND + "select * from sf")
-def sender_flows(spark, d):
-    return wallets.sender_flows(view(spark, d, "swaps"))
-
-
-@query("flow_reconciliation", SEND + ", k as (select *, row_number() over (partition by token_address order by sell desc, actor) as r from sf) select token_address, cast(sum(sell) as bigint) as sell, cast(sum(buy) as bigint) as buy, cast(sum(net) as bigint) as net, count(*) as senders, round(sum(sell) filter (r <= 5) / sum(sell), 9) as top_share from k group by 1")
-def flow_reconciliation(spark, d):
-    return wallets.flow_reconciliation(wallets.sender_flows(view(spark, d, "swaps")))
-
-
-TR = ctes("transfers", "gas_payers")
+TR = ctes("transfers", "gas_payers", "contract_owners")
 GRAPH = TR + """, pr as (select *, least(from_address, to_address) as a, greatest(from_address, to_address) as b from transfers where from_address <> to_address),
 rc0 as (select token_address, a, b, coalesce(sum(amount_raw) filter (from_address = a), 0) as s1, count(*) filter (from_address = a) as n1, coalesce(sum(amount_raw) filter (from_address <> a), 0) as s2, count(*) filter (from_address <> a) as n2 from pr group by 1, 2, 3),
 rc as (select token_address, a, b, n1, n2 from rc0 where n1 > 0 and n2 > 0 and abs(s1 * n2 - s2 * n1) * 100 <= greatest(s1 * n2, s2 * n1) * 25),
@@ -369,14 +310,29 @@ rp as (select distinct token_address, least(from_address, to_address) as a, grea
 ct as (select token_address, a, b, count(distinct transaction_hash) as n_tx from pr group by 1, 2, 3 having count(distinct transaction_hash) >= 3),
 sd as (select distinct token_address, transaction_hash, unnest([from_address, to_address]) as address from transfers),
 gp as (select distinct s.token_address, least(g.gas_payer, s.address) as a, greatest(g.gas_payer, s.address) as b from sd s join gas_payers g using (transaction_hash) where g.gas_payer <> s.address and exists (select 1 from sd c where c.token_address = s.token_address and c.address = g.gas_payer)),
-ed0 as (select token_address, a, b, sum(w) as w, string_agg(sig, ',' order by sig) as signals from (select token_address, a, b, 'reciprocal' as sig, 45 as w from rc union all select token_address, a, b, 'repeated', 30 from rp union all select token_address, a, b, 'gas_payer', 20 from gp) group by 1, 2, 3),
-ed as (select ed0.token_address, ed0.a, ed0.b, signals, cast(least(99, w + case when ct.n_tx is not null then 5 else 0 end) as bigint) as score_pct from ed0 left join ct using (token_address, a, b))
+cd as (select distinct token_address, address from sd),
+ow0 as (select cd.token_address, cd.address, o.owner from cd join contract_owners o on cd.address = o.contract),
+ow as (select distinct token_address, least(x, y) as a, greatest(x, y) as b from (select token_address, address as x, owner as y from ow0 where owner <> address and exists (select 1 from cd where cd.token_address = ow0.token_address and cd.address = ow0.owner)
+ union all select token_address, address, first from (select *, min(address) over (partition by token_address, owner) as first from ow0) where address <> first)),
+sg as (select token_address, a, b, 'reciprocal' as sig, 30 as w from rc union all select token_address, a, b, 'repeated', 15 from rp union all select token_address, a, b, 'gas_payer', 20 from gp union all select token_address, a, b, 'owner', 45 from ow),
+ed0 as (select token_address, a, b, sum(w) as w, string_agg(sig, ',' order by sig) as signals from sg group by 1, 2, 3),
+ed as (select ed0.token_address, ed0.a, ed0.b, signals, ct.n_tx is not null as supported, cast(least(99, w + case when ct.n_tx is not null then 5 else 0 end) as bigint) as score_pct from ed0 left join ct using (token_address, a, b))
 """
 
 
 def _edges(spark, d):
     t, p = view(spark, d, "transfers"), view(spark, d, "gas_payers")
-    return wallets.edge_confidence(wallets.reciprocal_edges(t), wallets.repeated_edges(t), wallets.gas_payer_edges(t, p), wallets.cotx_support(t))
+    return wallets.edge_confidence(_owner_edges(spark, d), wallets.reciprocal_edges(t), wallets.repeated_edges(t), wallets.gas_payer_edges(t, p), wallets.cotx_support(t))
+
+
+def _owner_edges(spark, d):
+    candidates = view(spark, d, "transfers").select("token_address", F.explode(F.array("from_address", "to_address")).alias("address")).distinct()
+    return wallets.owner_edges(candidates, view(spark, d, "contract_owners"))
+
+
+@query("owner_edges", GRAPH + "select * from ow")
+def owner_edges(spark, d):
+    return _owner_edges(spark, d)
 
 
 @query("fund_flow_edges", TR + "select token_address, from_address, to_address, cast(sum(amount_raw) as bigint) as amount, count(*) as transfer_count, count(distinct transaction_hash) as tx_count, min(block_number) as first_block, max(block_number) as last_block from transfers group by 1, 2, 3")
@@ -416,17 +372,22 @@ def label_transfer_frequency(spark, d):
     return wallets.label_transfer_frequency(view(spark, d, "transfers"))
 
 
-# timeline, risk, correlation
+# timeline and correlation
+
+INC = "inc as (select token_address, arg_max(block_number, row(abs(liquidity_delta), -block_number)) as incident_block from liquidity_events where event_type = 'LIQUIDITY_REMOVE' group by 1)"
 
-RISK = ctes("pools", "swaps", "liquidity_events", "tvl_points") + WD[WD.index(", t as") :]
 
+def _incidents(spark, d):
+    return research.incidents(view(spark, d, "liquidity_events"))
 
-@query("incident_timeline", ctes("liquidity_events") + f"select token_address, case when block_number < {INCIDENT} then 'pre' else 'post' end as phase, count(*) as events, min(block_number) as first_block, max(block_number) as last_block, min(block_timestamp) as first_time, max(block_timestamp) as last_time from liquidity_events group by 1, 2")
+
+@query("incident_timeline", ctes("liquidity_events") + f""", {INC} select token_address, case when block_number < incident_block then 'pre' else 'post' end as phase, count(*) as events,
+ min(block_number) as first_block, max(block_number) as last_block, min(block_timestamp) as first_time, max(block_timestamp) as last_time from liquidity_events join inc using (token_address) group by 1, 2""")
 def incident_timeline(spark, d):
-    return research.incident_timeline(view(spark, d, "liquidity_events"), INCIDENT)
+    return research.incident_timeline(view(spark, d, "liquidity_events"), _incidents(spark, d))
 
 
-MIG = ", mg as (select r.token_address, r.actor, r.block_number as remove_block, a.block_number as add_block, r.pool_address as from_pool, a.pool_address as to_pool, r.pool_address = a.pool_address as same_pool from liquidity_events r join liquidity_events a on r.token_address = a.token_address and r.actor = a.actor and a.block_number between r.block_number and r.block_number + 5 where r.event_type = 'LIQUIDITY_REMOVE' and a.event_type = 'LIQUIDITY_ADD')\n"
+MIG = ", mg as (select distinct r.token_address, r.actor, r.block_number as remove_block, a.block_number as add_block, r.pool_address as from_pool, a.pool_address as to_pool, r.pool_address = a.pool_address as same_pool from liquidity_events r join liquidity_events a on r.token_address = a.token_address and r.actor = a.actor and a.block_number between r.block_number and r.block_number + 5 where r.event_type = 'LIQUIDITY_REMOVE' and a.event_type = 'LIQUIDITY_ADD')\n"
 
 
 @query("liquidity_migration", ctes("liquidity_events") + MIG + "select * from mg")
@@ -439,34 +400,6 @@ def alternative_causes(spark, d):
     return research.alternative_causes(view(spark, d, "transfers"))
 
 
-IMP = f", im0 as (select token_address, cast(sum(tvl_raw) filter (block_number <= {INCIDENT}) as double) / count(*) filter (block_number <= {INCIDENT}) as b, cast(sum(tvl_raw) filter (block_number > {INCIDENT}) as double) / count(*) filter (block_number > {INCIDENT}) as a from tvl_points group by 1), im as (select token_address, round(b, 6) as before, round(a, 6) as after, round(least(1.0::double, (b - a) / b), 9) as score from im0)\n"
-
-
-@query("market_impact", ctes("tvl_points") + IMP + "select * from im")
-def market_impact(spark, d):
-    return research.market_impact(view(spark, d, "tvl_points"), INCIDENT)
-
-
-PROX = f", px0 as (select token_address, ({INCIDENT} - max(block_number)) * 12 as seconds from liquidity_events where event_type = 'LIQUIDITY_REMOVE' and block_number <= {INCIDENT} group by 1), pxm as (select token_address, seconds, cast(case when seconds <= 300 then 1.0 when seconds <= 3600 then 0.8 when seconds <= 21600 then 0.5 when seconds <= 86400 then 0.3 else 0.1 end as double) as score from px0)\n"
-
-
-@query("temporal_proximity", ctes("liquidity_events") + PROX + "select * from pxm")
-def temporal_proximity(spark, d):
-    return research.temporal_proximity(view(spark, d, "liquidity_events"), INCIDENT)
-
-
-@query("risk_score", RISK + MIG + IMP + PROX + """, l as (select token_address, pool_address, arg_max(tvl_raw, row(block_number, log_index)) as tvl_raw from tvl_points group by 1, 2), cn as (select token_address, round(max(tvl_raw) / sum(tvl_raw), 9) as f from l group by 1),
-wm as (select token_address, least(1.0::double, coalesce(max(share), 0)) as f from w group by 1),
-rk as (select cn.token_address, round(0.15::double * cn.f + 0.25::double * coalesce(pxm.score, 0) + 0.35::double * coalesce(im.score, 0) + 0.25::double * coalesce(wm.f, 0), 6) as raw_score, cn.token_address in (select token_address from mg) as migrated from cn left join pxm using (token_address) left join im using (token_address) left join wm using (token_address)),
-fs as (select *, round(greatest(0.0::double, least(1.0::double, raw_score - case when migrated then 0.3::double else 0.0::double end)), 6) as final_score from rk)
-select *, case when final_score >= 0.7 then 'high' when final_score >= 0.4 then 'medium' else 'low' end as risk_level from fs""")
-def risk_score(spark, d):
-    liq, tvl = view(spark, d, "liquidity_events"), view(spark, d, "tvl_points")
-    return research.risk_score(
-        research.temporal_proximity(liq, INCIDENT), research.market_impact(tvl, INCIDENT), market.pool_concentration(tvl), market.withdrawal_summary(_withdrawals(spark, d)), research.liquidity_migration(liq)
-    )
-
-
 PAIR = RS + ", dv as (select token_address, bucket, cast(sum(amount) as bigint) as volume, count(*) as n_swaps from rs group by 1, 2)\n"
 
 
@@ -495,17 +428,3 @@ def lead_lag(spark, d):
 @query("contiguous_buckets", PAIR + ", g as (select token_address, bucket - lag(bucket) over (partition by token_address order by bucket) as g from dv) select token_address, coalesce(bool_and(g = 3600), true) as ok, count(*) as n from g group by 1")
 def contiguous_buckets(spark, d):
     return research.contiguous(_daily(spark, d), "bucket", ["token_address"], 3600)
-
-
-@query("wallet_movers", ctes("pools", "swaps", "balance_ledger") + WAL[WAL.index(", pairs as") :] + TRAJ[TRAJ.index(", o as") :] + """, m as (select coalesce(st.token_address, tr.token_address) as token_address, coalesce(st.actor, tr.address) as actor, net_e4, swap_count, tr.end_balance - tr.start_balance as held_change from st full join tr on st.token_address = tr.token_address and st.actor = tr.address)
-select *, cast(row_number() over (partition by token_address order by abs(coalesce(net_e4, 0)) desc, abs(coalesce(held_change, 0)) desc, actor) as int) as rank from m qualify rank <= 20""")
-def wallet_movers(spark, d):
-    return wallets.wallet_movers(wallets.wallet_stats(_rs(spark, d)), _trajectory(spark, d))
-
-
-@query("wallet_clusters")
-def wallet_clusters(spark, d):
-    """Components of the wallet graph; no SQL form, tested against union-find."""
-    from tidemark.sources.tables import checkpointed
-
-    return wallets.wallet_clusters(_edges(spark, d).where("score_pct >= 40"), checkpointed)

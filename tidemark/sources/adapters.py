@@ -52,8 +52,18 @@ VIEWS = {
  -60 * (1 + l_orderkey % 50) as tick_lower, 60 * (1 + l_orderkey % 40) as tick_upper,
  cast(case l_returnflag when 'R' then -l_quantity else l_quantity end as bigint) as liquidity_delta, 'u' || cast(l_suppkey as {STR}) as owner from lineitem""",
 }
-USES = {"swaps": ["ev"], "liquidity_events": ["ev"], "transfers": ["ev"], "gas_payers": ["ev"], "tvl_points": ["ev"]}
-TABLES = {"ev": "events", "balance_ledger": "orders", "holder_intervals": "orders", "lp_nft": "lineitem"}
+#: Swaps and removals with raw amounts as base-10 strings by each token's decimals; facts about addresses.
+VIEWS |= {
+    "raw_swaps": """select token_address, block_number, log_index, block_timestamp, transaction_hash, pool_address, actor, token0_address, token1_address,
+ cast(token0_amount as {STR}) || case when token0_address in ('USDC','USDT') then '0000' else '0000000000000000' end as token0_raw,
+ cast(token1_amount as {STR}) || case when token1_address in ('USDC','USDT') then '0000' else '0000000000000000' end as token1_raw,
+ cast(amount_usd_e4 as double) / 10000 as amount_usd, target_delta_signed from swaps""",
+    "contract_owners": """select distinct 'u' || cast(c_custkey % 150 as {STR}) as contract, 'u' || cast(c_custkey % 150 % 40 as {STR}) as owner from customer where c_custkey % 150 % 4 = 0""",
+    "creations": """select distinct 'T' || cast(c_custkey % 3 as {STR}) as contract, 'u' || cast(c_custkey % 150 as {STR}) as creator, c_custkey as block_number from customer""",
+    "fee_tiers": "select * from (values (100, 1), (500, 10), (3000, 60), (10000, 200)) v(fee, tick_spacing)",
+}
+USES = {"swaps": ["ev"], "liquidity_events": ["ev"], "transfers": ["ev"], "gas_payers": ["ev"], "tvl_points": ["ev"], "raw_swaps": ["ev", "swaps"]}
+TABLES = {"ev": "events", "balance_ledger": "orders", "holder_intervals": "orders", "lp_nft": "lineitem", "contract_owners": "customer", "creations": "customer"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
