@@ -291,6 +291,10 @@ def test_probabilities_sum_to_one_and_gradients_hold(model):
     p = {k: v.astype(np.float64) for k, v in model.weights.items()}
     before, target = rng.integers(0, lm.GROUPS + 1, (3, lm.CONTEXT)), rng.integers(0, lm.CLASSES, (3, lm.CONTEXT))
     after = model.after.astype(np.float64)
+    scorer, t = lm.Scorer({k: v.astype(np.float32) for k, v in p.items()}, after.astype(np.float32)), target.reshape(3, -1)
+    exact = lm.log_softmax_at(lm.forward(p, before, after)[-1], target.ravel()).reshape(3, -1)
+    for skip in (0, 5):
+        assert np.allclose(scorer(before, t[:, skip:], skip), exact[:, skip:], atol=1e-4)
     loss = lambda: -lm.log_softmax_at(lm.forward(p, before, after)[-1], target.ravel()).mean()
     g = lm.gradient(p, before, target, after)
     for name in p:
