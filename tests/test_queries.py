@@ -3,7 +3,7 @@
 import pytest
 from conftest import SF, same_rows
 
-from tidemark.plans import more  # noqa: F401
+from tidemark.plans import flows, logs, more, panels  # noqa: F401
 from tidemark.plans import queries as Q
 
 
@@ -13,7 +13,7 @@ def test_same_rows(spark, duck, name):
 
 
 def test_clusters_are_components(spark):
-    edges = Q._edges(spark, SF).where("score_pct >= 40").collect()
+    edges = Q._edges(spark, SF).collect()
     parent = {}
 
     def root(x):

@@ -137,11 +137,11 @@ def clamped_liquidity(liq: DataFrame) -> DataFrame:
     return run.select("token_address", "pool_address", *ORDER, (F.col("_s") - low).alias("liquidity"))
 
 
-def bucket_spine(active: DataFrame, pools: DataFrame, seconds: int = 3600) -> DataFrame:
-    """Every bucket between a token's first and last, for every pool. active: token_address, bucket."""
+def bucket_spine(active: DataFrame, seconds: int = 3600) -> DataFrame:
+    """Every bucket between a token's first and last, for every pool of it that was seen. active: token_address, pool_address, bucket."""
     bounds = active.groupBy("token_address").agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
     dense = bounds.select("token_address", F.explode(F.sequence("lo", "hi", F.lit(seconds).cast("long"))).alias("bucket"))
-    return dense.crossJoin(F.broadcast(pools.select("pool_address").distinct()))  # pools: a dimension of known size
+    return dense.join(active.select("token_address", "pool_address").distinct(), "token_address")
 
 
 def tvl_state(resampled: DataFrame, spine: DataFrame) -> DataFrame:
@@ -152,45 +152,6 @@ def tvl_state(resampled: DataFrame, spine: DataFrame) -> DataFrame:
     return rows.withColumn("s", F.last(F.when(F.col("tvl_raw").isNotNull(), seen), ignorenulls=True).over(w)).select("token_address", "pool_address", "bucket", "s.tvl_raw", "s.state_bucket")
 
 
-def analysis_series(swaps: DataFrame, liq: DataFrame, tvl: DataFrame, pools: DataFrame, seconds: int = 3600) -> DataFrame:
-    """Research panel: token, pool, bucket with prices (carried, with staleness), volumes, LP flow, TVL state and derived rates.
-
-    Prices carry over, VWAP never does. Returns compare with the previous row of the pool.
-    """
-    rs = resolved_swaps(swaps, pools)
-    prices = ohlc_vwap(rs.where("pool is not null"), ["token_address", "pool"], seconds).withColumnRenamed("pool", "pool_address").withColumnRenamed("volume", "priced_volume")
-    volume = swap_volume(rs, seconds).withColumnRenamed("pool", "pool_address")
-    traders = rs.where("pool is not null").groupBy("token_address", F.col("pool").alias("pool_address"), S.bucket_ts(F.col("block_timestamp"), seconds).alias("bucket")).agg(F.count_distinct("actor").alias("active_traders"))
-    flow = liquidity_flow(liq, pools, ["token_address", "pool_address"], seconds=seconds)
-    resampled = resample_tvl(tvl, seconds)
-    keys = ["token_address", "pool_address", "bucket"]
-    active = prices.select(*keys).union(volume.select(*keys)).union(flow.select(*keys)).union(resampled.select(*keys)).select("token_address", "bucket")
-    spine = bucket_spine(active, pools, seconds)
-    rows = tvl_state(resampled, spine).join(prices, keys, "left").join(volume, keys, "left").join(traders, keys, "left").join(flow, keys, "left")
-    rows = rows.where("tvl_raw is not null or swap_count is not null or add_actions is not null")
-    w = Window.partitionBy("token_address", "pool_address").orderBy("bucket")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_c", F.last(F.when(F.col("close_e6").isNotNull(), F.struct("close_e6", "price_unit", "last_trade")), ignorenulls=True).over(upto))
-    rows = rows.withColumns({"price_e6": F.col("_c.close_e6"), "unit": F.col("_c.price_unit"), "carried": F.col("close_e6").isNull() & F.col("_c").isNotNull(), "staleness": F.col("bucket") + seconds - F.col("_c.last_trade")})
-    before = F.lag(F.struct("price_e6", "unit", "tvl_raw")).over(w)
-    rows = rows.withColumn("_b", before)
-    rate = lambda now, then: F.round(F.ln(F.try_divide(now, then)), 9)
-    return rows.select(
-        *keys, "open_e6", "high_e6", "low_e6", "close_e6", "vwap", "price_e6", F.col("unit").alias("price_unit"), "carried", "staleness", "volume", "volume_usd_e4", "swap_count", "active_traders",
-        "added", "removed", "net", "add_actions", "remove_actions", "known_actions", "missing_actions", "active_lp_count", "tvl_raw", "state_bucket",
-        F.when(F.col("unit") == F.col("_b.unit"), rate(F.col("price_e6"), F.col("_b.price_e6"))).alias("price_return"), rate(F.col("tvl_raw"), F.col("_b.tvl_raw")).alias("tvl_change"),
-        F.round(F.try_divide("net", "_b.tvl_raw"), 9).alias("net_lp_flow_ratio"), F.round(F.try_divide("removed", "_b.tvl_raw"), 9).alias("withdrawal_ratio"), F.round(F.try_divide("volume", "_b.tvl_raw"), 9).alias("volume_turnover"),
-    )
-
-
-def series_summary(series: DataFrame) -> DataFrame:
-    """Coverage of the panel, a row per token."""
-    return series.groupBy("token_address").agg(
-        F.count("*").alias("n_rows"), F.count("vwap").alias("vwap_rows"), F.count("tvl_raw").alias("tvl_rows"), F.count_if("carried").alias("carried_rows"),
-        F.sum("missing_actions").alias("unknown_actions"), F.max("staleness").alias("max_staleness"), F.count_distinct("bucket").alias("buckets"),
-    )
-
-
 def withdrawal_events(liq: DataFrame, tvl: DataFrame, pools: DataFrame, target: str = TARGET, extra: list[str] | None = None) -> DataFrame:
     """Each removal: its target amount, and its share of the pool's TVL as of its block."""
     from tidemark.operators.asof import asof_join

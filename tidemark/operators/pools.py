@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKEN = "token_address"
@@ -100,3 +100,81 @@ def holdings(trajectory: DataFrame, pools: DataFrame, contracts: DataFrame) -> D
     rows = trajectory.join(known, "address", "left").join(code, "address", "left")
     kind = F.when(F.col("_p"), "pool").when(F.col("_c"), "contract").otherwise("eoa")
     return rows.select(TOKEN, "address", kind.alias("address_type"), "start_balance", "end_balance", (F.col("end_balance") - F.col("start_balance")).alias("net_change"), "peak_balance", "moved_in", "moved_out", "source")
+
+
+def resolve_pool_strict(rows: DataFrame, pools: DataFrame) -> DataFrame:
+    """rows + pool, never guessed: the exact identifier; else the alias if it means one pool; else the pair if it means one; else
+    the one pool that bears both alias and pair; else null. rows: pool_address, token0_address, token1_address."""
+    pair = lambda a, b: F.concat_ws("/", F.least(a, b), F.greatest(a, b))
+    names = pools.select("pool_address", F.explode(F.array_distinct(F.array("pool_address", "custody_address"))).alias("_name"), pair("token0", "token1").alias("_pair"))
+    only = lambda key: names.groupBy(*key).agg(F.count_distinct("pool_address").alias("_n"), F.min("pool_address").alias("_p")).where("_n = 1").drop("_n")
+    exact = pools.select(F.col("pool_address").alias("_id"), F.col("pool_address").alias("_exact")).distinct()
+    out = rows.withColumns({"_id": F.col("pool_address"), "_name": F.col("pool_address"), "_pair": F.when(F.col("token0_address").isNotNull() & F.col("token1_address").isNotNull(), pair("token0_address", "token1_address"))})
+    out = out.join(exact, "_id", "left").join(only(["_name"]).withColumnRenamed("_p", "_alias"), "_name", "left")
+    out = out.join(only(["_pair"]).withColumnRenamed("_p", "_by_pair"), "_pair", "left").join(only(["_name", "_pair"]).withColumnRenamed("_p", "_both"), ["_name", "_pair"], "left")
+    return out.withColumn("pool", F.coalesce("_exact", "_alias", "_by_pair", "_both")).drop("_id", "_name", "_pair", "_exact", "_alias", "_by_pair", "_both")
+
+
+def discover_pools_v4(swaps: DataFrame, initialized: DataFrame, target: str) -> DataFrame:
+    """Pools of the manager that swapped and whose key has the target: identifier, currencies, fee and swaps."""
+    keys = initialized.where((F.col("token0") == target) | (F.col("token1") == target)).select("pool_address", "token0", "token1", "fee")
+    return swaps.groupBy(TOKEN, "pool_address").agg(F.count("*").alias("swaps")).join(keys, "pool_address").select(TOKEN, "pool_address", "token0", "token1", "fee", "swaps")
+
+
+def discover_pools_detail(swaps: DataFrame) -> DataFrame:
+    """Per venue: the tokens seen, distinct trades, blocks and USD volume. Volume is added up before sides are unfolded, so it is not doubled."""
+    by = [TOKEN, "pool_address"]
+    totals = swaps.groupBy(*by).agg(F.count_distinct("transaction_hash", "log_index").alias("trades"), F.min("block_number").alias("first_block"), F.max("block_number").alias("last_block"), F.sum(F.round("amount_usd", 4).cast("decimal(24,4)")).cast("double").alias("volume_usd"))
+    sides = swaps.select(*by, F.explode(F.array("token0_address", "token1_address")).alias("t")).distinct().groupBy(*by).agg(F.array_join(F.array_sort(F.collect_set("t")), ",").alias("tokens"))
+    return totals.join(sides, by)
+
+
+def map_project(project: Column, version: Column) -> Column:
+    """struct(adapter, version): curve pools of the second kind say so in version or name."""
+    name, v = F.lower(project), F.lower(F.coalesce(version, F.lit("")))
+    number = F.nullif(F.regexp_extract(F.concat_ws(" ", v, name), "v?([1-4])", 1), F.lit(""))
+    adapter = F.when(name.startswith("uniswap"), "uniswap").when(name.startswith("balancer"), "balancer").when(name.startswith("curve"), "curve")
+    crypto = v.contains("crypto") | v.contains("v2") | name.contains("crypto") | name.contains("v2")
+    v_out = F.when(adapter == "curve", F.when(crypto, "v2").otherwise("v1")).when(adapter == "balancer", "v2").otherwise(F.concat(F.lit("v"), F.coalesce(number, F.lit("2"))))
+    return F.struct(adapter.alias("adapter"), F.when(adapter.isNotNull(), v_out).alias("version"))
+
+
+def standard_tier_pools(target: str, quotes: DataFrame, tiers: DataFrame, initialized: DataFrame, seen: DataFrame) -> DataFrame:
+    """Initialized pools of the target with a known quote at a standard tier that were not found yet. quotes (a handful) by
+    tiers (four) are the candidate keys; initialized: pool_address, token0, token1, fee."""
+    keys = quotes.select("quote").crossJoin(F.broadcast(tiers.select("fee"))).select(F.least(F.lit(target), "quote").alias("_lo"), F.greatest(F.lit(target), "quote").alias("_hi"), "fee")
+    rows = initialized.withColumns({"_lo": F.least("token0", "token1"), "_hi": F.greatest("token0", "token1")})
+    return rows.join(keys, ["_lo", "_hi", "fee"], "left_semi").join(seen.select("pool_address"), "pool_address", "left_anti").drop("_lo", "_hi")
+
+
+def verify_creation_log(pools: DataFrame, creations: DataFrame) -> DataFrame:
+    """pools + created, creation_block. creations: contract, block_number."""
+    first = creations.groupBy(F.col("contract").alias("pool_address")).agg(F.min("block_number").alias("creation_block"))
+    return pools.join(first, "pool_address", "left").withColumn("created", F.col("creation_block").isNotNull())
+
+
+def resolve_custody(pools: DataFrame, managers: DataFrame) -> DataFrame:
+    """The address that holds a pool's tokens: its own, or the manager of its protocol and version. managers: protocol, version, manager."""
+    return pools.drop("custody_address").join(managers, ["protocol", "version"], "left").withColumn("custody_address", F.coalesce("manager", "pool_address")).drop("manager")
+
+
+def pool_identification(pools: DataFrame, balances: DataFrame) -> DataFrame:
+    """Pools with the balances of their custody address, and whether it is among the holders. balances: token_address, address, balance_raw."""
+    rows = pools.select("pool_address", "custody_address", "protocol", "version").join(balances.withColumnRenamed("address", "custody_address"), "custody_address", "left")
+    return rows.select(TOKEN, "pool_address", "protocol", "version", "balance_raw", F.col("balance_raw").isNotNull().alias("in_holders_list"))
+
+
+def observed_reserves(pools: DataFrame, by_pool: DataFrame, by_custody: DataFrame) -> DataFrame:
+    """A pool's reserve by its own row, else by its custody address; and whether it counts in totals: the first pool of each custody does.
+    by_pool: token_address, pool_address, reserve; by_custody: token_address, custody_address, reserve."""
+    tokens = by_pool.select(TOKEN).union(by_custody.select(TOKEN)).distinct()
+    grid = tokens.join(by_pool.select(TOKEN, "pool_address").union(by_custody.join(pools, "custody_address").select(TOKEN, "pool_address")).distinct(), TOKEN)
+    rows = grid.join(pools.select("pool_address", "custody_address", "ordinal"), "pool_address")
+    rows = rows.join(by_pool.withColumnRenamed("reserve", "_a"), [TOKEN, "pool_address"], "left").join(by_custody.withColumnRenamed("reserve", "_b"), [TOKEN, "custody_address"], "left")
+    first = F.row_number().over(Window.partitionBy(TOKEN, "custody_address").orderBy("ordinal")) == 1
+    return rows.select(TOKEN, "pool_address", "custody_address", F.coalesce("_a", "_b").alias("reserve"), F.when(F.col("_a").isNotNull(), "pool").otherwise("custody").alias("source"), first.alias("counts"))
+
+
+def address_display_labels(pools: DataFrame) -> DataFrame:
+    """pool_address, label: SYM0/SYM1 and version; symbols are the tokens' names here."""
+    return pools.select("pool_address", F.concat(F.col("token0"), F.lit("/"), F.col("token1"), F.lit(" "), F.col("version")).alias("label"))

@@ -117,12 +117,12 @@ def pool_concentration(spark, d):
 
 
 @query("tvl_state", TVL + """, b as (select token_address, min(bucket) lo, max(bucket) hi from r group by 1),
-s as (select token_address, unnest(range(lo, hi + 1, 3600)) as bucket from b), sp as (select s.*, p.pool_address from s, pools p),
+s as (select token_address, unnest(range(lo, hi + 1, 3600)) as bucket from b), sp as (select s.*, p.pool_address from s join (select distinct token_address, pool_address from r) p using (token_address)),
 j as (select sp.*, r.tvl_raw, case when r.tvl_raw is not null then sp.bucket end as sb from sp left join r using (token_address, pool_address, bucket))
 select token_address, pool_address, bucket, last_value(tvl_raw ignore nulls) over w as tvl_raw, last_value(sb ignore nulls) over w as state_bucket from j window w as (partition by token_address, pool_address order by bucket rows between unbounded preceding and current row)""")
 def tvl_state(spark, d):
     r = market.resample_tvl(view(spark, d, "tvl_points"))
-    return market.tvl_state(r, market.bucket_spine(r.select("token_address", "bucket"), view(spark, d, "pools")))
+    return market.tvl_state(r, market.bucket_spine(r))
 
 
 LQ = ctes("pools", "liquidity_events")
@@ -139,43 +139,6 @@ def clamped_liquidity(spark, d):
     return market.clamped_liquidity(view(spark, d, "liquidity_events"))
 
 
-SERIES = (
-    ctes("pools", "swaps", "liquidity_events", "tvl_points") + RS[RS.index(", pairs as") :] + OHLC.format(keys="token_address, pool", where="and pool is not null") + LIQ.format(keys="token_address, pool_address")
-    + """, r as (select token_address, block_timestamp // 3600 * 3600 as bucket, pool_address, arg_max(tvl_raw, row(block_number, log_index)) as tvl_raw from tvl_points group by 1, 2, 3),
-vol as (select token_address, pool as pool_address, bucket, cast(sum(amount) as bigint) as volume, cast(sum(amount_usd_e4) as bigint) as volume_usd_e4, count(*) as swap_count from rs where pool is not null and amount is not null group by 1, 2, 3),
-trd as (select token_address, pool as pool_address, bucket, count(distinct actor) as active_traders from rs where pool is not null group by 1, 2, 3),
-px as (select token_address, pool as pool_address, bucket, open_e6, high_e6, low_e6, close_e6, vwap, price_unit, last_trade from ohlc),
-act as (select token_address, bucket from px union all select token_address, bucket from vol union all select token_address, bucket from flow union all select token_address, bucket from r),
-bd as (select token_address, min(bucket) lo, max(bucket) hi from act group by 1), sp as (select b.token_address, p.pool_address, b.bucket from (select token_address, unnest(range(lo, hi + 1, 3600)) as bucket from bd) b, pools p),
-st as (select token_address, pool_address, bucket, last_value(r.tvl_raw ignore nulls) over w as tvl_raw, last_value(case when r.tvl_raw is not null then bucket end ignore nulls) over w as state_bucket
- from sp left join r using (token_address, pool_address, bucket) window w as (partition by token_address, pool_address order by bucket rows between unbounded preceding and current row)),
-j as (select st.*, open_e6, high_e6, low_e6, close_e6, vwap, px.price_unit, last_trade, volume, volume_usd_e4, swap_count, active_traders, added, removed, added - removed as net, add_actions, remove_actions, known_actions, missing_actions, active_lp_count
- from st left join px using (token_address, pool_address, bucket) left join vol using (token_address, pool_address, bucket) left join trd using (token_address, pool_address, bucket) left join flow using (token_address, pool_address, bucket)
- where tvl_raw is not null or swap_count is not null or add_actions is not null),
-c as (select * replace (last_value(price_unit ignore nulls) over w as price_unit), last_value(close_e6 ignore nulls) over w as price_e6, last_value(last_trade ignore nulls) over w as lt
- from j window w as (partition by token_address, pool_address order by bucket rows between unbounded preceding and current row)),
-z as (select *, lag(price_e6) over w as bp, lag(price_unit) over w as bu, lag(tvl_raw) over w as bt from c window w as (partition by token_address, pool_address order by bucket)),
-series as (select token_address, pool_address, bucket, open_e6, high_e6, low_e6, close_e6, vwap, price_e6, price_unit, close_e6 is null and price_e6 is not null as carried, bucket + 3600 - lt as staleness, volume, volume_usd_e4, swap_count, active_traders,
- added, removed, net, add_actions, remove_actions, known_actions, missing_actions, active_lp_count, tvl_raw, state_bucket,
- case when price_unit = bu then round(ln(price_e6 / bp), 9) end as price_return, round(ln(tvl_raw / bt), 9) as tvl_change, round(net / bt, 9) as net_lp_flow_ratio, round(removed / bt, 9) as withdrawal_ratio, round(volume / bt, 9) as volume_turnover from z)
-"""
-)
-
-
-def _series(spark, d):
-    return market.analysis_series(view(spark, d, "swaps"), view(spark, d, "liquidity_events"), view(spark, d, "tvl_points"), view(spark, d, "pools"))
-
-
-@query("analysis_series", SERIES + "select * from series")
-def analysis_series(spark, d):
-    return _series(spark, d)
-
-
-@query("series_summary", SERIES + "select token_address, count(*) as n_rows, count(vwap) as vwap_rows, count(tvl_raw) as tvl_rows, count(*) filter (carried) as carried_rows, cast(sum(missing_actions) as bigint) as unknown_actions, max(staleness) as max_staleness, count(distinct bucket) as buckets from series group by 1")
-def series_summary(spark, d):
-    return market.series_summary(_series(spark, d))
-
-
 WD = ctes("pools", "liquidity_events", "tvl_points") + """, t as (select token_address, pool_address, block_number, max(tvl_raw) as tvl_raw from tvl_points group by 1, 2, 3),
 w0 as (select l.*, case when not (l.version = 'v4' and l.token0_amount = 0 and l.token1_amount = 0) then case when p.token0 = 'TGT' then l.token0_amount else l.token1_amount end end as amount,
  case when not (l.version = 'v4' and l.token0_amount = 0 and l.token1_amount = 0) then 'quantified' else 'liquidity_delta_only' end as status from liquidity_events l join pools p using (pool_address) where event_type = 'LIQUIDITY_REMOVE'),

@@ -15,10 +15,10 @@ DUCKDB = {"UNIX": "cast(floor(epoch(ts)) as bigint)", "DIV": "//", "STR": "varch
 #: name -> (source table or views, text)
 VIEWS = {
     "pools": """select * from (values
- (0,'p0','p0','uniswap','v2','TGT','WETH',18,true), (1,'p1','p1','uniswap','v3','TGT','USDC',6,true),
- (2,'p2','p2','uniswap','v3','WETH','TGT',18,true), (3,'p3','p3','curve','v1','TGT','DAI',18,true),
- (4,'p4','manager','uniswap','v4','TGT','USDT',6,true), (5,'p5','manager','uniswap','v4','TGT','USDT',6,true)
-) v(ordinal,pool_address,custody_address,protocol,version,token0,token1,quote_decimals,verified)""",
+ (0,'p0','p0','uniswap','v2','TGT','WETH',18,true,3000), (1,'p1','p1','uniswap','v3','TGT','USDC',6,true,500),
+ (2,'p2','p2','uniswap','v3','WETH','TGT',18,true,3000), (3,'p3','p3','curve','v1','TGT','DAI',18,true,100),
+ (4,'p4','manager','uniswap','v4','TGT','USDT',6,true,500), (5,'p5','manager','uniswap','v4','TGT','USDT',6,true,3000)
+) v(ordinal,pool_address,custody_address,protocol,version,token0,token1,quote_decimals,verified,fee)""",
     "ev": """select event_id as block_number, cast(event_id % 3 as int) as log_index, {UNIX} as block_timestamp,
  'tx' || cast(event_id {DIV} 3 as {STR}) as transaction_hash, cast(regexp_extract(props,'([0-9]+)',1) as int) as k, user_id,
  'T' || cast(user_id % 3 as {STR}) as token_address, event_type as raw_type, cast(round(value*100) as bigint) as cents from events""",
@@ -60,9 +60,24 @@ VIEWS |= {
  cast(amount_usd_e4 as double) / 10000 as amount_usd, target_delta_signed from swaps""",
     "contract_owners": """select distinct 'u' || cast(c_custkey % 150 as {STR}) as contract, 'u' || cast(c_custkey % 150 % 40 as {STR}) as owner from customer where c_custkey % 150 % 4 = 0""",
     "creations": """select distinct 'T' || cast(c_custkey % 3 as {STR}) as contract, 'u' || cast(c_custkey % 150 as {STR}) as creator, c_custkey as block_number from customer""",
+    "raw_logs": """select token_address, block_number, log_index, block_timestamp, transaction_hash,
+ case k % 8 when 0 then 'v1' when 1 then 'v2' when 2 then 'v3_pool' when 3 then 'v3_position' when 4 then 'v4_pool' when 5 then 'curve' when 6 then 'balancer' else 'erc20' end as family,
+ case k % 8 when 0 then case raw_type when 'purchase' then 'EthPurchase' when 'click' then 'TokenPurchase' when 'signup' then 'AddLiquidity' else 'RemoveLiquidity' end
+  when 1 then case raw_type when 'signup' then 'Mint' when 'error' then 'Burn' when 'view' then 'Sync' else 'Swap' end
+  when 2 then case raw_type when 'signup' then 'Mint' when 'error' then 'Burn' when 'view' then 'Collect' else 'Swap' end
+  when 3 then case raw_type when 'signup' then 'IncreaseLiquidity' when 'error' then 'DecreaseLiquidity' when 'view' then 'Collect' else 'Transfer' end
+  when 4 then case when raw_type in ('signup', 'error') then 'ModifyLiquidity' else 'Swap' end
+  when 5 then case raw_type when 'signup' then 'AddLiquidity' when 'error' then 'RemoveLiquidityOne' when 'view' then 'RemoveLiquidityImbalance' else 'TokenExchange' end
+  when 6 then case when raw_type in ('signup', 'error') then 'PoolBalanceChanged' else 'Swap' end else 'Transfer' end as event_name,
+ 'p' || cast(k % 6 as {STR}) as pool_address, 'u' || cast(user_id as {STR}) as sender, 'u' || cast((user_id + 7) % 150 as {STR}) as recipient, cast(user_id * 7 % 50 as bigint) as token_id,
+ cast(case when raw_type in ('purchase', 'error') then -cents else cents end as {STR}) as amount0, cast(case when raw_type in ('purchase', 'error') then cents * 3 else -cents * 3 end as {STR}) as amount1,
+ cast(case when raw_type = 'purchase' then 0 else cents end as {STR}) as amount0_in, cast(case when raw_type = 'purchase' then cents else 0 end as {STR}) as amount0_out,
+ cast(case when raw_type = 'purchase' then cents * 3 else 0 end as {STR}) as amount1_in, cast(case when raw_type = 'purchase' then 0 else cents * 3 end as {STR}) as amount1_out,
+ cast(cents as {STR}) as liquidity, cast(case when raw_type = 'error' then -cents else cents end as {STR}) as delta, cast(case when k % 3 = 0 then 0 else cents end as {STR}) as delta1 from ev""",
+    "position_keys": """select t.token_id, p.token0, p.token1, p.fee from pools p join (select distinct cast(user_id * 7 % 50 as bigint) as token_id from ev) t on p.ordinal = t.token_id % 6""",
     "fee_tiers": "select * from (values (100, 1), (500, 10), (3000, 60), (10000, 200)) v(fee, tick_spacing)",
 }
-USES = {"swaps": ["ev"], "liquidity_events": ["ev"], "transfers": ["ev"], "gas_payers": ["ev"], "tvl_points": ["ev"], "raw_swaps": ["ev", "swaps"]}
+USES = {"swaps": ["ev"], "liquidity_events": ["ev"], "transfers": ["ev"], "gas_payers": ["ev"], "tvl_points": ["ev"], "raw_swaps": ["ev", "swaps"], "raw_logs": ["ev"], "position_keys": ["ev", "pools"]}
 TABLES = {"ev": "events", "balance_ledger": "orders", "holder_intervals": "orders", "lp_nft": "lineitem", "contract_owners": "customer", "creations": "customer"}
 
 
