@@ -4,8 +4,9 @@ A text is cut into sentences, each normalised to lower-case ASCII words. Sentenc
 licence notices are mapped to identifiers; the sequence of identifiers, unknown sentences left out, is
 matched against ordered rules, the longest first. What a rule has matched no later rule matches again.
 
-A sentence ends after . ! or ? before white space, and at a line break unless the line goes on with a
-lower-case letter after a lower-case letter or comma.
+Marks of comments at the start of lines go first (// # * /* -- % <!-- and the like). A sentence ends after . ! or ?
+before white space, and at a blank line; so hard-wrapped notices are read whole. Of a sentence that is not known as a
+whole every line is looked up by itself, since many texts put a licence in a line without a stop.
 
 Null and empty texts: no sentence, no licence. Repeated rows give repeated rows; empty tables none. Extra
 columns are ignored by `license_scans`.
@@ -45,6 +46,35 @@ SENTENCES = {
     "cc0": "this work has been dedicated to the public domain",
     "unlicense": "this is free and unencumbered software released into the public domain",
     "mpl-form": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "apache-head": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
+    "lgpl21-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl-see": "see the gnu lesser general public license for more details",
+    "agpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-see": "see the gnu affero general public license for more details",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-name": "isc license",
+    "zlib-given": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "epl-program": "the accompanying program is provided under the terms of this eclipse public license agreement",
+    "epl-made": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "boost-ref": "distributed under the boost software license version 1 0",
+    "wtfpl": "do what the fuck you want to public license",
+    "spdx-mit": "spdx license identifier mit",
+    "spdx-apache": "spdx license identifier apache 2 0",
+    "spdx-gpl3": "spdx license identifier gpl 3 0 or later",
+    "spdx-gpl3-only": "spdx license identifier gpl 3 0 only",
+    "spdx-gpl2": "spdx license identifier gpl 2 0 or later",
+    "spdx-gpl2-only": "spdx license identifier gpl 2 0 only",
+    "spdx-lgpl21": "spdx license identifier lgpl 2 1 or later",
+    "spdx-agpl3": "spdx license identifier agpl 3 0 or later",
+    "spdx-bsd3": "spdx license identifier bsd 3 clause",
+    "spdx-bsd2": "spdx license identifier bsd 2 clause",
+    "spdx-isc": "spdx license identifier isc",
+    "spdx-mpl": "spdx license identifier mpl 2 0",
+    "spdx-epl": "spdx license identifier epl 2 0",
+    "spdx-cc0": "spdx license identifier cc0 1 0",
 }
 
 # Ordered rules: licence, kind, identifiers in order.
@@ -52,6 +82,11 @@ RULES = [
     ("MIT", "permissive", ["mit-name", "mit-grant", "mit-notice", "as-is"]),
     ("MIT", "permissive", ["mit-grant", "mit-notice", "as-is"]),
     ("Apache-2.0", "permissive", ["apache-notice", "apache-comply", "apache-copy", "apache-basis"]),
+    ("Apache-2.0", "permissive", ["apache-head", "apache-copy", "apache-basis"]),
+    ("LGPL-2.1-or-later", "copyleft", ["lgpl21-free", "lgpl-hope", "lgpl-see"]),
+    ("LGPL-3.0-or-later", "copyleft", ["lgpl3-free", "lgpl-hope", "lgpl-see"]),
+    ("AGPL-3.0-or-later", "copyleft", ["agpl-free", "gpl-hope", "agpl-see"]),
+    ("Zlib", "permissive", ["zlib-given", "zlib-grant"]),
     ("GPL-3.0-or-later", "copyleft", ["gpl-free", "gpl-hope", "gpl-see"]),
     ("GPL-2.0-or-later", "copyleft", ["gpl2-free", "gpl-hope", "gpl-see"]),
     ("BSD-3-Clause", "permissive", ["bsd-redistribute", "bsd-neither"]),
@@ -59,6 +94,7 @@ RULES = [
     ("MIT", "permissive", ["mit-grant", "mit-notice"]),
     ("GPL-3.0-or-later", "copyleft", ["gpl-free", "gpl-hope"]),
     ("GPL-2.0-or-later", "copyleft", ["gpl2-free", "gpl-hope"]),
+    ("Apache-2.0", "permissive", ["apache-head"]),
     ("MIT", "permissive", ["mit-grant"]),
     ("MIT", "permissive", ["mit-name"]),
     ("MIT", "permissive", ["mit-ref"]),
@@ -76,34 +112,68 @@ RULES = [
     ("CC0-1.0", "public-domain", ["cc0"]),
     ("Unlicense", "public-domain", ["unlicense"]),
     ("MPL-2.0", "copyleft", ["mpl-form"]),
+    ("LGPL-2.1-or-later", "copyleft", ["lgpl21-free"]),
+    ("LGPL-3.0-or-later", "copyleft", ["lgpl3-free"]),
+    ("AGPL-3.0-or-later", "copyleft", ["agpl-free"]),
+    ("ISC", "permissive", ["isc-grant"]),
+    ("ISC", "permissive", ["isc-name"]),
+    ("Zlib", "permissive", ["zlib-grant"]),
+    ("EPL-1.0", "copyleft", ["epl-program"]),
+    ("EPL-2.0", "copyleft", ["epl-made"]),
+    ("BSL-1.0", "permissive", ["boost-ref"]),
+    ("WTFPL", "public-domain", ["wtfpl"]),
+    ("MIT", "permissive", ["spdx-mit"]),
+    ("Apache-2.0", "permissive", ["spdx-apache"]),
+    ("GPL-3.0-or-later", "copyleft", ["spdx-gpl3"]),
+    ("GPL-3.0-only", "copyleft", ["spdx-gpl3-only"]),
+    ("GPL-2.0-or-later", "copyleft", ["spdx-gpl2"]),
+    ("GPL-2.0-only", "copyleft", ["spdx-gpl2-only"]),
+    ("LGPL-2.1-or-later", "copyleft", ["spdx-lgpl21"]),
+    ("AGPL-3.0-or-later", "copyleft", ["spdx-agpl3"]),
+    ("BSD-3-Clause", "permissive", ["spdx-bsd3"]),
+    ("BSD-2-Clause", "permissive", ["spdx-bsd2"]),
+    ("ISC", "permissive", ["spdx-isc"]),
+    ("MPL-2.0", "copyleft", ["spdx-mpl"]),
+    ("EPL-2.0", "copyleft", ["spdx-epl"]),
+    ("CC0-1.0", "public-domain", ["spdx-cc0"]),
 ]
 
-CONTINUED = r"([a-z,])[ \t\r]*\n[ \t]*([a-z])"
-BREAK = "[.!?]+[\"')\\]]*[ \\t\\r\\n\\f]+|[ \\t\\r\\f]*\\n[ \\t\\r\\n\\f]*"
-OTHER = r"[^A-Za-z0-9\x01]+"
+#: Marks of comments at the start of a line; ends of sentences; what is no letter or digit, but for the two marks put in.
+COMMENT = r"(^|\n)[ \t]*(?:/\*+|\*+/|\*+|//+|#+|--+|%+|<!--)[ \t]*"
+BREAK = "[.!?]+[\"')\\]]*[ \\t\\r\\n\\f]+|[ \\t\\r\\f]*\\n[ \\t\\r\\f]*\\n[ \\t\\r\\n\\f]*"
+LINE = r"[ \t\r\f]*\n[ \t\r\f]*"
+OTHER = r"[^A-Za-z0-9\x01\x02]+"
 
 
 def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, the empty ones left out."""
-    whole = F.regexp_replace(F.coalesce(text, F.lit("")), CONTINUED, "$1 $2")
-    cut = F.regexp_replace(F.regexp_replace(whole, BREAK, "\x01"), OTHER, " ")
-    return F.filter(F.transform(F.split(F.lower(cut), "\x01"), lambda s: F.trim(s)), lambda s: s != "")
+    """Normalised sentences of a text, the empty ones left out; their lines are parted by the character 2."""
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), COMMENT, "$1"), COMMENT, "$1")
+    cut = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, BREAK, "\x01"), LINE, "\x02"), OTHER, " ")
+    return F.filter(F.split(F.lower(cut), "\x01"), lambda s: F.trim(s, F.lit(" \x02")) != "")
 
 
 def _sequence(ids: list[str]) -> str:
-    return "|" + "".join(f"{i}|" for i in ids)
+    return "".join(f"|{i}|" for i in ids)
+
+
+def _joined(s: Column) -> Column:
+    """A sentence in one line."""
+    return F.trim(F.regexp_replace(s, " *\x02 *", " "))
 
 
 def license_scans(documents: DataFrame) -> DataFrame:
     """doc_id, n_sentences, identifiers (array, in order), licenses and kinds (arrays, in order of rules)."""
     known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
     rules = F.array(*[F.struct(F.lit(_sequence(ids)).alias("ids"), F.lit(name).alias("license"), F.lit(kind).alias("kind")) for name, kind, ids in RULES])
-    found = documents.select("doc_id", sentences(F.col("text").cast("string")).alias("s")).select(
-        "doc_id", F.size("s").cast("long").alias("n_sentences"), F.filter("s", lambda x: x.isin(list(SENTENCES.values()))).alias("s")
-    )
+    names = list(SENTENCES.values())
+    found = documents.select("doc_id", sentences(F.col("text").cast("string")).alias("s"))
+    # a sentence counts whole; an unknown one by its lines
+    lines = lambda x: F.transform(F.split(x, "\x02"), lambda y: F.trim(y))
+    known_parts = F.transform("s", lambda x: F.when(_joined(x).isin(names), F.array(_joined(x))).otherwise(F.filter(lines(x), lambda y: y.isin(names))))
+    found = found.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.flatten(known_parts).alias("s"))
     found = found.select("doc_id", "n_sentences", F.transform("s", lambda x: F.element_at(known, x)).alias("identifiers"))
     start = F.struct(
-        F.concat(F.lit("|"), F.array_join(F.transform("identifiers", lambda i: F.concat(i, F.lit("|"))), "")).alias("left"),
+        F.array_join(F.transform("identifiers", lambda i: F.concat(F.lit("|"), i, F.lit("|"))), "").alias("left"),
         F.array().cast("array<string>").alias("licenses"), F.array().cast("array<string>").alias("kinds"),
     )
     matched = F.aggregate(
@@ -146,13 +216,19 @@ def _oracle() -> str:
             f"case when {hit} and not list_contains(kinds, '{kind}') then list_append(kinds, '{kind}') else kinds end as kinds from {last})"
         )
         last = f"r{k}"
+    comment, line, other = COMMENT, LINE, OTHER
+    plain = rf"regexp_replace(regexp_replace(coalesce(text, ''), '{comment}', '\1', 'g'), '{comment}', '\1', 'g')"
     return rf"""
 with known(s, id) as (values {values}),
-d as (select doc_id, row_number() over () as rid, string_split(lower(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '{CONTINUED}', '\1 \2', 'g'), '{brk}', chr(1), 'g'), '[^A-Za-z0-9\x01]+', ' ', 'g')), chr(1)) as parts from documents),
-s as (select doc_id, rid, list_filter(list_transform(parts, lambda x: trim(x)), lambda x: x <> '') as s from d),
+d as (select doc_id, row_number() over () as rid, string_split(lower(regexp_replace(regexp_replace(regexp_replace({plain}, '{brk}', chr(1), 'g'), '{line}', chr(2), 'g'), '{other}', ' ', 'g')), chr(1)) as parts from documents),
+s as (select doc_id, rid, list_filter(parts, lambda x: trim(x, ' ' || chr(2)) <> '') as s from d),
 e as (select rid, unnest(s) as s, unnest(range(len(s))) as p from s),
-k as (select rid, count(*) as n_known, string_agg(id, ',' order by p) as identifiers, string_agg(id || '|', '' order by p) as rest from e join known using (s) group by rid),
-seq as (select doc_id, rid, len(s)::bigint as n_sentences, coalesce(n_known, 0)::bigint as n_known, coalesce(identifiers, '') as identifiers, '|' || coalesce(rest, '') as rest, []::varchar[] as licenses, []::varchar[] as kinds from s left join k using (rid)),
+w as (select rid, p, s, trim(regexp_replace(s, ' *\x02 *', ' ', 'g')) as whole from e),
+kw as (select rid, p, 0 as q, id from w join known on w.whole = known.s),
+kl as (select rid, p, q, id from (select rid, p, trim(unnest(string_split(s, chr(2)))) as t, unnest(range(len(string_split(s, chr(2))))) as q from w where whole not in (select s from known)) l join known on l.t = known.s),
+ka as (select * from kw union all select * from kl),
+k as (select rid, count(*) as n_known, string_agg(id, ',' order by p, q) as identifiers, string_agg('|' || id || '|', '' order by p, q) as rest from ka group by rid),
+seq as (select doc_id, rid, len(s)::bigint as n_sentences, coalesce(n_known, 0)::bigint as n_known, coalesce(identifiers, '') as identifiers, coalesce(rest, '') as rest, []::varchar[] as licenses, []::varchar[] as kinds from s left join k using (rid)),
 {", ".join(steps)}
 select doc_id, n_sentences, n_known, identifiers, array_to_string(licenses, ',') as licenses, array_to_string(kinds, ',') as kinds from {last}
 """
