@@ -1,14 +1,14 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections.
 
-A text is split into paragraphs, the leaves: a paragraph ends after a line break, after a sentence's end, or
-where the hash of a word says so (about every eighth word, since many texts are one long paragraph), so that
-an edit moves no boundary but its own. Leaves are grouped into sections: a section ends at a blank line or at a leaf
-whose hash says so (about every eighth). A leaf's hash covers all its bytes, a section's hash its leaves'
-hashes, the root's its sections'. Equal roots: equal texts; sections and leaves that differ locate the edits.
+A paragraph ends after a line break or a sentence's end. Its leaves are its parts: a leaf also ends where the hash of
+a word says so (about every eighth word, since many paragraphs are long), so that an edit moves no boundary but its
+own. Paragraphs are grouped into sections: a section ends at a blank line or at a paragraph whose hash says so (about
+every eighth). A leaf's hash covers all its bytes, a paragraph's its leaves' hashes, a section's its paragraphs', the
+root's its sections'. Equal roots: equal texts; sections, paragraphs and leaves that differ locate the edits.
 
-A fingerprint is text: `root:section.leaf,leaf;section.leaf,...`, each leaf as 10 hexadecimal digits of hash
-and its length. The likeness of two fingerprints is the Dice share, by characters, of their common leaves,
-taken with repeats; two empty texts are alike (1).
+A fingerprint is text: `root:section.paragraph~leaf,leaf/paragraph~leaf;section....`, each leaf as 10 hexadecimal
+digits of hash and its length; a paragraph of one leaf is the leaf. The likeness of two fingerprints is the Dice share,
+by characters, of their common leaves, taken with repeats; two empty texts are alike (1).
 
 Null and empty texts have no leaf. Every document's next is the one with the next doc_id (ties: by a hash of
 the text; null doc_ids first); the last one's is the first; a document alone is its own. Repeated rows stand next to one
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -35,32 +36,35 @@ ENDS[[0x2E, 0x21, 0x3F, 0x0A]] = True
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def leaves(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """End of every leaf of a batch of texts (bytes), and the number of leaves of each text.
+def leaves(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """End of every leaf of a batch of texts (bytes), the number of leaves of each text, and whether a paragraph ends there.
 
     A leaf ends with the white space before its next word.
     """
     w = K.Words(data, offsets)
     if not len(w):
         has = offsets[1:] > offsets[:-1]
-        return offsets[1:][has], has.astype(np.int64)
-    last = ENDS[data[w.ends - 1]] | ((w.hash >> np.uint64(64 - LEAF_BITS)) == 0)
+        return offsets[1:][has], has.astype(np.int64), np.ones(int(has.sum()), bool)
+    paragraph = ENDS[data[w.ends - 1]]
     # a line break in the white space after a word ends the paragraph too
     breaks = np.concatenate(([0], np.cumsum(data[offsets[0] : offsets[-1]] == 0x0A)))
     after = np.concatenate((w.starts[1:], [offsets[-1]]))
-    last |= breaks[after - offsets[0]] > breaks[w.ends - offsets[0]]
+    paragraph |= breaks[after - offsets[0]] > breaks[w.ends - offsets[0]]
     final = w.first[1:][w.counts > 0] - 1
-    last[final] = True
+    paragraph[final] = True
+    last = paragraph | ((w.hash >> np.uint64(64 - LEAF_BITS)) == 0)
     ends = after.copy()
     ends[final] = offsets[1:][w.counts > 0]
     doc = w.doc()
     counts = np.bincount(doc[last], minlength=len(w.counts))
-    ends = ends[last]
+    ends, paragraph = ends[last], paragraph[last]
     blank = (w.counts == 0) & (offsets[1:] > offsets[:-1])  # nothing but white space: one leaf
     if blank.any():
         counts[blank] = 1
-        ends = np.sort(np.concatenate((ends, offsets[1:][blank])))
-    return ends, counts
+        ends, paragraph = np.concatenate((ends, offsets[1:][blank])), np.concatenate((paragraph, np.ones(int(blank.sum()), bool)))
+        order = np.argsort(ends, kind="stable")
+        ends, paragraph = ends[order], paragraph[order]
+    return ends, counts, paragraph
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
@@ -77,7 +81,7 @@ class Tree:
     def __init__(self, texts: list[bytes]):
         self.data = np.frombuffer(b"".join(texts) or b"\0", np.uint8)
         self.offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-        ends, counts = leaves(self.data, self.offsets)
+        ends, counts, self.paragraph = leaves(self.data, self.offsets)
         self.first = np.concatenate(([0], np.cumsum(counts)))
         starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
         self.hash = hash_spans(self.data, starts, ends, 0) if len(ends) else np.empty(0, np.uint64)
@@ -85,7 +89,7 @@ class Tree:
         blank = np.zeros(len(ends), bool)
         if len(ends):
             blank = (self.data[ends - 1] == 0x0A) & (self.data[np.maximum(ends - 2, 0)] == 0x0A) & (self.length > 1)
-        self.closes = blank | ((self.hash & np.uint64((1 << SECTION_BITS) - 1)) == 0)
+        self.closes = self.paragraph & (blank | ((self.hash & np.uint64((1 << SECTION_BITS) - 1)) == 0))
 
     def __len__(self) -> int:
         return len(self.first) - 1
@@ -99,12 +103,18 @@ class Tree:
         h = (self.hash[a:b] >> np.uint64(24)).tolist()
         names = ["%010x%x" % x for x in zip(h, self.length[a:b].tolist(), strict=True)]
         wide = self.hash[a:b].tobytes()
-        cuts = (np.flatnonzero(self.closes[a:b][:-1]) + 1).tolist()
         sections, digests = [], []
-        for s, e in zip([0, *cuts], [*cuts, b - a], strict=True) if b > a else ():
-            digest = hashlib.blake2b(wide[8 * s : 8 * e], digest_size=16).digest()
-            digests.append(digest)
-            sections.append(digest[:5].hex() + "." + ",".join(names[s:e]))
+        paragraphs, inner, start = [], [], 0
+        for e in (np.flatnonzero(self.paragraph[a:b]) + 1).tolist():
+            digest = hashlib.blake2b(wide[8 * start : 8 * e], digest_size=16).digest()
+            inner.append(digest)
+            paragraphs.append(names[start] if e == start + 1 else digest[:4].hex() + "~" + ",".join(names[start:e]))
+            start = e
+            if self.closes[a + e - 1] or e == b - a:
+                digest = hashlib.blake2b(b"".join(inner), digest_size=16).digest()
+                digests.append(digest)
+                sections.append(digest[:5].hex() + "." + "/".join(paragraphs))
+                paragraphs, inner = [], []
         root = hashlib.blake2b(b"".join(digests), digest_size=16).hexdigest()
         return root + ":" + ";".join(sections)
 
@@ -123,29 +133,50 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(2 * (np.minimum(ca, cb) * size).sum() / total)
 
 
+def branches(fingerprint: str) -> list[tuple[str, list[tuple[str, list[str]]]]]:
+    """Sections of a fingerprint: name, paragraphs: name, leaves."""
+    out = []
+    for section in fingerprint.split(":", 1)[1].split(";"):
+        if section:
+            name, rest = section.split(".", 1)
+            parts = [p.split("~", 1) if "~" in p else (p, p) for p in rest.split("/")]
+            out.append((name, [(head, leaves.split(",")) for head, leaves in parts]))
+    return out
+
+
 def parse(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     """Leaves of a fingerprint: hashes and lengths."""
-    parts = [leaf for s in fingerprint.split(":", 1)[1].split(";") if s for leaf in s.split(".", 1)[1].split(",")]
+    parts = [leaf for _, paragraphs in branches(fingerprint) for _, found in paragraphs for leaf in found]
     return np.array([int(p[:10], 16) for p in parts], np.uint64), np.array([int(p[10:], 16) for p in parts], np.int64)
 
 
 def edits(before: str, after: str) -> list[tuple[int, int]]:
-    """Spans (start, end) of the later text, in bytes, whose branches differ: sections first, then their leaves."""
-
-    def sections(fingerprint: str) -> list[tuple[str, list[tuple[str, int]]]]:
-        return [(s.split(".", 1)[0], [(leaf, int(leaf[10:], 16)) for leaf in s.split(".", 1)[1].split(",")]) for s in fingerprint.split(":", 1)[1].split(";") if s]
-
+    """Spans (start, end) of the later text, in bytes, that differ: sections are compared first, then the paragraphs of
+    those that differ, then their leaves. Something that is only gone leaves an empty span where it stood; something that
+    has moved shows where it is now and where it was. No span: equal texts."""
     if before.split(":", 1)[0] == after.split(":", 1)[0]:
         return []
-    old = sections(before)
-    known, old_leaves = {name for name, _ in old}, {leaf for _, found in old for leaf, _ in found}
-    at, out = 0, []
-    for name, found in sections(after):
-        for leaf, size in found:
-            if name not in known and leaf not in old_leaves:
-                out.append((at, at + size))
-            at += size
-    return out
+    size = lambda leaf: int(leaf[10:], 16)
+    width = lambda paragraphs: sum(size(leaf) for _, found in paragraphs for leaf in found)
+    out: list[tuple[int, int]] = []
+
+    def compare(old: list, new: list, at: int, level: int) -> None:
+        names = (lambda xs: xs) if level == 2 else (lambda xs: [x[0] for x in xs])
+        measure = (width, None, None)[level] if level == 0 else (lambda found: sum(map(size, found))) if level == 1 else None
+        length = size if level == 2 else lambda x: measure(x[1])
+        starts = [at]
+        for x in new:
+            starts.append(starts[-1] + length(x))
+        for kind, a, b, c, d in SequenceMatcher(None, names(old), names(new), autojunk=False).get_opcodes():
+            if kind == "equal":
+                continue
+            if kind != "replace" or level == 2:
+                out.append((starts[c], starts[d]))
+            else:
+                compare([y for x in old[a:b] for y in x[1]], [y for x in new[c:d] for y in x[1]], starts[c], level + 1)
+
+    compare(branches(before), branches(after), 0, 0)
+    return sorted(set(out))
 
 
 def _edited(text: str, following: str) -> str:
