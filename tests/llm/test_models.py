@@ -64,6 +64,65 @@ def test_labels_of_the_held_out_fold_do_not_matter(spark):
     assert a == {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, turned).collect()}
 
 
+def test_quality_is_a_vote_of_the_nearest(spark):
+    docs, labels = K.read(spark, SF, "documents").select("doc_id", "text"), K.read(spark, SF, "labels")
+    model = quality.fit(docs, labels, 60)
+    rows = docs.orderBy("doc_id").limit(40).collect()
+    fitted = quality.fit
+    quality.fit = lambda d, x: model
+    try:
+        got = {r.doc_id: r.score for r in quality.quality_scores(docs, labels).collect()}
+    finally:
+        quality.fit = fitted
+    for r in rows:
+        v = model.vectors_of(quality.features(pa.array([r.text])))[0]
+        cosines = [(float(sum(a * b for a, b in zip(v.tolist(), u.tolist(), strict=True))), y) for u, y in zip(model.vectors, model.labels, strict=True)]
+        nearest = sorted(cosines, reverse=True)[: quality.NEIGHBOURS]
+        weights = [math.exp(8 * (c - 1)) for c, _ in nearest]
+        assert abs(got[r.doc_id] - sum(w * y for w, (_, y) in zip(weights, nearest, strict=True)) / sum(weights)) < 1e-3
+
+
+def test_toxicity_is_linear_in_the_voters_that_speak(spark):
+    docs, labels = K.read(spark, SF, "documents").select("doc_id", "text"), K.read(spark, SF, "labels")
+    model = toxicity.fit(docs, labels)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()] + ["you IDIOT, pure trash", "", None]
+    got = model.scores(pa.array(texts, pa.string()))
+    known = {int(h): w for h, w in zip(model.voters, model.weights[:-1], strict=True)}
+    name = lambda word, stem=0: int(K.words_of(pa.array([word]), K.ALNUM_LOWER).hash[0]) if not stem else int(toxicity.tokens(pa.array([word]))[1][1 + toxicity.STEMS.index(stem)])
+    for text, score in zip(texts, got, strict=True):
+        words = {bytes(x) for x in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()))}
+        found = {name(x.decode()) for x in words if name(x.decode()) in known} if all(_utf8(x) for x in words) else None
+        if found is None:
+            continue
+        for x in words:
+            for stem in toxicity.STEMS:
+                if len(x) > stem and x.isascii() and name(x.decode(), stem) in known:
+                    found.add(name(x.decode(), stem))
+        if any(not x.isascii() for x in words):
+            continue  # stems of other letters are cut by bytes
+        z = model.bias + sum(known[h] for h in found) + (model.weights[-1] if found else 0)
+        assert abs(score - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def _utf8(x):
+    try:
+        return bool(x.decode())
+    except UnicodeDecodeError:
+        return False
+
+
+def test_label_model_finds_accuracies():
+    rng = np.random.default_rng(3)
+    truth = rng.random(4000) < 0.3
+    rates = [(0.6, 0.02), (0.5, 0.05), (0.3, 0.3), (0.4, 0.01)]
+    votes = np.stack([rng.random(4000) < np.where(truth, a, b) for a, b in rates], 1).astype(float)
+    votes = np.column_stack((votes, votes[:, 0]))  # a copy of a voter is no further voice
+    noisy = np.where(rng.random(4000) < 0.1, ~truth, truth).astype(int)
+    post, accuracy, correlation = toxicity.label_model(votes, noisy)
+    assert ((post > 0.5) == truth).mean() > (noisy == truth).mean()
+    assert accuracy[0] > accuracy[2] + 0.3 and correlation[0, 4] > 0.95 and abs(correlation[0, 1]) < 0.2
+
+
 def similarity_classes(rows, idf):
     texts = [t or "" for _, t in rows]
     w = K.words_of(pa.array(texts), K.SPACED_LOWER)

@@ -153,6 +153,69 @@ def test_edits_are_located():
     assert fingerprints.edits(tree.fingerprint(0), tree.fingerprint(0)) == []
 
 
+def edited_text(t, following):
+    k = len(t) // 4
+    return t[: len(t) - k] + (following[:k] if k else "")
+
+
+def test_fingerprints_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(i), " ".join(rng.choice(WORDS, int(rng.integers(0, 60)))) + "é.\n" * int(rng.integers(0, 3))) for i in rng.permutation(90)] + [(200, None), (201, ""), (202, "日本語" * 50)]
+    extra = spark.createDataFrame([(*r, "clash", 5) for r in rows], DOCS + ", fingerprint string, bucket int").repartition(7)
+    got = {r.doc_id: r for r in fingerprints.merkle_fingerprints(extra).collect()}
+    order = sorted((i, t or "") for i, t in rows)
+    prints = {}
+    for k, (i, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        other = edited_text(t, following)
+        tree = fingerprints.Tree([t.encode(), other.encode(), following.encode()])
+        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(other.encode()).hexdigest()
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (tree.fingerprint(0), tree.fingerprint(1))
+
+        def shared(a, b):
+            bags = []
+            for text in (a, b):
+                h, n = fingerprints.parse(fingerprints.Tree([text.encode()]).fingerprint(0))
+                bag = {}
+                for x, size in zip(h.tolist(), n.tolist(), strict=True):
+                    bag.setdefault(x, []).append(size)
+                bags.append(bag)
+            both = sum(min(len(v), len(bags[1].get(x, []))) * v[0] for x, v in bags[0].items())
+            total = len(a.encode()) + len(b.encode())
+            return 2 * both / total if total else 1.0
+
+        assert abs(got[i].near_next - shared(t, following)) < 1e-9 and abs(got[i].near_edited - shared(t, other)) < 1e-9
+        assert prints.setdefault(got[i].fingerprint, t) == t
+
+
+@pytest.mark.parametrize("change", ["replace", "delete", "insert", "move", "none", "repeat"])
+def test_every_kind_of_edit_is_located(change):
+    lines = [f"line number {i} holds the words {'abcdefgh'[i % 8]} and {i * 7}.\n" for i in range(40)]
+    after = list(lines)
+    if change == "replace":
+        after[11] = "something else stands here now.\n"
+    elif change == "delete":
+        del after[11]
+    elif change == "insert":
+        after.insert(11, "a new line.\n")
+    elif change == "move":
+        after.insert(30, after.pop(11))
+    elif change == "repeat":
+        after.insert(30, after[11])  # a leaf that also occurs elsewhere
+    tree = fingerprints.Tree(["".join(lines).encode(), "".join(after).encode()])
+    spans = fingerprints.edits(tree.fingerprint(0), tree.fingerprint(1))
+    place = len("".join(after[:11]).encode())
+    if change == "none":
+        assert spans == []
+    elif change == "delete":
+        assert spans and all(a <= place <= b for a, b in spans)
+    elif change in ("replace", "insert"):
+        assert any(a <= place < b for a, b in spans) and sum(b - a for a, b in spans) < 200
+    else:
+        moved = len("".join(after[:30]).encode())
+        assert any(a <= moved < b for a, b in spans)
+
+
 def test_packing(spark, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -265,3 +328,31 @@ def test_licences(spark, empty):
     assert got[2].licenses == ["MIT", "Apache-2.0"]
     assert (got[3].n_sentences, got[3].licenses) == (0, []) and got[4].licenses == []
     assert licenses.license_scans(empty).count() == 0
+
+
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n" "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+NOTICES = {
+    "gpl": (GPL, ["GPL-3.0-or-later"]), "gpl in hash comments": ("\n".join("# " + x for x in GPL.split("\n")), ["GPL-3.0-or-later"]), "gpl in star comments": ("/*\n" + "\n".join(" * " + x for x in GPL.split("\n")) + "\n */\ncode()", ["GPL-3.0-or-later"]),
+    "two in a row": (BSD + BSD, ["BSD-3-Clause"]), "apache in one line": ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', ["Apache-2.0"]),
+    "commented mit": ("\n".join("// " + x for x in ("Permission is hereby granted, free of charge, to any person obtaining a copy", 'of this software and associated documentation files (the "Software"), to deal', "in the Software without restriction, including without limitation the rights", "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell", "copies of the Software, and to permit persons to whom the Software is", "furnished to do so, subject to the following conditions:")), ["MIT"]),
+    "a line without a stop": ("my project\nReleased under the MIT License\nand more words", ["MIT"]), "spdx": ("// SPDX-License-Identifier: Apache-2.0\nint x;", ["Apache-2.0"]), "lgpl": (GPL.replace("program", "library").replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1"), ["LGPL-2.1-or-later"]),
+    "a very long text": ("Some prose here. " * 40_000 + "ISC License\n", ["ISC"]),
+}
+
+
+def test_notices_as_they_are_laid_out(spark, duck):
+    rows = [(i, text, "clash", 1) for i, (text, _) in enumerate(NOTICES.values())]
+    docs = spark.createDataFrame([*rows, rows[0]], DOCS + ", licenses string, s int")
+    got = licenses.license_scans(docs).collect()
+    for r in got:
+        assert r.licenses == list(NOTICES.values())[r.doc_id][1], list(NOTICES)[r.doc_id]
+    assert len(got) == len(rows) + 1

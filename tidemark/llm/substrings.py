@@ -35,6 +35,8 @@ BLOCK = 7
 PACKED = "bucket int, kind int, ids binary, keys binary, counts binary, a binary, b binary, c binary"
 #: Places in the documents of a share: runs of (start, length), or remainders of hashes with the bucket they came from.
 MARKS = "share int, bucket int, keys binary, counts binary, places binary"
+#: Bytes of text of a share, which one worker holds at a time.
+SHARE_BYTES = 32 << 20
 RUNS = -1
 LAST = (1 << 63) - 1
 #: Entries gathered before they are compared within the task, and documents worked on at a time.
@@ -324,7 +326,7 @@ def repeated_words(documents: DataFrame, window: int = WINDOW, block: int = BLOC
     """All columns of documents, and `_td_words`, `_td_removed` (counts), `_td_kept` (text), `_td_spans` (word spans removed)."""
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block wherever it starts: window >= 2 * block - 1")
-    n = K.partitions(documents.sparkSession)
+    n = K.shares(documents, SHARE_BYTES)
     columns = documents.columns
     schema = T.StructType([*documents.schema.fields, *T.StructType.fromDDL("_td_words long, _td_removed long, _td_kept string, _td_spans array<struct<start:long,length:long>>").fields])
     keyed = documents.withColumns({"_td_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_td_key": K.row_key()})

@@ -224,16 +224,28 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shares(documents: DataFrame, size: int) -> int:
+    """Into how many parts to deal the texts: one for each `size` bytes of them, and one for each shuffle partition at least."""
+    total = documents.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(partitions(documents.sparkSession), -(-int(total) // size))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A copy in the shared folder, so that a lost executor costs no recomputation."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or _own_dir())
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="spark-ckpt-")  # only where the session names no folder, as in tests
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. A folder of this machine only where Spark runs on it alone."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="spark-ckpt-")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -268,7 +280,6 @@ def is_held_out(modulus: int, remainder: int) -> Column:
 def stored(df: DataFrame) -> DataFrame:
     """Written as Parquet under the shared folder and read again."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
-    path = f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
