@@ -286,14 +286,14 @@ def latest_price(spark, d):
 
 @query("v3_position_value_share", POS + """, am as (select ps.*, power(1.0001::double, tick_lower / 2.0) as lo, power(1.0001::double, tick_upper / 2.0) as hi, power(1.0001::double, greatest(tick_lower, least(tick_upper, tick)) / 2.0) as now, power(1.0001::double, tick / 1.0) as price from ps join tk using (pool_address)),
 vl as (select token_address, token_id, pool_address, round(liquidity * (now - lo) + liquidity * (1 / now - 1 / hi) * price, 6) as value from am)
-select token_address, token_id, pool_address, round(value, 3) as value, round(round(100 * value / nullif(cast(sum(cast(value as decimal(34,6))) over (partition by token_address, pool_address) as double), 0), 6), 5) as share_pct from vl""")
+select token_address, token_id, pool_address, round(value, 3) as value, round(100 * value / nullif(cast(sum(cast(value as decimal(34,6))) over (partition by token_address, pool_address) as double), 0), 6) as share_pct from vl""")
 def v3_position_value_share(spark, d):
     ticks = spark.createDataFrame([("p0", -300), ("p1", 0), ("p2", 120), ("p3", 600), ("p4", 60), ("p5", -1200)], "pool_address string, tick int")
     rows = holders.position_snapshot(view(spark, d, "lp_nft")).join(ticks, "pool_address")
     a0, a1 = holders.position_amounts(F.col("liquidity"), F.col("tick_lower"), F.col("tick_upper"), F.col("tick"))
     valued = rows.withColumn("value", F.round(states.value_in_token1(a0, a1, F.pow(F.lit(1.0001), F.col("tick").cast("double"))), 6))
     shared = states.value_share(valued, ["token_address", "pool_address"])
-    return shared.select("token_address", "token_id", "pool_address", F.round("value", 3).alias("value"), F.round("share_pct", 5).alias("share_pct"))
+    return shared.select("token_address", "token_id", "pool_address", F.round("value", 3).alias("value"), "share_pct")
 
 
 HELD = "lh0 as (select token_address, address, arg_max(balance_raw, block_number) as balance_raw from balance_ledger group by 1, 2), lh as (select token_address, address as owner, balance_raw, round(100 * cast(balance_raw as double) / cast(sum(balance_raw) over (partition by token_address) as double), 6) as share_pct from lh0 where balance_raw > 0)"
