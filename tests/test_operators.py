@@ -89,14 +89,51 @@ def test_scalars(spark):
 
 def test_tables(spark, tmp_path):
     raw = spark.createDataFrame([("T", "12", " 0xAB ", "7", "junk")], "token_address string, block_number string, pool_address string, tvl_raw string, extra string")
-    tables.write_table(raw, str(tmp_path), "tvl_points")
+    tables.write_table(raw, str(tmp_path), "tvl_points", kind="both")
     r = tables.read_table(spark, str(tmp_path), "tvl_points", where="block_number = 12").first()
     assert (r.block_number, r.pool_address, r.tvl_raw, r.tvl_usd) == (12, "0xab", "7", None)
+    (tmp_path / "tvl_points").rename(tmp_path / "gone")
+    assert tables.read_table(spark, str(tmp_path), "tvl_points", columns=["tvl_raw"]).first().tvl_raw == "7"  # from JSON
     flat = spark.createDataFrame([(1, "p", 5), (1, "q", 6)], "bucket long, pool string, volume long")
     assert tables.flatten_volume(tables.inflate_volume(flat)).count() == 2
     assert tables.query_tables(spark, "select count(*) n from {t} where volume > :v", {"t": flat}, {"v": 5}).first().n == 1
 
 
+@pytest.mark.parametrize("name", sorted(tables.SCHEMAS))
+def test_conform_gives_the_declared_columns(spark, name):
+    out = tables.conform(spark.createDataFrame([("T", "")], "token_address string, junk string"), name)
+    assert out.schema.names == tables.SCHEMAS[name].names
+    row = out.first()
+    assert row.token_address == "t" and all(row[c] == "0" for c in tables.ZERO_RAW.get(name, ()))
+
+
+def test_conformed_tables_feed_the_operators(spark, tmp_path):
+    from tidemark.operators import prices
+
+    pools = spark.createDataFrame([("p1", "p1", "tgt", "USDC", "v3", 0, True)], POOLS)
+    rows = [("T", 1, 0, 10, "P1", "a", "TGT", "USDC", "2" + "0" * 24, "5" + "0" * 12, 5e6)]
+    tables.write_table(spark.createDataFrame(rows, SWAPS), str(tmp_path), "swaps")
+    got = prices.priced_swaps(tables.read_table(spark, str(tmp_path), "swaps"), pools, target="tgt").first()
+    assert (got.pool, got.target, got.price) == ("p1", 2e6, 2.5)
+
+
+def test_other_sources(spark, tmp_path):
+    line = '{"token_address": "T", "block_number": 1, "log_index": 2, "transaction_hash": "0xA", "event_type": "SWAP", "token0_raw": "5"}\n'
+    (tmp_path / "a.jsonl").write_text(line + line)
+    rows = tables.read_event_lines(spark, f"{tmp_path}/*.jsonl", "swaps").collect()
+    assert [(r.token0_raw, r.token1_raw, r.transaction_hash) for r in rows] == [("5", "0", "0xa")]
+    for k, text in enumerate(('[{"pool": "0xP", "token0": "X", "token1": "TGT"}]', '{"data": [{"address": "0xP", "token0": "X", "token1": "Y"}]}')):
+        (tmp_path / f"pools{k}.json").write_text(text)
+        r = tables.read_pools_file(spark, f"{tmp_path}/pools{k}.json", "tgt").first()
+        assert (r.pool_address, r.matches) == ("0xp", k == 0)
+    tables.write_summary(spark, f"{tmp_path}/s", holders=3, name="x")
+    assert tables.read_summary(spark, f"{tmp_path}/s") == {"holders": 3, "name": "x"}
+    assert tables.read_summary(spark, f"{tmp_path}/none", {"holders": 0}) == {"holders": 0}
+    tables.write_csv(spark.createDataFrame([(2, "b"), (1, "a")], "k int, v string"), f"{tmp_path}/c", ["v", "k"], ["k"])
+    assert [tuple(r) for r in spark.read.option("header", True).csv(f"{tmp_path}/c").collect()] == [("a", "1"), ("b", "2")]
+    assert tables.registry(spark, [("u", "v2", "0xF", True), ("u", "v1", "0xG", False)]).first().factory == "0xf"
+
+
 LOG = "token_address string, block_number long, log_index int, block_timestamp long, transaction_hash string, event_name string, pool_address string, sender string, recipient string, token_id long"
 NUMBERS = ["amount0", "amount1", "amount0_in", "amount0_out", "amount1_in", "amount1_out", "liquidity", "delta"]
 

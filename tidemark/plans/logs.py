@@ -343,3 +343,39 @@ def address_roles(spark, d):
     venues = dex.select("token_address", "transaction_hash", "protocol").distinct()
     same_tx = rows.where("family = 'erc20'").drop("protocol").join(venues, ["token_address", "transaction_hash"]).select("token_address", F.col("actor").alias("address"), "protocol", F.lit(False).alias("lp"), F.lit(True).alias("swap"))
     return states.address_roles(side("actor"), side("recipient"), same_tx)
+
+
+# labels and scalars
+
+@query("dedupe_pools", ctes("pools", "raw_logs") + "select pool_address, min(ordinal) as ordinal, (select count(*) from raw_logs r where r.pool_address = p.pool_address) as logs from pools p group by 1")
+def dedupe_pools(spark, d):
+    twice = view(spark, d, "pools").union(view(spark, d, "pools").withColumn("ordinal", F.col("ordinal") + 100))
+    n = view(spark, d, "raw_logs").groupBy("pool_address").agg(F.count("*").alias("logs"))
+    return pools.dedupe_pools(twice).select("pool_address", "ordinal").join(n, "pool_address", "left").withColumn("logs", F.coalesce("logs", F.lit(0)))
+
+
+@query("label_pools", ctes("pools", "swaps") + ", l as (select pool_address as address, 'pool' as label from pools union select custody_address, 'custody' from pools where custody_address not in (select pool_address from pools)) select s.token_address, l.address, l.label, count(*) as swaps from swaps s join l on s.pool_address = l.address group by 1, 2, 3")
+def label_pools(spark, d):
+    labels = pools.label_pools(view(spark, d, "pools"))
+    return view(spark, d, "swaps").withColumnRenamed("pool_address", "address").join(labels, "address").groupBy("token_address", "address", "label").agg(F.count("*").alias("swaps"))
+
+
+@query("chart_span", ctes("swaps") + ", b as (select token_address, max(block_number) - min(block_number) as blocks from swaps group by 1) select token_address, blocks, case when blocks >= 180000 then 'month' when blocks >= 45000 then 'week' else 'day' end as span, case when blocks >= 180000 then 86400 else 3600 end as bucket_seconds from b")
+def chart_span(spark, d):
+    blocks = view(spark, d, "swaps").groupBy("token_address").agg((F.max("block_number") - F.min("block_number")).alias("blocks"))
+    span = scalars.chart_span(F.col("blocks"))
+    return blocks.select("token_address", "blocks", span.alias("span"), F.when(span == "month", 86_400).otherwise(3600).alias("bucket_seconds"))
+
+
+@query("event_matches_pool", ctes("pools", "swaps") + "select s.token_address, p.pool_address, count(*) filter (least(s.token0_address, s.token1_address) = least(p.token0, p.token1) and greatest(s.token0_address, s.token1_address) = greatest(p.token0, p.token1)) as matching, count(*) as swaps from swaps s join pools p using (pool_address) group by 1, 2")
+def event_matches_pool(spark, d):
+    rows = view(spark, d, "swaps").join(view(spark, d, "pools").select("pool_address", "token0", "token1"), "pool_address")
+    same = scalars.same_pair(F.col("token0_address"), F.col("token1_address"), F.col("token0"), F.col("token1"))
+    return rows.groupBy("token_address", "pool_address").agg(F.count_if(same).alias("matching"), F.count("*").alias("swaps"))
+
+
+@query("v2_price", ctes("tvl_points", "pools") + "select t.token_address, t.block_number, t.log_index, round((tvl_raw * 3.0 / 1e6) / nullif(tvl_raw / 1e18, 0), 3) as price from tvl_points t join pools p using (pool_address) where p.quote_decimals = 6")
+def v2_price(spark, d):
+    rows = view(spark, d, "tvl_points").join(view(spark, d, "pools").where("quote_decimals = 6").select("pool_address"), "pool_address", "left_semi")
+    price = money.v2_price(F.col("tvl_raw").cast("string"), (F.col("tvl_raw") * 3).cast("string"), F.lit(18), F.lit(6))
+    return rows.select("token_address", "block_number", "log_index", F.round(price, 3).alias("price"))
