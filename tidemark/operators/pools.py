@@ -65,7 +65,7 @@ def pool_coverage(pools: DataFrame, tvl: DataFrame) -> DataFrame:
 
 def label_pools(pools: DataFrame) -> DataFrame:
     """Address labels of pools and custody addresses; the first label of an address wins."""
-    rows = pools.select(F.explode(F.array(F.struct(F.col("pool_address").alias("address"), F.lit("pool").alias("label"), F.lit(0).alias("p")), F.struct(F.col("custody_address"), F.lit("custody"), F.lit(1)))).alias("x")).select("x.*")
+    rows = pools.select(F.explode(F.array(F.struct(F.col("pool_address").alias("address"), F.lit("pool").alias("label"), F.lit(0).alias("p")), F.struct(F.col("custody_address").alias("address"), F.lit("custody").alias("label"), F.lit(1).alias("p")))).alias("x")).select("x.*")
     return rows.groupBy("address").agg(F.min_by("label", "p").alias("label"))
 
 
