@@ -336,3 +336,28 @@ def test_verification(spark):
     facts = spark.createDataFrame([("a", True, True, None, False), ("b", False, True, True, True), ("c", True, None, None, None)], "pool_address string, trusted_factory boolean, bytecode boolean, fee boolean, reserves boolean")
     got = {r.pool_address: (r.verification_confidence, r.verified) for r in pools.score_verification(facts, ["bytecode", "fee", "reserves"]).collect()}
     assert got == {"a": (0.5, True), "b": (0.0, False), "c": (0.0, False)}
+
+
+def test_discovery_facts(spark):
+    from tidemark.operators import states
+
+    code = spark.createDataFrame([("c", "0x6080AABBCCDD", "0x00"), ("d", "0x60", "0x000f")], "contract string, bytecode string, implementation_slot string")
+    assert {r.contract: (r.flags, r.is_proxy) for r in states.behavior_flags(code, {"mint": "aabbccdd", "pause": "11223344"}).collect()} == {"c": (["mint"], False), "d": ([], True)}
+    topic = lambda x: "0x" + "0" * 24 + x * 40
+    logs = spark.createDataFrame([(topic("a"), topic("b"), "0xP", 5), (topic("a"), topic("b"), "0xp", 3), (topic("b"), topic("c"), "0xq", 1)], "topic1 string, topic2 string, pool_address string, block_number long")
+    assert [tuple(r) for r in states.creation_logs(logs, "0x" + "A" * 40).collect()] == [("0xp", "0x" + "a" * 40, "0x" + "b" * 40, 3)]
+    mapped = spark.createDataFrame([("0x" + "1" * 64, "balancer", "v2", ["t", "q"]), ("0xshort", "uniswap", "v4", ["t", "q"]), ("0x" + "2" * 64, "uniswap", "v4", ["z", "t"]), ("0xp", "uniswap", "v9", ["t"])], "pool string, adapter string, version string, hints array<string>")
+    known = spark.createDataFrame([("balancer", "v2", "f1"), ("uniswap", "v4", "f2")], "adapter string, version string, factory string")
+    assert {(r.pool_address, r.counter) for r in states.pool_candidates(mapped, known, "t").collect()} == {("0x" + "1" * 40, "q"), ("0x" + "2" * 64, "z")}
+
+
+def test_reserves_by_events(spark):
+    from tidemark.operators import states
+
+    steps = [("change", 5), ("change", -9), ("sync", 7), ("change", -4), ("change", -10), ("change", 2), ("sync", 1)]
+    rows = spark.createDataFrame([("T", "p", i, 0, k, a) for i, (k, a) in enumerate(steps)], "token_address string, pool_address string, block_number long, log_index int, kind string, amount long")
+    run, want = 0, []
+    for kind, amount in steps:
+        run = amount if kind == "sync" else max(0, run + amount)
+        want.append(run)
+    assert [r.reserve for r in states.tvl_accumulate(rows).orderBy("block_number").collect()] == want

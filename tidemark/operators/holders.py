@@ -49,7 +49,7 @@ def balance_source_cascade(addresses: DataFrame, historical: DataFrame, latest:
     h, late = historical.withColumnRenamed("balance_raw", "_h"), latest.withColumnRenamed("balance_raw", "_l")
     rows = addresses.join(h, [TOKEN, "address"], "left").join(late, [TOKEN, "address"], "left")
     source = F.when(F.col("_h").isNotNull(), "historical").when(F.col("_l").isNotNull(), "latest").otherwise("zero_fill")
-    return rows.select(TOKEN, "address", F.coalesce("_h", "_l", F.lit(0)).cast("long").alias("balance_raw"), source.alias("balance_source"))
+    return rows.select(TOKEN, "address", F.coalesce("_h", "_l", F.lit(0)).alias("balance_raw"), source.alias("balance_source"))
 
 
 def top_holders(balances: DataFrame, n: int = 20) -> DataFrame:
@@ -84,10 +84,12 @@ def position_amounts(liquidity: Column, tick_lower: Column, tick_upper: Column,
 
 def position_share(positions: DataFrame, ticks: DataFrame) -> DataFrame:
     """Share of the liquidity in range at each pool's tick; 0 out of range. ticks: pool_address, tick."""
-    rows = positions.join(F.broadcast(ticks), "pool_address")
+    rows = positions.join(ticks, "pool_address")
     inside = (F.col("tick_lower") <= F.col("tick")) & (F.col("tick") < F.col("tick_upper"))
-    active = F.sum(F.when(inside, F.col("liquidity")).otherwise(0)).over(Window.partitionBy(TOKEN, "pool_address"))
-    return rows.select(TOKEN, "token_id", "pool_address", "owner", "liquidity", inside.alias("in_range"), F.when(inside, F.round(F.try_divide(100 * F.col("liquidity"), active), 6)).otherwise(0.0).alias("share_pct"))
+    # in range by pool, summed before the shuffle and joined back: a hot pool is no one task
+    active = rows.where(inside).groupBy(TOKEN, "pool_address").agg(F.sum("liquidity").alias("_active"))
+    rows = rows.join(active, [TOKEN, "pool_address"], "left")
+    return rows.select(TOKEN, "token_id", "pool_address", "owner", "liquidity", inside.alias("in_range"), F.when(inside, F.round(F.try_divide(100 * F.col("liquidity"), F.col("_active")), 6)).otherwise(0.0).alias("share_pct"))
 
 
 def lp_concentration(shares: DataFrame, top_n: int = 5) -> DataFrame:

@@ -56,7 +56,8 @@ def score_verification(facts: DataFrame, checks: list[str], least: float = 0.3)
 def pool_coverage(pools: DataFrame, tvl: DataFrame) -> DataFrame:
     """Per token: verified pools, those with a TVL observation, and the v4 pools without one."""
     measured = tvl.select(TOKEN, "pool_address").distinct().withColumn("seen", F.lit(True))
-    grid = tvl.select(TOKEN).distinct().crossJoin(F.broadcast(pools.where("verified")))  # tokens times a dimension
+    # each token with the verified pools of its own chain; here, all of a dimension whose size does not grow with the events
+    grid = tvl.select(TOKEN).distinct().join(pools.where("verified"), F.lit(True))
     rows = grid.join(measured, [TOKEN, "pool_address"], "left")
     return rows.groupBy(TOKEN).agg(F.count("*").alias("verified_pools"), F.count("seen").alias("measured_pools"), F.count_if((F.col("version") == "v4") & F.col("seen").isNull()).alias("missing_v4")).withColumn(
         "coverage_pct", F.round(100 * F.try_divide("measured_pools", "verified_pools"), 4)

@@ -208,3 +208,13 @@ def activity_series(spine: DataFrame, metrics: dict[str, DataFrame], by: list[st
     for name, frame in metrics.items():
         rows = rows.join(frame.select(*by, name), by, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
     return rows
+
+
+def lead_lag_matrix(series: DataFrame, features: list[str], order: str, by: list[str], max_lag: int = 6) -> DataFrame:
+    """r of every ordered pair of different features at each lag (y so many rows after x), 0 where undefined."""
+    numbered = series.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
+    each = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("v")) for f in features])
+    values = numbered.select(*by, "i", F.explode(each).alias("e")).select(*by, "i", "e.*")
+    left = values.select(*by, F.col("f").alias("x"), F.col("v").alias("u"), F.col("i").alias("j"), F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag")).withColumn("i", F.col("j") + F.col("lag"))
+    pairs = left.join(values.select(*by, "i", F.col("f").alias("y"), "v"), [*by, "i"]).where("x <> y")
+    return pearson(pairs, "u", "v", [*by, "x", "y", "lag"]).withColumn("r", F.coalesce("r", F.lit(0.0)))

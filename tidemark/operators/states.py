@@ -126,3 +126,63 @@ def address_roles(*signals: DataFrame) -> DataFrame:
     """Per address and protocol: whether it provides liquidity and whether it swaps, from any of the signals (token_address, address, protocol, lp, swap)."""
     rows = reduce(lambda a, b: a.unionByName(b), signals)
     return rows.groupBy(TOKEN, "address", "protocol").agg(F.bool_or("lp").alias("lp"), F.bool_or("swap").alias("swap"))
+
+
+def tvl_accumulate(changes: DataFrame) -> DataFrame:
+    """Running reserve of each pool by event order, never under 0; a sync sets it. changes: kind ('sync' or 'change'), amount.
+
+    Between syncs it is the running sum less its running minimum under 0, so windows do and no loop over events.
+    """
+    order = Window.partitionBy(TOKEN, "pool_address").orderBy("block_number", "log_index")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = changes.withColumn("_segment", F.count_if(F.col("kind") == "sync").over(upto))
+    inside = Window.partitionBy(TOKEN, "pool_address", "_segment").orderBy("block_number", "log_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_s", F.sum("amount").over(inside))
+    return rows.withColumn("reserve", F.col("_s") - F.least(F.lit(0), F.min("_s").over(inside))).drop("_s", "_segment")
+
+
+def span_tvl(tvl: DataFrame, days: int, bucket: int) -> DataFrame:
+    """Each pool's last TVL in wider buckets, of the last days before the token's last observation."""
+    end = tvl.groupBy(TOKEN).agg(F.max("block_timestamp").alias("_end"))
+    rows = tvl.join(end, TOKEN).where(F.col("block_timestamp") > F.col("_end") - days * 86_400)
+    at = (F.floor(F.col("block_timestamp") / bucket) * bucket).cast("long")
+    return rows.groupBy(TOKEN, at.alias("bucket"), "pool_address").agg(F.max_by("tvl_raw", F.struct("block_number", "log_index")).alias("tvl_raw"))
+
+
+def rank_token_candidates(pairs: DataFrame, symbol: str, n: int) -> DataFrame:
+    """The n best tokens for a symbol: each by its pair of most liquidity, the exact symbol first. pairs: token, pair, liquidity."""
+    best = pairs.groupBy("token").agg(F.max_by("pair", F.struct("liquidity", "pair")).alias("pair"), F.max("liquidity").alias("liquidity"))
+    exact = F.upper("token") == symbol.upper()
+    order = Window.orderBy(exact.desc(), F.desc("liquidity"), "token")  # one row for each token that matches a search
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+def run_index(holders: DataFrame, pools: DataFrame, risk: DataFrame) -> DataFrame:
+    """A row for each token: holders, pools, score and level of risk. Each argument: token_address and its columns."""
+    return holders.join(pools, TOKEN, "full_outer").join(risk, TOKEN, "full_outer")
+
+
+def behavior_flags(contracts: DataFrame, selectors: dict[str, str]) -> DataFrame:
+    """contract, flags: the names of the four-byte selectors that its bytecode holds, and whether it is a proxy: a slot of a
+    known implementation is set. contracts: contract, bytecode, implementation_slot."""
+    found = F.array_compact(F.array(*[F.when(F.contains(F.lower("bytecode"), F.lit(code.lower())), F.lit(name)) for name, code in sorted(selectors.items())]))
+    slot = F.regexp_replace(F.coalesce("implementation_slot", F.lit("")), "^0x0*", "")
+    return contracts.select("contract", found.alias("flags"), (slot != "").alias("is_proxy"))
+
+
+def creation_logs(logs: DataFrame, target: str) -> DataFrame:
+    """Pools whose creation names the target: topics 1 and 2 hold its tokens. logs: topic1, topic2, pool_address, block_number."""
+    token = lambda t: F.concat(F.lit("0x"), F.right(F.lower(t), F.lit(40)))
+    rows = logs.select(F.lower("pool_address").alias("pool_address"), token("topic1").alias("token0"), token("topic2").alias("token1"), "block_number")
+    rows = rows.where((F.col("token0") == target.lower()) | (F.col("token1") == target.lower()))
+    return rows.groupBy("pool_address", "token0", "token1").agg(F.min("block_number").alias("block_number"))
+
+
+def pool_candidates(mapped: DataFrame, deployments: DataFrame, target: str) -> DataFrame:
+    """Candidates of known deployments with their counter token. mapped: pool, adapter, version, hints (tokens seen). A vault's
+    id of 32 bytes stands for its first 20; v4 pools need an id of 32 bytes; the target must be among the hints."""
+    rows = mapped.join(deployments, ["adapter", "version"]).where(F.array_contains("hints", target))
+    long = F.length("pool") == 66
+    rows = rows.where((F.col("version") != "v4") | long)
+    pool = F.when((F.col("adapter") == "balancer") & long, F.substring("pool", 1, 42)).otherwise(F.col("pool"))
+    return rows.select(pool.alias("pool_address"), "adapter", "version", "factory", F.try_element_at(F.array_sort(F.filter("hints", lambda x: x != target)), F.lit(1)).alias("counter"))

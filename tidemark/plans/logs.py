@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from tidemark.functions import money, scalars
-from tidemark.operators import events, holders, pools, states
-from tidemark.plans.flows import PR, PRICED, _priced
-from tidemark.plans.queries import POS, _shares, query
+from tidemark.operators import asof, events, holders, pools, research, states, wallets
+from tidemark.plans.flows import LABELS, PR, PRICED, RISK, _position_labels, _priced, risk_score
+from tidemark.plans.queries import POS, _daily, _shares, query
+from tidemark.plans.queries import PAIR as DAILY
 from tidemark.sources.adapters import ctes, view
 
 LOGS = ctes("pools", "raw_logs", "position_keys") + """, pp as (select k.token_id, arg_min(p.pool_address, p.ordinal) as pool_address from (select distinct * from position_keys) k left join pools p on k.token0 = p.token0 and k.token1 = p.token1 and k.fee = p.fee group by 1),
@@ -379,3 +380,58 @@ def v2_price(spark, d):
     rows = view(spark, d, "tvl_points").join(view(spark, d, "pools").where("quote_decimals = 6").select("pool_address"), "pool_address", "left_semi")
     price = money.v2_price(F.col("tvl_raw").cast("string"), (F.col("tvl_raw") * 3).cast("string"), F.lit(18), F.lit(6))
     return rows.select("token_address", "block_number", "log_index", F.round(price, 3).alias("price"))
+
+
+@query("tvl_accumulate", ctes("tvl_points", "liquidity_events") + """, ch as (select token_address, pool_address, block_number, log_index, 'sync' as kind, tvl_raw as amount from tvl_points union all select token_address, pool_address, block_number, log_index, 'change', liquidity_delta * 5000 from liquidity_events where event_type = 'LIQUIDITY_REMOVE' and version = 'v4' or event_type = 'LIQUIDITY_ADD'),
+sg as (select *, count(*) filter (kind = 'sync') over (partition by token_address, pool_address order by block_number, log_index rows between unbounded preceding and current row) as segment from ch),
+sm as (select *, sum(amount) over w as s from sg window w as (partition by token_address, pool_address, segment order by block_number, log_index rows between unbounded preceding and current row))
+select token_address, pool_address, block_number, log_index, kind, cast(s - least(0, min(s) over (partition by token_address, pool_address, segment order by block_number, log_index rows between unbounded preceding and current row)) as bigint) as reserve from sm""")
+def tvl_accumulate(spark, d):
+    at = ["token_address", "pool_address", "block_number", "log_index"]
+    syncs = view(spark, d, "tvl_points").select(*at, F.lit("sync").alias("kind"), F.col("tvl_raw").alias("amount"))
+    moves = view(spark, d, "liquidity_events").where("event_type = 'LIQUIDITY_REMOVE' and version = 'v4' or event_type = 'LIQUIDITY_ADD'").select(*at, F.lit("change"), (F.col("liquidity_delta") * 5000))
+    return states.tvl_accumulate(syncs.union(moves)).select(*at, "kind", "reserve")
+
+
+@query("span_tvl_7d", ctes("tvl_points") + ", m as (select *, max(block_timestamp) over (partition by token_address) as e from tvl_points) select token_address, block_timestamp // 86400 * 86400 as bucket, pool_address, arg_max(tvl_raw, row(block_number, log_index)) as tvl_raw from m where block_timestamp > e - 7 * 86400 group by 1, 2, 3")
+def span_tvl_7d(spark, d):
+    return states.span_tvl(view(spark, d, "tvl_points"), 7, 86_400)
+
+
+@query("bucket_cover", ctes("pools", "swaps", "tvl_points") + DAILY[DAILY.index(", pairs as") :] + "select t.token_address, t.block_number, t.log_index, v.bucket as volume_bucket, v.volume from tvl_points t asof left join dv v on t.token_address = v.token_address and t.block_timestamp >= v.bucket")
+def bucket_cover(spark, d):
+    """The volume bucket that covers each TVL observation, else the nearest earlier one."""
+    volume = _daily(spark, d).select("token_address", F.col("bucket").alias("_b"), F.col("bucket").alias("volume_bucket"), "volume")
+    rows = asof.asof_join(view(spark, d, "tvl_points"), volume, ["token_address"], "block_timestamp", "_b", ["volume_bucket", "volume"])
+    return rows.select("token_address", "block_number", "log_index", "volume_bucket", "volume")
+
+
+@query("lead_lag_matrix", DAILY + """, nm as (select *, row_number() over (partition by token_address order by bucket) as i from dv), ft as (select token_address, i, unnest(['volume', 'n_swaps']) as f, unnest([volume::double, n_swaps::double]) as v from nm),
+pp as (select x.token_address, x.f as x, y.f as y, g.lag, x.v as u, y.v as v from ft x, (select unnest(range(-2, 3)) as lag) g, ft y where y.token_address = x.token_address and y.i = x.i + g.lag and x.f <> y.f and x.v is not null and y.v is not null)
+select token_address, x, y, cast(lag as int) as lag, count(*) as n, coalesce(case when count(*) >= 3 then round(covar_pop(u, v) / nullif(stddev_pop(u) * stddev_pop(v), 0), 6) end, 0) as r from pp group by 1, 2, 3, 4""")
+def lead_lag_matrix(spark, d):
+    return research.lead_lag_matrix(_daily(spark, d), ["volume", "n_swaps"], "bucket", ["token_address"], 2)
+
+
+@query("rank_token_candidates", ctes("pools", "tvl_points") + """, l as (select pool_address, max(tvl_raw) as liquidity from tvl_points group by 1), pr as (select case when token0 = 'TGT' then token1 else token0 end as token, pool_address as pair, liquidity from pools join l using (pool_address)),
+b as (select token, arg_max(pair, row(liquidity, pair)) as pair, max(liquidity) as liquidity from pr group by 1) select *, cast(row_number() over (order by token = 'USDC' desc, liquidity desc, token) as int) as rank from b qualify rank <= 3""")
+def rank_token_candidates(spark, d):
+    liquidity = view(spark, d, "tvl_points").groupBy("pool_address").agg(F.max("tvl_raw").alias("liquidity"))
+    pairs = view(spark, d, "pools").join(liquidity, "pool_address").select(F.when(F.col("token0") == "TGT", F.col("token1")).otherwise(F.col("token0")).alias("token"), F.col("pool_address").alias("pair"), "liquidity")
+    return states.rank_token_candidates(pairs, "usdc", 3)
+
+
+@query("run_index", RISK.replace("with ", ctes("balance_ledger") + ", ", 1) + """, hh as (select token_address, count(*) as holders from (select token_address, address, arg_max(balance_raw, block_number) as b from balance_ledger group by 1, 2) where b > 0 group by 1), pc as (select token_address, count(distinct pool_address) as pools from liquidity_events group by 1)
+select token_address, holders, pools, round(fin, 4) as final_score, case when fin >= 0.7 then 'HIGH' when fin >= 0.4 then 'MEDIUM' else 'LOW' end as risk_level from rk join hh using (token_address) join pc using (token_address)""")
+def run_index(spark, d):
+    held = holders.balance_at_block(view(spark, d, "balance_ledger"), 1 << 60).where("balance_raw > 0").groupBy("token_address").agg(F.count("*").alias("holders"))
+    seen = view(spark, d, "liquidity_events").groupBy("token_address").agg(F.count_distinct("pool_address").alias("pools"))
+    return states.run_index(held, seen, risk_score(spark, d).select("token_address", "final_score", "risk_level"))
+
+
+@query("labels", LABELS + """, rv as (select token_address, to_address as address, 'frequent_receiver' as label from transfers group by 1, 2 having count(*) >= 5 qualify row_number() over (partition by token_address order by count(*) desc, address) <= 20),
+sn as (select token_address, from_address as address, 'frequent_sender' as label from transfers group by 1, 2 having count(*) >= 5 qualify row_number() over (partition by token_address order by count(*) desc, address) <= 20),
+al as (select token_address, address, label from lp union all select * from rv union all select * from sn where not exists (select 1 from rv where rv.token_address = sn.token_address and rv.address = sn.address))
+select * from al union all select token_address, unnest(['0x0000000000000000000000000000000000000000', '0x000000000000000000000000000000000000dead']), 'Burn' from (select distinct token_address from al)""")
+def labels(spark, d):
+    return wallets.labels(_position_labels(spark, d), wallets.label_transfer_frequency(view(spark, d, "transfers")))
