@@ -43,3 +43,37 @@ def test_balance_state(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("balances").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert tuple(spark.table("balances").first()) == ("T", "a", 100, 80, 500, 400, 420)
+
+
+def test_late_blocks_do_not_become_the_end(spark, tmp_path):
+    schema = "token_address string, address string, block_number long, balance_raw long"
+    for k, row in enumerate([("T", "a", 5, 100), ("T", "a", 9, 300), ("T", "a", 7, 50), ("T", "a", 10, 200)]):
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        import time
+
+        time.sleep(1.1 if k < 3 else 0)  # files are taken in order of their time
+    stream = E.stream_balance_state(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+    q = stream.writeStream.format("memory").queryName("late").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    states = {tuple(r)[2:] for r in spark.table("late").collect()}
+    assert states == {(100, 100, 100, 0, 0), (100, 300, 300, 200, 0), (100, 200, 300, 200, 100)}
+
+
+def test_rollup_over_sliding_spans(spark, folder):
+    path, df = folder
+    out = run(spark, E.stream_rollup(E.stream_events(spark, f"{path}/in", df.schema), span="2 hours", slide="1 hour"), path)
+    for r in out.collect():
+        rows = [10 + i for i in range(20) if r.span_end.hour - 2 <= i // 4 < r.span_end.hour]
+        assert r.volume == 2 * sum(rows)
+    assert out.count() >= 3
+
+
+def test_migration_stream_equals_batch(spark, tmp_path):
+    schema = "token_address string, actor string, block_number long, ts timestamp"
+    at = lambda i: f"2024-01-01 00:00:{i:02d}"
+    rows = lambda *r: spark.createDataFrame([("T", a, b, at(b)) for a, b in r], schema.replace("timestamp", "string")).withColumn("ts", F.to_timestamp("ts"))
+    rows(("x", 1), ("y", 2), ("z", 3)).coalesce(1).write.parquet(f"{tmp_path}/r")
+    rows(("x", 4), ("y", 30), ("x", 1), ("w", 3)).coalesce(1).write.parquet(f"{tmp_path}/a")
+    read = lambda side: E.stream_events(spark, f"{tmp_path}/{side}", spark.read.parquet(f"{tmp_path}/{side}").schema)
+    out = run(spark, E.stream_migration(read("r"), read("a")), tmp_path)
+    assert sorted(tuple(r) for r in out.collect()) == [("T", "x", 1, 1), ("T", "x", 1, 4)]

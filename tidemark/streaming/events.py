@@ -53,17 +53,22 @@ BALANCE = "token_address string, address string, start_balance long, end_balance
 
 
 def stream_balance_state(ledger: DataFrame) -> DataFrame:
-    """Start, end, peak and what moved in and out of each address, kept as state. ledger rows: token_address, address, block_number, balance_raw."""
+    """Start, end, peak and what moved in and out of each address, kept as state. ledger rows: token_address, address, block_number, balance_raw.
+
+    Rows of one trigger are taken in order of block; a row that comes after one of a later block is too late for the
+    running state and is left out, so it never stands for the end.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values("block_number")
-        start, end, peak, inn, out = state.get if state.exists else (int(rows.balance_raw.iloc[0]),) * 3 + (0, 0)
-        for balance in rows.balance_raw.astype("int64"):
-            inn, out, end, peak = inn + max(0, balance - end), out + max(0, end - balance), int(balance), max(peak, int(balance))
-        state.update((start, end, peak, int(inn), int(out)))
+        start, end, peak, inn, out, last = state.get if state.exists else (int(rows.balance_raw.iloc[0]),) * 3 + (0, 0, -1)
+        for block, balance in zip(rows.block_number.astype("int64"), rows.balance_raw.astype("int64"), strict=True):
+            if block >= last:
+                inn, out, end, peak, last = inn + max(0, balance - end), out + max(0, end - balance), int(balance), max(peak, int(balance)), int(block)
+        state.update((start, end, peak, int(inn), int(out), last))
         yield pd.DataFrame([[*key, start, end, peak, inn, out]], columns=["token_address", "address", "start_balance", "end_balance", "peak_balance", "moved_in", "moved_out"])
 
-    return ledger.groupBy("token_address", "address").applyInPandasWithState(step, BALANCE, "s long, e long, p long, i long, o long", "update", GroupStateTimeout.NoTimeout)
+    return ledger.groupBy("token_address", "address").applyInPandasWithState(step, BALANCE, "s long, e long, p long, i long, o long, b long", "update", GroupStateTimeout.NoTimeout)
 
 
 def stream_sink(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
