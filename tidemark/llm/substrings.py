@@ -36,7 +36,7 @@ PACKED = "bucket int, kind int, ids binary, keys binary, counts binary, a binary
 #: Places in the documents of a share: runs of (start, length), or remainders of hashes with the bucket they came from.
 MARKS = "share int, bucket int, keys binary, counts binary, places binary"
 #: Bytes of text of a share, which one worker holds at a time.
-SHARE_BYTES = 32 << 20
+SHARE_BYTES = 128 << 20
 RUNS = -1
 LAST = (1 << 63) - 1
 #: Entries gathered before they are compared within the task, and documents worked on at a time.
