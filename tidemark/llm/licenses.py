@@ -147,7 +147,7 @@ OTHER = r"[^A-Za-z0-9\x01\x02]+"
 
 def sentences(text: Column) -> Column:
     """Normalised sentences of a text, the empty ones left out; their lines are parted by the character 2."""
-    plain = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), COMMENT, "$1"), COMMENT, "$1")
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), COMMENT, "$1")
     cut = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, BREAK, "\x01"), LINE, "\x02"), OTHER, " ")
     return F.filter(F.split(F.lower(cut), "\x01"), lambda s: F.trim(s, F.lit(" \x02")) != "")
 
@@ -168,9 +168,11 @@ def license_scans(documents: DataFrame) -> DataFrame:
     names = list(SENTENCES.values())
     found = documents.select("doc_id", sentences(F.col("text").cast("string")).alias("s"))
     # a sentence counts whole; an unknown one by its lines
-    lines = lambda x: F.transform(F.split(x, "\x02"), lambda y: F.trim(y))
-    known_parts = F.transform("s", lambda x: F.when(_joined(x).isin(names), F.array(_joined(x))).otherwise(F.filter(lines(x), lambda y: y.isin(names))))
-    found = found.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.flatten(known_parts).alias("s"))
+    lines = lambda x: F.filter(F.transform(F.split(x, "\x02"), lambda y: F.trim(y)), lambda y: y.isin(names))
+    none = F.array().cast("array<string>")
+    whole = F.transform("s", lambda x: F.struct(F.when(F.contains(x, F.lit("\x02")), _joined(x)).otherwise(F.trim(x)).alias("whole"), x.alias("own")))
+    known_parts = F.transform("s", lambda x: F.when(x["whole"].isin(names), F.array(x["whole"])).when(F.contains(x["own"], F.lit("\x02")), lines(x["own"])).otherwise(none))
+    found = found.select("doc_id", whole.alias("s")).select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.flatten(known_parts).alias("s"))
     found = found.select("doc_id", "n_sentences", F.transform("s", lambda x: F.element_at(known, x)).alias("identifiers"))
     start = F.struct(
         F.array_join(F.transform("identifiers", lambda i: F.concat(F.lit("|"), i, F.lit("|"))), "").alias("left"),
@@ -217,7 +219,7 @@ def _oracle() -> str:
         )
         last = f"r{k}"
     comment, line, other = COMMENT, LINE, OTHER
-    plain = rf"regexp_replace(regexp_replace(coalesce(text, ''), '{comment}', '\1', 'g'), '{comment}', '\1', 'g')"
+    plain = rf"regexp_replace(coalesce(text, ''), '{comment}', '\1', 'g')"
     return rf"""
 with known(s, id) as (values {values}),
 d as (select doc_id, row_number() over () as rid, string_split(lower(regexp_replace(regexp_replace(regexp_replace({plain}, '{brk}', chr(1), 'g'), '{line}', chr(2), 'g'), '{other}', ' ', 'g')), chr(1)) as parts from documents),
