@@ -211,9 +211,9 @@ def _runs(rows: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, ...]:
 
 def superstep(rows: DataFrame, n_rows: int, capacity: int) -> tuple[DataFrame, DataFrame]:
     """One matching of gaps and items (kind, id, size): what is left of both, and the placements."""
-    spark = rows.sparkSession
-    ranged = rows.repartitionByRange(max(1, -(-n_rows // ROWS)), F.desc("size"), "kind", "id").sortWithinPartitions(F.desc("size"), "kind", "id")
-    swept = K.checkpointed(K.map_batches(ranged, STATE, _sweep(capacity)))
+    spark, parts = rows.sparkSession, max(1, -(-n_rows // ROWS))
+    ranged = rows.repartitionByRange(parts, F.desc("size"), "kind", "id").sortWithinPartitions(F.desc("size"), "kind", "id")
+    swept = K.checkpointed(K.map_batches(ranged, STATE, _sweep(capacity))).coalesce(parts)  # read by as many tasks as its size asks for
     placed = swept.where("kind = 2")
     alone = swept.where("rank >= 0").groupBy("part").agg(F.sum("kind").alias("items"), F.sum(1 - F.col("kind")).alias("gaps")).orderBy("part").collect()  # a row for each range
     gaps, items = resolve([(r.part, r["items"], r.gaps) for r in alone])
@@ -221,14 +221,14 @@ def superstep(rows: DataFrame, n_rows: int, capacity: int) -> tuple[DataFrame, D
         return swept.where("kind < 2").select("kind", "id", "size"), placed
     shared = spark.sparkContext.broadcast((_runs(gaps), _runs(items)))
     numbered = K.map_batches(swept.where("rank >= 0").select("kind", "id", "size", "part", "rank"), "kind int, id long, size long, pair long", _numbered(shared))
-    numbered = K.checkpointed(numbered)
+    numbered = K.checkpointed(numbered)  # by the tasks that read the sweep
     one = numbered.where("kind = 0 and pair >= 0").select("pair", F.col("id").alias("sequence"), F.col("size").alias("gap"))
     two = numbered.where("kind = 1 and pair >= 0").select("pair", F.col("id").alias("item"), "size")
-    met = K.checkpointed(one.join(two, "pair"))
+    met = K.checkpointed(one.join(two, "pair")).coalesce(parts)
     left = numbered.where("pair < 0").select("kind", "id", "size").union(swept.where("kind = 0 and rank < 0").select("kind", "id", "size"))
     left = left.union(met.where("gap > size").select(F.lit(0), "sequence", F.col("gap") - F.col("size")))
     met = met.select(F.lit(2).alias("kind"), F.col("sequence").alias("id"), "size", "item", (capacity - F.col("gap")).alias("offset"), F.lit(-1).alias("part"), F.lit(-1).cast("long").alias("rank"))
-    return left, placed.union(met)
+    return left.coalesce(parts), placed.union(met).coalesce(parts)
 
 
 def opened(items: DataFrame, n: int, capacity: int) -> tuple[DataFrame, DataFrame]:
@@ -251,6 +251,7 @@ def opened(items: DataFrame, n: int, capacity: int) -> tuple[DataFrame, DataFram
     tied = tied.withColumn("own", F.row_number().over(order)).join(F.broadcast(quotas), "salt")
     first = items.where(F.col("size") > least).select("id", "size", F.lit(True).alias("opens")).union(tied.select("id", "size", F.col("own") <= F.col("quota")))
     first = K.checkpointed(first.union(items.where(F.col("size") < least).select("id", "size", F.lit(False))))
+    first = first.coalesce(max(1, -(-sum(sizes.values()) // ROWS)))
     gaps = first.where(F.col("opens") & (F.col("size") < capacity)).select(F.lit(0).alias("kind"), "id", (capacity - F.col("size")).alias("size"))
     placed = first.where("opens").select(F.lit(2).alias("kind"), "id", "size", F.col("id").alias("item"), F.lit(0).cast("long").alias("offset"), F.lit(-1).alias("part"), F.lit(-1).cast("long").alias("rank"))
     return gaps.union(first.where("not opens").select(F.lit(1), "id", "size")), placed
