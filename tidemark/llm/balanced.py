@@ -9,7 +9,7 @@
    windows of one with the emptiest of the other, until one partition is left. Its windows are near-equal.
 4. When a window exceeds the capacity, the number of windows rises and the group is partitioned anew.
 
-Pieces under SHORT tokens are bundled up to twice that many first, so that a group of very many short texts costs no more
+Pieces under SHORT tokens (less in small windows) are bundled up to twice that many first, so that a group of very many short texts costs no more
 merges than one of ordinary texts.
 
 Padding is what near-equal windows leave: on average under one per cent of a group of many windows, and less than a window
@@ -37,7 +37,8 @@ from tidemark.llm import textkit as K
 from tidemark.llm.packing import byte_decoder
 
 CAPACITY = 4096
-LONGEST = 512
+#: Windows' share of the longest piece.
+EIGHTH = 8
 END = 2
 WINDOWS = 256
 SHORT = 48
@@ -180,10 +181,10 @@ def _tokenise(path: str | None, capacity: int, longest: int):
     return run
 
 
-def pieces(documents: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, longest: int = LONGEST) -> DataFrame:
+def pieces(documents: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, longest: int | None = None) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return K.map_batches(docs, PIECES, _tokenise(tokenizer, capacity, min(longest, capacity)))
+    return K.map_batches(docs, PIECES, _tokenise(tokenizer, capacity, longest or max(1, capacity // EIGHTH)))
 
 
 def differenced(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -223,7 +224,7 @@ def differenced(sizes: np.ndarray, k: int) -> np.ndarray:
 def partitioned(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """The window of every item, each at most `capacity` long, in as few windows as differencing can fill."""
     total = int(sizes.sum())
-    k = max(1, -(-total // capacity))
+    k, tries = max(1, -(-total // capacity)), 0
     while True:
         window = differenced(sizes, k)
         fullest = int(np.bincount(window, weights=sizes, minlength=k).max())
@@ -231,16 +232,18 @@ def partitioned(sizes: np.ndarray, capacity: int) -> np.ndarray:
             return window
         # near-equal windows exceed their mean by about as much with some windows more
         over = fullest - total / k
-        k = max(k + 1, min(len(sizes), int(np.ceil(total / max(capacity - over, capacity / 2)))))
+        tries += 1
+        k = min(len(sizes), max(k + tries, int(np.ceil(total / max(capacity - over, capacity / 2)))))
 
 
 def packed_group(length: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Window and offset of every piece of a group; the longest pieces come first."""
     assert (np.diff(length) <= 0).all()
-    short = length < SHORT
+    least = min(SHORT, capacity // (2 * EIGHTH))
+    short = length < least
     large = int((~short).sum())
     before = np.cumsum(length[large:]) - length[large:]
-    _, bundle = np.unique(before // SHORT, return_inverse=True)
+    _, bundle = np.unique(before // max(least, 1), return_inverse=True)
     item = np.concatenate((np.arange(large), large + bundle))
     sizes = np.bincount(item, weights=length).astype(np.int64)
     window = partitioned(sizes, capacity)[item]
@@ -281,7 +284,7 @@ def _pack(capacity: int):
     return run
 
 
-def pack_balanced(documents: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, longest: int = LONGEST) -> DataFrame:
+def pack_balanced(documents: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, longest: int | None = None) -> DataFrame:
     """A row for each piece with its sequence and its place there. documents: doc_id, text."""
     cut = K.checkpointed(pieces(documents, tokenizer, capacity, longest).withColumn("uid", F.monotonically_increasing_id()))
     full, rest = cut.where(F.col("length") == capacity), cut.where(F.col("length") < capacity)
