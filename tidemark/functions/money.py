@@ -36,7 +36,7 @@ def quote_decimals(quote: Column) -> Column:
 
 
 def quote_meta(spark: SparkSession) -> DataFrame:
-    """quote, decimals, stable: a dimension of five rows."""
+    """quote, decimals, stable: the quote assets known here, for jobs that bring no table of their own."""
     return spark.createDataFrame([(q, d, q in STABLE) for q, d in QUOTE_DECIMALS.items()], "quote string, decimals int, stable boolean")
 
 
@@ -50,18 +50,19 @@ def target_side(token0: Column, token1: Column, pool0: Column, pool1: Column, am
     return F.coalesce(named, F.when(F.coalesce(source, F.lit("")) != "dex.trades", in_pool).otherwise(F.when(in_pool.isNotNull(), by_size)))
 
 
-def swap_price(amount_usd: Column, target: Column, quote: Column, quote_amount: Column) -> Column:
+def swap_price(amount_usd: Column, target: Column, quote: Column, quote_amount: Column, known: Column | None = None) -> Column:
     """struct(price, unit, source): USD over target; else a known quote over target; null without either."""
     by_usd = (amount_usd > 0) & (target > 0)
-    by_ratio = (target > 0) & (quote_amount > 0) & quote.isin(list(QUOTE_DECIMALS))
+    by_ratio = (target > 0) & (quote_amount > 0) & (quote.isin(list(QUOTE_DECIMALS)) if known is None else known)
     return F.when(by_usd, F.struct((amount_usd / target).alias("price"), F.lit("USD").alias("unit"), F.lit("amount_usd").alias("source"))).when(
         by_ratio, F.struct((quote_amount / target).alias("price"), quote.alias("unit"), F.lit("pool_swap_ratio").alias("source"))
     )
 
 
-def swap_usd(amount_usd: Column, quote: Column, quote_amount: Column, target: Column, pool_price: Column) -> Column:
+def swap_usd(amount_usd: Column, quote: Column, quote_amount: Column, target: Column, pool_price: Column, stable: Column | None = None) -> Column:
     """What is stated, else the amount of a stable quote, else target times the pool's price as of then; null if none is known."""
-    value = F.coalesce(F.when(amount_usd > 0, amount_usd), F.when(quote.isin(STABLE) & (quote_amount > 0), quote_amount), F.when((target > 0) & (pool_price > 0), target * pool_price))
+    stable = quote.isin(STABLE) if stable is None else stable
+    value = F.coalesce(F.when(amount_usd > 0, amount_usd), F.when(stable & (quote_amount > 0), quote_amount), F.when((target > 0) & (pool_price > 0), target * pool_price))
     return F.round(value, 6).cast(USD)
 
 

@@ -58,6 +58,11 @@ def normalize_v2(raw: DataFrame) -> DataFrame:
     return _events(raw, {"Swap": "SWAP", "Mint": "LIQUIDITY_ADD", "Burn": "LIQUIDITY_REMOVE"}, "uniswap", "v2", actor=F.col("sender"), recipient=to, token0_amount=amount(0), token1_amount=amount(1))
 
 
+def normalize_v2_sync(raw: DataFrame) -> DataFrame:
+    """Both reserves after an event, as events of their own."""
+    return _events(raw, {"Sync": "SYNC"}, "uniswap", "v2", token0_amount=F.abs(_raw("amount0")), token1_amount=F.abs(_raw("amount1")))
+
+
 def normalize_v3_pool(raw: DataFrame) -> DataFrame:
     """Amounts as absolute values; a Burn's liquidity is taken off; an owner's own Burn is its recipient too."""
     kind = F.col("event_name")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.operators import ordered
 
 TARGET = "TGT"
 ORDER = ("block_number", "log_index")
@@ -130,11 +131,9 @@ def liquidity_flow(liq: DataFrame, pools: DataFrame, keys: list[str], target: st
 
 
 def clamped_liquidity(liq: DataFrame) -> DataFrame:
-    """Running liquidity of each pool, never under 0: r = max(0, r + delta), as running sum less its running minimum."""
-    w = Window.partitionBy("token_address", "pool_address").orderBy(*ORDER)
-    run = liq.withColumn("_s", F.sum("liquidity_delta").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    low = F.least(F.lit(0), F.min("_s").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return run.select("token_address", "pool_address", *ORDER, (F.col("_s") - low).alias("liquidity"))
+    """Running liquidity of each pool, never under 0: r = max(0, r + delta), by ranges of blocks."""
+    rows = liq.select("token_address", "pool_address", *ORDER, "liquidity_delta")
+    return ordered.clamped(rows, ["token_address", "pool_address"], list(ORDER), {"liquidity": (F.lit(None), F.col("liquidity_delta"))}).drop("liquidity_delta")
 
 
 def bucket_spine(active: DataFrame, seconds: int = 3600) -> DataFrame:

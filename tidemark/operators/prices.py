@@ -7,29 +7,63 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import money as M
 from tidemark.functions import scalars as S
-from tidemark.operators.asof import asof_join
+from tidemark.operators.asof import last_known
 from tidemark.operators.market import ORDER, TARGET, resolve_swap_pool
 
 TOKEN = "token_address"
 
 
-def priced_swaps(swaps: DataFrame, pools: DataFrame, target: str = TARGET, decimals: int = 18) -> DataFrame:
+def with_token(rows: DataFrame, tokens: DataFrame | None, target: str = TARGET, decimals: int = 18) -> DataFrame:
+    """rows + _target, _decimals: the address and decimals of each row's token, from the table of tokens (token_address,
+    target, decimals) or, without one, the same for all. A token that the table lacks has neither."""
+    if tokens is None:
+        return rows.withColumns({"_target": F.lit(target), "_decimals": F.lit(decimals)})
+    return rows.join(tokens.select(TOKEN, F.col("target").alias("_target"), F.col("decimals").alias("_decimals")), TOKEN, "left")
+
+
+def with_quote(rows: DataFrame, quotes: DataFrame | None) -> DataFrame:
+    """rows + _quote_decimals, _known, _stable of their quote, from a table (quote, decimals, stable) or the assets known here."""
+    if quotes is None:
+        return rows.withColumns({"_quote_decimals": M.quote_decimals(F.col("quote")), "_known": F.col("quote").isin(list(M.QUOTE_DECIMALS)), "_stable": F.col("quote").isin(M.STABLE)})
+    rows = rows.join(quotes.select("quote", F.col("decimals").alias("_quote_decimals"), F.col("stable").alias("_stable"), F.lit(True).alias("_known")), "quote", "left")
+    return rows.withColumns({"_quote_decimals": F.coalesce("_quote_decimals", F.lit(M.DEFAULT_DECIMALS)), "_known": F.coalesce("_known", F.lit(False)), "_stable": F.coalesce("_stable", F.lit(False))})
+
+
+def sided(swaps: DataFrame, pools: DataFrame, tokens: DataFrame | None = None, quotes: DataFrame | None = None, target: str = TARGET, decimals: int = 18) -> DataFrame:
+    """swaps (raw amounts as strings) + pool, side, quote, target, quote_amount: whole tokens by each side's decimals.
+
+    The side is that of the swap's own token addresses, else of its pool's order; trades of an aggregator do not keep that
+    order, so theirs is decided by the magnitude of the amounts. Neither: no side, no amounts.
+    """
+    rows = with_token(resolve_swap_pool(swaps, pools), tokens, target, decimals)
+    order = pools.groupBy(F.col("pool_address").alias("_pool")).agg(F.min(F.struct(F.col("token0").alias("_p0"), F.col("token1").alias("_p1"))).alias("_o"))
+    rows = rows.join(order, rows.pool == order["_pool"], "left").drop("_pool")
+    source = F.col("source_event") if "source_event" in rows.columns else F.lit(None).cast("string")
+    t0, t1, p0, p1 = F.col("token0_address"), F.col("token1_address"), F.col("_o._p0"), F.col("_o._p1")
+    rows = rows.withColumn("side", M.target_side(t0, t1, p0, p1, F.col("token0_raw"), F.col("token1_raw"), source, F.col("_target"), F.col("_decimals")))
+    first, second = F.col("side") == 0, F.col("side") == 1
+    named = (t0 == F.col("_target")) | (t1 == F.col("_target"))
+    # the quote is what stands opposite: in the swap where it names the target, else in the pool
+    quote = F.when(named, F.when(first, t1).when(second, t0)).when(F.col("side").isNotNull(), F.when(p0 == F.col("_target"), p1).otherwise(p0))
+    rows = with_quote(rows.withColumn("quote", quote), quotes)
+    mine, other = F.when(first, F.col("token0_raw")).when(second, F.col("token1_raw")), F.when(first, F.col("token1_raw")).when(second, F.col("token0_raw"))
+    return rows.withColumns({"target": F.abs(M.units(mine, F.col("_decimals"))), "quote_amount": F.abs(M.units(other, F.col("_quote_decimals")))}).drop("_o")
+
+
+def priced_swaps(swaps: DataFrame, pools: DataFrame, target: str = TARGET, decimals: int = 18, tokens: DataFrame | None = None, quotes: DataFrame | None = None) -> DataFrame:
     """swaps (raw amounts as strings) + pool, side, target, quote, quote_amount, price, unit, source, usd.
 
-    Amounts are whole tokens by each side's decimals. usd: stated, else a stable quote, else by the last positive
-    USD price of the pool at or before the swap; null if unknown.
+    tokens, quotes: tables of the tokens and quote assets, for many tokens in one job; else target, decimals and the assets
+    known here. usd: stated, else a stable quote, else by the last positive USD price of the pool at or before the swap;
+    null if unknown.
     """
-    rows = resolve_swap_pool(swaps, pools)
-    first = F.col("token0_address") == target
-    side = F.when(first, 0).when(F.col("token1_address") == target, 1)
-    quote = F.when(first, F.col("token1_address")).when(F.col("token1_address") == target, F.col("token0_address"))
-    mine, other = (F.when(first, F.col(a)).when(F.col("token1_address") == target, F.col(b)) for a, b in (("token0_raw", "token1_raw"), ("token1_raw", "token0_raw")))
-    rows = rows.withColumns({"side": side, "quote": quote, "target": F.abs(M.units(mine, F.lit(decimals))), "quote_amount": F.abs(M.units(other, M.quote_decimals(quote)))})
-    price = M.swap_price(F.col("amount_usd"), F.col("target"), F.col("quote"), F.col("quote_amount"))
+    rows = sided(swaps, pools, tokens, quotes, target, decimals)
+    price = M.swap_price(F.col("amount_usd"), F.col("target"), F.col("quote"), F.col("quote_amount"), F.col("_known"))
     rows = rows.withColumn("_p", price).withColumns({"price": F.col("_p.price"), "unit": F.col("_p.unit"), "source": F.col("_p.source")}).drop("_p")
-    known = rows.where("unit = 'USD' and pool is not null").select(TOKEN, "pool", F.col("block_number").alias("_b"), F.struct("log_index", "price").alias("_last"))
-    rows = asof_join(rows, known, [TOKEN, "pool"], "block_number", "_b", ["_last"])
-    return rows.withColumn("usd", M.swap_usd(F.col("amount_usd"), F.col("quote"), F.col("quote_amount"), F.col("target"), F.col("_last.price"))).drop("_last")
+    known = F.when((F.col("unit") == "USD") & F.col("pool").isNotNull(), F.col("price"))
+    rows = last_known(rows, [TOKEN, "pool"], "block_number", "log_index", known, "_last")
+    usd = M.swap_usd(F.col("amount_usd"), F.col("quote"), F.col("quote_amount"), F.col("target"), F.when(F.col("pool").isNotNull(), F.col("_last")), F.col("_stable"))
+    return rows.withColumn("usd", usd).drop("_last", "_target", "_decimals", "_quote_decimals", "_known", "_stable")
 
 
 def ohlc(priced: DataFrame, keys: list[str], seconds: int = 3600) -> DataFrame:

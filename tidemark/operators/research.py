@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import average_rank
+
 TOKEN = "token_address"
 
 
@@ -150,11 +152,10 @@ def pearson(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Pearson of average ranks, ranked after pairs with a null are gone."""
+    """Pearson of average ranks, ranked by ranges of values after pairs with a null are gone."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     for c in (x, y):
-        order, same = Window.partitionBy(*by).orderBy(c), Window.partitionBy(*by, c)
-        rows = rows.withColumn(f"_{c}", F.rank().over(order) + (F.count("*").over(same) - 1) / 2)
+        rows = average_rank(rows, by, c, f"_{c}")
     return pearson(rows, f"_{x}", f"_{y}", by)
 
 

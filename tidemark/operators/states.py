@@ -7,8 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import money as M
+from tidemark.functions import scalars as S
+from tidemark.operators import ordered
 from tidemark.operators.asof import asof_join
 from tidemark.operators.pools import unique_custody_pools
+from tidemark.operators.prices import with_quote, with_token
 
 TOKEN = "token_address"
 
@@ -129,16 +133,68 @@ def address_roles(*signals: DataFrame) -> DataFrame:
 
 
 def tvl_accumulate(changes: DataFrame) -> DataFrame:
-    """Running reserve of each pool by event order, never under 0; a sync sets it. changes: kind ('sync' or 'change'), amount.
+    """Running reserve of each pool by event order, never under 0; a sync sets it. changes: kind ('sync' or 'change'), amount."""
+    sync = F.col("kind") == "sync"
+    steps = {"reserve": (F.when(sync, F.col("amount")), F.when(~sync, F.col("amount")))}
+    return ordered.clamped(changes, [TOKEN, "pool_address"], ["block_number", "log_index"], steps)
 
-    Between syncs it is the running sum less its running minimum under 0, so windows do and no loop over events.
+
+#: What both families give of an event.
+TVL_EVENTS = ["token_address", "pool_address", "block_number", "log_index", "block_timestamp", "protocol", "version", "event_type", "source_event"]
+
+
+def _of_verified_pools(events: DataFrame, pools: DataFrame, versions: list[str], tokens: DataFrame | None, quotes: DataFrame | None, target: str, decimals: int) -> DataFrame:
+    """Events of verified pools of these versions whose pair is the pool's, with _target, _decimals, _first (the target is the
+    pool's token0), quote and amounts as DECIMAL(38,0), 0 where they are not given."""
+    own = pools.where("verified").where(F.col("version").isin(versions)).select("pool_address", "protocol", "version", F.col("token0").alias("_p0"), F.col("token1").alias("_p1"))
+    rows = events.where(F.col("event_type").isin("SWAP", "LIQUIDITY_ADD", "LIQUIDITY_REMOVE", "SYNC")).drop("protocol", "version").join(own, "pool_address")
+    pair = [F.col(c) if c in events.columns else F.lit(None).cast("string") for c in ("token0_address", "token1_address")]
+    rows = rows.where(S.same_pair(*pair, F.col("_p0"), F.col("_p1")))
+    rows = with_token(rows, tokens, target, decimals).withColumn("_first", F.col("_p0") == F.col("_target"))
+    rows = with_quote(rows.withColumn("quote", F.when(F.col("_first"), F.col("_p1")).otherwise(F.col("_p0"))), quotes)
+    amount = lambda c: F.coalesce(M.raw(F.col(c).cast("string")), F.lit(0).cast("decimal(38,0)")) if c in rows.columns else F.lit(0).cast("decimal(38,0)")
+    return rows.withColumns({"_a0": amount("token0_amount"), "_a1": amount("token1_amount"), "_dl": amount("liquidity_delta"), "_usd": F.col("amount_usd") if "amount_usd" in rows.columns else F.lit(None).cast("double")})
+
+
+def tvl_events_v2(events: DataFrame, pools: DataFrame, tokens: DataFrame | None = None, quotes: DataFrame | None = None, target: str = "TGT", decimals: int = 18) -> DataFrame:
+    """Reserves of pools of two reserves after each event: a sync sets both, a swap changes them as the pool sees it, additions add
+    and removals take away; neither falls under 0. With the TVL in target units, twice the target's reserve, the price of
+    the target by reserves, and of a swap by its stated USD.
+
+    A pool's events are composed by ranges of blocks, so a hot pool is many tasks. Amounts that are not given are 0.
+    """
+    rows = _of_verified_pools(events, pools, ["v2"], tokens, quotes, target, decimals)
+    sync, kind = F.coalesce(F.col("source_event") == "Sync", F.lit(False)), F.col("event_type")
+    change = lambda a: F.when(kind == "SWAP", a).when(kind == "LIQUIDITY_ADD", F.abs(a)).when(kind == "LIQUIDITY_REMOVE", -F.abs(a))
+    steps = {f"reserve{i}": (F.when(sync, F.col(f"_a{i}")), F.when(~sync, change(F.col(f"_a{i}")))) for i in (0, 1)}
+    rows = ordered.clamped(rows, [TOKEN, "pool_address"], ["block_number", "log_index"], steps)
+    mine, other = F.when(F.col("_first"), F.col("reserve0")).otherwise(F.col("reserve1")), F.when(F.col("_first"), F.col("reserve1")).otherwise(F.col("reserve0"))
+    moved = F.abs(F.when(F.col("_first"), F.col("_a0")).otherwise(F.col("_a1"))).cast("double") / F.pow(F.lit(10.0), "_decimals")
+    price = M.v2_price(mine.cast("string"), other.cast("string"), F.col("_decimals"), F.col("_quote_decimals"))
+    usd = F.when((kind == "SWAP") & ~sync & (F.col("_usd") > 0) & (moved > 0), F.col("_usd") / moved)
+    return rows.select(*TVL_EVENTS, "reserve0", "reserve1", (mine * 2).cast("decimal(38,0)").alias("tvl_in_token"), "quote", price.alias("price"), usd.alias("price_usd"))
+
+
+def tvl_events_v3(events: DataFrame, pools: DataFrame, tokens: DataFrame | None = None, quotes: DataFrame | None = None, target: str = "TGT", decimals: int = 18) -> DataFrame:
+    """Running liquidity of concentrated pools after each event, never under 0, and what the event moved of the target: a swap's
+    own side once, that of an addition or removal twice. With the price of a swap: quote over target, and USD over target.
     """
-    order = Window.partitionBy(TOKEN, "pool_address").orderBy("block_number", "log_index")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = changes.withColumn("_segment", F.count_if(F.col("kind") == "sync").over(upto))
-    inside = Window.partitionBy(TOKEN, "pool_address", "_segment").orderBy("block_number", "log_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_s", F.sum("amount").over(inside))
-    return rows.withColumn("reserve", F.col("_s") - F.least(F.lit(0), F.min("_s").over(inside))).drop("_s", "_segment")
+    rows = _of_verified_pools(events, pools, ["v3", "v4"], tokens, quotes, target, decimals)
+    kind = F.col("event_type")
+    steps = {"liquidity": (F.lit(None), F.when(kind != "SWAP", F.col("_dl")))}
+    rows = ordered.clamped(rows, [TOKEN, "pool_address"], ["block_number", "log_index"], steps)
+    a0, a1 = F.abs(F.col("_a0")), F.abs(F.col("_a1"))
+    t0, t1 = [F.col(c) if c in events.columns else F.lit(None).cast("string") for c in ("token0_address", "token1_address")]
+    side = M.target_side(t0, t1, F.col("_p0"), F.col("_p1"), a0.cast("string"), a1.cast("string"), F.col("source_event"), F.col("_target"), F.col("_decimals"))
+    rows = rows.withColumn("_side", side)
+    first = F.when((kind == "SWAP") & F.col("_side").isNotNull(), F.col("_side") == 0).otherwise(F.col("_first"))
+    moved, against = F.when(first, a0).otherwise(a1), F.when(first, a1).otherwise(a0)
+    whole, quoted = moved.cast("double") / F.pow(F.lit(10.0), "_decimals"), against.cast("double") / F.pow(F.lit(10.0), "_quote_decimals")
+    traded = (kind == "SWAP") & F.col("_side").isNotNull() & (a0 > 0) & (a1 > 0)
+    return rows.select(
+        *TVL_EVENTS, "liquidity", a0.alias("token0_amount"), a1.alias("token1_amount"), F.when(kind == "SWAP", moved).otherwise(moved * 2).cast("decimal(38,0)").alias("tvl_in_token"),
+        F.when(traded, F.col("quote")).alias("quote"), F.when(traded, quoted / whole).alias("price"), F.when(traded & (F.col("_usd") > 0), F.col("_usd") / whole).alias("price_usd"),
+    )
 
 
 def span_tvl(tvl: DataFrame, days: int, bucket: int) -> DataFrame:

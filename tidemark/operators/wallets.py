@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import money as M
+from tidemark.operators.ordered import numbered, value_ranks
+from tidemark.sources.tables import checkpointed
 
 TOKEN = "token_address"
 
@@ -35,14 +37,15 @@ def wallet_stats(priced: DataFrame, infrastructure: DataFrame | None = None) ->
 
 def exclusive_percentile(df: DataFrame, column: str, q: float = 0.99, by: tuple[str, ...] = (TOKEN,)) -> DataFrame:
     """Per token: the value at place q * (n + 1) - 1, clamped, between neighbours linearly (not what percentile() gives), and
-    whether there is more than one value. Equal values are counted first, so what is ranked are distinct values."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by)
-    rows = counts.withColumns({"last": F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1, "n": F.sum("c").over(w)})
-    place = F.greatest(F.lit(0.0), F.least(F.lit(q) * (F.col("n") + 1) - 1, (F.col("n") - 1).cast("double")))
-    rows = rows.withColumns({"lo": F.floor(place), "part": place - F.floor(place), "first": F.col("last") - F.col("c") + 1})
-    holds = lambda at: (F.col("first") <= at) & (at <= F.col("last"))
-    up = F.least(F.col("lo") + 1, F.col("n") - 1)
+    whether there is more than one value. Equal values are counted first, ranks are taken by ranges of values."""
+    return _percentile_of(value_ranks(df.select(*by, F.col(column).cast("double").alias("v")), list(by), "v"), q, by)
+
+
+def _percentile_of(ranks: DataFrame, q: float, by: tuple[str, ...]) -> DataFrame:
+    place = F.greatest(F.lit(0.0), F.least(F.lit(q) * (F.col("total") + 1) - 1, (F.col("total") - 1).cast("double")))
+    rows = ranks.withColumns({"lo": F.floor(place), "part": place - F.floor(place)})
+    holds = lambda at: (F.col("below") <= at) & (at < F.col("below") + F.col("n"))
+    up = F.least(F.col("lo") + 1, F.col("total") - 1)
     out = rows.groupBy(*by).agg(F.max(F.when(holds(F.col("lo")), F.col("v"))).alias("a"), F.max(F.when(holds(up), F.col("v"))).alias("b"), F.max("part").alias("part"), (F.count("*") > 1).alias("varies"))
     return out.select(*by, (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value"), "varies")
 
@@ -58,14 +61,16 @@ def wallet_flags(stats: DataFrame, q: float = 0.99, fixed: dict[str, float] | No
     fixed: limits by flag in place of percentiles. volume_ratio: market share from that part of the token's volume on;
     it is information then and makes no wallet notable.
     """
-    out = stats.withColumn("abs_net_usd", F.abs("net_usd"))
+    out = checkpointed(stats.withColumn("abs_net_usd", F.abs("net_usd")))
     fixed = fixed or {}
-    each = F.array(*[F.struct(F.lit(name).alias("flag"), F.col(column).cast("double").alias("x")) for name, column, _ in FLAGS])
-    limits = exclusive_percentile(out.select(TOKEN, F.explode(each).alias("e")).select(TOKEN, "e.*"), "x", q, (TOKEN, "flag"))
+    each = F.array(*[F.struct(F.lit(name).alias("flag"), F.col(column).cast("double").alias("v")) for name, column, _ in FLAGS])
+    values = out.select(TOKEN, "actor", F.explode(each).alias("e")).select(TOKEN, "actor", "e.*")
+    ranks = checkpointed(value_ranks(values, [TOKEN, "flag"], "v"))
+    limits = _percentile_of(ranks, q, (TOKEN, "flag"))
     limits = limits.groupBy(TOKEN).agg(*[F.max(F.when(F.col("flag") == name, F.struct("value", "varies"))).alias(f"_{name}") for name, _, _ in FLAGS])
-    out = out.join(limits, TOKEN, "left")
-    ranks = [F.round(100 * F.cume_dist().over(Window.partitionBy(TOKEN).orderBy(column)), 4) for _, column, _ in FLAGS]
-    out = out.withColumn("score", F.greatest(*ranks))
+    score = F.round(100 * (F.col("below") + F.col("n")) / F.col("total"), 4)
+    scores = values.join(ranks, [TOKEN, "flag", "v"]).groupBy(TOKEN, "actor").agg(F.max(score).alias("score"))
+    out = out.join(scores, [TOKEN, "actor"], "left").join(limits, TOKEN, "left")
     for name, column, up in FLAGS:
         value = F.ceil(f"_{name}.value") if up else F.col(f"_{name}.value")
         flag = (F.col(column) >= value) & F.col(f"_{name}.varies")
@@ -80,8 +85,8 @@ def wallet_flags(stats: DataFrame, q: float = 0.99, fixed: dict[str, float] | No
 def wallet_ranking(flags: DataFrame, top_n: int = 200) -> DataFrame:
     """Notable wallets and the next top_n, in order of flags, score, net and total."""
     order = [F.desc("n_flags"), F.desc("score"), F.desc(F.abs("net_usd")), F.desc("total_usd"), "actor"]
-    ranked = {"rank": F.row_number().over(Window.partitionBy(TOKEN).orderBy(*order)), "_r": F.row_number().over(Window.partitionBy(TOKEN, "notable").orderBy(*order))}
-    return flags.withColumns(ranked).where(F.col("notable") | (F.col("_r") <= top_n)).drop("_r")
+    ranked = numbered(flags, [TOKEN], order, {"rank": F.lit(True), "_others": ~F.col("notable")})
+    return ranked.where(F.col("notable") | (F.col("_others") <= top_n)).withColumn("rank", F.col("rank").cast("int")).drop("_others")
 
 
 def wallet_movers(stats: DataFrame, trajectory: DataFrame, pools: DataFrame, top_n: int = 20) -> DataFrame:

@@ -390,7 +390,7 @@ def tvl_accumulate(spark, d):
     at = ["token_address", "pool_address", "block_number", "log_index"]
     syncs = view(spark, d, "tvl_points").select(*at, F.lit("sync").alias("kind"), F.col("tvl_raw").alias("amount"))
     moves = view(spark, d, "liquidity_events").where("event_type = 'LIQUIDITY_REMOVE' and version = 'v4' or event_type = 'LIQUIDITY_ADD'").select(*at, F.lit("change"), (F.col("liquidity_delta") * 5000))
-    return states.tvl_accumulate(syncs.union(moves)).select(*at, "kind", "reserve")
+    return states.tvl_accumulate(syncs.union(moves)).select(*at, "kind", F.col("reserve").cast("long").alias("reserve"))
 
 
 @query("span_tvl_7d", ctes("tvl_points") + ", m as (select *, max(block_timestamp) over (partition by token_address) as e from tvl_points) select token_address, block_timestamp // 86400 * 86400 as bucket, pool_address, arg_max(tvl_raw, row(block_number, log_index)) as tvl_raw from m where block_timestamp > e - 7 * 86400 group by 1, 2, 3")
@@ -402,7 +402,7 @@ def span_tvl_7d(spark, d):
 def bucket_cover(spark, d):
     """The volume bucket that covers each TVL observation, else the nearest earlier one."""
     volume = _daily(spark, d).select("token_address", F.col("bucket").alias("_b"), F.col("bucket").alias("volume_bucket"), "volume")
-    rows = asof.asof_join(view(spark, d, "tvl_points"), volume, ["token_address"], "block_timestamp", "_b", ["volume_bucket", "volume"])
+    rows = asof.asof_join(view(spark, d, "tvl_points"), volume, ["token_address"], "block_timestamp", "_b", ["volume_bucket", "volume"], span=7 * 86_400)
     return rows.select("token_address", "block_number", "log_index", "volume_bucket", "volume")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import events, market, pools, research
+from tidemark.operators import events, market, ordered, pools, research
 from tidemark.plans.queries import GRAPH, INC, LQ, RS, TRAJ, TVL, _daily, _edges, _incidents, _rs, _trajectory, _withdrawals, WD, query
 from tidemark.sources.adapters import ctes, view
 
@@ -107,9 +107,8 @@ def cluster_transfers(spark, d):
 
 @query("percentile_rank", RS + ", dv as (select token_address, bucket, cast(sum(amount) as bigint) as volume from rs group by 1, 2) select token_address, bucket, round(100 * cume_dist() over (partition by token_address order by volume), 6) as pct from dv where volume is not null")
 def percentile_rank(spark, d):
-    from pyspark.sql import Window
-
-    return _daily(spark, d).where("volume is not null").select("token_address", "bucket", F.round(100 * F.cume_dist().over(Window.partitionBy("token_address").orderBy("volume")), 6).alias("pct"))
+    rows = ordered.percentile_rank(_daily(spark, d).where("volume is not null"), ["token_address"], "volume", "pct")
+    return rows.select("token_address", "bucket", F.round("pct", 6).alias("pct"))
 
 
 @query("block_window", ctes("transfers", "liquidity_events") + f", {INC} select t.token_address, t.block_number, t.log_index from transfers t join inc using (token_address) where t.block_number <= incident_block")

@@ -136,7 +136,7 @@ def liquidity_flow(spark, d):
 @query("clamped_liquidity", LQ + """, s as (select *, sum(liquidity_delta) over (partition by token_address, pool_address order by block_number, log_index rows between unbounded preceding and current row) as s from liquidity_events)
 select token_address, pool_address, block_number, log_index, cast(s - least(0, min(s) over (partition by token_address, pool_address order by block_number, log_index rows between unbounded preceding and current row)) as bigint) as liquidity from s""")
 def clamped_liquidity(spark, d):
-    return market.clamped_liquidity(view(spark, d, "liquidity_events"))
+    return market.clamped_liquidity(view(spark, d, "liquidity_events")).withColumn("liquidity", F.col("liquidity").cast("long"))
 
 
 WD = ctes("pools", "liquidity_events", "tvl_points") + """, t as (select token_address, pool_address, block_number, max(tvl_raw) as tvl_raw from tvl_points group by 1, 2, 3),

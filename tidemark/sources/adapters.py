@@ -7,6 +7,8 @@ key, and one job computes all tokens.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 SPARK = {"UNIX": "unix_timestamp(cast(ts as timestamp))", "DIV": "div", "STR": "string", "DADD": "date_add(cast(o_orderdate as date), cast(o_custkey % 30 + 1 as int))"}
@@ -75,9 +77,22 @@ VIEWS |= {
  cast(case when raw_type = 'purchase' then cents * 3 else 0 end as {STR}) as amount1_in, cast(case when raw_type = 'purchase' then 0 else cents * 3 end as {STR}) as amount1_out,
  cast(cents as {STR}) as liquidity, cast(case when raw_type = 'error' then -cents else cents end as {STR}) as delta, cast(case when k % 3 = 0 then 0 else cents end as {STR}) as delta1 from ev""",
     "position_keys": """select t.token_id, p.token0, p.token1, p.fee from pools p join (select distinct cast(user_id * 7 % 50 as bigint) as token_id from ev) t on p.ordinal = t.token_id % 6""",
+    "token_meta": """select distinct lower(token_address) as token_address, 'x' || substr(token_address, 2) as target, case token_address when 'T0' then 18 when 'T1' then 6 else 8 end as decimals,
+ 'SYM' || substr(token_address, 2) as symbol from ev""",
+    "quote_assets": "select * from (values ('weth', 18, false), ('usdc', 6, true), ('usdt', 6, true), ('dai', 18, true)) v(quote, decimals, stable)",
+    "log_pools": """select pool_address, token_address, protocol, version, verified, target, decimals, case when first then target else quote end as token0, case when first then quote else target end as token1,
+ case when quote in ('weth', 'dai') then 18 else 6 end as quote_decimals from (
+ select distinct family || '_' || r.pool_address || '_' || m.token_address as pool_address, m.token_address, 'uniswap' as protocol, case family when 'v2' then 'v2' else 'v3' end as version, r.pool_address <> 'p0' as verified,
+  m.target, m.decimals, r.pool_address in ('p1', 'p2', 'p5') as first, case r.pool_address when 'p0' then 'weth' when 'p1' then 'usdc' when 'p2' then 'weth' when 'p3' then 'dai' when 'p4' then 'usdc' else 'usdt' end as quote
+ from raw_logs r join token_meta m on lower(r.token_address) = m.token_address where family in ('v2', 'v3_pool')) x""",
+    "pool_logs": """select token_address, block_number, log_index, block_timestamp, transaction_hash, family, event_name, pool_address, sender, recipient, liquidity,
+ amount0 || z0 as amount0, amount1 || z1 as amount1, amount0_in || z0 as amount0_in, amount0_out || z0 as amount0_out, amount1_in || z1 as amount1_in, amount1_out || z1 as amount1_out from (
+ select p.token_address, block_number, log_index, block_timestamp, transaction_hash, family, event_name, p.pool_address, sender, recipient, liquidity, amount0, amount1, amount0_in, amount0_out, amount1_in, amount1_out,
+  repeat('0', case when p.token0 = p.target then p.decimals else p.quote_decimals end - 2) as z0, repeat('0', case when p.token1 = p.target then p.decimals else p.quote_decimals end - 2) as z1
+ from raw_logs r join log_pools p on p.pool_address = family || '_' || r.pool_address || '_' || lower(r.token_address)) x""",
     "fee_tiers": "select * from (values (100, 1), (500, 10), (3000, 60), (10000, 200)) v(fee, tick_spacing)",
 }
-USES = {"swaps": ["ev"], "liquidity_events": ["ev"], "transfers": ["ev"], "gas_payers": ["ev"], "tvl_points": ["ev"], "raw_swaps": ["ev", "swaps"], "raw_logs": ["ev"], "position_keys": ["ev", "pools"]}
+USES = {"swaps": ["ev"], "liquidity_events": ["ev"], "transfers": ["ev"], "gas_payers": ["ev"], "tvl_points": ["ev"], "raw_swaps": ["ev", "swaps"], "raw_logs": ["ev"], "position_keys": ["ev", "pools"], "token_meta": ["ev"], "log_pools": ["ev", "raw_logs", "token_meta"], "pool_logs": ["ev", "raw_logs", "token_meta", "log_pools"]}
 TABLES = {"ev": "events", "balance_ledger": "orders", "holder_intervals": "orders", "lp_nft": "lineitem", "contract_owners": "customer", "creations": "customer"}
 
 
@@ -91,7 +106,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         table = TABLES[name]
         sources[table] = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
     for s in sources:
-        text = text.replace(f"from {s}", f"from {{{s}}}")
+        text = re.sub(rf"\b(from|join) {s}\b", rf"\1 {{{s}}}", text)
     return spark.sql(text, **sources)
 
 

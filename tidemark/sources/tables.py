@@ -31,21 +31,23 @@ SCHEMAS = {
 ZERO_RAW = {"swaps": ["token0_raw", "token1_raw"], "transfers": ["amount_raw"], "holdings": ["balance_raw"], "volume_timeline": ["volume_raw"]}
 
 
-def conform(df: DataFrame, name: str) -> DataFrame:
-    """The declared columns: unknown ones go, missing ones are null, addresses are lower-case, blanks are null; raw amounts
-    of swaps, transfers, balances and volumes are "0" where they are missing."""
+def conform(df: DataFrame, table: str) -> DataFrame:
+    """The declared columns: unknown ones go, missing ones are null, addresses are lower-case, blanks are null. Raw amounts may
+    be named as the normalisers name them (token0_amount); those of swaps, transfers, balances and volumes are "0" where they
+    are missing."""
     out = []
-    for f in SCHEMAS[name].fields:
-        given = f.name in df.columns
-        c = F.col(f.name) if given else F.lit(None).cast(f.dataType)
+    for f in SCHEMAS[table].fields:
+        name = next((n for n in (f.name, f.name.replace("_raw", "_amount")) if n in df.columns), None)
+        given = name is not None
+        c = F.col(name) if given else F.lit(None).cast(f.dataType)
         if given and isinstance(f.dataType, T.StringType):
             c = F.nullif(F.trim(c.cast("string")), F.lit(""))
             c = F.lower(c) if f.name.endswith(("address", "hash", "actor", "recipient", "owner")) else c
-        elif given and isinstance(df.schema[f.name].dataType, T.TimestampType):
+        elif given and isinstance(df.schema[name].dataType, T.TimestampType):
             c = F.unix_timestamp(c)
         elif given:
             c = c.cast("string").try_cast(f.dataType)
-        if f.name in ZERO_RAW.get(name, ()):
+        if f.name in ZERO_RAW.get(table, ()):
             c = F.coalesce(c, F.lit("0"))
         out.append(c.alias(f.name))
     return df.select(*out)
