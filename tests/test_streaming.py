@@ -77,3 +77,46 @@ def test_migration_stream_equals_batch(spark, tmp_path):
     read = lambda side: E.stream_events(spark, f"{tmp_path}/{side}", spark.read.parquet(f"{tmp_path}/{side}").schema)
     out = run(spark, E.stream_migration(read("r"), read("a")), tmp_path)
     assert sorted(tuple(r) for r in out.collect()) == [("T", "x", 1, 1), ("T", "x", 1, 4)]
+
+
+@pytest.mark.parametrize("keep_ms", [None, 3_600_000])
+def test_balances_in_any_order_equal_the_batch(spark, tmp_path, keep_ms):
+    import random
+    from decimal import Decimal
+
+    from tidemark.operators import holders
+    from tidemark.streaming import balances as B
+
+    rng = random.Random(3)
+    rows = [(t, a, b, Decimal(rng.randrange(10**25))) for t, a in (("T", "a"), ("T", "b"), ("U", "a")) for b in rng.sample(range(60), 25)]
+    rows += [("U", "only_before", 3, Decimal(7)), ("U", "only_after", 40, Decimal(9)), ("U", "beyond", 99, Decimal(1))]
+    want = {tuple(r)[:7] for r in holders.balance_trajectory(spark.createDataFrame(rows, "token_address string, address string, block_number long, balance_raw decimal(38,0)"), 10, 50).collect()}
+    rng.shuffle(rows)
+    schema = "token_address string, address string, block_number long, balance_raw string"
+    import time
+
+    for k in range(3):
+        spark.createDataFrame([(t, a, b, str(x)) for t, a, b, x in rows[k::3] + rows[:2]], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(0.2)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", B.ROCKSDB)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        stream = B.stream_balance_trajectory(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), 10, 50, keep_ms)
+        seen = {}
+
+        def keep(batch, number):
+            seen.update({(r.token_address, r.address): tuple(r) for r in batch.collect()})
+
+        writer = stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{tmp_path}/ck")
+        q = writer.trigger(processingTime="1 second").start()
+        until = time.time() + 60  # with a time to live there is always a next trigger
+        while time.time() < until and q.isActive and set(seen.values()) != want:
+            time.sleep(0.5)
+        q.stop()
+        assert q.exception() is None
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert set(seen.values()) == want and len(want) == 5
