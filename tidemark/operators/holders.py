@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKEN = "token_address"
+ZERO_ADDRESS = "0x" + "0" * 40
 
 
 def holders_interval(intervals: DataFrame, start: str, end: str) -> DataFrame:
-    """Addresses whose positive balance overlaps [start, end)."""
-    overlap = (F.col("valid_from") < F.to_date(F.lit(end))) & (F.col("valid_to") > F.to_date(F.lit(start)))
-    return intervals.where(overlap & (F.col("balance_raw") > 0)).select(TOKEN, "address").distinct()
+    """Addresses whose positive balance overlaps [start, end]; the zero address holds nothing."""
+    overlap = (F.col("valid_from") <= F.to_date(F.lit(end))) & (F.col("valid_to") > F.to_date(F.lit(start)))
+    return intervals.where(overlap & (F.col("balance_raw") > 0) & (F.col("address") != ZERO_ADDRESS)).select(TOKEN, "address").distinct()
 
 
 def transfer_addresses(transfers: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def tvl_point_details(resampled: DataFrame) -> DataFrame:
 def cotx_baseline(transfers: DataFrame, edges: DataFrame, threshold: int = 3) -> DataFrame:
     """How often a pair of addresses shares transactions, among all pairs and among edges, and the lift."""
     addresses = transfers.select(TOKEN, F.explode(F.array("from_address", "to_address")).alias("a")).groupBy(TOKEN).agg(F.count_distinct("a").alias("n"))
-    pairs = transfers.where("from_address <> to_address").groupBy(TOKEN, F.least("from_address", "to_address").alias("a"), F.greatest("from_address", "to_address").alias("b")).agg(F.count_distinct("transaction_hash").alias("n_tx")).where(F.col("n_tx") >= threshold)
+    pairs = transfers.where("from_address <> to_address and amount_raw > 0").groupBy(TOKEN, F.least("from_address", "to_address").alias("a"), F.greatest("from_address", "to_address").alias("b")).agg(F.count_distinct("transaction_hash").alias("n_tx")).where(F.col("n_tx") >= threshold)
     hits = pairs.groupBy(TOKEN).agg(F.count("*").alias("hits"))
     on_edges = edges.select(TOKEN, "a", "b").join(pairs, [TOKEN, "a", "b"], "left").groupBy(TOKEN).agg(F.count("*").alias("edges"), F.count("n_tx").alias("edge_hits"))
     out = addresses.join(hits, TOKEN, "left").join(on_edges, TOKEN, "left")

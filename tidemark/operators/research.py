@@ -29,24 +29,26 @@ def crash_window(events: DataFrame, incidents: DataFrame, before: int = 100, aft
 
 
 def liquidity_migration(liq: DataFrame, max_blocks: int = 5) -> DataFrame:
-    """Removals followed by an addition within max_blocks where the actor or the recipient is the same: equal joins on
-    who and block. Each removal is sent to the max_blocks + 1 blocks it can meet, so no range is searched."""
-    has = "recipient" in liq.columns
-    who = lambda rows: rows.withColumn("who", F.explode(F.array_distinct(F.filter(F.array("actor", "recipient") if has else F.array("actor"), lambda x: x.isNotNull()))))
+    """Removals followed by an addition within max_blocks where the actors are the same, or the recipients are: equal joins on
+    role, who and block. Each removal is sent to the max_blocks + 1 blocks it can meet, so no range is searched."""
+    roles = [r for r in ("actor", "recipient") if r in liq.columns]
+    named = F.filter(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("who")) for r in roles]), lambda x: x["who"].isNotNull())
+    who = lambda rows: rows.withColumn("_w", F.explode(named)).select("*", "_w.*")
     removed = who(liq.where("event_type = 'LIQUIDITY_REMOVE'")).select(
-        TOKEN, "who", "actor", F.col("block_number").alias("remove_block"), F.col("log_index").alias("_l"), F.col("pool_address").alias("from_pool"), F.explode(F.sequence("block_number", F.col("block_number") + max_blocks)).alias("block_number")
+        TOKEN, "role", "who", F.col("actor").alias("_by"), F.col("block_number").alias("remove_block"), F.col("pool_address").alias("from_pool"), F.explode(F.sequence("block_number", F.col("block_number") + max_blocks)).alias("block_number")
     )
-    added = who(liq.where("event_type = 'LIQUIDITY_ADD'")).select(TOKEN, "who", "block_number", F.col("log_index").alias("_m"), F.col("pool_address").alias("to_pool"))
-    met = removed.join(added, [TOKEN, "who", "block_number"]).drop("who").distinct()
-    return met.select(TOKEN, "actor", "remove_block", F.col("block_number").alias("add_block"), "from_pool", "to_pool", (F.col("from_pool") == F.col("to_pool")).alias("same_pool"))
+    added = who(liq.where("event_type = 'LIQUIDITY_ADD'")).select(TOKEN, "role", "who", F.col("actor").alias("_to"), "block_number", F.col("pool_address").alias("to_pool"))
+    met = removed.join(added, [TOKEN, "role", "who", "block_number"])
+    return met.select(TOKEN, F.coalesce("_by", "_to").alias("actor"), "remove_block", F.col("block_number").alias("add_block"), "from_pool", "to_pool", (F.col("from_pool") == F.col("to_pool")).alias("same_pool")).distinct()
 
 
 def migration_flag(migration: DataFrame, liq: DataFrame, keep: int = 5) -> DataFrame:
-    """Per token: whether liquidity moved to another pool, the first few such moves, and whether actors are known at all."""
-    order = Window.partitionBy(TOKEN).orderBy("remove_block", "add_block", "from_pool", "to_pool")
-    moves = migration.where("not same_pool").withColumn("_r", F.row_number().over(order))
+    """Per token: whether liquidity was moved, within a pool or to another, the first few moves, and whether anyone is named at all."""
+    order = Window.partitionBy(TOKEN).orderBy("remove_block", "add_block", "from_pool", "to_pool", "actor")
+    moves = migration.withColumn("_r", F.row_number().over(order))
     found = moves.groupBy(TOKEN).agg(F.count("*").alias("moves"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_r") <= keep, F.struct("_r", "remove_block")))), lambda x: x["remove_block"].cast("string")), ",").alias("first_blocks"))
-    actors = liq.groupBy(TOKEN).agg((F.count("actor") > 0).alias("actors_known"))
+    named = F.coalesce(F.col("actor"), F.col("recipient")) if "recipient" in liq.columns else F.col("actor")
+    actors = liq.groupBy(TOKEN).agg((F.count(named) > 0).alias("actors_known"))
     rows = actors.join(found, TOKEN, "left")
     return rows.select(TOKEN, F.coalesce("moves", F.lit(0)).alias("moves"), (F.coalesce("moves", F.lit(0)) > 0).alias("migration_detected"), F.coalesce("first_blocks", F.lit("")).alias("first_blocks"), "actors_known")
 

@@ -166,12 +166,14 @@ def flow_reconciliation(flows: DataFrame, senders: DataFrame, balances: DataFram
 
 def fund_flow_edges(transfers: DataFrame) -> DataFrame:
     return transfers.groupBy(TOKEN, "from_address", "to_address").agg(
-        F.sum("amount_raw").alias("amount"), F.count("*").alias("transfer_count"), F.count_distinct("transaction_hash").alias("tx_count"), F.min("block_number").alias("first_block"), F.max("block_number").alias("last_block")
+        F.sum(F.col("amount_raw").cast("decimal(38,0)")).cast("decimal(38,0)").alias("amount"), F.count("*").alias("transfer_count"), F.count_distinct("transaction_hash").alias("tx_count"), F.min("block_number").alias("first_block"), F.max("block_number").alias("last_block")
     )
 
 
 def _pairs(transfers: DataFrame) -> DataFrame:
-    return transfers.where("from_address <> to_address").withColumns({"a": F.least("from_address", "to_address"), "b": F.greatest("from_address", "to_address")})
+    """Transfers of something between two addresses; those of 0 or less say nothing about a relation."""
+    rows = transfers.where("from_address <> to_address").withColumn("amount_raw", F.col("amount_raw").cast("decimal(38,0)")).where("amount_raw > 0")
+    return rows.withColumns({"a": F.least("from_address", "to_address"), "b": F.greatest("from_address", "to_address")})
 
 
 def reciprocal_edges(transfers: DataFrame, percent: int = 25) -> DataFrame:
@@ -180,15 +182,15 @@ def reciprocal_edges(transfers: DataFrame, percent: int = 25) -> DataFrame:
     g = _pairs(transfers).groupBy(TOKEN, "a", "b").agg(
         F.sum(F.when(forth, F.col("amount_raw"))).alias("s1"), F.count_if(forth).alias("n1"), F.sum(F.when(~forth, F.col("amount_raw"))).alias("s2"), F.count_if(~forth).alias("n2")
     )
-    left, right = F.col("s1") * F.col("n2"), F.col("s2") * F.col("n1")  # means over a common denominator, exact
+    left, right = F.col("s1").cast("double") * F.col("n2"), F.col("s2").cast("double") * F.col("n1")  # means over a common denominator
     return g.where((F.col("n1") > 0) & (F.col("n2") > 0) & (F.abs(left - right) * 100 <= F.greatest(left, right) * percent)).select(TOKEN, "a", "b", "n1", "n2")
 
 
 def repeated_edges(transfers: DataFrame, min_count: int = 3, percent: int = 25) -> DataFrame:
     """Directed pairs with at least min_count transfers, all within percent of their mean."""
-    g = transfers.where("from_address <> to_address").groupBy(TOKEN, "from_address", "to_address").agg(F.count("*").alias("n"), F.sum("amount_raw").alias("s"), F.min("amount_raw").alias("lo"), F.max("amount_raw").alias("hi"))
-    n, s = F.col("n"), F.col("s")
-    near = ((s - F.col("lo") * n) * 100 <= s * percent) & ((F.col("hi") * n - s) * 100 <= s * percent)
+    g = _pairs(transfers).groupBy(TOKEN, "from_address", "to_address").agg(F.count("*").alias("n"), F.sum("amount_raw").alias("s"), F.min("amount_raw").alias("lo"), F.max("amount_raw").alias("hi"))
+    n, s = F.col("n"), F.col("s").cast("double")
+    near = ((s - F.col("lo").cast("double") * n) * 100 <= s * percent) & ((F.col("hi").cast("double") * n - s) * 100 <= s * percent)
     return g.where((n >= min_count) & near).select(TOKEN, F.least("from_address", "to_address").alias("a"), F.greatest("from_address", "to_address").alias("b")).distinct()
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import market, prices, research, wallets
 from tidemark.plans.queries import GRAPH, INC, MIG, POS, TRAJ, _edges, _incidents, _shares, _trajectory, query
 from tidemark.sources.adapters import ctes, view
+from tidemark.sources.tables import checkpointed
 
 #: Swaps in whole tokens: pool, side, price and USD value.
 PRICED = """pairs as (select least(token0, token1) lo, greatest(token0, token1) hi, min(pool_address) by_pair from pools group by 1, 2 having count(*) = 1),
@@ -197,7 +198,7 @@ rl as (select tk0.token_address, cast(case when dp.deployer is null then 0 when
 im0 as (select token_address, cast(sum(cast(round(price, 9) as decimal(28,9))) filter (block_number <= incident_block) as double) / nullif(count(*) filter (block_number <= incident_block), 0) as b, cast(sum(cast(round(price, 9) as decimal(28,9))) filter (block_number > incident_block) as double) / nullif(count(*) filter (block_number > incident_block), 0) as a from pr join inc using (token_address) where price > 0 and unit = 'USD' and incident_block <> 0 group by 1),
 im as (select tk0.token_address, round(b, 9) as before, round(a, 9) as after, round(case when b is null or a is null then 0 when (b - a) / b > 1 then 1 else (b - a) / b end, 9) as score from tk0 left join im0 using (token_address)),
 lc as (select token_address, max(share_pct) as top from sh group by 1),
-rk0 as (select tk0.token_address, coalesce(least(1.0::double, cn.share), 0) as f1, coalesce(least(1.0::double, cast(lc.top as double) / 100), 0) as f2, coalesce(sv.severity, 0) as f3, px.score as f4, rl.score as f5, im.score as f6, coalesce(sv.removals, 0) as n, coalesce(sv.large_sells, false) as large, exists (select 1 from mg where mg.token_address = tk0.token_address and not same_pool) as migrated
+rk0 as (select tk0.token_address, coalesce(least(1.0::double, cn.share), 0) as f1, coalesce(least(1.0::double, cast(lc.top as double) / 100), 0) as f2, coalesce(sv.severity, 0) as f3, px.score as f4, rl.score as f5, im.score as f6, coalesce(sv.removals, 0) as n, coalesce(sv.large_sells, false) as large, exists (select 1 from mg where mg.token_address = tk0.token_address) as migrated
  from tk0 left join cn using (token_address) left join lc using (token_address) left join sv using (token_address) left join px using (token_address) left join rl using (token_address) left join im using (token_address)),
 rk1 as (select *, cast(case when n > 3 and large then 1.0 when n > 1 or large then 0.5 else 0 end as double) as f7 from rk0),
 rk2 as (select *, 0.15::double * f1 + 0.15::double * f2 + 0.20::double * f3 + 0.15::double * f4 + 0.15::double * f5 + 0.15::double * f6 + 0.05::double * f7 as raw, least(1.0::double, 0.55::double + 0.09::double * ((f1 > 0)::int + (f2 > 0)::int + (f3 > 0 or n > 0)::int + (f4 > 0)::int + (f6 > 0)::int + (f5 > 0)::int)) as ev from rk1),
@@ -217,21 +218,23 @@ def _position_labels(spark, d):
     return wallets.label_positions(_shares(spark, d), _deployers(spark, d))
 
 
-def _proximity(spark, d):
-    return research.temporal_proximity(_tokens(spark, d), view(spark, d, "liquidity_events"), _incidents(spark, d))
+def _proximity(spark, d, liq=None, incidents=None):
+    liq = view(spark, d, "liquidity_events") if liq is None else liq
+    return research.temporal_proximity(liq.select("token_address").distinct(), liq, _incidents(spark, d) if incidents is None else incidents)
 
 
-def _impact(spark, d):
-    return research.market_impact(_tokens(spark, d), _priced(spark, d).where("unit = 'USD'"), _incidents(spark, d))
+def _impact(spark, d, tokens=None, incidents=None):
+    return research.market_impact(_tokens(spark, d) if tokens is None else tokens, _priced(spark, d).where("unit = 'USD'"), _incidents(spark, d) if incidents is None else incidents)
 
 
-def _role(spark, d):
-    return research.role_sensitivity(_tokens(spark, d), _position_labels(spark, d), _deployers(spark, d))
+def _role(spark, d, tokens=None, labels=None):
+    return research.role_sensitivity(_tokens(spark, d) if tokens is None else tokens, _position_labels(spark, d) if labels is None else labels, _deployers(spark, d))
 
 
-def _severity(spark, d):
-    events = market.withdrawal_events(view(spark, d, "liquidity_events"), view(spark, d, "tvl_points"), view(spark, d, "pools"), extra=["token0_amount"])
-    return market.withdrawal_severity(events, market.pool_concentration(view(spark, d, "tvl_points")), _incidents(spark, d), large=40_000)
+def _severity(spark, d, liq=None, tvl=None, incidents=None, pool=None):
+    liq, tvl = (view(spark, d, n) if x is None else x for n, x in (("liquidity_events", liq), ("tvl_points", tvl)))
+    events = market.withdrawal_events(liq, tvl, view(spark, d, "pools"), extra=["token0_amount"])
+    return market.withdrawal_severity(events, market.pool_concentration(tvl) if pool is None else pool, _incidents(spark, d) if incidents is None else incidents, large=40_000)
 
 
 @query("temporal_proximity", RISK + "select * from px")
@@ -259,14 +262,20 @@ def withdrawal_severity(spark, d):
 def risk_score(spark, d):
     from tidemark.operators import holders
 
-    liq = view(spark, d, "liquidity_events")
-    moved = research.liquidity_migration(liq).where("not same_pool")
-    pool = market.pool_concentration(view(spark, d, "tvl_points"))
-    return research.risk_score(_tokens(spark, d), pool, holders.lp_concentration(_shares(spark, d)), _severity(spark, d), _proximity(spark, d), _role(spark, d), _impact(spark, d), moved)
+    # each input once: the events, their small aggregates by token, and the shares of positions
+    liq, tvl = checkpointed(view(spark, d, "liquidity_events")), checkpointed(view(spark, d, "tvl_points"))
+    shares = checkpointed(_shares(spark, d).select("token_address", "pool_address", "token_id", "owner", "share_pct"))
+    tokens, incidents, pool = checkpointed(liq.select("token_address").distinct()), checkpointed(research.incidents(liq)), checkpointed(market.pool_concentration(tvl))
+    labels = wallets.label_positions(shares, _deployers(spark, d))
+    moved = checkpointed(research.liquidity_migration(liq).select("token_address").distinct())
+    return research.risk_score(
+        tokens, pool, checkpointed(holders.lp_concentration(shares)), checkpointed(_severity(spark, d, liq, tvl, incidents, pool)), checkpointed(_proximity(spark, d, liq, incidents)),
+        checkpointed(_role(spark, d, tokens, labels)), checkpointed(_impact(spark, d, tokens, incidents)), moved,
+    )
 
 
-@query("migration_flag", ctes("liquidity_events") + MIG + """, mv as (select *, row_number() over (partition by token_address order by remove_block, add_block, from_pool, to_pool) as r from mg where not same_pool),
-g as (select token_address, count(*) as moves, string_agg(cast(remove_block as varchar), ',' order by r) filter (r <= 5) as f from mv group by 1), a as (select token_address, count(actor) > 0 as actors_known from liquidity_events group by 1)
+@query("migration_flag", ctes("liquidity_events") + MIG + """, mv as (select *, row_number() over (partition by token_address order by remove_block, add_block, from_pool, to_pool, actor) as r from mg),
+g as (select token_address, count(*) as moves, string_agg(cast(remove_block as varchar), ',' order by r) filter (r <= 5) as f from mv group by 1), a as (select token_address, count(coalesce(actor, recipient)) > 0 as actors_known from liquidity_events group by 1)
 select token_address, coalesce(moves, 0) as moves, coalesce(moves, 0) > 0 as migration_detected, coalesce(f, '') as first_blocks, actors_known from a left join g using (token_address)""")
 def migration_flag(spark, d):
     liq = view(spark, d, "liquidity_events")

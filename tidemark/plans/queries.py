@@ -184,7 +184,7 @@ def _trajectory(spark, d):
     return holders.balance_trajectory(view(spark, d, "balance_ledger"), 4000, 12_000)
 
 
-@query("holders_interval", ctes("holder_intervals") + "select distinct token_address, address from holder_intervals where valid_from < date '1996-06-01' and valid_to > date '1996-01-01' and balance_raw > 0")
+@query("holders_interval", ctes("holder_intervals") + "select distinct token_address, address from holder_intervals where valid_from <= date '1996-06-01' and valid_to > date '1996-01-01' and balance_raw > 0 and address <> '0x0000000000000000000000000000000000000000'")
 def holders_interval(spark, d):
     return holders.holders_interval(view(spark, d, "holder_intervals"), "1996-01-01", "1996-06-01")
 
@@ -265,10 +265,10 @@ def portfolios(spark, d):
 # wallets, flows, graph
 
 TR = ctes("transfers", "gas_payers", "contract_owners")
-GRAPH = TR + """, pr as (select *, least(from_address, to_address) as a, greatest(from_address, to_address) as b from transfers where from_address <> to_address),
+GRAPH = TR + """, pr as (select *, least(from_address, to_address) as a, greatest(from_address, to_address) as b from transfers where from_address <> to_address and amount_raw > 0),
 rc0 as (select token_address, a, b, coalesce(sum(amount_raw) filter (from_address = a), 0) as s1, count(*) filter (from_address = a) as n1, coalesce(sum(amount_raw) filter (from_address <> a), 0) as s2, count(*) filter (from_address <> a) as n2 from pr group by 1, 2, 3),
 rc as (select token_address, a, b, n1, n2 from rc0 where n1 > 0 and n2 > 0 and abs(s1 * n2 - s2 * n1) * 100 <= greatest(s1 * n2, s2 * n1) * 25),
-rp0 as (select token_address, from_address, to_address, count(*) as n, sum(amount_raw) as s, min(amount_raw) as lo, max(amount_raw) as hi from transfers where from_address <> to_address group by 1, 2, 3),
+rp0 as (select token_address, from_address, to_address, count(*) as n, sum(amount_raw) as s, min(amount_raw) as lo, max(amount_raw) as hi from transfers where from_address <> to_address and amount_raw > 0 group by 1, 2, 3),
 rp as (select distinct token_address, least(from_address, to_address) as a, greatest(from_address, to_address) as b from rp0 where n >= 3 and (s - lo * n) * 100 <= s * 25 and (hi * n - s) * 100 <= s * 25),
 ct as (select token_address, a, b, count(distinct transaction_hash) as n_tx from pr group by 1, 2, 3 having count(distinct transaction_hash) >= 3),
 sd as (select distinct token_address, transaction_hash, unnest([from_address, to_address]) as address from transfers),
@@ -298,7 +298,7 @@ def owner_edges(spark, d):
     return _owner_edges(spark, d)
 
 
-@query("fund_flow_edges", TR + "select token_address, from_address, to_address, cast(sum(amount_raw) as bigint) as amount, count(*) as transfer_count, count(distinct transaction_hash) as tx_count, min(block_number) as first_block, max(block_number) as last_block from transfers group by 1, 2, 3")
+@query("fund_flow_edges", TR + "select token_address, from_address, to_address, cast(sum(amount_raw) as decimal(38,0)) as amount, count(*) as transfer_count, count(distinct transaction_hash) as tx_count, min(block_number) as first_block, max(block_number) as last_block from transfers group by 1, 2, 3")
 def fund_flow_edges(spark, d):
     return wallets.fund_flow_edges(view(spark, d, "transfers"))
 
@@ -350,7 +350,7 @@ def incident_timeline(spark, d):
     return research.incident_timeline(view(spark, d, "liquidity_events"), _incidents(spark, d))
 
 
-MIG = ", mg as (select distinct r.token_address, r.actor, r.block_number as remove_block, a.block_number as add_block, r.pool_address as from_pool, a.pool_address as to_pool, r.pool_address = a.pool_address as same_pool from liquidity_events r join liquidity_events a on r.token_address = a.token_address and r.actor = a.actor and a.block_number between r.block_number and r.block_number + 5 where r.event_type = 'LIQUIDITY_REMOVE' and a.event_type = 'LIQUIDITY_ADD')\n"
+MIG = ", mg as (select distinct r.token_address, coalesce(r.actor, a.actor) as actor, r.block_number as remove_block, a.block_number as add_block, r.pool_address as from_pool, a.pool_address as to_pool, r.pool_address = a.pool_address as same_pool from liquidity_events r join liquidity_events a on r.token_address = a.token_address and (r.actor = a.actor or r.recipient = a.recipient) and a.block_number between r.block_number and r.block_number + 5 where r.event_type = 'LIQUIDITY_REMOVE' and a.event_type = 'LIQUIDITY_ADD')\n"
 
 
 @query("liquidity_migration", ctes("liquidity_events") + MIG + "select * from mg")

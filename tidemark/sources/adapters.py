@@ -34,20 +34,20 @@ VIEWS = {
  from ev where raw_type in ('purchase','click')""",
     "liquidity_events": """select token_address, block_number, log_index, block_timestamp, transaction_hash,
  case raw_type when 'signup' then 'LIQUIDITY_ADD' else 'LIQUIDITY_REMOVE' end as event_type,
- 'p' || cast(k % 6 as {STR}) as pool_address, case when k % 7 = 0 then null else 'u' || cast(user_id as {STR}) end as actor,
+ 'p' || cast(k % 6 as {STR}) as pool_address, case when k % 7 = 0 then null else 'u' || cast(user_id as {STR}) end as actor, case when k % 5 < 2 then 'u' || cast((user_id + k % 3) % 150 as {STR}) end as recipient,
  case when k % 6 >= 4 then 'v4' else 'v3' end as version, case when k % 6 >= 4 then 'ModifyLiquidity' else 'Mint' end as source_event,
  case when k % 6 >= 4 then 0 else cents end as token0_amount, case when k % 6 >= 4 then 0 else cents end as token1_amount,
  case raw_type when 'signup' then cents else -cents end as liquidity_delta, 1 + k % 3 as event_count
  from ev where raw_type in ('signup','error')""",
     "transfers": """select 'T' || cast((user_id + to_user) % 3 as {STR}) as token_address, block_number, log_index, block_timestamp, transaction_hash, 'TOKEN_TRANSFER' as event_type,
- 'u' || cast(user_id as {STR}) as from_address, 'u' || cast(to_user as {STR}) as to_address, cast(100 + k % 20 as bigint) as amount_raw
+ 'u' || cast(user_id as {STR}) as from_address, 'u' || cast(to_user as {STR}) as to_address, cast(case when k % 11 = 0 then 0 else 100 + k % 20 end as bigint) as amount_raw
  from (select *, (user_id + 150 + case k % 4 when 0 then -2 when 1 then -1 when 2 then 1 else 2 end) % 150 as to_user from ev where raw_type = 'view') t""",
     "gas_payers": "select distinct transaction_hash, 'u' || cast((block_number {DIV} 3) % 150 as {STR}) as gas_payer from ev",
     "tvl_points": """select token_address, block_number, log_index, block_timestamp, 'p' || cast(k % 6 as {STR}) as pool_address,
  1000000 + cents * 10 as tvl_raw from ev where raw_type = 'error' and k % 6 < 4""",
     "balance_ledger": """select 'T' || cast(o_custkey % 3 as {STR}) as token_address, 'u' || cast(o_custkey as {STR}) as address, o_orderkey as block_number,
  cast(round(o_totalprice*100) as bigint) as balance_raw from orders""",
-    "holder_intervals": """select 'T' || cast(o_custkey % 3 as {STR}) as token_address, 'u' || cast(o_custkey as {STR}) as address, cast(o_orderdate as date) as valid_from,
+    "holder_intervals": """select 'T' || cast(o_custkey % 3 as {STR}) as token_address, case when o_custkey % 41 = 0 then '0x0000000000000000000000000000000000000000' else 'u' || cast(o_custkey as {STR}) end as address, cast(o_orderdate as date) as valid_from,
  {DADD} as valid_to, case when o_orderstatus='F' then 0 else cast(round(o_totalprice*100) as bigint) end as balance_raw from orders""",
     "lp_nft": """select 'T' || cast(l_orderkey % 3 as {STR}) as token_address, l_orderkey as token_id, 'p' || cast(l_orderkey % 6 as {STR}) as pool_address,
  l_orderkey * 8 + l_linenumber as block_number, l_linenumber as log_index,
