@@ -3,7 +3,7 @@
 import pytest
 from conftest import SF, same_rows
 
-from tidemark.plans import flows, logs, more, panels, tokens  # noqa: F401
+from tidemark.plans import chain, flows, logs, more, panels, tokens  # noqa: F401
 from tidemark.plans import queries as Q
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import events, prices, states
-from tidemark.plans.queries import query
+from tidemark.functions import scalars, ticks
+from tidemark.operators import charts, events, prices, states
+from tidemark.plans.queries import _positions, query
 from tidemark.sources.adapters import ctes, view
 from tidemark.sources.tables import conform
 
@@ -101,3 +102,81 @@ select token_address, pool_address, block_number, log_index, event_type, quote_o
 def tvl_events_v3(spark, d):
     rows = states.tvl_events_v3(_events(spark, d), *_dimensions(spark, d))
     return rows.select("token_address", "pool_address", "block_number", "log_index", "event_type", "quote", "liquidity", "tvl_in_token", F.round("price", 9).alias("price"))
+
+
+def _priced(spark, d):
+    pools, tokens, quotes = _dimensions(spark, d)
+    return prices.priced_swaps(conform(_events(spark, d).where("event_type = 'SWAP'"), "swaps"), pools, tokens=tokens, quotes=quotes)
+
+
+RESERVES = SIDES + """,
+st as (
+  select *, case when event_type = 'LIQUIDITY_REMOVE' then -abs(case when first then a0 else a1 end) when event_type = 'LIQUIDITY_ADD' then abs(case when first then a0 else a1 end)
+      else case when first then a0 else a1 end end as d,
+    count(*) filter (event_type = 'SYNC') over (partition by pool_address order by block_number, log_index rows unbounded preceding) as part
+  from sd where verified and version = 'v2'),
+sm as (select *, sum(d) over (partition by pool_address, part order by block_number, log_index rows unbounded preceding) as s from st),
+tv as (
+  select token_address, block_number, log_index, block_timestamp, pool_address as pool,
+    cast(2 * (s - least(0, min(s) over (partition by pool_address, part order by block_number, log_index rows unbounded preceding))) as decimal(38,0)) as tvl from sm),
+vl as (select token_address, block_timestamp // 3600 * 3600 as bucket, pool_address as pool, cast(sum(cast(round(whole, 6) as decimal(28,6))) as decimal(38,6)) as volume from sd where event_type = 'SWAP' group by 1, 2, 3)
+"""
+
+
+def _reserves(spark, d):
+    rows = states.tvl_events_v2(_events(spark, d), *_dimensions(spark, d))
+    return rows.select("token_address", "block_number", "log_index", "block_timestamp", F.col("pool_address").alias("pool"), F.col("tvl_in_token").alias("tvl"), "price")
+
+
+def _volume(spark, d):
+    rows = _priced(spark, d).where("pool is not null and target is not null").withColumn("bucket", scalars.bucket_ts(F.col("block_timestamp"), 3600))
+    return rows.groupBy("token_address", "bucket", "pool").agg(F.sum(F.round("target", 6).cast("decimal(28,6)")).cast("decimal(38,6)").alias("volume"))
+
+
+def _text(column: str):
+    return F.array_join(F.transform(F.map_entries(column), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+
+
+@query("pool_matrices", RESERVES + """,
+tm as (select token_address, block_timestamp // 3600 * 3600 as bucket, pool, arg_max(tvl, row(block_number, log_index)) as tvl from tv group by 1, 2, 3),
+pm as (
+  select token_address, block_timestamp // 3600 * 3600 as bucket, pool_address as pool, arg_max(cast(round(quoted / whole * 1e6) as bigint), row(block_number, log_index)) as p
+  from sd where event_type = 'SWAP' and whole > 0 and quoted > 0 group by 1, 2, 3),
+cells as (
+  select token_address, bucket, string_agg(pool || '=' || tvl::varchar, ',' order by pool) as tvl, null as price, null as volume from tm group by 1, 2
+  union all select token_address, bucket, null, string_agg(pool || '=' || p::varchar, ',' order by pool), null from pm group by 1, 2
+  union all select token_address, bucket, null, null, string_agg(pool || '=' || volume::varchar, ',' order by pool) from vl group by 1, 2)
+select token_address, bucket, max(tvl) as tvl, max(price) as price_e6, max(volume) as volume from cells group by 1, 2""")
+def pool_matrices(spark, d):
+    """Of each hour the TVL, price and volume of every pool that has one, as maps of pools."""
+    hour = scalars.bucket_ts(F.col("block_timestamp"), 3600)
+    order = ["block_number", "log_index"]
+    tvl = charts.pool_matrix(_reserves(spark, d).withColumn("bucket", hour), "bucket", F.col("tvl"), "tvl", order)
+    price = charts.pool_matrix(_priced(spark, d).withColumn("bucket", hour), "bucket", F.round(F.col("price") * 1e6).cast("long"), "price_e6", order)
+    volume = charts.pool_matrix(_volume(spark, d), "bucket", F.col("volume"), "volume")
+    rows = tvl.join(price, ["token_address", "bucket"], "full_outer").join(volume, ["token_address", "bucket"], "full_outer")
+    return rows.select("token_address", "bucket", *[_text(c).alias(c) for c in ("tvl", "price_e6", "volume")])
+
+
+@query("point_details", RESERVES + """,
+pt as (select token_address, block_timestamp as "at", pool, max(tvl) as tvl from tv group by 1, 2, 3),
+tt as (select token_address, "at", sum(tvl) as total from pt group by 1, 2),
+bk as (select distinct token_address, bucket from vl),
+tb as (select tt.*, bk.bucket as volume_bucket from tt asof left join bk on tt.token_address = bk.token_address and tt."at" >= bk.bucket)
+select pt.token_address, pt."at" as point_time, pt.pool, cast(tvl as decimal(38,0)) as tvl, round(100 * cast(cast(tvl as varchar) as double) / nullif(cast(cast(cast(total as decimal(38,0)) as varchar) as double), 0), 6) as share_pct, tb.volume_bucket, volume,
+  pt."at" - tb.volume_bucket < 3600 as covered
+from pt join tb on pt.token_address = tb.token_address and pt."at" = tb."at" left join vl on vl.token_address = pt.token_address and vl.bucket = tb.volume_bucket and vl.pool = pt.pool""")
+def point_details(spark, d):
+    """Share, and the volume of the covering bucket or the nearest earlier one, of each pool at each time."""
+    tvl = _reserves(spark, d).groupBy("token_address", F.col("block_timestamp").alias("at"), "pool").agg(F.max("tvl").alias("tvl"), F.max("price").alias("price"))
+    rows = charts.point_details(tvl, _volume(spark, d))
+    return rows.select("token_address", F.col("at").alias("point_time"), "pool", "tvl", F.round("share_pct", 6).alias("share_pct"), "volume_bucket", "volume", "covered")
+
+
+@query("position_amounts_exact")
+def position_amounts_exact(spark, d):
+    """Both amounts of every open position, exact at any size, at the mean tick of its pool's positions. Beyond SQL's numbers."""
+    positions = _positions(spark, d)
+    at = positions.groupBy("pool_address").agg(F.floor(F.avg((F.col("tick_lower") + F.col("tick_upper")) / 2)).cast("int").alias("tick")).withColumn("root_price", ticks.root_text("tick"))
+    rows = positions.join(at, "pool_address").withColumn("x", ticks.exact_amounts("root_price", "tick_lower", "tick_upper", F.concat(F.col("liquidity").cast("string"), F.lit("0" * 18))))
+    return rows.select("token_address", "token_id", "pool_address", "owner", "root_price", "x.amount0", "x.amount1")

@@ -11,8 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPARK = {"UNIX": "unix_timestamp(cast(ts as timestamp))", "DIV": "div", "STR": "string", "DADD": "date_add(cast(o_orderdate as date), cast(o_custkey % 30 + 1 as int))"}
-DUCKDB = {"UNIX": "cast(floor(epoch(ts)) as bigint)", "DIV": "//", "STR": "varchar", "DADD": "cast(o_orderdate as date) + cast(o_custkey % 30 + 1 as integer)"}
+SPARK = {"UNIX": "unix_timestamp(cast(ts as timestamp))", "DIV": "div", "STR": "string", "ARRAY": "array", "DADD": "date_add(cast(o_orderdate as date), cast(o_custkey % 30 + 1 as int))"}
+DUCKDB = {"UNIX": "cast(floor(epoch(ts)) as bigint)", "DIV": "//", "STR": "varchar", "ARRAY": "list_value", "DADD": "cast(o_orderdate as date) + cast(o_custkey % 30 + 1 as integer)"}
 
 #: name -> (source table or views, text)
 VIEWS = {
@@ -90,9 +90,23 @@ VIEWS |= {
  select p.token_address, block_number, log_index, block_timestamp, transaction_hash, family, event_name, p.pool_address, sender, recipient, liquidity, amount0, amount1, amount0_in, amount0_out, amount1_in, amount1_out,
   repeat('0', case when p.token0 = p.target then p.decimals else p.quote_decimals end - 2) as z0, repeat('0', case when p.token1 = p.target then p.decimals else p.quote_decimals end - 2) as z1
  from raw_logs r join log_pools p on p.pool_address = family || '_' || r.pool_address || '_' || lower(r.token_address)) x""",
+    "chain_fields": """select token_address, block_number, log_index, transaction_hash, k, user_id, cents, raw_type, case k % 4 when 0 then 'v2' when 1 then 'v3' when 2 then 'v4' else 'balancer' end as family,
+ case when k % 2 = 0 then 4096 + user_id % 3 else 8192 + k % 50 end as a, case when k % 2 = 0 then 8192 + k % 50 else 4096 + user_id % 3 end as b, 70000 + (k * 31 + user_id * 7) % 400 as pool from ev""",
+    "chain_logs": """select token_address, block_number, log_index, transaction_hash, family, case when raw_type in ('signup', 'view') then case family when 'v2' then 'PairCreated' when 'v3' then 'PoolCreated' when 'v4' then 'Initialize' else 'TokensRegistered' end
+  when family = 'v4' then 'ModifyLiquidity' when family = 'balancer' then 'PoolBalanceChanged' else 'Other' end as event_name, '0x00000000000000000000000000000000000000FA' as address,
+ case when raw_type in ('signup', 'view') and family in ('v2', 'v3') then {ARRAY}('0x' || lpad('', 64, 'e'), '0x' || lpad(lower(hex(a)), 64, '0'), '0x' || lpad(lower(hex(b)), 64, '0'), '0x' || lpad(lower(hex(500)), 64, '0'))
+  when raw_type in ('signup', 'view') and family = 'v4' then {ARRAY}('0x' || lpad('', 64, 'e'), '0x' || rpad(lower(hex(pool)), 64, '7'), '0x' || lpad(lower(hex(a)), 64, '0'), '0x' || lpad(lower(hex(b)), 64, '0'))
+  else {ARRAY}('0x' || lpad('', 64, 'e'), '0x' || rpad(lower(hex(pool)), 64, '7'), '0x' || lpad(lower(hex(user_id)), 64, '0')) end as topics,
+ case when raw_type in ('signup', 'view') then case family when 'v2' then '0x' || lpad(lower(hex(pool)), 64, '0') || lpad('', 64, '0') when 'v3' then '0x' || lpad(lower(hex(10)), 64, '0') || lpad(lower(hex(pool)), 64, '0')
+   when 'v4' then '0x' || lpad(lower(hex(3000)), 64, '0') || lpad(lower(hex(60)), 64, '0') || lpad('abc', 64, '0') || lpad('1', 64, '0') || lpad('', 64, 'f')
+   else '0x' || lpad(lower(hex(64)), 64, '0') || lpad(lower(hex(192)), 64, '0') || lpad('3', 64, '0') || lpad(lower(hex(a)), 64, '0') || lpad(lower(hex(b)), 64, '0') || lpad('def', 64, '0') || lpad('', 64, '0') end
+  when family = 'v4' then '0x' || lpad('c4', 64, 'f') || lpad('3c', 64, '0') || case when raw_type = 'error' then lpad(lower(hex(1099511627776 - cents)), 64, 'f') else lpad(lower(hex(cents)), 64, '0') end || case when k % 7 = 0 then lpad(lower(hex(user_id)), 64, '9') else lpad(lower(hex(user_id)), 64, '0') end
+  else '0x' || lpad('60', 64, '0') || lpad('c0', 64, '0') || lpad(lower(hex(288)), 64, '0') || lpad('2', 64, '0') || lpad(lower(hex(a)), 64, '0') || lpad(lower(hex(b)), 64, '0') || lpad('2', 64, '0') || lpad(lower(hex(cents)), 64, '0')
+   || lpad(lower(hex(1099511627776 - cents)), 64, 'f') || lpad('', 64, '0') end as data from chain_fields""",
+    "token_addresses": """select distinct token_address, '0x' || lpad(lower(hex(4096 + cast(substr(token_address, 2) as bigint))), 40, '0') as target from ev""",
     "fee_tiers": "select * from (values (100, 1), (500, 10), (3000, 60), (10000, 200)) v(fee, tick_spacing)",
 }
-USES = {"swaps": ["ev"], "liquidity_events": ["ev"], "transfers": ["ev"], "gas_payers": ["ev"], "tvl_points": ["ev"], "raw_swaps": ["ev", "swaps"], "raw_logs": ["ev"], "position_keys": ["ev", "pools"], "token_meta": ["ev"], "log_pools": ["ev", "raw_logs", "token_meta"], "pool_logs": ["ev", "raw_logs", "token_meta", "log_pools"]}
+USES = {"swaps": ["ev"], "liquidity_events": ["ev"], "transfers": ["ev"], "gas_payers": ["ev"], "tvl_points": ["ev"], "raw_swaps": ["ev", "swaps"], "raw_logs": ["ev"], "position_keys": ["ev", "pools"], "token_meta": ["ev"], "log_pools": ["ev", "raw_logs", "token_meta"], "pool_logs": ["ev", "raw_logs", "token_meta", "log_pools"], "chain_fields": ["ev"], "chain_logs": ["ev", "chain_fields"], "token_addresses": ["ev"]}
 TABLES = {"ev": "events", "balance_ledger": "orders", "holder_intervals": "orders", "lp_nft": "lineitem", "contract_owners": "customer", "creations": "customer"}
 
 
