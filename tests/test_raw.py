@@ -106,3 +106,26 @@ def test_details_of_a_point(spark):
     volume = spark.createDataFrame([("T", 0, "a", 7), ("T", 3600, "b", 8)], "token_address string, bucket long, pool string, volume long")
     got = {(r.token_address, r.at, r.pool): tuple(r)[5:] for r in charts.point_details(tvl, volume).collect()}
     assert got == {("T", 100, "a"): (75.0, 1.5, 0, 7, True), ("T", 100, "b"): (25.0, None, 0, None, True), ("T", 9000, "a"): (None, 2.0, 3600, None, False), ("U", 50, "a"): (100.0, None, None, None, None)}
+
+
+def test_positions_of_all_families(spark):
+    from tidemark.operators import positions as P
+
+    zero = "0x" + "0" * 40
+    pools = spark.createDataFrame([("T", f"p{f}", f"l{f}", f, f != "v1") for f in ("v1", "v2", "curve", "balancer")] + [("T", "pempty", "lempty", "v2", True)], "token_address string, pool_address string, lp_token string, family string, verified boolean")
+    events = spark.createDataFrame([("pv2", "a", "pv2"), ("pv2", zero, None), ("pcurve", None, "b"), ("pv1", "a", None), ("pempty", "a", None)], "pool_address string, actor string, recipient string")
+    moves = spark.createDataFrame([("lbalancer", zero, "c"), ("other", "d", "e")], "token_address string, from_address string, to_address string")
+    big = 3 * 10**27
+    ledger = [("lv2", "a", 5, str(big)), ("lv2", "a", 9, str(2 * big)), ("lv2", "a", 11, "1"), ("lv2", "stranger", 5, "9"), ("lcurve", "b", 5, "0"), ("lbalancer", "c", 10, "25"), ("lv1", "a", 5, "5"), ("lempty", "a", 5, "5")]
+    ledger = spark.createDataFrame(ledger, "lp_token string, address string, block_number long, balance_raw string")
+    supply = spark.createDataFrame([("lv2", 1, str(8 * big)), ("lbalancer", 3, "100"), ("lbalancer", 12, "50"), ("lcurve", 1, "9"), ("lempty", 1, "0")], "lp_token string, block_number long, supply_raw string")
+    got = P.lp_token_positions(pools, events, moves, ledger, supply, 10)
+    assert {tuple(r) for r in got.collect()} == {("T", "pv2", "a", "lp:lv2", 2 * big, 25.0, "v2_balanceof_at_to_block", 0.95), ("T", "pbalancer", "c", "lp:lbalancer", 25, 25.0, "balancer_bpt_balanceof_at_to_block", 0.9)}
+    changes = [("T", "m", 1, -10, 10, "30", "7"), ("T", "m", 2, -10, 10, "-10", "7"), ("T", "m", 2, 50, 60, "5", str(10**50)), ("T", "m", 2, -5, 5, "60", "9"), ("T", "m", 2, -5, 5, "8", "8"), ("T", "m", 3, -5, 5, "-8", "8"), ("T", "m", 99, -5, 5, "8", "7")]
+    changes = spark.createDataFrame(changes, "token_address string, pool_address string, block_number long, tick_lower int, tick_upper int, liquidity_delta string, salt_id string")
+    owners = spark.createDataFrame([("7", 1, 0, "a"), ("7", 2, 1, "b"), ("7", 2, 0, "x"), (str(10**50), 1, 0, "c"), ("9", 1, 0, zero), ("7", 50, 0, "late")], "token_id string, block_number long, log_index int, owner string")
+    salted = P.salt_positions(changes, owners, spark.createDataFrame([("m", 0)], "pool_address string, tick int"), 10)
+    assert {tuple(r)[2:6] + (r.confidence,) for r in salted.collect()} == {("b", "v4:7", 20, 25.0, 0.95), ("c", f"v4:{10**50}", 5, 0.0, 0.9)}
+    assert P.all_positions(got, salted).count() == 4
+    assert {r.owner for r in P.all_positions(got, salted, allowed=spark.createDataFrame([("a",), ("c",)], "owner string")).collect()} == {"a", "c"}
+    assert P.all_positions(got, salted, allowed=spark.createDataFrame([], "owner string")).count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import average_rank
+from tidemark.sources.tables import checkpointed
 
 TOKEN = "token_address"
 
@@ -186,7 +187,8 @@ def correlations(series: DataFrame, features: list[str], by: list[str], min_pair
     Rows are unfolded to pairs of features, bounded by the number of features, so one pass serves all pairs.
     """
     pairs = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(a).cast("double").alias("u"), F.col(b).cast("double").alias("v")) for i, a in enumerate(features) for b in features[i + 1 :]])
-    rows = series.select(*by, F.explode(pairs).alias("p")).select(*by, "p.*")
+    rows = checkpointed(series.select(*by, *features))  # read for each method and side
+    rows = rows.select(*by, F.explode(pairs).alias("p")).select(*by, "p.*")
     keys = [*by, "x", "y"]
     both = pearson(rows, "u", "v", keys).withColumn("method", F.lit("pearson")).unionByName(spearman(rows, "u", "v", keys).withColumn("method", F.lit("spearman")))
     return both.where(F.col("n") >= min_pairs)

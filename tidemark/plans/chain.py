@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import discovery, events
-from tidemark.plans.queries import query
+from tidemark.operators import positions as P
+from tidemark.plans.queries import POS, _shares, query
 from tidemark.sources.adapters import ctes, view
 
 FIELDS = ctes("chain_fields", "token_addresses") + """,
@@ -51,3 +52,49 @@ def manager_changes(spark, d):
     """Liquidity changes of the manager: signed deltas, ticks and the position's id from its salt."""
     rows = discovery.liquidity_changes(view(spark, d, "chain_logs"))
     return rows.select("token_address", "block_number", "log_index", "pool_address", "tick_lower", "tick_upper", "liquidity_delta", "nft_token_id")
+
+
+def _lp_positions(spark, d):
+    logs = view(spark, d, "lp_logs")
+    pools = logs.select("token_address", "pool_address", "family").distinct().withColumns({"lp_token": F.col("pool_address"), "verified": ~F.col("pool_address").startswith("curve_b")})
+    ledger = view(spark, d, "lp_ledger")
+    return P.lp_token_positions(pools, logs, view(spark, d, "lp_transfers"), ledger, view(spark, d, "lp_supply"), 1 << 60)
+
+
+LP = ctes("lp_logs", "lp_ledger", "lp_supply", "lp_transfers") + """,
+lpp as (select distinct token_address, pool_address, family from lp_logs where pool_address not like 'curve_b%'),
+cand as (
+  select pool_address, actor as owner from lp_logs union select pool_address, recipient from lp_logs
+  union select token_address, from_address from lp_transfers union select token_address, to_address from lp_transfers),
+bal as (select lp_token, address, cast(arg_max(balance_raw, block_number) as decimal(38,0)) as b from lp_ledger group by 1, 2),
+sup as (select lp_token, cast(arg_max(supply_raw, block_number) as decimal(38,0)) as s from lp_supply group by 1),
+lpx as (
+  select lpp.token_address, lpp.pool_address, address as owner, 'lp:' || bal.lp_token as position, b as liquidity,
+    round(100 * cast(b::varchar as double) / cast(s::varchar as double), 6) as share_pct,
+    case family when 'v1' then 'v1_balanceof_at_to_block' when 'v2' then 'v2_balanceof_at_to_block' when 'curve' then 'curve_balanceof_at_to_block'
+      else 'balancer_bpt_balanceof_at_to_block' end as method, cast(case when family = 'v2' then 0.95 else 0.9 end as double) as confidence
+  from bal join lpp on lpp.pool_address = bal.lp_token join sup using (lp_token)
+  where b > 0 and s > 0 and address <> '0x0000000000000000000000000000000000000000'
+    and exists (select 1 from cand where cand.pool_address = bal.lp_token and cand.owner = bal.address))
+"""
+
+
+@query("lp_positions", LP + "select * from lpx")
+def lp_positions(spark, d):
+    """LP-token holders of four families, with how they were found and how far that is trusted."""
+    return _lp_positions(spark, d)
+
+
+ALL_FAMILIES = POS.replace("with ", LP.rstrip() + ", ", 1).replace("with with", "with")
+
+
+@query("positions_by_family", ALL_FAMILIES + """
+, every as (
+  select * from lpx union all select token_address, pool_address, owner, 'v3:' || token_id::varchar, cast(liquidity as decimal(38,0)), cast(share_pct as double), 'v3_tick_amounts_at_to_block', 0.95 from sh)
+select token_address, method, count(*) as positions, count(distinct owner) as owners, cast(sum(liquidity) as decimal(38,0)) as liquidity, max(share_pct) as top_share, min(confidence) as confidence from every group by 1, 2""")
+def positions_by_family(spark, d):
+    """All families in one table, summed up by token and how they were found."""
+    rows = P.all_positions(_lp_positions(spark, d), P.token_positions(_shares(spark, d)))
+    return rows.groupBy("token_address", "method").agg(
+        F.count("*").alias("positions"), F.count_distinct("owner").alias("owners"), F.sum("liquidity").cast("decimal(38,0)").alias("liquidity"), F.max("share_pct").alias("top_share"), F.min("confidence").alias("confidence")
+    )

@@ -104,10 +104,16 @@ VIEWS |= {
   else '0x' || lpad('60', 64, '0') || lpad('c0', 64, '0') || lpad(lower(hex(288)), 64, '0') || lpad('2', 64, '0') || lpad(lower(hex(a)), 64, '0') || lpad(lower(hex(b)), 64, '0') || lpad('2', 64, '0') || lpad(lower(hex(cents)), 64, '0')
    || lpad(lower(hex(1099511627776 - cents)), 64, 'f') || lpad('', 64, '0') end as data from chain_fields""",
     "token_addresses": """select distinct token_address, '0x' || lpad(lower(hex(4096 + cast(substr(token_address, 2) as bigint))), 40, '0') as target from ev""",
+    "lp_logs": """select lower(token_address) as token_address, block_number, family, family || case when pool_address in ('p0', 'p1') then '_a_' when pool_address in ('p2', 'p3') then '_b_' else '_c_' end || lower(token_address) as pool_address,
+ sender as actor, case when token_id % 3 = 0 then recipient when token_id = 1 then '0x0000000000000000000000000000000000000000' end as recipient from raw_logs where family in ('v1', 'v2', 'curve', 'balancer')""",
+    "lp_ledger": """select case o_custkey % 4 when 0 then 'v1' when 1 then 'v2' when 2 then 'curve' else 'balancer' end || case o_orderkey % 3 when 0 then '_a_' when 1 then '_b_' else '_c_' end || 't' || cast(o_custkey % 3 as {STR}) as lp_token,
+ 'u' || cast(o_custkey % 150 as {STR}) as address, o_orderkey as block_number, case when o_orderstatus = 'F' and o_orderkey % 2 = 0 then '0' else cast(cast(round(o_totalprice * 100) as bigint) as {STR}) || '0000000000' end as balance_raw from orders""",
+    "lp_supply": """select lp_token, block_number - block_number % 500 as block_number, cast(count(*) * 10000000 as {STR}) || '0000000000' as supply_raw from lp_ledger group by lp_token, block_number - block_number % 500""",
+    "lp_transfers": """select lower(token_address) as token, 'v2_a_' || lower(token_address) as token_address, from_address, to_address from transfers where amount_raw > 112""",
     "fee_tiers": "select * from (values (100, 1), (500, 10), (3000, 60), (10000, 200)) v(fee, tick_spacing)",
 }
-USES = {"swaps": ["ev"], "liquidity_events": ["ev"], "transfers": ["ev"], "gas_payers": ["ev"], "tvl_points": ["ev"], "raw_swaps": ["ev", "swaps"], "raw_logs": ["ev"], "position_keys": ["ev", "pools"], "token_meta": ["ev"], "log_pools": ["ev", "raw_logs", "token_meta"], "pool_logs": ["ev", "raw_logs", "token_meta", "log_pools"], "chain_fields": ["ev"], "chain_logs": ["ev", "chain_fields"], "token_addresses": ["ev"]}
-TABLES = {"ev": "events", "balance_ledger": "orders", "holder_intervals": "orders", "lp_nft": "lineitem", "contract_owners": "customer", "creations": "customer"}
+USES = {"swaps": ["ev"], "liquidity_events": ["ev"], "transfers": ["ev"], "gas_payers": ["ev"], "tvl_points": ["ev"], "raw_swaps": ["ev", "swaps"], "raw_logs": ["ev"], "position_keys": ["ev", "pools"], "token_meta": ["ev"], "log_pools": ["ev", "raw_logs", "token_meta"], "pool_logs": ["ev", "raw_logs", "token_meta", "log_pools"], "chain_fields": ["ev"], "chain_logs": ["ev", "chain_fields"], "token_addresses": ["ev"], "lp_logs": ["ev", "raw_logs"], "lp_supply": ["lp_ledger"], "lp_transfers": ["ev", "transfers"]}
+TABLES = {"ev": "events", "lp_ledger": "orders", "balance_ledger": "orders", "holder_intervals": "orders", "lp_nft": "lineitem", "contract_owners": "customer", "creations": "customer"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
