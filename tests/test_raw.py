@@ -129,3 +129,35 @@ def test_positions_of_all_families(spark):
     assert P.all_positions(got, salted).count() == 4
     assert {r.owner for r in P.all_positions(got, salted, allowed=spark.createDataFrame([("a",), ("c",)], "owner string")).collect()} == {"a", "c"}
     assert P.all_positions(got, salted, allowed=spark.createDataFrame([], "owner string")).count() == 0
+
+
+def test_block_windows(spark):
+    from tidemark.functions import scalars as S
+
+    df = spark.createDataFrame([(100_000,), (5,), (0,), (None,)], "b long")
+    got = [tuple(r) for r in df.select(S.block_window(F.col("b"), 7).alias("a"), S.block_window(F.col("b"), 30, ends=True).alias("z")).collect()]
+    assert got == [((100_000, 150_399), (1, 100_000)), ((5, 50_404), (1, 5)), (None, None), (None, None)]
+    with pytest.raises(ValueError):
+        S.block_window(F.col("b"), 8)
+
+
+def test_holders_shown(spark):
+    from tidemark.operators import holders
+
+    rows = [("T", "a", "eoa", "event_rebuild", 5), ("T", "b", "pool", "event_rebuild", 99), ("T", "c", "eoa", "zero_fill", 9), ("T", "d", "contract", "two_point_snapshot", 7), ("T", "e", "eoa", "event_rebuild", 0), ("U", "a", "eoa", "event_rebuild", 1)]
+    df = spark.createDataFrame(rows, "token_address string, address string, address_type string, source string, end_balance long")
+    assert [(r.token_address, r.address, r["rank"]) for r in holders.shown_holders(df, 2).orderBy("token_address", "rank").collect()] == [("T", "d", 1), ("T", "a", 2), ("U", "a", 1)]
+    kinds = {(r.token_address, r.address_type): (r.addresses, r.holding, int(r.balance), r.filled) for r in holders.holders_by_kind(df).collect()}
+    assert kinds == {("T", "eoa"): (3, 2, 14, 1), ("T", "pool"): (1, 1, 99, 0), ("T", "contract"): (1, 1, 7, 0), ("T", None): (5, 4, 120, 1), ("U", "eoa"): (1, 1, 1, 0), ("U", None): (1, 1, 1, 0)}
+
+
+def test_the_panel_keeps_its_columns(spark):
+    from conftest import SF
+
+    import __spark_entry__ as e
+    from tidemark.sources import tables
+
+    panel = e.queries()["analysis_series"](spark, SF)
+    assert set(panel.columns) == set(tables.SCHEMAS["analysis_series"].names)
+    kept = tables.conform(panel, "analysis_series")
+    assert {c: k for c, k in kept.dtypes} == {c: k for c, k in panel.dtypes}

@@ -58,3 +58,18 @@ def normalize_address(address: Column) -> Column:
 def topic_address(topic: Column) -> Column:
     """Address in the low 20 bytes of a topic."""
     return F.lower(F.concat(F.lit("0x"), F.right(topic, F.lit(40))))
+
+
+#: Blocks of a day, and the spans in days that a window may have.
+BLOCKS_PER_DAY, WINDOW_DAYS = 7200, (7, 30)
+
+
+def block_window(block: Column, days: int, ends: bool = False) -> Column:
+    """struct(start, end), both inclusive: the window of so many days that starts with the block, or ends with it (never before
+    block 1). Null for a block of 0 or less; other spans than WINDOW_DAYS are an error."""
+    if days not in WINDOW_DAYS:
+        raise ValueError(f"a window has one of {WINDOW_DAYS} days")
+    span = days * BLOCKS_PER_DAY
+    start = F.greatest(F.lit(1), block - (span - 1)) if ends else block
+    end = block if ends else block + (span - 1)
+    return F.when(block > 0, F.struct(start.cast("long").alias("start"), end.cast("long").alias("end")))

@@ -59,6 +59,23 @@ def top_holders(balances: DataFrame, n: int = 20) -> DataFrame:
     return balances.where("balance_raw > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def shown_holders(holdings: DataFrame, n: int = 20) -> DataFrame:
+    """The n largest holders that are shown of each token: positive, no pool, no balance that only fills a gap (zero_fill).
+    holdings: token_address, address, address_type, source, end_balance."""
+    kept = holdings.where((F.col("end_balance") > 0) & (F.col("address_type") != "pool") & (F.col("source") != "zero_fill"))
+    w = Window.partitionBy(TOKEN).orderBy(F.desc("end_balance"), "address")
+    return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)  # a limit on ranks keeps n rows of a task
+
+
+def holders_by_kind(holdings: DataFrame) -> DataFrame:
+    """Per token and type of address, and per token (address_type null): addresses, those that hold something, what they hold, and
+    how many balances come of each source."""
+    return holdings.groupingSets([[TOKEN, "address_type"], [TOKEN]], TOKEN, "address_type").agg(
+        F.count("*").alias("addresses"), F.count_if(F.col("end_balance") > 0).alias("holding"), F.sum(F.col("end_balance").cast("decimal(38,0)")).cast("decimal(38,0)").alias("balance"),
+        F.count_if(F.col("source") == "event_rebuild").alias("rebuilt"), F.count_if(F.col("source") == "two_point_snapshot").alias("snapshots"), F.count_if(F.col("source") == "zero_fill").alias("filled"),
+    )
+
+
 def holder_summary(trajectory: DataFrame) -> DataFrame:
     return trajectory.groupBy(TOKEN).agg(
         F.count("*").alias("holders"), F.count_if(F.col("end_balance") > 0).alias("positive"), F.sum("end_balance").alias("total_balance"), F.sum(F.col("end_balance") - F.col("start_balance")).alias("net_change"),

@@ -66,6 +66,16 @@ def priced_swaps(swaps: DataFrame, pools: DataFrame, target: str = TARGET, decim
     return rows.withColumn("usd", usd).drop("_last", "_target", "_decimals", "_quote_decimals", "_known", "_stable")
 
 
+def volume_timeline(priced: DataFrame, unit: str = "hour") -> DataFrame:
+    """token, bucket (its first second), pool: volume in whole tokens and in USD, an unknown value counting 0, and swaps; by hour,
+    day, week or month of the calendar, UTC."""
+    rows = priced.where("pool is not null and target is not null")
+    start = F.unix_timestamp(F.date_trunc(unit, F.timestamp_seconds("block_timestamp")))
+    return rows.groupBy(TOKEN, start.alias("bucket"), "pool").agg(
+        F.sum(F.round("target", 6).cast(M.USD)).alias("volume"), F.sum(F.coalesce("usd", F.lit(0).cast(M.USD))).alias("volume_usd"), F.count("*").alias("swap_count")
+    )
+
+
 def ohlc(priced: DataFrame, keys: list[str], seconds: int = 3600) -> DataFrame:
     """Per bucket: open (the first of ties), high, low, close (the last), VWAP, volumes, trades and traders.
 

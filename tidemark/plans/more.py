@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import events, market, ordered, pools, research
+from tidemark.operators import events, holders, market, ordered, pools, research
 from tidemark.plans.queries import GRAPH, INC, LQ, RS, TRAJ, TVL, _daily, _edges, _incidents, _rs, _trajectory, _withdrawals, WD, query
 from tidemark.sources.adapters import ctes, view
 
@@ -116,3 +116,26 @@ def block_window(spark, d):
     """Transfers up to the token's incident: the window's end is each token's own."""
     rows = view(spark, d, "transfers").join(_incidents(spark, d), "token_address").where("block_number <= incident_block")
     return rows.select("token_address", "block_number", "log_index")
+
+
+HOLDINGS = TRAJ.replace("with ", ctes("swaps", "pools") + ", ", 1) + """, k as (select distinct actor as address from swaps where token0_amount > 20000),
+pk as (select pool_address as address from pools union select custody_address from pools),
+hd as (
+  select token_address, tr.address, case when pk.address is not null then 'pool' when k.address is not null then 'contract' else 'eoa' end as address_type, end_balance, source
+  from tr left join k on tr.address = k.address left join pk on tr.address = pk.address)
+"""
+
+
+@query("shown_holders", HOLDINGS + """
+select token_address, address, address_type, end_balance, cast(row_number() over (partition by token_address order by end_balance desc, address) as int) as rank
+from hd where end_balance > 0 and address_type <> 'pool' and source <> 'zero_fill' qualify rank <= 20""")
+def shown_holders(spark, d):
+    return holders.shown_holders(holdings(spark, d)).select("token_address", "address", "address_type", "end_balance", "rank")
+
+
+@query("holders_by_kind", HOLDINGS + """
+select token_address, address_type, count(*) as addresses, count(*) filter (end_balance > 0) as holding, cast(sum(end_balance) as decimal(38,0)) as balance,
+  count(*) filter (source = 'event_rebuild') as rebuilt, count(*) filter (source = 'two_point_snapshot') as snapshots, count(*) filter (source = 'zero_fill') as filled
+from hd group by grouping sets ((token_address, address_type), (token_address))""")
+def holders_by_kind(spark, d):
+    return holders.holders_by_kind(holdings(spark, d))

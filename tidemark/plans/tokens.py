@@ -180,3 +180,25 @@ def position_amounts_exact(spark, d):
     at = positions.groupBy("pool_address").agg(F.floor(F.avg((F.col("tick_lower") + F.col("tick_upper")) / 2)).cast("int").alias("tick")).withColumn("root_price", ticks.root_text("tick"))
     rows = positions.join(at, "pool_address").withColumn("x", ticks.exact_amounts("root_price", "tick_lower", "tick_upper", F.concat(F.col("liquidity").cast("string"), F.lit("0" * 18))))
     return rows.select("token_address", "token_id", "pool_address", "owner", "root_price", "x.amount0", "x.amount1")
+
+
+@query("volume_by_month", SIDES + """
+select token_address, cast(epoch(date_trunc('month', make_timestamp(block_timestamp * 1000000))) as bigint) as bucket, pool_address as pool,
+  cast(sum(cast(round(whole, 6) as decimal(24,6))) as decimal(34,6)) as volume,
+  cast(sum(case when quote <> 'weth' and quoted > 0 then cast(round(quoted, 6) as decimal(24,6)) else 0 end) as decimal(34,6)) as volume_usd, count(*) as swap_count
+from sd where event_type = 'SWAP' group by 1, 2, 3""")
+def volume_by_month(spark, d):
+    return prices.volume_timeline(_priced(spark, d), "month")
+
+
+@query("block_window", SIDES + """
+, w as (select token_address, max(block_number) as last from en group by 1)
+select w.token_address, greatest(1, last - 50399) as start_block, last as end_block, count(*) as events
+from w join en on en.token_address = w.token_address and en.block_number between greatest(1, last - 50399) and last group by 1, 2, 3""")
+def block_window(spark, d):
+    """The last seven days of each token's blocks, and its events in them."""
+    rows = _events(spark, d)
+    rows = rows.where(F.col("event_type").isin("SWAP", "LIQUIDITY_ADD", "LIQUIDITY_REMOVE", "SYNC"))
+    spans = rows.groupBy("token_address").agg(F.max("block_number").alias("last")).select("token_address", scalars.block_window(F.col("last"), 7, ends=True).alias("w"))
+    kept = rows.join(spans, "token_address").where(F.col("block_number").between(F.col("w.start"), F.col("w.end")))
+    return kept.groupBy("token_address", F.col("w.start").alias("start_block"), F.col("w.end").alias("end_block")).agg(F.count("*").alias("events"))

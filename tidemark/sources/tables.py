@@ -9,12 +9,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 def _schema(text: str) -> T.StructType:
-    kinds = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType()}
+    kinds = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
     return T.StructType([T.StructField(n, kinds[k]) for n, k in (x.split() for x in text.split(", "))])
 
 
 _BASE = "token_address string, block_number long, log_index int, block_timestamp long, transaction_hash string, event_type string"
 _POOLED = f"{_BASE}, protocol string, version string, pool_address string, actor string, recipient string, source_event string"
+_PANEL = (
+    "token_address string, scope string, pool_identifier string, bucket_start long, bucket_end long, bucket_seconds int, price_open double, price_high double, price_low double, price_close double, price_vwap double, "
+    "price_unit string, price_source string, staleness long, price_is_carried boolean, tvl_token_close double, snapshot_block long, state_bucket long, tvl_is_carried boolean, volume_token double, volume_usd double, swap_count long, "
+    "active_trader_count long, liquidity_added double, liquidity_removed double, net_lp_flow double, lp_add_event_count long, lp_remove_event_count long, active_lp_count long, identity_coverage double, add_amount_coverage double, "
+    "withdrawal_amount_coverage double, measured_pools long, verified_pools long, price_return double, tvl_change double, net_lp_flow_ratio double, withdrawal_ratio double, volume_turnover double, close_vwap_gap double, "
+    "data_coverage string, is_imputed boolean"
+)
 #: Declared schemas; raw amounts are base-10 strings at rest.
 SCHEMAS = {
     "swaps": _schema(f"{_POOLED}, token0_address string, token1_address string, token0_raw string, token1_raw string, amount_usd double"),
@@ -25,7 +32,7 @@ SCHEMAS = {
     "positions": _schema("token_address string, pool_address string, owner string, nft_token_id long, tick_lower int, tick_upper int, liquidity_raw string, share_pct double, method string, confidence string"),
     "tvl_points": _schema("token_address string, block_number long, log_index int, block_timestamp long, pool_address string, tvl_raw string, tvl_usd double, snapshot_block long, tvl_source string"),
     "volume_timeline": _schema("token_address string, bucket long, pool_address string, volume_raw string, volume_usd double, swap_count long, share double"),
-    "analysis_series": _schema("token_address string, scope string, pool_identifier string, bucket_start long, bucket_end long, price_close double, price_vwap double, price_unit string, tvl_token_close double, volume_token double, volume_usd double, swap_count long, data_coverage string"),
+    "analysis_series": _schema(_PANEL),
 }
 #: Raw amounts that are 0 where they are not given; those of liquidity events stay unknown.
 ZERO_RAW = {"swaps": ["token0_raw", "token1_raw"], "transfers": ["amount_raw"], "holdings": ["balance_raw"], "volume_timeline": ["volume_raw"]}
