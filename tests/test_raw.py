@@ -161,3 +161,23 @@ def test_the_panel_keeps_its_columns(spark):
     assert set(panel.columns) == set(tables.SCHEMAS["analysis_series"].names)
     kept = tables.conform(panel, "analysis_series")
     assert {c: k for c, k in kept.dtypes} == {c: k for c, k in panel.dtypes}
+
+
+def test_wallets_by_recipient_and_first_pair(spark):
+    from tidemark.operators import prices, wallets
+
+    one = "1" + "0" * 18
+    names = "token_address string, block_number long, log_index int, pool_address string, actor string, recipient string, token0_address string, token1_address string, token0_raw string, token1_raw string, amount_usd double"
+    rows = [
+        ("T", 1, 0, "elsewhere", None, "r", "TGT", "USDC", one, "5000000", None), ("T", 2, 0, "p2", "", "r", "USDC", "TGT", "7000000", one, None),  # the first pool of the pair, whatever the address
+        ("T", 3, 0, "p9", "a", "r", "TGT", "WBTC", one, "1", 100.0), ("T", 4, 0, "p2", "a", None, None, None, one, "3000000", 3.0), ("T", 5, 0, "p1", None, None, "TGT", "USDC", one, "2000000", None),
+        ("T", 6, 0, "p1", "p1", "r", "TGT", "USDC", one, "9000000", None),
+    ]
+    pools = spark.createDataFrame([("p1", 0, "TGT", "USDC"), ("p2", 1, "TGT", "USDC")], "pool_address string, ordinal int, token0 string, token1 string")
+    priced = prices.priced_swaps(spark.createDataFrame(rows, names), pools, resolve=prices.first_pair)
+    assert {r.block_number: r.pool for r in priced.collect()} == {1: "p1", 2: "p1", 3: None, 4: "p2", 5: "p1", 6: "p1"}
+    got = {r.actor: r for r in wallets.wallet_stats(priced, spark.createDataFrame([("p1",)], "address string")).collect()}
+    assert set(got) == {"r", "a"}
+    assert (got["r"].swap_count, got["r"].sold_usd, got["r"].bought_usd, got["r"].net_usd) == (2, 5.0, 7.0, 2.0)
+    assert (got["a"].swap_count, got["a"].total_usd) == (1, 3.0)  # the swap of no pool is left out
+    assert got["a"].market_usd == 5 + 7 + 3 + 2 + 9  # those of nobody and of infrastructure are in the market

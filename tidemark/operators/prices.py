@@ -29,13 +29,24 @@ def with_quote(rows: DataFrame, quotes: DataFrame | None) -> DataFrame:
     return rows.withColumns({"_quote_decimals": F.coalesce("_quote_decimals", F.lit(M.DEFAULT_DECIMALS)), "_known": F.coalesce("_known", F.lit(False)), "_stable": F.coalesce("_stable", F.lit(False))})
 
 
-def sided(swaps: DataFrame, pools: DataFrame, tokens: DataFrame | None = None, quotes: DataFrame | None = None, target: str = TARGET, decimals: int = 18) -> DataFrame:
+def first_pair(rows: DataFrame, pools: DataFrame) -> DataFrame:
+    """rows + pool: of a row that names its tokens the first pool (by ordinal) of that pair, whatever its address; else the pool of
+    its address; null where there is none."""
+    pair = pools.groupBy(F.least("token0", "token1").alias("_lo"), F.greatest("token0", "token1").alias("_hi")).agg(F.min_by("pool_address", "ordinal").alias("_by_pair"))
+    exact = pools.select(F.col("pool_address").alias("_exact")).distinct()
+    named = F.col("token0_address").isNotNull() & F.col("token1_address").isNotNull()
+    lo, hi = F.least("token0_address", "token1_address"), F.greatest("token0_address", "token1_address")
+    found = rows.join(exact, rows.pool_address == F.col("_exact"), "left").join(pair, named & (lo == F.col("_lo")) & (hi == F.col("_hi")), "left")
+    return found.withColumn("pool", F.when(named, F.col("_by_pair")).otherwise(F.col("_exact"))).drop("_exact", "_by_pair", "_lo", "_hi")
+
+
+def sided(swaps: DataFrame, pools: DataFrame, tokens: DataFrame | None = None, quotes: DataFrame | None = None, target: str = TARGET, decimals: int = 18, resolve=resolve_swap_pool) -> DataFrame:
     """swaps (raw amounts as strings) + pool, side, quote, target, quote_amount: whole tokens by each side's decimals.
 
     The side is that of the swap's own token addresses, else of its pool's order; trades of an aggregator do not keep that
     order, so theirs is decided by the magnitude of the amounts. Neither: no side, no amounts.
     """
-    rows = with_token(resolve_swap_pool(swaps, pools), tokens, target, decimals)
+    rows = with_token(resolve(swaps, pools), tokens, target, decimals)
     order = pools.groupBy(F.col("pool_address").alias("_pool")).agg(F.min(F.struct(F.col("token0").alias("_p0"), F.col("token1").alias("_p1"))).alias("_o"))
     rows = rows.join(order, rows.pool == order["_pool"], "left").drop("_pool")
     source = F.col("source_event") if "source_event" in rows.columns else F.lit(None).cast("string")
@@ -50,14 +61,14 @@ def sided(swaps: DataFrame, pools: DataFrame, tokens: DataFrame | None = None, q
     return rows.withColumns({"target": F.abs(M.units(mine, F.col("_decimals"))), "quote_amount": F.abs(M.units(other, F.col("_quote_decimals")))}).drop("_o")
 
 
-def priced_swaps(swaps: DataFrame, pools: DataFrame, target: str = TARGET, decimals: int = 18, tokens: DataFrame | None = None, quotes: DataFrame | None = None) -> DataFrame:
+def priced_swaps(swaps: DataFrame, pools: DataFrame, target: str = TARGET, decimals: int = 18, tokens: DataFrame | None = None, quotes: DataFrame | None = None, resolve=resolve_swap_pool) -> DataFrame:
     """swaps (raw amounts as strings) + pool, side, target, quote, quote_amount, price, unit, source, usd.
 
     tokens, quotes: tables of the tokens and quote assets, for many tokens in one job; else target, decimals and the assets
-    known here. usd: stated, else a stable quote, else by the last positive USD price of the pool at or before the swap;
+    known here. resolve: how a swap's pool is found. usd: stated, else a stable quote, else by the last positive USD price of the pool at or before the swap;
     null if unknown.
     """
-    rows = sided(swaps, pools, tokens, quotes, target, decimals)
+    rows = sided(swaps, pools, tokens, quotes, target, decimals, resolve)
     price = M.swap_price(F.col("amount_usd"), F.col("target"), F.col("quote"), F.col("quote_amount"), F.col("_known"))
     rows = rows.withColumn("_p", price).withColumns({"price": F.col("_p.price"), "unit": F.col("_p.unit"), "source": F.col("_p.source")}).drop("_p")
     known = F.when((F.col("unit") == "USD") & F.col("pool").isNotNull(), F.col("price"))

@@ -13,12 +13,16 @@ TOKEN = "token_address"
 
 
 def wallet_stats(priced: DataFrame, infrastructure: DataFrame | None = None) -> DataFrame:
-    """Per actor: swaps, USD bought, sold, net, in total and at most, tokens, and the USD of all swaps of the token.
+    """Per wallet (the actor, else the recipient): swaps, USD bought, sold, net, in total and at most, tokens, and the USD of all
+    swaps of the token.
 
-    priced: what prices.priced_swaps returns. Swaps of unknown USD value are left out. An actor sells where the target is
-    side 0. Infrastructure (address) is no wallet, but its swaps count in market_usd.
+    priced: what prices.priced_swaps returns, with pools by prices.first_pair. Swaps of no pool or of unknown USD value are
+    left out, of the market too. A wallet sells where the target is side 0. Infrastructure (address) is no wallet, but its
+    swaps count in market_usd.
     """
-    rows = priced.where("usd > 0")
+    rows = priced.where("usd > 0 and pool is not null")
+    if "recipient" in priced.columns:
+        rows = rows.withColumn("actor", F.coalesce(F.nullif("actor", F.lit("")), F.nullif("recipient", F.lit(""))))
     market = rows.groupBy(TOKEN).agg(F.sum("usd").alias("market_usd"))
     rows = rows.where("actor is not null")
     if infrastructure is not None:

@@ -25,12 +25,16 @@ pr as (select pr2.*, cast(round(coalesce(case when amount_usd > 0 then amount_us
  from pr2 asof left join prk on pr2.token_address = prk.token_address and pr2.pool = prk.pool and pr2.block_number >= prk.block_number)
 """
 PR = ctes("pools", "raw_swaps", "contract_owners") + ",\n" + PRICED
+#: The same with the first pool of a swap's pair, whatever its address.
+PRICED_FIRST = PRICED.replace("min(pool_address) by_pair from pools group by 1, 2 having count(*) = 1", "arg_min(pool_address, ordinal) by_pair from pools group by 1, 2")
+PRICED_FIRST = PRICED_FIRST.replace("coalesce(p.pool_address, q.by_pair) as pool", "case when token0_address is not null and token1_address is not null then q.by_pair else p.pool_address end as pool")
+PRW = ctes("pools", "raw_swaps", "contract_owners") + ",\n" + PRICED_FIRST
 
 STATS = """infra as (select pool_address as address from pools union select custody_address from pools union select contract from contract_owners),
-mk as (select token_address, sum(usd) as market_usd from pr where usd > 0 group by 1),
-st0 as (select token_address, actor, count(*) as swap_count, sum(case when side = 0 then 0 else usd end) as bought, sum(case when side = 0 then usd else 0 end) as sold, max(usd) as top,
+mk as (select token_address, sum(usd) as market_usd from pr where usd > 0 and pool is not null group by 1),
+st0 as (select token_address, coalesce(actor, recipient) as actor, count(*) as swap_count, sum(case when side = 0 then 0 else usd end) as bought, sum(case when side = 0 then usd else 0 end) as sold, max(usd) as top,
  sum(case when side = 0 then 0 else cast(round(target, 6) as decimal(24,6)) end) as bt, sum(case when side = 0 then cast(round(target, 6) as decimal(24,6)) else 0 end) as stk
- from pr where usd > 0 and actor is not null and actor not in (select address from infra) group by 1, 2),
+ from pr where usd > 0 and pool is not null and coalesce(actor, recipient) is not null and coalesce(actor, recipient) not in (select address from infra) group by 1, 2),
 st as (select token_address, actor, swap_count, cast(bought as double) as bought_usd, cast(sold as double) as sold_usd, cast(top as double) as max_single_usd, cast(bt as double) as bought_token, cast(stk as double) as sold_token,
  cast(market_usd as double) as market_usd, cast(bought - sold as double) as net_usd, cast(bought + sold as double) as total_usd from st0 join mk using (token_address))
 """
@@ -42,7 +46,7 @@ def _percentile(column: str, name: str) -> str:
 {name} as (select token_address, min(v) + (max(v) - min(v)) * max(pos - floor(pos)) as value, any_value(varies) as varies from {name}1 where i = floor(pos) or i = floor(pos) + 1 group by 1)"""
 
 
-FLAGS = PR + ", " + STATS + ", " + ", ".join(_percentile(c, n) for c, n in (("max_single_usd", "qa"), ("abs(net_usd)", "qb"), ("swap_count", "qc"), ("total_usd", "qd"))) + """,
+FLAGS = PRW + ", " + STATS + ", " + ", ".join(_percentile(c, n) for c, n in (("max_single_usd", "qa"), ("abs(net_usd)", "qb"), ("swap_count", "qc"), ("total_usd", "qd"))) + """,
 fl0 as (select st.*, max_single_usd >= qa.value and qa.varies as large_trade, abs(net_usd) >= qb.value and qb.varies as large_mover, swap_count >= ceil(qc.value) and qc.varies as high_activity, total_usd >= qd.value and qd.varies as market_share,
  greatest(round(100 * cume_dist() over (partition by st.token_address order by max_single_usd), 4), round(100 * cume_dist() over (partition by st.token_address order by abs(net_usd)), 4), round(100 * cume_dist() over (partition by st.token_address order by swap_count), 4), round(100 * cume_dist() over (partition by st.token_address order by total_usd), 4)) as score
  from st join qa using (token_address) join qb using (token_address) join qc using (token_address) join qd using (token_address)),
@@ -57,7 +61,8 @@ def _priced(spark, d):
 def _stats(spark, d):
     pools = view(spark, d, "pools")
     infra = pools.select(F.explode(F.array("pool_address", "custody_address")).alias("address")).union(view(spark, d, "contract_owners").select("contract"))
-    return wallets.wallet_stats(_priced(spark, d), infra)
+    priced = prices.priced_swaps(view(spark, d, "raw_swaps"), pools, resolve=prices.first_pair)
+    return wallets.wallet_stats(priced, infra)
 
 
 @query("priced_swaps", PR + "select token_address, block_number, log_index, pool, side, quote, round(target, 9) as target, round(quote_amount, 9) as quote_amount, round(price, 9) as price, unit, source, cast(usd as double) as usd from pr")
@@ -66,12 +71,12 @@ def priced_swaps(spark, d):
     return _priced(spark, d).select("token_address", "block_number", "log_index", "pool", "side", "quote", *rounded, "unit", "source", F.col("usd").cast("double").alias("usd"))
 
 
-@query("wallet_stats", PR + ", " + STATS + "select * from st")
+@query("wallet_stats", PRW + ", " + STATS + "select * from st")
 def wallet_stats(spark, d):
     return _stats(spark, d)
 
 
-@query("exclusive_percentile", PR + ", " + STATS + ", " + _percentile("total_usd", "q") + " select token_address, round(value, 6) as value, varies from q")
+@query("exclusive_percentile", PRW + ", " + STATS + ", " + _percentile("total_usd", "q") + " select token_address, round(value, 6) as value, varies from q")
 def exclusive_percentile(spark, d):
     return wallets.exclusive_percentile(_stats(spark, d), "total_usd").withColumn("value", F.round("value", 6))
 
@@ -87,7 +92,7 @@ def wallet_ranking(spark, d):
     return wallets.wallet_ranking(wallets.wallet_flags(_stats(spark, d)))
 
 
-@query("wallet_movers", ctes("pools", "raw_swaps", "contract_owners", "balance_ledger") + ", " + PRICED + ", " + STATS + TRAJ[TRAJ.index(", o as") :] + """, m as (select coalesce(st.token_address, tr.token_address) as token_address, coalesce(st.actor, tr.address) as actor, net_usd, swap_count, tr.end_balance - tr.start_balance as held_change from st full join tr on st.token_address = tr.token_address and st.actor = tr.address)
+@query("wallet_movers", ctes("pools", "raw_swaps", "contract_owners", "balance_ledger") + ", " + PRICED_FIRST + ", " + STATS + TRAJ[TRAJ.index(", o as") :] + """, m as (select coalesce(st.token_address, tr.token_address) as token_address, coalesce(st.actor, tr.address) as actor, net_usd, swap_count, tr.end_balance - tr.start_balance as held_change from st full join tr on st.token_address = tr.token_address and st.actor = tr.address)
 select *, cast(row_number() over (partition by token_address order by abs(coalesce(net_usd, 0)) desc, abs(coalesce(held_change, 0)) desc, actor) as int) as rank from m where actor not in (select pool_address from pools union select custody_address from pools) qualify rank <= 20""")
 def wallet_movers(spark, d):
     return wallets.wallet_movers(_stats(spark, d), _trajectory(spark, d), view(spark, d, "pools"))

@@ -56,7 +56,8 @@ VIEWS = {
 }
 #: Swaps and removals with raw amounts as base-10 strings by each token's decimals; facts about addresses.
 VIEWS |= {
-    "raw_swaps": """select token_address, block_number, log_index, block_timestamp, transaction_hash, pool_address, actor, token0_address, token1_address,
+    "raw_swaps": """select token_address, block_number, log_index, block_timestamp, transaction_hash, pool_address, case when block_number % 13 = 0 then null else actor end as actor,
+ case when block_number % 2 = 1 then 'u' || cast(block_number % 150 as {STR}) end as recipient, token0_address, token1_address,
  cast(token0_amount as {STR}) || case when token0_address in ('USDC','USDT') then '0000' else '0000000000000000' end as token0_raw,
  cast(token1_amount as {STR}) || case when token1_address in ('USDC','USDT') then '0000' else '0000000000000000' end as token1_raw,
  cast(amount_usd_e4 as double) / 10000 as amount_usd, target_delta_signed from swaps""",
