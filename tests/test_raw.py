@@ -181,3 +181,10 @@ def test_wallets_by_recipient_and_first_pair(spark):
     assert (got["r"].swap_count, got["r"].sold_usd, got["r"].bought_usd, got["r"].net_usd) == (2, 5.0, 7.0, 2.0)
     assert (got["a"].swap_count, got["a"].total_usd) == (1, 3.0)  # the swap of no pool is left out
     assert got["a"].market_usd == 5 + 7 + 3 + 2 + 9  # those of nobody and of infrastructure are in the market
+
+
+def test_total_of_pools(spark):
+    rows = [("T", 0, "a", 1, 10.0, None), ("T", 0, "a", 2, 20.0, 7.0), ("T", 0, "b", 1, 5.0, None), ("T", 9, "b", 3, None, None), ("U", 0, "a", 1, 4.0, None)]
+    df = spark.createDataFrame(rows, "token_address string, at long, pool string, n int, tvl double, tvl_usd double")
+    got = {(r.token_address, r.at): (r.total, r.pools, r.unit) for r in charts.total_series(df, "at", ["n"]).collect()}
+    assert got == {("T", 0): (12.0, 2, "USD"), ("T", 9): (0.0, 1, "USD"), ("U", 0): (4.0, 1, "token")}

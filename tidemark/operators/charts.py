@@ -33,3 +33,13 @@ def point_details(tvl: DataFrame, volume: DataFrame, seconds: int = 3600) -> Dat
     rows = rows.join(volume.select(TOKEN, F.col("bucket").alias("volume_bucket"), "pool", "volume"), [TOKEN, "volume_bucket", "pool"], "left")
     share = 100 * F.try_divide(F.col("tvl").cast("double"), F.nullif(F.col("total_tvl").cast("double"), F.lit(0.0)))
     return rows.select(TOKEN, "at", "pool", "tvl", "total_tvl", share.alias("share_pct"), "price", "volume_bucket", "volume", (F.col("at") - F.col("volume_bucket") < seconds).alias("covered"))
+
+
+def total_series(tvl: DataFrame, at: str, last_by: list[str]) -> DataFrame:
+    """token, time, total, pools, unit: what the pools seen at a time hold together, of each its last row there by last_by. A
+    row counts in USD where its USD value is known, else in whole tokens; the unit is USD where any row of the token has one.
+    tvl: token_address, `at`, pool, tvl (whole tokens), tvl_usd. Nothing is carried from earlier times."""
+    value = F.coalesce(F.col("tvl_usd"), F.col("tvl"), F.lit(0.0))
+    each = tvl.groupBy(TOKEN, at, "pool").agg(F.max_by(F.round(value, 6).cast("decimal(34,6)"), F.struct(*last_by)).alias("v"))
+    unit = tvl.groupBy(TOKEN).agg(F.when(F.count("tvl_usd") > 0, "USD").otherwise("token").alias("unit"))
+    return each.groupBy(TOKEN, at).agg(F.sum("v").cast("double").alias("total"), F.count("*").alias("pools")).join(unit, TOKEN)

@@ -202,3 +202,23 @@ def block_window(spark, d):
     spans = rows.groupBy("token_address").agg(F.max("block_number").alias("last")).select("token_address", scalars.block_window(F.col("last"), 7, ends=True).alias("w"))
     kept = rows.join(spans, "token_address").where(F.col("block_number").between(F.col("w.start"), F.col("w.end")))
     return kept.groupBy("token_address", F.col("w.start").alias("start_block"), F.col("w.end").alias("end_block")).agg(F.count("*").alias("events"))
+
+
+@query("tvl_total_series", RESERVES + """,
+tu as (
+  select tv.*, cast(cast(tvl as varchar) as double) / pow(10.0, p.decimals) as whole, p.quote, p.quote_decimals, p.first
+  from tv join (select *, case when token0 = target then token1 else token0 end as quote, token0 = target as first from log_pools) p on p.pool_address = tv.pool),
+uv as (select *, case when token_address <> 't1' and quote <> 'weth' then whole * 2 end as usd from tu),
+la as (
+  select token_address, block_timestamp // 3600 * 3600 as bucket, pool, arg_max(cast(round(coalesce(usd, whole), 6) as decimal(34,6)), row(block_number, log_index)) as v
+  from uv group by 1, 2, 3),
+un as (select token_address, case when count(usd) > 0 then 'USD' else 'token' end as unit from uv group by 1)
+select token_address, bucket, cast(sum(v) as double) as total, count(*) as pools, any_value(unit) as unit from la join un using (token_address) group by 1, 2""")
+def tvl_total_series(spark, d):
+    """Totals of the hour's pools, in USD for tokens that have a USD value at all (here, two a token in pools of a stable quote)."""
+    pools, tokens, _ = _dimensions(spark, d)
+    quote = pools.select(F.col("pool_address").alias("pool"), F.when(F.col("token0") == F.col("target"), F.col("token1")).otherwise(F.col("token0")).alias("quote"), "decimals")
+    rows = _reserves(spark, d).join(quote, "pool").withColumn("tvl", F.col("tvl").cast("double") / F.pow(F.lit(10.0), "decimals"))
+    known = (F.col("token_address") != "t1") & (F.col("quote") != "weth")
+    rows = rows.withColumns({"tvl_usd": F.when(known, F.col("tvl") * 2), "bucket": scalars.bucket_ts(F.col("block_timestamp"), 3600)})
+    return charts.total_series(rows, "bucket", ["block_number", "log_index"])
