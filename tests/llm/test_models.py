@@ -354,16 +354,18 @@ def test_probabilities_sum_to_one_and_gradients_hold(model):
     exact = lm.log_softmax_at(lm.forward(p, before, after)[-1], target.ravel()).reshape(3, -1)
     for skip in (0, 5):
         assert np.allclose(scorer(before, t[:, skip:], skip), exact[:, skip:], atol=1e-4)
-    loss = lambda: -lm.log_softmax_at(lm.forward(p, before, after)[-1], target.ravel()).mean()
-    g = lm.gradient(p, before, target, after)
+    loss = lambda: -lm.log_softmax_at(lm.forward(p, before, after)[-1], target.ravel())[kept].mean()
+    target.ravel()[5:9] = -1
+    kept = target.ravel() >= 0
+    g = lm.gradient(p, before, target, np.exp(after))
     for name in p:
         at = (int(before[0, 0]), 0) if name == "embed" else tuple(int(rng.integers(0, n)) for n in p[name].shape)
-        kept, e = p[name][at], 1e-4
-        p[name][at] = kept + e
+        was, e = p[name][at], 1e-4
+        p[name][at] = was + e
         up = loss()
-        p[name][at] = kept - e
+        p[name][at] = was - e
         down = loss()
-        p[name][at] = kept
+        p[name][at] = was
         assert abs((up - down) / (2 * e) - g[name][at]) < 1e-4
 
 
@@ -389,11 +391,21 @@ def test_scores_equal_a_loop_over_windows_and_ids(model):
     assert np.allclose(got, [naive_score(model, t) for t in texts], rtol=1e-4)
 
 
-def test_held_out_texts_score_above_the_word_baseline(spark):
+def test_held_out_texts_score_above_the_word_baseline(spark, monkeypatch):
     docs = K.read(spark, SF.replace("sf0.001", "sf0.1"), "documents")
-    got = lm.lm_scores(docs).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
-    print("log10 a token on held-out texts: model", got[0] / got[2], "baseline", got[1] / got[2])
+    sums = lambda: lm.lm_scores(docs).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    got, fitted = sums(), lm.fitted
+
+    def without_attention(gathered):
+        model = fitted(gathered)
+        model.weights["out"][:] = 0
+        return model
+
+    monkeypatch.setattr(lm, "fitted", without_attention)
+    counts_alone = sums()
+    print("log10 a token on held-out texts: model", got[0] / got[2], "without attention", counts_alone[0] / got[2], "baseline", got[1] / got[2])
     assert got[0] > got[1]
+    assert got[0] / got[2] > counts_alone[0] / got[2] + 0.2
 
 
 def test_scores_do_not_depend_on_partitions_or_other_columns(spark):
@@ -421,8 +433,26 @@ def test_subwords_of_words_joined_by_other_white_space():
 
 def test_each_id_is_scored_once():
     bounds = np.cumsum([0, 1, lm.CONTEXT, lm.CONTEXT + 1, 5 * lm.CONTEXT + 3])
-    before, target = lm.framed(np.arange(bounds[-1]) % lm.GROUPS, np.arange(bounds[-1]) % lm.CLASSES, bounds)
-    assert (target >= 0).sum() == bounds[-1]
+    _, score, last = lm.windows(bounds)
+    assert np.concatenate([np.arange(a, b) for a, b in zip(score, last, strict=True)]).tolist() == list(range(bounds[-1]))
+
+
+def test_each_id_is_trained_on_once_after_the_id_before_it():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, lm.VOCABULARY, n).astype(np.uint16) for n in (1, 23, 24, 25, 24 * lm.PIECE, 24 * lm.PIECE + 1, 5000, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([t.tobytes() for t in texts], pa.binary())], names=["slot", "body"])
+    same, seen = np.arange(lm.VOCABULARY, dtype=np.int64), collections.Counter()
+    group, of = same % lm.GROUPS, same % lm.CLASSES
+    for turn in range(lm.ROUNDS):
+        for part in lm._pieces(3, turn)(iter([batch])):
+            if part.num_rows:
+                before, target = lm.laid_out(of, group, [np.frombuffer(b, np.uint16) for b in part.column("body").to_pylist()], part.column("starts").to_pylist())
+                seen.update((int(b), int(t)) for b, t in zip(before.ravel(), target.ravel(), strict=True) if t >= 0)
+    want = collections.Counter()
+    for t in texts:
+        ids = t.astype(int)
+        want.update(zip([lm.GROUPS, *(ids[:-1] % lm.GROUPS).tolist()], (ids % lm.CLASSES).tolist(), strict=True))
+    assert seen == want
 
 
 def test_pipeline(spark):
