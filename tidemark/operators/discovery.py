@@ -45,7 +45,8 @@ def discover(logs: DataFrame, tokens: DataFrame) -> DataFrame:
 
     tokens: token_address, target (the token's address). An equal join on the tokens of a pool, which are few.
     """
-    found = creations(logs.drop(TOKEN)).withColumn("_t", F.explode(F.array_distinct("tokens")))
+    # outer: otherwise a filter on the size of the array repeats all of its expressions, beyond what compiles; the join drops null
+    found = creations(logs.drop(TOKEN)).withColumn("_t", F.explode_outer(F.array_distinct("tokens")))
     mine = found.join(tokens.select(TOKEN, F.lower("target").alias("_t")), "_t").drop("_t")
     first = F.struct("creation_block", "creation_tx", "factory")
     rest = [c for c in CREATED if c not in ("family", "pool_address")]
@@ -53,6 +54,18 @@ def discover(logs: DataFrame, tokens: DataFrame) -> DataFrame:
     return out.select(TOKEN, "family", "pool_address", "c.*")
 
 
+def standard_pools(found: DataFrame, tokens: DataFrame, quotes: DataFrame, tiers: DataFrame, seen: DataFrame) -> DataFrame:
+    """Pools of a token with a known quote, at a standard fee and its spacing, without hooks, that are not among those seen.
+
+    found: pools as `discover` gives them; tokens: token_address, target; quotes: quote; tiers: fee, tick_spacing; seen:
+    pool_address. Keys are met by equal joins, for all tokens at once; no candidates are listed.
+    """
+    rows = found.where(F.col("hooks") == "0x" + "0" * 40).join(tokens.select(TOKEN, F.lower("target").alias("_target")), TOKEN)
+    other = F.when(F.col("token0") == F.col("_target"), F.col("token1")).when(F.col("token1") == F.col("_target"), F.col("token0"))
+    rows = rows.withColumn("_quote", other).join(quotes.select(F.lower("quote").alias("_quote")), "_quote", "left_semi")
+    return rows.join(tiers, ["fee", "tick_spacing"], "left_semi").join(seen, "pool_address", "left_anti").drop("_quote", "_target")
+
+
 def balance_changes(logs: DataFrame) -> DataFrame:
     """Balancer's PoolBalanceChanged: pool, provider, tokens, deltas (signed) from the arrays of its data."""
     topic = lambda i: F.get("topics", F.lit(i))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import discovery, events
+from tidemark.functions import money
+from tidemark.operators import discovery, events, verification
+from tidemark.operators import pools as L
 from tidemark.operators import positions as P
 from tidemark.plans.queries import POS, _shares, query
 from tidemark.sources.adapters import ctes, view
@@ -18,20 +20,91 @@ made as (
 """
 
 
-@query("discover_pools", FIELDS + """
+@query("pools_from_logs", FIELDS + """
 , hit as (
-  select t.token_address, family, address, t0, t1, block_number, transaction_hash, row_number() over (partition by t.token_address, family, address order by block_number, transaction_hash) as r
+  select t.token_address, family, address, pool, t0, t1, block_number, transaction_hash, row_number() over (partition by t.token_address, family, address order by block_number, transaction_hash) as r
   from made m join token_addresses t on t.target = m.t0 or t.target = m.t1 where raw_type in ('signup', 'view'))
 select token_address, family, address as pool_address, t0 as token0, t1 as token1, case when family = 'balancer' then 3 else 2 end as n_tokens,
   case family when 'v3' then 500 when 'v4' then 3000 end as fee, case family when 'v3' then 10 when 'v4' then 60 end as tick_spacing,
-  case when family = 'v4' then '0x' || lpad('abc', 40, '0') end as hooks, block_number as creation_block, transaction_hash as creation_tx
+  case when family = 'v4' then '0x' || lpad(case when pool % 2 = 0 then '0' else 'abc' end, 40, '0') end as hooks, block_number as creation_block, transaction_hash as creation_tx
 from hit where r = 1""")
-def discover_pools(spark, d):
+def pools_from_logs(spark, d):
     """Pools of all tokens from creation logs of four families; a pool's first creation holds."""
     rows = discovery.discover(view(spark, d, "chain_logs"), view(spark, d, "token_addresses"))
     return rows.select("token_address", "family", "pool_address", "token0", "token1", F.size("tokens").alias("n_tokens"), "fee", "tick_spacing", "hooks", "creation_block", "creation_tx")
 
 
+def _verified(spark, d):
+    tokens = view(spark, d, "token_addresses")
+    found = discovery.discover(view(spark, d, "chain_logs"), tokens)
+    rows = verification.facts(found, tokens, view(spark, d, "deployments"), view(spark, d, "pool_answers"), view(spark, d, "pool_codes"), (1, 1000))
+    return verification.verify(rows)
+
+
+VERIFIED = FIELDS + """
+, hit as (
+  select t.token_address, family, address, pool, t0, t1, t.target, block_number, row_number() over (partition by t.token_address, family, address order by block_number, transaction_hash) as r
+  from made m join token_addresses t on t.target = m.t0 or t.target = m.t1 where raw_type in ('signup', 'view')),
+told as (
+  select family, address, t0, t1, row_number() over (partition by family, address order by block_number desc) as back
+  from (select *, row_number() over (partition by family, pool order by block_number, transaction_hash) as nth from made where raw_type in ('signup', 'view')) where nth <= 2 and pool % 5 <> 0),
+seen as (
+  select h.*, x.family is not null as said, coalesce(x.t0 = h.t0 and x.t1 = h.t1, false) as same, coalesce(h.target in (x.t0, x.t1), false) as held, pool % 11 <> 0 as code, block_number between 1 and 1000 as made_here
+  from hit h left join told x on x.family = h.family and x.address = h.address and back = 1 where r = 1),
+counted as (
+  select *, pool % 13 <> 0 as trusted,
+    case family
+      when 'v2' then code::int + (said and pool % 7 <> 0)::int + same::int + 1 + (said and pool % 9 <> 0)::int + (said and pool % 6 <> 0)::int + made_here::int
+      when 'v3' then code::int + (said and pool % 7 <> 0)::int + same::int + 1 + (said and pool % 9 <> 0)::int + (said and pool % 4 <> 0)::int + said::int + said::int + (said and pool % 6 <> 1)::int + 1 + made_here::int
+      when 'v4' then (pool % 13 <> 0)::int + (said and pool % 3 > 0)::int + (said and pool % 6 <> 1)::int + 1 + 1
+      else code::int + 1 + held::int end + (pool % 13 <> 0)::int as n_passed,
+    case family when 'v2' then 8 when 'v3' then 12 when 'v4' then 6 + said::int else 4 end as n_checks
+  from seen),
+scored as (select *, case when trusted then n_passed / n_checks else 0.0 end as share from counted),
+verified as (
+  select token_address, family, address as pool_address, case family when 'v4' then '0x' || lpad(case when trusted then 'fa' else 'fb' end, 40, '0') else address end as custody_address,
+    n_checks, n_passed, cast(round(share, 4) as double) as verification_confidence, share >= 0.3 and trusted and (family <> 'balancer' or held) as verified, t0, t1, target, block_number
+  from scored)
+"""
+
+
+@query("verified_pools", VERIFIED + """
+select token_address, family, pool_address, custody_address, n_checks, n_passed, verification_confidence, verified from verified""")
+def verified_pools(spark, d):
+    """Pools from creation logs, checked by the rules of their family against deployments, answers and code."""
+    return _verified(spark, d).select("token_address", "family", "pool_address", "custody_address", "n_checks", "n_passed", "verification_confidence", "verified")
+
+
+@query("pool_table", VERIFIED + """
+select v.token_address, v.pool_address, case family when 'balancer' then 'balancer' else 'uniswap' end as adapter, case family when 'balancer' then 'v2' else family end as version,
+  case family when 'v3' then 500 when 'v4' then 3000 end as fee, case family when 'v3' then 10 when 'v4' then 60 end as expected_spacing,
+  case family when 'v4' then 'manager' when 'balancer' then 'vault' else v.pool_address end as custody_address
+from verified v where verified""")
+def pool_table(spark, d):
+    """Verified pools as the analytics take them: adapter and version of the project, spacing by the fee, and who holds the tokens."""
+    rows = _verified(spark, d).where("verified").withColumn("ordinal", F.col("creation_block"))
+    rows = rows.withColumn("m", L.map_project(F.when(F.col("family") == "balancer", "Balancer_v2").otherwise(F.concat(F.lit("Uniswap_"), "family")), F.when(F.col("family") != "balancer", F.col("family"))))
+    rows = rows.withColumns({"protocol": F.col("m.adapter"), "version": F.col("m.version"), "expected_spacing": money.expected_tick_spacing(F.col("fee"))})
+    managers = spark.createDataFrame([("uniswap", "v4", "manager"), ("balancer", "v2", "vault")], "protocol string, version string, manager string")
+    return L.resolve_custody(rows, managers).select("token_address", "pool_address", F.col("protocol").alias("adapter"), "version", "fee", "expected_spacing", "custody_address")
+
+
+@query("standard_pools_from_logs", ctes("chain_fields", "token_addresses", "chain_quotes", "fee_tiers") + """,
+made as (
+  select *, '0x' || lpad(lower(hex(a)), 40, '0') as t0, '0x' || lpad(lower(hex(b)), 40, '0') as t1, '0x' || rpad(lower(hex(pool)), 64, '7') as address from chain_fields where family = 'v4'),
+opened as (select t.token_address, address, t0, t1, pool, block_number, row_number() over (partition by t.token_address, address order by block_number, transaction_hash) as r
+  from made m join token_addresses t on t.target in (m.t0, m.t1) where raw_type in ('signup', 'view'))
+select token_address, address as pool_address, t0 as token0, t1 as token1, 3000 as fee, 60 as tick_spacing from opened
+where r = 1 and pool % 2 = 0 and (t0 in (select quote from chain_quotes) or t1 in (select quote from chain_quotes))
+  and address not in (select address from made where raw_type not in ('signup', 'view') group by 1 having count(*) >= 3)""")
+def standard_pools_from_logs(spark, d):
+    """Pools of a token and a known quote at a standard tier without hooks, that fewer than three changes of liquidity have shown yet."""
+    logs, tokens = view(spark, d, "chain_logs"), view(spark, d, "token_addresses")
+    found = discovery.discover(logs, tokens).where("family = 'v4'")
+    seen = discovery.liquidity_changes(logs).groupBy("pool_address").count().where("count >= 3").select("pool_address")
+    return discovery.standard_pools(found, tokens, view(spark, d, "chain_quotes"), view(spark, d, "fee_tiers"), seen).select("token_address", "pool_address", "token0", "token1", "fee", "tick_spacing")
+
+
 @query("vault_changes", FIELDS + """
 select token_address, block_number, log_index, address as pool_address, '0x' || lpad(lower(hex(user_id)), 40, '0') as actor,
   case when cents > 0 or 0 > cents then 'LIQUIDITY_ADD' else 'LIQUIDITY_REMOVE' end as event_type, cast(2 * cents as decimal(38,0)) as token0_amount

@@ -18,6 +18,8 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def keep(fn):
+        if name in QUERIES:
+            raise ValueError(f"two queries of one name: {name}")
         QUERIES[name] = fn
         if sql:
             SQL[name] = sql

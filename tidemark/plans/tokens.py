@@ -191,11 +191,11 @@ def volume_by_month(spark, d):
     return prices.volume_timeline(_priced(spark, d), "month")
 
 
-@query("block_window", SIDES + """
+@query("last_days_window", SIDES + """
 , w as (select token_address, max(block_number) as last from en group by 1)
 select w.token_address, greatest(1, last - 50399) as start_block, last as end_block, count(*) as events
 from w join en on en.token_address = w.token_address and en.block_number between greatest(1, last - 50399) and last group by 1, 2, 3""")
-def block_window(spark, d):
+def last_days_window(spark, d):
     """The last seven days of each token's blocks, and its events in them."""
     rows = _events(spark, d)
     rows = rows.where(F.col("event_type").isin("SWAP", "LIQUIDITY_ADD", "LIQUIDITY_REMOVE", "SYNC"))

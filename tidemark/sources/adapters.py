@@ -94,16 +94,28 @@ VIEWS |= {
     "chain_fields": """select token_address, block_number, log_index, transaction_hash, k, user_id, cents, raw_type, case k % 4 when 0 then 'v2' when 1 then 'v3' when 2 then 'v4' else 'balancer' end as family,
  case when k % 2 = 0 then 4096 + user_id % 3 else 8192 + k % 50 end as a, case when k % 2 = 0 then 8192 + k % 50 else 4096 + user_id % 3 end as b, 70000 + (k * 31 + user_id * 7) % 400 as pool from ev""",
     "chain_logs": """select token_address, block_number, log_index, transaction_hash, family, case when raw_type in ('signup', 'view') then case family when 'v2' then 'PairCreated' when 'v3' then 'PoolCreated' when 'v4' then 'Initialize' else 'TokensRegistered' end
-  when family = 'v4' then 'ModifyLiquidity' when family = 'balancer' then 'PoolBalanceChanged' else 'Other' end as event_name, '0x00000000000000000000000000000000000000FA' as address,
+  when family = 'v4' then 'ModifyLiquidity' when family = 'balancer' then 'PoolBalanceChanged' else 'Other' end as event_name, case when pool % 13 = 0 then '0x00000000000000000000000000000000000000FB' else '0x00000000000000000000000000000000000000FA' end as address,
  case when raw_type in ('signup', 'view') and family in ('v2', 'v3') then {ARRAY}('0x' || lpad('', 64, 'e'), '0x' || lpad(lower(hex(a)), 64, '0'), '0x' || lpad(lower(hex(b)), 64, '0'), '0x' || lpad(lower(hex(500)), 64, '0'))
   when raw_type in ('signup', 'view') and family = 'v4' then {ARRAY}('0x' || lpad('', 64, 'e'), '0x' || rpad(lower(hex(pool)), 64, '7'), '0x' || lpad(lower(hex(a)), 64, '0'), '0x' || lpad(lower(hex(b)), 64, '0'))
   else {ARRAY}('0x' || lpad('', 64, 'e'), '0x' || rpad(lower(hex(pool)), 64, '7'), '0x' || lpad(lower(hex(user_id)), 64, '0')) end as topics,
  case when raw_type in ('signup', 'view') then case family when 'v2' then '0x' || lpad(lower(hex(pool)), 64, '0') || lpad('', 64, '0') when 'v3' then '0x' || lpad(lower(hex(10)), 64, '0') || lpad(lower(hex(pool)), 64, '0')
-   when 'v4' then '0x' || lpad(lower(hex(3000)), 64, '0') || lpad(lower(hex(60)), 64, '0') || lpad('abc', 64, '0') || lpad('1', 64, '0') || lpad('', 64, 'f')
+   when 'v4' then '0x' || lpad(lower(hex(3000)), 64, '0') || lpad(lower(hex(60)), 64, '0') || lpad(case when pool % 2 = 0 then '0' else 'abc' end, 64, '0') || lpad('1', 64, '0') || lpad('', 64, 'f')
    else '0x' || lpad(lower(hex(64)), 64, '0') || lpad(lower(hex(192)), 64, '0') || lpad('3', 64, '0') || lpad(lower(hex(a)), 64, '0') || lpad(lower(hex(b)), 64, '0') || lpad('def', 64, '0') || lpad('', 64, '0') end
   when family = 'v4' then '0x' || lpad('c4', 64, 'f') || lpad('3c', 64, '0') || case when raw_type = 'error' then lpad(lower(hex(1099511627776 - cents)), 64, 'f') else lpad(lower(hex(cents)), 64, '0') end || case when k % 7 = 0 then lpad(lower(hex(user_id)), 64, '9') else lpad(lower(hex(user_id)), 64, '0') end
   else '0x' || lpad('60', 64, '0') || lpad('c0', 64, '0') || lpad(lower(hex(288)), 64, '0') || lpad('2', 64, '0') || lpad(lower(hex(a)), 64, '0') || lpad(lower(hex(b)), 64, '0') || lpad('2', 64, '0') || lpad(lower(hex(cents)), 64, '0')
    || lpad(lower(hex(1099511627776 - cents)), 64, 'f') || lpad('', 64, '0') end as data from chain_fields""",
+    "pool_answers": """select family, case family when 'v4' then '0x' || rpad(lower(hex(pool)), 64, '7') when 'balancer' then '0x' || rpad(lower(hex(pool)), 40, '7')
+ else '0x' || lpad(lower(hex(pool)), 40, '0') end as pool_address, block_number,
+ '0x' || lpad(case when pool % 7 = 0 then 'bad' when pool % 13 = 0 then 'fb' else 'fa' end, 40, '0') as factory, '0x' || lpad(lower(hex(a)), 40, '0') as token0, '0x' || lpad(lower(hex(b)), 40, '0') as token1,
+ case when pool % 4 = 0 then 3000 else 500 end as fee, 10 as tick_spacing, case when pool % 9 <> 0 then '0x' || lpad(lower(hex(pool)), 40, '0') end as by_key, pool % 6 <> 0 as has_reserves, cast(pool % 3 as bigint) as sqrt_price,
+ pool % 6 <> 1 as has_liquidity, {ARRAY}('0x' || lpad(lower(hex(a)), 40, '0'), '0x' || lpad(lower(hex(b)), 40, '0')) as vault_tokens, '0x' || lpad(lower(hex(a)), 40, '0') as first_coin
+ from (select *, row_number() over (partition by family, pool order by block_number, transaction_hash) as nth from chain_fields where raw_type in ('signup', 'view')) x where nth <= 2 and pool % 5 <> 0""",
+    "pool_codes": """select distinct case family when 'v4' then '0x' || rpad(lower(hex(pool)), 64, '7') when 'balancer' then '0x' || rpad(lower(hex(pool)), 40, '7')
+ else '0x' || lpad(lower(hex(pool)), 40, '0') end as address from chain_fields where pool % 11 <> 0
+ union select '0x' || lpad('fa', 40, '0') union select '0x' || lpad('a3', 40, '0')""",
+    "deployments": """select family, '0x' || lpad('fa', 40, '0') as factory, case family when 'v3' then '0x' || lpad('a3', 40, '0') when 'v4' then '0x' || lpad('a4', 40, '0') end as position_manager
+ from (select distinct family from chain_fields) x""",
+    "chain_quotes": "select distinct '0x' || lpad(lower(hex(8192 + k % 50)), 40, '0') as quote from chain_fields where k % 50 < 20",
     "token_addresses": """select distinct token_address, '0x' || lpad(lower(hex(4096 + cast(substr(token_address, 2) as bigint))), 40, '0') as target from ev""",
     "lp_logs": """select lower(token_address) as token_address, block_number, family, family || case when pool_address in ('p0', 'p1') then '_a_' when pool_address in ('p2', 'p3') then '_b_' else '_c_' end || lower(token_address) as pool_address,
  sender as actor, case when token_id % 3 = 0 then recipient when token_id = 1 then '0x0000000000000000000000000000000000000000' end as recipient from raw_logs where family in ('v1', 'v2', 'curve', 'balancer')""",
@@ -113,7 +125,7 @@ VIEWS |= {
     "lp_transfers": """select lower(token_address) as token, 'v2_a_' || lower(token_address) as token_address, from_address, to_address from transfers where amount_raw > 112""",
     "fee_tiers": "select * from (values (100, 1), (500, 10), (3000, 60), (10000, 200)) v(fee, tick_spacing)",
 }
-USES = {"swaps": ["ev"], "liquidity_events": ["ev"], "transfers": ["ev"], "gas_payers": ["ev"], "tvl_points": ["ev"], "raw_swaps": ["ev", "swaps"], "raw_logs": ["ev"], "position_keys": ["ev", "pools"], "token_meta": ["ev"], "log_pools": ["ev", "raw_logs", "token_meta"], "pool_logs": ["ev", "raw_logs", "token_meta", "log_pools"], "chain_fields": ["ev"], "chain_logs": ["ev", "chain_fields"], "token_addresses": ["ev"], "lp_logs": ["ev", "raw_logs"], "lp_supply": ["lp_ledger"], "lp_transfers": ["ev", "transfers"]}
+USES = {"swaps": ["ev"], "liquidity_events": ["ev"], "transfers": ["ev"], "gas_payers": ["ev"], "tvl_points": ["ev"], "raw_swaps": ["ev", "swaps"], "raw_logs": ["ev"], "position_keys": ["ev", "pools"], "token_meta": ["ev"], "log_pools": ["ev", "raw_logs", "token_meta"], "pool_logs": ["ev", "raw_logs", "token_meta", "log_pools"], "chain_fields": ["ev"], "chain_logs": ["ev", "chain_fields"], "token_addresses": ["ev"], "pool_answers": ["ev", "chain_fields"], "pool_codes": ["ev", "chain_fields"], "deployments": ["ev", "chain_fields"], "chain_quotes": ["ev", "chain_fields"], "lp_logs": ["ev", "raw_logs"], "lp_supply": ["lp_ledger"], "lp_transfers": ["ev", "transfers"]}
 TABLES = {"ev": "events", "lp_ledger": "orders", "balance_ledger": "orders", "holder_intervals": "orders", "lp_nft": "lineitem", "contract_owners": "customer", "creations": "customer"}
 
 
