@@ -45,7 +45,7 @@ def discover(logs: DataFrame, tokens: DataFrame) -> DataFrame:
 
     tokens: token_address, target (the token's address). An equal join on the tokens of a pool, which are few.
     """
-    # outer: otherwise a filter on the size of the array repeats all of its expressions, beyond what compiles; the join drops null
+    # outer, so that no filter on the size of the array repeats its expressions; the join drops null
     found = creations(logs.drop(TOKEN)).withColumn("_t", F.explode_outer(F.array_distinct("tokens")))
     mine = found.join(tokens.select(TOKEN, F.lower("target").alias("_t")), "_t").drop("_t")
     first = F.struct("creation_block", "creation_tx", "factory")
