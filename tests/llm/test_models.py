@@ -1,6 +1,7 @@
 """Classifiers, near-duplicates, language model and pipeline: held-out accuracy and brute force."""
 
 import collections
+import copy
 import math
 import re
 import zlib
@@ -391,6 +392,105 @@ def test_scores_equal_a_loop_over_windows_and_ids(model):
     assert np.allclose(got, [naive_score(model, t) for t in texts], rtol=1e-4)
 
 
+def test_ids_within_classes_are_scored_by_the_attention_state(model):
+    """By hand over windows, ids and nodes, with vectors and odds of groups at the nodes; probabilities of all ids sum to those of their classes."""
+    rng = np.random.default_rng(8)
+    m = copy.copy(model)
+    m.nodes = (0.5 * rng.standard_normal(model.nodes.shape)).astype(np.float32)
+    m.turned = (0.3 * rng.standard_normal(model.turned.shape)).astype(np.float32)
+    m.turned[:, -1] = 0
+    p = {k: v.astype(np.float64) for k, v in m.weights.items()}
+
+    def state_and_classes(inside):
+        x = [p["embed"][g] + p["place"][j] for j, g in enumerate(inside)]
+        q = x[-1] @ p["q"]
+        a = np.exp([q @ (v @ p["k"]) / math.sqrt(lm.WIDTH) for v in x])
+        h = x[-1] + sum(w * (v @ p["v"]) for w, v in zip(a / a.sum(), x, strict=True)) @ p["o"]
+        logits = h @ p["out"] + m.after[inside[-1]]
+        return h, logits - np.log(np.exp(logits).sum())
+
+    def by_hand(h, group, i):
+        total = 0.0
+        for at in range(m.tree.first[i], m.tree.first[i + 1]):
+            node = int(m.tree.nodes[at])
+            total -= np.log1p(np.exp(-m.tree.side[at] * (m.tree.bias[node] + (m.turned[group, node] if node < lm.TOP else 0) + m.nodes[node] @ h)))
+        return total
+
+    texts = [rng.integers(0, lm.VOCABULARY, n) for n in (1, lm.CONTEXT + 1, 45)]
+    want = []
+    for ids in texts:
+        total = 0.0
+        for i in range(len(ids)):
+            k = 0 if i < lm.CONTEXT else (i - lm.OVERLAP) // (lm.CONTEXT - lm.OVERLAP)
+            inside = [lm.GROUPS if j == 0 else int(m.group[ids[j - 1]]) for j in range(k * (lm.CONTEXT - lm.OVERLAP), i + 1)]
+            h, classes = state_and_classes(inside)
+            total += classes[m.of[ids[i]]] + by_hand(h, inside[-1], int(ids[i]))
+        want.append(total)
+    bounds = np.cumsum([0, *map(len, texts)])
+    assert np.allclose(lm.text_scores(m, np.concatenate(texts), bounds), want, rtol=1e-4)
+    everything, (h, classes) = np.arange(lm.VOCABULARY), state_and_classes([lm.GROUPS, 3, 5])
+    within = lm.within_class(m, np.tile(h.astype(np.float32), (lm.VOCABULARY, 1)), np.full(lm.VOCABULARY, 5), everything)
+    assert abs(np.exp(classes[m.of] + within).sum() - np.exp(classes[np.unique(m.of)]).sum()) < 1e-3  # some classes of this model are empty
+    still = lm.text_scores(model, np.concatenate(texts), bounds)
+    assert not np.allclose(lm.text_scores(m, np.concatenate(texts), bounds), still, rtol=1e-2)
+
+
+def test_gradient_of_the_state_within_classes(model):
+    rng = np.random.default_rng(9)
+    nodes = (0.5 * rng.standard_normal(model.nodes.shape)).astype(np.float32)
+    turned = (0.3 * rng.standard_normal(model.turned.shape)).astype(np.float32)
+    turned[:, -1] = 0
+    ids, group, h = rng.integers(0, lm.VOCABULARY, 6), rng.integers(0, lm.GROUPS, 6), rng.standard_normal((6, lm.WIDTH)).astype(np.float32)
+    m = copy.copy(model)
+    m.nodes, m.turned = nodes, turned
+    places, first, node, slope, vectors, states = lm.at_nodes(model.tree, turned, nodes, h, np.arange(6), group, ids)
+    got = np.zeros_like(h)
+    got[places] = np.add.reduceat(vectors * slope[:, None], first, axis=0)
+    for i, d in ((0, 0), (2, 3), (5, 7)):
+        up, down = h.copy(), h.copy()
+        up[i, d], down[i, d] = h[i, d] + 0.01, h[i, d] - 0.01
+        slopes = (lm.within_class(m, down, group, ids) - lm.within_class(m, up, group, ids)).sum() / 0.02
+        assert abs(slopes - got[i, d]) < 2e-2
+    row, sums = lm.sums_by(node, states * slope[:, None])
+    for j in np.argsort(-np.abs(sums).max(1))[:3]:
+        d = int(np.abs(sums[j]).argmax())
+        loss = []
+        for e in (0.01, -0.01):
+            m.nodes = nodes.copy()
+            m.nodes[row[j], d] += np.float32(e)
+            loss.append(-lm.within_class(m, h, group, ids).sum())
+        assert abs((loss[0] - loss[1]) / 0.02 - sums[j, d]) < 2e-2
+
+
+def test_node_vectors_are_learned_and_lift_held_out_texts(spark, monkeypatch):
+    docs = K.read(spark, SF.replace("sf0.001", "sf0.01"), "documents")
+    total, fitted = lambda: lm.lm_scores(docs).where("held_out").agg(F.sum("score"), F.sum("n_tokens")).first(), lm.fitted
+    whole = total()
+
+    def without_nodes(gathered):
+        model = fitted(gathered)
+        ids = np.unique(np.concatenate([np.frombuffer(r.body, np.uint16) for r in gathered.where("kind = 2").select("body").collect()]))
+        assert np.flatnonzero(np.abs(model.nodes).max(1)).tolist() == np.unique(model.tree.visits(ids.astype(np.int64))[1]).tolist()
+        model.nodes = np.zeros_like(model.nodes)
+        return model
+
+    monkeypatch.setattr(lm, "fitted", without_nodes)
+    counts = total()
+    print("log10 a token on held-out texts: model", whole[0] / whole[1], "without the state within classes", counts[0] / counts[1])
+    assert whole[0] > counts[0]
+
+
+def test_ids_of_words_met_before_are_those_of_a_fresh_encoder(monkeypatch):
+    monkeypatch.setattr(lm, "KNOWN", 5)
+    sub = lm.Subwords(None)
+    for texts in (["one two three", "two"], ["three four one", None, ""], ["five six seven eight", "one nine ten"], ["two two"]):
+        w = K.words_of(pa.array(texts, pa.string()), K.SPACED_LOWER)
+        ids, bounds = sub.sequences(w, sub.of(w, K.SPACED_LOWER))
+        for i, t in enumerate(texts):
+            want = [x for word in (t or "").split() for x in sub.enc.encode_ordinary(" " + word)]
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == [*want, lm.END]
+
+
 def test_held_out_texts_score_above_the_word_baseline(spark, monkeypatch):
     docs = K.read(spark, SF.replace("sf0.001", "sf0.1"), "documents")
     sums = lambda: lm.lm_scores(docs).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()

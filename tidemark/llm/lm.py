@@ -3,21 +3,26 @@
 Texts are lower-cased (A-Z) and split at ASCII space; a word's subwords are those of a space and the word. The
 probability of a text is the product over its ids, the end included, of
 
-    P(id | the ids before) = P(class of id | the ids before) * P(id | its class, group of the id before).
+    P(id | the ids before) = P(class of id | the ids before) * product over the nodes from its class to it of P(left or right | the ids before),
+
+all by the state of the attention at the id before.
 
 * Classes and groups. Ids are clustered by the company they keep (counts of hashed neighbours, over the whole
   training fold): CLASSES classes to be predicted, GROUPS finer groups to be looked back at. The most frequent ids
   are classes and groups of their own.
 * The class is predicted by one head of masked self-attention over the groups of the CONTEXT ids up to the one
   before, on top of the logarithm of how often each class follows each group.
-* P(id | class, group) and the class pairs are counts over all ids of the training fold. They are the output
-  layer: a table of GROUPS by vocabulary, whatever the size of the corpus.
+* The ids of a class are the leaves of a binary tree, like ids near each other. Each node has a vector; the log odds of going left are
+  its product with the attention's state, on top of the log odds by counts: for the TOP heaviest nodes after the
+  group of the id before, for the others after any. So the state tells every id from every other.
+* The counts are over all ids of the training fold; they are the biases of the output layer, GROUPS by TOP numbers and one a node,
+  whatever the size of the corpus.
 * The attention is trained in numpy on every id of every training text, once: texts are cut into windows that do not
   overlap, in pieces that are dealt by hash to ROUNDS rounds and to shards of a bounded number of windows. A shard takes one
   local step for each BATCH windows, in order of hash; the weights of a round's shards are averaged, as whole numbers of
-  1 / UNIT, so that the sum has no order. So the model does not depend on how Spark has partitioned the rows.
+  1 / UNIT, so that the sum has no order; nodes' vectors count by their visits. So the model does not depend on how Spark has partitioned the rows.
 * A text is scored in windows that overlap by OVERLAP ids; each id is scored once, from the one window that has
-  the most ids before it. Scores are sums of proper log probabilities (the table's are rounded to 1/2700).
+  the most ids before it. Scores are sums of proper log probabilities.
 
 The baseline needs every word's count. Words that at least one document in 2 * COMMON holds are counted apart and
 broadcast: no more than 2 * COMMON times the mean number of distinct words of a text can be that common. All others
@@ -50,7 +55,9 @@ OWN, CLUSTERS = 32, 32
 OWN_GROUPS, GROUP_CLUSTERS = 256, 256
 CLASSES, GROUPS = OWN + CLUSTERS, OWN_GROUPS + GROUP_CLUSTERS
 WIDTH, CONTEXT, OVERLAP = 8, 24, 4
-ROUNDS, BATCH, RATE = 2, 64, 0.02
+ROUNDS, BATCH, RATE = 2, 256, 0.02
+#: Nodes of the trees within classes whose odds are counted for each group, the heaviest; the others' for all groups as one. Rate of their vectors.
+TOP, NODE_RATE = 2048, 0.1
 #: Windows of a shard, and of a piece.
 SHARD, PIECE = 200_000, 64
 #: Weights are summed up in steps of 1 / UNIT for each window.
@@ -58,13 +65,21 @@ UNIT = 1 << 16
 COMMON = 50
 #: Neighbours are hashed into so many cells; their distances.
 CELLS, REACH = 64, (1, 4)
-#: The table of the output layer keeps log probabilities in steps of 1 / SCALE, down to -65535 / SCALE.
+#: Steps of 1 / SCALE in which `coded` gives log probabilities, down to -65535 / SCALE.
 SCALE = 2700
+#: Words whose ids a worker keeps.
+KNOWN = 600_000
 #: Bytes of words in a bucket.
 BUCKET_BYTES = 128 << 20
 LOG10 = 1 / np.log(10)
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order of their first places, and the index of each hash among them."""
+    coded = pa.array(hashes).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy().astype(np.int64)
+
+
 @lru_cache(maxsize=2)
 def subwords_of(path: str | None) -> "Subwords":
     """Read once for all tasks of a worker."""
@@ -79,10 +94,36 @@ class Subwords:
 
         self.enc = encoder(path or public_tokenizers.path("byte_bpe_50k.json"))
         self.size = np.array([len(self.enc.decode_single_token_bytes(i)) if i != END else 0 for i in range(VOCABULARY)], np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        """No words are known: hashes in order, bounds of their ids, ids."""
+        self.known, self.bounds, self.ids = np.empty(0, np.uint64), np.zeros((2, 0), np.int64), np.empty(0, np.uint32)
 
     def of(self, w: K.Words, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct hashes, index of each word among them, first id of each distinct word and one past the last, ids)."""
-        values, at, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+        """(distinct hashes, index of each word among them, first id of each distinct word and one past the last, ids).
+
+        Ids of words met before are kept, up to KNOWN of them: they depend on the word alone.
+        """
+        values, inverse = distinct(w.hash)
+        at = np.flatnonzero(np.diff(np.maximum.accumulate(inverse), prepend=-1))
+        there, place = _among(values, self.known)
+        new = np.flatnonzero(~there)
+        if len(new):
+            if len(self.known) + len(new) > KNOWN:
+                self.forget()
+                new = np.arange(len(values))
+            new = new[np.argsort(values[new])]
+            bounds, ids = self._encoded(w, table, at[new])
+            place = np.searchsorted(self.known, values[new])
+            self.known = np.insert(self.known, place, values[new])
+            self.bounds = np.insert(self.bounds, place, bounds + len(self.ids), axis=1)
+            self.ids = np.concatenate((self.ids, ids))
+            place = np.searchsorted(self.known, values)
+        return values, inverse, self.bounds[:, place], self.ids
+
+    def _encoded(self, w: K.Words, table: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first id of each of these words and one past the last, ids)."""
         folded = table[w.data]
         starts, ends = w.starts[at], w.ends[at]
         lengths = ends - starts + 1
@@ -99,17 +140,20 @@ class Subwords:
             parts = [self.enc.encode_to_numpy(raw[a:b].tobytes().decode(), disallowed_special=()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             ids, last = np.concatenate(parts), np.cumsum([len(p) for p in parts])
         first = np.concatenate(([0], last[:-1])).astype(np.int64)
-        return values, inverse, np.stack((first, last)), ids
+        return np.stack((first, last)), np.asarray(ids, np.uint32)
 
     def sequences(self, w: K.Words, found: tuple) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, each with its end; and the bounds of the texts."""
         _, inverse, (first, last), ids = found
-        n = (last - first)[inverse]
+        n = (last - first).take(inverse)
         total = np.concatenate(([0], np.cumsum(n)))
         bounds = total[w.first] + np.arange(len(w.first))
         out = np.full(int(bounds[-1]), END, np.uint16)
-        flat = ids[np.repeat(first[inverse] - total[:-1], n) + np.arange(int(total[-1]))]
-        out[np.arange(int(total[-1])) + np.repeat(w.doc(), n)] = flat
+        word = np.repeat(np.arange(len(n)), n)
+        place = np.arange(int(total[-1]))
+        flat = ids.take((first.take(inverse) - total[:-1]).take(word) + place)
+        place += w.doc().take(word)
+        out[place] = flat
         return out, bounds
 
 
@@ -149,9 +193,10 @@ def _gather(path: str | None):
             text = np.repeat(np.arange(int(train.sum())), length[train])
             for d in REACH:
                 same = np.flatnonzero(text[d:] == text[:-d])
-                company += np.bincount(of_train[same + d] * CELLS + cells[of_train[same]], minlength=len(company))
-                company += np.bincount(of_train[same] * CELLS + cells[of_train[same + d]], minlength=len(company))
-            del text, of_train
+                one, other = of_train.take(same), of_train.take(same + d)
+                np.add.at(company, other * CELLS + cells.take(one), 1)
+                np.add.at(company, one * CELLS + cells.take(other), 1)
+            del text, of_train, same, one, other
             keys = batch.column("row_key").to_numpy()
             rows = [(2, int(keys[i]), int(length[i]), ids[bounds[i] : bounds[i + 1]].tobytes()) for i in np.flatnonzero(train).tolist()]
             if rows:
@@ -218,7 +263,9 @@ def cluster(features: np.ndarray, weight: np.ndarray, k: int, rounds: int = 12)
 
 
 class Model:
-    """Classes and groups of ids, the output layer and the attention's weights."""
+    """Classes, groups and trees of ids, the attention's weights, the nodes' vectors, and the counts that are biases:
+    after (log share of each class after each group), tree.bias (log odds of each node) and turned (what each group adds at the TOP heaviest; the last column is 0).
+    """
 
     def __init__(self, company: np.ndarray):
         """company: ids x CELLS, how often each id has neighbours in each cell, over all training texts."""
@@ -240,8 +287,10 @@ class Model:
             "embed": small(GROUPS + 1, d), "place": small(CONTEXT, d) * np.float32(0.3), "q": small(d, d), "k": small(d, d), "v": small(d, d), "o": small(d, d),
             "out": np.zeros((d, CLASSES), np.float32),
         }
+        self.tree = Tree(self.of, self.weight, features)
+        self.nodes = np.zeros((len(self.tree.bias), d), np.float32)
+        self.turned = np.zeros((GROUPS + 1, TOP + 1), np.float32)
         self.tables(np.zeros((GROUPS + 1, CLASSES)))
-        self.within = None
 
     def _parted(self, order: np.ndarray, features: np.ndarray, own: int, k: int) -> np.ndarray:
         of = np.zeros(VOCABULARY, np.int64)
@@ -257,6 +306,75 @@ class Model:
         self.after = np.log((pairs + 5 * alone) / (pairs.sum(1, keepdims=True) + 5)).astype(np.float32)
 
 
+class Tree:
+    """Binary trees over the ids of each class: like ids near each other, halves of about equal weight.
+
+    Nodes are numbered by falling weight. The path of an id is nodes[first[id]:first[id + 1]]; side is 1 where it goes left, else -1.
+    """
+
+    def __init__(self, of: np.ndarray, weight: np.ndarray, features: np.ndarray):
+        along = np.zeros(VOCABULARY, np.float32)
+        for c in range(CLASSES):
+            there = np.flatnonzero(of == c)
+            if len(there) > 1:
+                part = features[there] - features[there].mean(0)
+                along[there] = part @ np.linalg.eigh(part.T @ part)[1][:, -1]
+        self.order = np.lexsort((along, of)).astype(np.uint16)
+        self.before = np.concatenate(([0.0], np.cumsum(weight[self.order], dtype=np.float64)))
+        low = np.searchsorted(of[self.order], np.arange(CLASSES))
+        high = np.searchsorted(of[self.order], np.arange(CLASSES), side="right")
+        lows, cuts, highs = [], [], []
+        while len(low):
+            wide = high - low > 1
+            low, high = low[wide], high[wide]
+            middle = np.searchsorted(self.before, (self.before[low] + self.before[high]) / 2)
+            near = self.before[middle] + self.before[middle - 1] > self.before[low] + self.before[high]  # the edge before is nearer to the half
+            cut = np.clip(middle - near, low + 1, high - 1)
+            lows, cuts, highs = [*lows, low], [*cuts, cut], [*highs, high]
+            low, high = np.concatenate((low, cut)), np.concatenate((cut, high))
+        low, cut, high = (np.concatenate(x) for x in (lows, cuts, highs))
+        by_weight = np.argsort(self.before[low] - self.before[high], kind="stable")
+        self.low, self.cut, self.high = low[by_weight], cut[by_weight], high[by_weight]
+        left, right = self.counts(self.before)
+        self.bias = np.log(left / right).astype(np.float32)
+        n = self.high - self.low
+        node = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(node)) - np.repeat(np.cumsum(n) - n - self.low, n)
+        by_id = np.argsort(self.order[place], kind="stable")
+        self.nodes = node[by_id].astype(np.uint16)
+        self.side = np.where(place < self.cut[node], 1, -1)[by_id].astype(np.float32)
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(self.order[place], minlength=VOCABULARY)))).astype(np.int32)
+
+    def counts(self, before: np.ndarray, nodes: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """What lies left and right of nodes; before: running sums of counts in the trees' order."""
+        low, cut, high = self.low[nodes], self.cut[nodes], self.high[nodes]
+        return before[cut] - before[low], before[high] - before[cut]
+
+    def visits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(index into ids, node, side) of all nodes on the ids' paths, and how many each id has."""
+        first = self.first.take(ids)
+        n = self.first.take(ids + 1) - first
+        where = np.repeat(np.arange(len(ids)), n)
+        at = (first - (np.cumsum(n) - n)).take(where)
+        at += np.arange(len(at))
+        return where, self.nodes.take(at), self.side.take(at), n
+
+
+def odds_at(bias: np.ndarray, turned: np.ndarray, group: np.ndarray, where: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Logarithm of the odds of going left at these nodes by the counts alone, after the groups of the places `where`; see Model."""
+    at = (group * (TOP + 1)).take(where)
+    at += np.minimum(node, np.uint16(TOP))
+    out = turned.take(at)
+    out += bias.take(node)
+    return out
+
+
+def dots(vectors: np.ndarray, node: np.ndarray, h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(products, vectors, states) at the visited nodes."""
+    v, s = vectors.take(node, axis=0), h.take(of, axis=0)
+    return (v * s) @ np.ones(WIDTH, v.dtype), v, s
+
+
 MASK = np.where(np.tril(np.ones((CONTEXT, CONTEXT), bool)), np.float32(0), np.float32(-1e9))
 
 
@@ -290,6 +408,13 @@ LOWER = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
 BOUND = np.float32(60)
 
 
+def bounded_exp(a: np.ndarray) -> None:
+    """In place."""
+    if a.size and a.max() > BOUND:
+        np.minimum(a, BOUND, out=a)
+    np.exp(a, out=a)
+
+
 class Scorer:
     """Log probabilities of classes, as `forward` and `log_softmax_at` give them, in fewer passes over memory."""
 
@@ -301,14 +426,17 @@ class Scorer:
 
     def __call__(self, before: np.ndarray, target: np.ndarray, skip: int) -> np.ndarray:
         """Log probabilities at the places from `skip` on; before: all places of the windows, target: those from `skip` on."""
+        return self.both(before, target, skip)[0]
+
+    def both(self, before: np.ndarray, target: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those, and the attention's states there."""
         n, t = before.shape
         m = t - skip
-        x = self.p["embed"][before]
+        x = self.p["embed"].take(before, axis=0)
         x += self.p["place"]
         q, k, v = np.split((x.reshape(n * t, WIDTH) @ self.qkv).reshape(n, t, 3 * WIDTH), 3, axis=2)
         a = q[:, skip:] @ k.transpose(0, 2, 1)
-        np.minimum(a, BOUND, out=a)
-        np.exp(a, out=a)
+        bounded_exp(a)
         a *= LOWER[skip:]
         mixed = np.concatenate((v, np.broadcast_to(self.ones, (n, t, 1))), 2)  # the last column adds up the weights
         c = (a @ mixed).reshape(n * m, WIDTH + 1)
@@ -316,59 +444,75 @@ class Scorer:
         h += x[:, skip:].reshape(n * m, WIDTH)
         logits = h @ self.p["out"]
         last, target = before[:, skip:].ravel(), target.ravel()
-        top = logits[np.arange(n * m), target] + self.after[last, target]
-        np.minimum(logits, BOUND, out=logits)
-        np.exp(logits, out=logits)
-        return (top - np.log(np.einsum("ij,ij->i", logits, self.odds[last]))).reshape(n, m)
+        top = logits.take(np.arange(0, n * m * CLASSES, CLASSES) + target) + self.after.take(last * CLASSES + target)
+        bounded_exp(logits)
+        return (top - np.log(np.einsum("ij,ij->i", logits, self.odds.take(last, axis=0)))).reshape(n, m), h
+
 
+def gradient(p: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray, odds: np.ndarray, below=None) -> dict[str, np.ndarray]:
+    """Of the mean loss over the places with a class (target >= 0), as `forward` and `log_softmax_at` give it; odds: exp(after).
 
-def gradient(p: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray, odds: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean loss over the places with a class (target >= 0), as `forward` and `log_softmax_at` give it; odds: exp(after)."""
+    below: gives, of the attention's states at all places, the gradient of the loss within classes, in sum over places.
+    """
     n, t = before.shape
     scale = np.float32(1 / np.sqrt(WIDTH))
     last = before.ravel()
-    x = (p["embed"][last].reshape(n, t, WIDTH) + p["place"][:t]).reshape(n * t, WIDTH)
+    x = p["embed"].take(last, axis=0)
+    x.reshape(n, t, WIDTH)[:] += p["place"][:t]
     mixing = np.concatenate((p["q"] * scale, p["k"], p["v"]), 1)
-    q, k, v = np.split((x @ mixing).reshape(n, t, 3 * WIDTH), 3, axis=2)
+    mixed = np.ones((n, t, 3 * WIDTH + 1), x.dtype)  # the last column adds up the attention's weights
+    mixed[..., :-1] = (x @ mixing).reshape(n, t, 3 * WIDTH)
+    q, k, v = mixed[..., :WIDTH], mixed[..., WIDTH : 2 * WIDTH], mixed[..., 2 * WIDTH :]
     a = q @ k.transpose(0, 2, 1)
-    np.minimum(a, BOUND, out=a)
-    np.exp(a, out=a)
+    bounded_exp(a)
     a *= LOWER[:t, :t]
-    a /= a.sum(-1, keepdims=True)
-    c = (a @ v).reshape(n * t, WIDTH)
+    c = (a @ v).reshape(n * t, WIDTH + 1)
+    whole = 1 / c[:, -1:]
+    c = c[:, :-1] * whole
     h = x + c @ p["o"]
     logits = h @ p["out"]
-    np.minimum(logits, BOUND, out=logits)
-    np.exp(logits, out=logits)
-    logits *= odds[last]
+    bounded_exp(logits)
+    logits *= odds.take(last, axis=0)
     flat = target.ravel()
     known = np.flatnonzero(flat >= 0)
-    share = np.zeros(n * t, logits.dtype)
-    share[known] = 1 / max(1, len(known))
-    logits *= (share / logits.sum(1))[:, None]
-    logits[known, flat[known]] -= share[known]
-    g = {"out": h.T @ logits}
+    total = logits @ np.ones(CLASSES, logits.dtype)
+    logits.reshape(-1)[known * CLASSES + flat[known]] -= total[known]
+    share = np.zeros((n * t, 1), logits.dtype)
+    share[known, 0] = 1 / (max(1, len(known)) * total[known])
+    g = {"out": (logits.T @ (h * share)).T}
     dh = logits @ p["out"].T
+    dh *= share
+    if below is not None:
+        dh += below(h) * logits.dtype.type(1 / max(1, len(known)))
     g["o"] = c.T @ dh
-    dc = (dh @ p["o"].T).reshape(n, t, WIDTH)
-    d = np.empty((n, t, 3 * WIDTH), x.dtype)
+    dc = np.empty((n * t, WIDTH + 1), x.dtype)
+    np.multiply(dh @ p["o"].T, whole, out=dc[:, :-1])
+    dc[:, -1] = -np.einsum("ij,ij->i", dc[:, :-1], c)
+    dc = dc.reshape(n, t, WIDTH + 1)
     da = dc @ v.transpose(0, 2, 1)
     da *= a
-    da -= a * da.sum(-1, keepdims=True)
-    d[..., :WIDTH], d[..., WIDTH : 2 * WIDTH], d[..., 2 * WIDTH :] = da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dc
+    d = np.empty((n, t, 3 * WIDTH), x.dtype)
+    d[..., :WIDTH], d[..., WIDTH : 2 * WIDTH], d[..., 2 * WIDTH :] = da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dc[..., :-1]
     d = d.reshape(n * t, 3 * WIDTH)
     dh += d @ mixing.T
     g["q"], g["k"], g["v"] = np.split(x.T @ d, 3, axis=1)
     g["q"] = g["q"] * scale
     g["place"] = np.zeros_like(p["place"])
     g["place"][:t] = dh.reshape(n, t, WIDTH).sum(0)
-    order = np.argsort(last.astype(np.uint16), kind="stable")
-    edge = np.flatnonzero(np.diff(last[order], prepend=-1))
     g["embed"] = np.zeros_like(p["embed"])
-    g["embed"][last[order[edge]]] = np.add.reduceat(dh[order], edge, axis=0)
+    at, sums = sums_by(last.astype(np.uint16), dh)
+    g["embed"][at] = sums
     return g
 
 
+def sums_by(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and the sums of their rows."""
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(key) else np.empty(0, np.int64)
+    return ordered[edge], np.add.reduceat(rows.take(order, axis=0), edge, axis=0) if len(key) else rows
+
+
 def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First place of each window, first place it scores, one past the last, over texts with these bounds."""
     length = np.diff(bounds)
@@ -408,18 +552,25 @@ def _count_pairs(shared):
 
 
 def _layer(shared):
-    """Of eight groups: how often each class follows, and log P(id | class, group) in steps of 1 / SCALE."""
+    """Of eight groups: how often each class follows, and by how much the log odds of the heaviest nodes differ from all groups' as one."""
 
     def run(table: pa.Table) -> pa.Table:
-        of, weight, mass = shared.value
+        of, tree = shared.value
         count = np.frombuffer(_add(8 * VOCABULARY)(table).column("body")[0].as_py(), np.uint32).reshape(8, VOCABULARY).astype(np.float64)
         pairs = np.stack([np.bincount(of, c, CLASSES) for c in count])
-        p = (count + 5 * (weight / mass[of])) / (pairs[:, of] + 5)
-        return pa.table({"slot": table.column("slot").slice(0, 1).combine_chunks(), "pairs": pa.array([pairs.tobytes()], pa.binary()), "within": pa.array([coded(p).tobytes()], pa.binary())})
+        turned = np.stack([turned_by(tree, c) for c in count])
+        return pa.table({"slot": table.column("slot").slice(0, 1).combine_chunks(), "pairs": pa.array([pairs.tobytes()], pa.binary()), "turned": pa.array([turned.tobytes()], pa.binary())})
 
     return run
 
 
+def turned_by(tree: Tree, count: np.ndarray) -> np.ndarray:
+    """What these counts of ids add to the log odds of the TOP heaviest nodes."""
+    left, right = tree.counts(np.concatenate(([0.0], np.cumsum(count[tree.order]))), slice(0, TOP))
+    usual = 1 / (1 + np.exp(-tree.bias[:TOP].astype(np.float64)))
+    return (np.log((left + 5 * usual) / (right + 5 * (1 - usual))) - tree.bias[:TOP]).astype(np.float32)
+
+
 def coded(p: np.ndarray) -> np.ndarray:
     return np.minimum(np.rint(-SCALE * np.log(p)), 65535).astype(np.uint16)
 
@@ -457,21 +608,24 @@ def laid_out(of: np.ndarray, group: np.ndarray, bodies: list[np.ndarray], starts
         target = of[ids if start else ids[1:]]
         n = -(-len(target) // CONTEXT) * CONTEXT
         befores.append(np.concatenate((before, np.full(n - len(before), GROUPS))).astype(np.int16))
-        targets.append(np.concatenate((target, np.full(n - len(target), -1))).astype(np.int16))
+        targets.append(np.concatenate((target, np.full(n - len(target), -1))).astype(np.int32))
     return np.concatenate(befores).reshape(-1, CONTEXT), np.concatenate(targets).reshape(-1, CONTEXT)
 
 
 def _train(shared, turn: int):
-    """Local steps from the shared weights over a shard's windows; gives the weights times the number of windows."""
+    """Local steps from the shared weights over a shard's windows; gives the weights times the number of windows, and the nodes' vectors times their visits."""
 
     def run(table: pa.Table) -> pa.Table:
-        weights, odds, of, group = shared.value
+        weights, nodes, odds, of, group, tree, turned = shared.value
         table = table.sort_by([("order", "ascending"), ("body", "ascending")])
-        before, target = laid_out(of, group, [np.frombuffer(b, np.uint16) for b in table.column("body").to_pylist()], table.column("starts").to_pylist())
+        before, target = laid_out(np.arange(VOCABULARY), group, [np.frombuffer(b, np.uint16) for b in table.column("body").to_pylist()], table.column("starts").to_pylist())
         mixed = np.argsort(K.mix(np.arange(len(before), dtype=np.uint64)), kind="stable")  # windows of a text apart from each other
-        p = stepped(weights, before[mixed], target[mixed], odds, turn)
+        p, nodes = stepped(weights, nodes, before[mixed], target[mixed], odds, of, tree, turned, turn)
         flat = np.concatenate([p[k].ravel() for k in sorted(p)]).astype(np.float64)
-        return pa.table({"n": pa.array([len(before)], pa.int64()), "body": pa.array([(np.rint(flat * UNIT).astype(np.int64) * len(before)).tobytes()], pa.binary())})
+        times = np.bincount(target[target >= 0], minlength=VOCABULARY)
+        visits = np.add(*tree.counts(np.concatenate(([0], np.cumsum(times[tree.order])))))
+        below = np.rint(nodes.astype(np.float64) * UNIT).astype(np.int64) * visits[:, None]
+        return pa.table({"n": pa.array([len(before)], pa.int64()), "body": pa.array([(np.rint(flat * UNIT).astype(np.int64) * len(before)).tobytes()], pa.binary()), "below": pa.array([np.concatenate((visits[:, None], below), 1).tobytes()], pa.binary())})
 
     return run
 
@@ -479,40 +633,79 @@ def _train(shared, turn: int):
 TRAINED = "part int, n long, body binary"
 
 
-def _sum_of_task(parts: int):
-    """The sum of a task's shards, as a row of one of so many parts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0, 0
-        for batch in batches:
-            for m, body in zip(batch.column("n").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                n, total = n + m, total + np.frombuffer(body, np.int64)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n % parts], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "n", "body"])
-
-    return run
+def _sum_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of a task's shards: of the weights (part -1), of the nodes' visits and vectors in SLICES parts."""
+    n, total, below = 0, 0, 0
+    for batch in batches:
+        for m, body, nodes in zip(batch.column("n").to_pylist(), batch.column("body").to_pylist(), batch.column("below").to_pylist(), strict=True):
+            n, total, below = n + m, total + np.frombuffer(body, np.int64), below + np.frombuffer(nodes, np.int64).reshape(-1, WIDTH + 1)
+    if n:
+        parts = [total, *np.array_split(below, SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(-1, SLICES), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "n", "body"])
 
 
 def _sum_of_part(table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(b, np.int64) for b in table.column("body").to_pylist())
-    return pa.table({"n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "body": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"part": table.column("part").slice(0, 1).combine_chunks(), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "body": pa.array([total.tobytes()], pa.binary())})
 
 
-def stepped(weights: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray, odds: np.ndarray, turn: int) -> dict[str, np.ndarray]:
-    """The weights after steps of Adam's method over the windows in order, each taken once."""
+def stepped(weights: dict[str, np.ndarray], nodes: np.ndarray, before: np.ndarray, target: np.ndarray, odds: np.ndarray, of: np.ndarray, tree: Tree, turned: np.ndarray, turn: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The weights and the nodes' vectors after steps over the windows in order, each taken once: Adam's method, and for nodes steps by their own squares."""
     names = sorted(weights)
     flat = np.concatenate([weights[k].ravel() for k in names])
     at = np.cumsum([0, *[weights[k].size for k in names]])
     p = {k: flat[a:b].reshape(weights[k].shape) for k, a, b in zip(names, at[:-1], at[1:], strict=True)}
     m, s = np.zeros_like(flat), np.zeros_like(flat)
+    nodes, squares = nodes.copy(), np.full(len(nodes), 1e-6, np.float32)
+    classes = np.append(of, -1)  # -1: none
     for step, i in enumerate(range(0, len(before), BATCH), 1):
-        rate = RATE / (1 + turn) * min(1, step / 20)
-        by_name = gradient(p, before[i : i + BATCH].astype(np.int64), target[i : i + BATCH].astype(np.int64), odds)
+        slowed = min(1, step / 20) / (1 + turn)
+        group, ids = before[i : i + BATCH].astype(np.int64), target[i : i + BATCH].astype(np.int64)
+
+        def below(h: np.ndarray) -> np.ndarray:
+            inside = np.flatnonzero(ids.ravel() >= 0)
+            where, first, node, slope, vectors, states = at_nodes(tree, turned, nodes, h, inside, group.ravel(), ids.ravel())
+            vectors *= slope[:, None]
+            states *= slope[:, None]
+            dh = np.zeros_like(h)
+            if len(where):
+                dh[where] = np.add.reduceat(vectors, first, axis=0)
+            row, sums = sums_by(node, states)
+            size = squares.take(row) + np.einsum("ij,ij->i", sums, sums) * np.float32(1 / WIDTH)
+            squares[row] = size
+            nodes[row] = nodes.take(row, axis=0) - sums * (np.float32(NODE_RATE * slowed) / np.sqrt(size))[:, None]
+            return dh
+
+        by_name = gradient(p, group, classes[ids], odds, below)
         g = np.concatenate([by_name[k].ravel() for k in names])
         m += np.float32(0.1) * (g - m)
         s += np.float32(0.01) * (g * g - s)
-        flat -= np.float32(rate / (1 - 0.9**step)) * m / (np.sqrt(s / np.float32(1 - 0.99**step)) + np.float32(1e-7))
-    return p
+        flat -= np.float32(RATE * slowed / (1 - 0.9**step)) * m / (np.sqrt(s / np.float32(1 - 0.99**step)) + np.float32(1e-7))
+    return p, nodes
+
+
+def at_nodes(tree: Tree, turned: np.ndarray, nodes: np.ndarray, h: np.ndarray, inside: np.ndarray, group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Places with a path and the first of their visits; of each visit from `inside`: node, slope of the loss by the log odds, vector, state."""
+    where, node, side, n = tree.visits(ids.take(inside))
+    where = inside.take(where)
+    z, vectors, states = dots(nodes, node, h, where)
+    z += odds_at(tree.bias, turned, group, where, node)
+    z *= side
+    bounded_exp(z)
+    z += 1
+    some = np.flatnonzero(n)
+    return inside.take(some), (np.cumsum(n) - n).take(some), node, -side / z, vectors, states
+
+
+def within_class(model: Model, h: np.ndarray, group: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Log probability of ids within their classes, by the attention's states."""
+    where, node, side, _ = model.tree.visits(ids)
+    z = dots(model.nodes, node, h, where)[0]
+    z += odds_at(model.tree.bias, model.turned, group, where, node)
+    z *= -side
+    bounded_exp(z)
+    z += 1
+    return -np.bincount(where, np.log(z), len(ids))
 
 
 def fitted(gathered: DataFrame) -> Model:
@@ -523,33 +716,35 @@ def fitted(gathered: DataFrame) -> Model:
     model = Model(company.reshape(SLICES * SPAN, CELLS))
     company = None
     texts = gathered.where("kind = 2").select("slot", "body")  # all training texts, read where they were gathered
-    pairs = np.zeros((GROUPS + 8, CLASSES))
-    model.within = np.empty((GROUPS + 8, VOCABULARY), np.uint16)
-    model.within[:] = coded(model.weight / model.mass[model.of])
+    pairs, turned = np.zeros((GROUPS + 8, CLASSES)), np.zeros((GROUPS + 8, TOP + 1), np.float32)
     counted = K.map_batches(texts, GATHERED, _count_pairs(spark.sparkContext.broadcast(model.group)))
-    shared = spark.sparkContext.broadcast((model.of, model.weight, model.mass))
-    for r in counted.groupBy("slot").applyInArrow(_layer(shared), "slot long, pairs binary, within binary").toLocalIterator():
+    shared = spark.sparkContext.broadcast((model.of, model.tree))
+    for r in counted.groupBy("slot").applyInArrow(_layer(shared), "slot long, pairs binary, turned binary").toLocalIterator():
         at = slice(8 * r.slot, 8 * r.slot + 8)
         pairs[at] = np.frombuffer(r.pairs, np.float64).reshape(8, CLASSES)
-        model.within[at] = np.frombuffer(r.within, np.uint16).reshape(8, VOCABULARY)
-    model.within, pairs = model.within[: GROUPS + 1], pairs[: GROUPS + 1]
+        turned[at, :-1] = np.frombuffer(r.turned, np.float32).reshape(8, TOP)
+    pairs, model.turned = pairs[: GROUPS + 1], turned[: GROUPS + 1]
     model.tables(pairs)
     shards = max(1, int(-(-pairs.sum() // (ROUNDS * SHARD * CONTEXT))))
-    parts = K.partitions(spark)
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((model.weights, np.exp(model.after), model.of, model.group))
+        shared = spark.sparkContext.broadcast((model.weights, model.nodes, np.exp(model.after), model.of, model.group, model.tree, model.turned))
         pieces = K.map_batches(texts, PIECES, _pieces(shards, turn))
-        trained = pieces.groupBy("shard").applyInArrow(_train(shared, turn), "n long, body binary")
-        # a row for each task, then for each part: what comes to the driver does not grow with the corpus
-        rows = K.map_batches(trained, TRAINED, _sum_of_task(parts)).groupBy("part").applyInArrow(_sum_of_part, "n long, body binary").collect()
-        seen = sum(r.n for r in rows)
-        if not seen:
-            continue
-        at, flat = 0, sum(np.frombuffer(r.body, np.int64) for r in rows) / (seen * UNIT)
-        for name in sorted(model.weights):
-            w = model.weights[name]
-            model.weights[name] = flat[at : at + w.size].reshape(w.shape).astype(np.float32)
-            at += w.size
+        trained = pieces.groupBy("shard").applyInArrow(_train(shared, turn), "n long, body binary, below binary")
+        # rows for each task, then for each part: what comes to the driver does not grow with the corpus
+        nodes = np.array_split(model.nodes.copy(), SLICES)
+        for r in K.map_batches(trained, TRAINED, _sum_of_task).groupBy("part").applyInArrow(_sum_of_part, TRAINED).toLocalIterator():
+            total = np.frombuffer(r.body, np.int64)
+            if r.part >= 0:
+                total = total.reshape(-1, WIDTH + 1)
+                seen = np.flatnonzero(total[:, 0])
+                nodes[r.part][seen] = total[seen, 1:] / (total[seen, :1] * UNIT)
+                continue
+            at, flat = 0, total / (r.n * UNIT)
+            for name in sorted(model.weights):
+                w = model.weights[name]
+                model.weights[name] = flat[at : at + w.size].reshape(w.shape).astype(np.float32)
+                at += w.size
+        model.nodes = np.concatenate(nodes)
     return model
 
 
@@ -567,7 +762,7 @@ def _send_words(common_shared, n_buckets: int):
             train = batch.column("train").to_numpy(zero_copy_only=False)
             keys = batch.column("row_key").to_numpy()
             train_texts += int(train.sum())
-            values, inverse = np.unique(w.hash, return_inverse=True)
+            values, inverse = distinct(w.hash)
             is_common, at = _among(values, common)
             of_train = train[w.doc()]
             totals += np.bincount(at[inverse[of_train]][is_common[inverse[of_train]]], minlength=len(common))
@@ -671,7 +866,7 @@ SCORED = "doc_id long, row_key long, held_out boolean, n_tokens long, common_sum
 
 
 def id_scores(model: Model, ids: np.ndarray, bounds: np.ndarray, at_once: int = 64) -> np.ndarray:
-    """Log probability of each id, from the one window that scores it."""
+    """Log probability of each id, from the one window that scores it: of its class and within it, both by the attention's state."""
     classes, before = model.of[ids], np.empty(len(ids), np.int64)
     before[1:] = model.group[ids[:-1]]
     before[bounds[:-1]] = GROUPS
@@ -682,11 +877,12 @@ def id_scores(model: Model, ids: np.ndarray, bounds: np.ndarray, at_once: int =
         for i in range(0, len(chosen), at_once):
             w = chosen[i : i + at_once]
             place = first[w, None] + np.arange(CONTEXT)
-            inside = place[:, skip:] < last[w, None]
+            inside = np.flatnonzero(place[:, skip:] < last[w, None])
             np.minimum(place, len(ids) - 1, out=place)  # what lies beyond a text's end is looked at by no place before it
-            lp = scorer(before[place], classes[place[:, skip:]], skip)
-            out[place[:, skip:][inside]] = lp[inside]
-    return out - model.within[before, ids] / SCALE
+            lp, h = scorer.both(before.take(place), classes.take(place[:, skip:]), skip)
+            at = place[:, skip:].ravel().take(inside)
+            out[at] = lp.ravel().take(inside) + within_class(model, h.take(inside, axis=0), before.take(at), ids.take(at).astype(np.int64))
+    return out
 
 
 def text_scores(model: Model, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -715,7 +911,6 @@ def lm_scores(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
     types = size.v + int((totals > 0).sum())
     rare = met.where("share >= 0").groupBy("share").applyInArrow(_per_document, "row_key long, rare_sum double, rare_known long")
     shared = spark.sparkContext.broadcast((model, common, totals[:-1]))
-    model.within = None  # the tasks have it
     scored = K.map_batches(docs.select("doc_id", "text", "row_key", "held_out"), SCORED, _score(shared, tokenizer))
     zero = F.lit(0.0)
     return scored.join(rare, "row_key", "left").select(
