@@ -55,7 +55,7 @@ OWN, CLUSTERS = 32, 32
 OWN_GROUPS, GROUP_CLUSTERS = 256, 256
 CLASSES, GROUPS = OWN + CLUSTERS, OWN_GROUPS + GROUP_CLUSTERS
 WIDTH, CONTEXT, OVERLAP = 8, 24, 4
-ROUNDS, BATCH, RATE = 2, 256, 0.02
+ROUNDS, BATCH, RATE = 2, 128, 0.02
 #: Nodes of the trees within classes whose odds are counted for each group, the heaviest; the others' for all groups as one. Rate of their vectors.
 TOP, NODE_RATE = 2048, 0.1
 #: Windows of a shard, and of a piece.
@@ -68,7 +68,7 @@ CELLS, REACH = 64, (1, 4)
 #: Steps of 1 / SCALE in which `coded` gives log probabilities, down to -65535 / SCALE.
 SCALE = 2700
 #: Words whose ids a worker keeps.
-KNOWN = 600_000
+KNOWN = 250_000
 #: Bytes of words in a bucket.
 BUCKET_BYTES = 128 << 20
 LOG10 = 1 / np.log(10)
@@ -94,33 +94,29 @@ class Subwords:
 
         self.enc = encoder(path or public_tokenizers.path("byte_bpe_50k.json"))
         self.size = np.array([len(self.enc.decode_single_token_bytes(i)) if i != END else 0 for i in range(VOCABULARY)], np.int64)
-        self.forget()
-
-    def forget(self) -> None:
-        """No words are known: hashes in order, bounds of their ids, ids."""
+        #: Hashes in order, bounds of their ids, ids.
         self.known, self.bounds, self.ids = np.empty(0, np.uint64), np.zeros((2, 0), np.int64), np.empty(0, np.uint32)
 
     def of(self, w: K.Words, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(distinct hashes, index of each word among them, first id of each distinct word and one past the last, ids).
 
-        Ids of words met before are kept, up to KNOWN of them: they depend on the word alone.
+        Ids of the first KNOWN words are kept: they depend on the word alone.
         """
         values, inverse = distinct(w.hash)
         at = np.flatnonzero(np.diff(np.maximum.accumulate(inverse), prepend=-1))
         there, place = _among(values, self.known)
         new = np.flatnonzero(~there)
-        if len(new):
-            if len(self.known) + len(new) > KNOWN:
-                self.forget()
-                new = np.arange(len(values))
+        if not len(new):
+            return values, inverse, self.bounds[:, place], self.ids
+        bounds, ids = self._encoded(w, table, at[new])
+        found = np.empty((2, len(values)), np.int64)
+        found[:, there], found[:, new] = self.bounds[:, place[there]], bounds + len(self.ids)
+        joined = np.concatenate((self.ids, ids))
+        if len(self.known) + len(new) <= KNOWN:
             new = new[np.argsort(values[new])]
-            bounds, ids = self._encoded(w, table, at[new])
             place = np.searchsorted(self.known, values[new])
-            self.known = np.insert(self.known, place, values[new])
-            self.bounds = np.insert(self.bounds, place, bounds + len(self.ids), axis=1)
-            self.ids = np.concatenate((self.ids, ids))
-            place = np.searchsorted(self.known, values)
-        return values, inverse, self.bounds[:, place], self.ids
+            self.known, self.bounds, self.ids = np.insert(self.known, place, values[new]), np.insert(self.bounds, place, found[:, new], axis=1), joined
+        return values, inverse, found, joined
 
     def _encoded(self, w: K.Words, table: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first id of each of these words and one past the last, ids)."""
@@ -173,7 +169,7 @@ def _gather(path: str | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = subwords_of(path)
-        cells = neighbour_cells()
+        cells = neighbour_cells().astype(np.int32)
         company, texts, words = np.zeros(SLICES * SPAN * CELLS, np.int64), 0, 0
         kept, kept_texts = [], 0
         for batch in batches:
@@ -189,13 +185,13 @@ def _gather(path: str | None):
                 kept, kept_texts = [], 0
             ids, bounds = subwords.sequences(w, found)
             length = np.diff(bounds)
-            of_train = ids[np.repeat(train, length)].astype(np.int64)
-            text = np.repeat(np.arange(int(train.sum())), length[train])
+            of_train = ids[np.repeat(train, length)].astype(np.int32)
+            text = np.repeat(np.arange(int(train.sum()), dtype=np.int32), length[train])
             for d in REACH:
-                same = np.flatnonzero(text[d:] == text[:-d])
-                one, other = of_train.take(same), of_train.take(same + d)
-                np.add.at(company, other * CELLS + cells.take(one), 1)
-                np.add.at(company, one * CELLS + cells.take(other), 1)
+                same = text[d:] == text[:-d]
+                one, other = of_train[:-d][same], of_train[d:][same]
+                np.add.at(company, (other * np.int32(CELLS) + cells.take(one)).astype(np.int64), 1)
+                np.add.at(company, (one * np.int32(CELLS) + cells.take(other)).astype(np.int64), 1)
             del text, of_train, same, one, other
             keys = batch.column("row_key").to_numpy()
             rows = [(2, int(keys[i]), int(length[i]), ids[bounds[i] : bounds[i + 1]].tobytes()) for i in np.flatnonzero(train).tolist()]
@@ -620,9 +616,10 @@ def _train(shared, turn: int):
         table = table.sort_by([("order", "ascending"), ("body", "ascending")])
         before, target = laid_out(np.arange(VOCABULARY), group, [np.frombuffer(b, np.uint16) for b in table.column("body").to_pylist()], table.column("starts").to_pylist())
         mixed = np.argsort(K.mix(np.arange(len(before), dtype=np.uint64)), kind="stable")  # windows of a text apart from each other
-        p, nodes = stepped(weights, nodes, before[mixed], target[mixed], odds, of, tree, turned, turn)
+        before, target = before[mixed], target[mixed]
+        p, nodes = stepped(weights, nodes, before, target, odds, of, tree, turned, turn)
         flat = np.concatenate([p[k].ravel() for k in sorted(p)]).astype(np.float64)
-        times = np.bincount(target[target >= 0], minlength=VOCABULARY)
+        times = sum(np.bincount(part[part >= 0], minlength=VOCABULARY) for part in np.array_split(target, 1 + len(target) // 4096))
         visits = np.add(*tree.counts(np.concatenate(([0], np.cumsum(times[tree.order])))))
         below = np.rint(nodes.astype(np.float64) * UNIT).astype(np.int64) * visits[:, None]
         return pa.table({"n": pa.array([len(before)], pa.int64()), "body": pa.array([(np.rint(flat * UNIT).astype(np.int64) * len(before)).tobytes()], pa.binary()), "below": pa.array([np.concatenate((visits[:, None], below), 1).tobytes()], pa.binary())})
@@ -865,7 +862,7 @@ def _score(shared, path: str | None):
 SCORED = "doc_id long, row_key long, held_out boolean, n_tokens long, common_sum double, common_known long, score double"
 
 
-def id_scores(model: Model, ids: np.ndarray, bounds: np.ndarray, at_once: int = 64) -> np.ndarray:
+def id_scores(model: Model, ids: np.ndarray, bounds: np.ndarray, at_once: int = 128) -> np.ndarray:
     """Log probability of each id, from the one window that scores it: of its class and within it, both by the attention's state."""
     classes, before = model.of[ids], np.empty(len(ids), np.int64)
     before[1:] = model.group[ids[:-1]]
