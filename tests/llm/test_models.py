@@ -4,6 +4,7 @@ import collections
 import copy
 import math
 import re
+import types
 import zlib
 
 import numpy as np
@@ -555,6 +556,38 @@ def test_each_id_is_trained_on_once_after_the_id_before_it():
     assert seen == want
 
 
+def test_visits_by_depth_give_the_same_gradient(model):
+    rng = np.random.default_rng(4)
+    nodes = (0.5 * rng.standard_normal(model.nodes.shape)).astype(np.float32)
+    for inside in (np.array([0, 2, 3, 7, 8, 9]), np.empty(0, np.int64)):
+        ids, group, h = rng.integers(0, lm.VOCABULARY, 10), rng.integers(0, lm.GROUPS, 10), rng.standard_normal((10, lm.WIDTH)).astype(np.float32)
+        dh, row, sums = lm.slopes(model.tree, model.turned, nodes, h, inside, group, ids)
+        where, first, node, slope, vectors, states = lm.at_nodes(model.tree, model.turned, nodes, h, inside, group, ids)
+        want = np.zeros_like(h)
+        if len(where):
+            want[where] = np.add.reduceat(vectors * slope[:, None], first, axis=0)
+        want_row, want_sums = lm.sums_by(node, states * slope[:, None])
+        assert np.allclose(dh, want, atol=1e-5) and row.tolist() == want_row.tolist() and np.allclose(sums, want_sums, atol=1e-5)
+
+
+def test_shards_are_trained_one_after_another_whatever_the_batches(model):
+    """One call holds one shard at a time; its sums are those of calls for each shard."""
+    rng = np.random.default_rng(5)
+    names = [x.split()[0] for x in lm.PIECES.split(", ")]
+    rows = [(0, shard, k, k % 2 == 0, rng.integers(0, 500, 40).astype(np.uint16).tobytes()) for shard, n in ((3, 5), (4, 1), (9, 4)) for k in range(n)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+    held = types.SimpleNamespace(value=(model.weights, model.nodes, np.exp(model.after), model.of, model.group, model.tree, model.turned))
+
+    def sums(*batches):
+        return {r["part"]: (r["n"], np.frombuffer(r["body"], np.int64)) for b in lm._train(held, 0)(iter(batches)) for r in b.to_pylist()}
+
+    whole, parts = sums(batch.slice(0, 2), batch.slice(2, 5), batch.slice(7)), [sums(batch.slice(a, n)) for a, n in ((0, 5), (5, 1), (6, 4))]
+    assert len(whole) == lm.SLICES + 1 and sums(batch.slice(0, 0)) == {}
+    for part, (n, body) in whole.items():
+        assert n == sum(p[part][0] for p in parts) and np.array_equal(body, sum(p[part][1] for p in parts))
+    assert [len(b) for b, _ in lm._shards(iter([batch.slice(0, 3), batch.slice(3)]))] == [5, 1, 4]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as C
 

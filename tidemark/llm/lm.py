@@ -51,7 +51,7 @@ MODULUS, HELD_OUT = 7, 2
 VOCABULARY = 50257
 END = 50256
 #: Classes to predict and groups to look back at: so many frequent ids of their own, so many clusters.
-OWN, CLUSTERS = 32, 32
+OWN, CLUSTERS = 16, 16
 OWN_GROUPS, GROUP_CLUSTERS = 256, 256
 CLASSES, GROUPS = OWN + CLUSTERS, OWN_GROUPS + GROUP_CLUSTERS
 WIDTH, CONTEXT, OVERLAP = 8, 24, 4
@@ -355,6 +355,16 @@ class Tree:
         at += np.arange(len(at))
         return where, self.nodes.take(at), self.side.take(at), n
 
+    def levels(self, ids: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray, np.ndarray]:
+        """The same visits, by depth: order of the ids by falling length of path, how many of them reach each depth, and nodes and sides of these, depth after depth."""
+        first = self.first.take(ids)
+        n = self.first.take(ids + 1) - first
+        order = np.argsort((65535 - n).astype(np.uint16), kind="stable")
+        first = first.take(order)
+        counts = (len(ids) - np.cumsum(np.bincount(n)))[:-1].tolist() if len(ids) else []
+        at = np.concatenate([first[:c] + np.int32(depth) for depth, c in enumerate(counts)]) if counts else first[:0]
+        return order, counts, self.nodes.take(at), self.side.take(at)
+
 
 def odds_at(bias: np.ndarray, turned: np.ndarray, group: np.ndarray, where: np.ndarray, node: np.ndarray) -> np.ndarray:
     """Logarithm of the odds of going left at these nodes by the counts alone, after the groups of the places `where`; see Model."""
@@ -442,7 +452,8 @@ class Scorer:
         last, target = before[:, skip:].ravel(), target.ravel()
         top = logits.take(np.arange(0, n * m * CLASSES, CLASSES) + target) + self.after.take(last * CLASSES + target)
         bounded_exp(logits)
-        return (top - np.log(np.einsum("ij,ij->i", logits, self.odds.take(last, axis=0)))).reshape(n, m), h
+        logits *= self.odds.take(last, axis=0)
+        return (top - np.log(logits @ np.ones(CLASSES, logits.dtype))).reshape(n, m), h
 
 
 def gradient(p: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray, odds: np.ndarray, below=None) -> dict[str, np.ndarray]:
@@ -608,37 +619,50 @@ def laid_out(of: np.ndarray, group: np.ndarray, bodies: list[np.ndarray], starts
     return np.concatenate(befores).reshape(-1, CONTEXT), np.concatenate(targets).reshape(-1, CONTEXT)
 
 
-def _train(shared, turn: int):
-    """Local steps from the shared weights over a shard's windows; gives the weights times the number of windows, and the nodes' vectors times their visits."""
+TRAINED = "part int, n long, body binary"
 
-    def run(table: pa.Table) -> pa.Table:
-        weights, nodes, odds, of, group, tree, turned = shared.value
-        table = table.sort_by([("order", "ascending"), ("body", "ascending")])
-        before, target = laid_out(np.arange(VOCABULARY), group, [np.frombuffer(b, np.uint16) for b in table.column("body").to_pylist()], table.column("starts").to_pylist())
-        mixed = np.argsort(K.mix(np.arange(len(before), dtype=np.uint64)), kind="stable")  # windows of a text apart from each other
-        before, target = before[mixed], target[mixed]
-        p, nodes = stepped(weights, nodes, before, target, odds, of, tree, turned, turn)
-        flat = np.concatenate([p[k].ravel() for k in sorted(p)]).astype(np.float64)
-        times = sum(np.bincount(part[part >= 0], minlength=VOCABULARY) for part in np.array_split(target, 1 + len(target) // 4096))
-        visits = np.add(*tree.counts(np.concatenate(([0], np.cumsum(times[tree.order])))))
-        below = np.rint(nodes.astype(np.float64) * UNIT).astype(np.int64) * visits[:, None]
-        return pa.table({"n": pa.array([len(before)], pa.int64()), "body": pa.array([(np.rint(flat * UNIT).astype(np.int64) * len(before)).tobytes()], pa.binary()), "below": pa.array([np.concatenate((visits[:, None], below), 1).tobytes()], pa.binary())})
 
-    return run
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list[bool]]]:
+    """Pieces of each shard, which follow each other, and whether they start a text."""
+    shard, bodies, starts = None, [], []
+    for batch in batches:
+        keys = batch.column("shard").to_numpy()
+        body, start = batch.column("body").to_pylist(), batch.column("starts").to_pylist()
+        for part in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(keys)) + 1) if len(keys) else []:
+            if bodies and keys[part[0]] != shard:
+                yield bodies, starts
+                bodies, starts = [], []
+            shard = keys[part[0]]
+            bodies += [np.frombuffer(body[i], np.uint16) for i in part]
+            starts += [start[i] for i in part]
+    if bodies:
+        yield bodies, starts
 
 
-TRAINED = "part int, n long, body binary"
+def _train(shared, turn: int):
+    """Local steps from the shared weights over each shard's windows, shards in order; gives the sums over the task's shards
+    of the weights times the number of windows (part -1), and of the nodes' visits and vectors times those, in SLICES parts.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, nodes, odds, of, group, tree, turned = shared.value
+        n, total, below = 0, 0, np.zeros((len(nodes), WIDTH + 1), np.int64)
+        for bodies, starts in _shards(batches):
+            before, target = laid_out(np.arange(VOCABULARY), group, bodies, starts)
+            mixed = np.argsort(K.mix(np.arange(len(before), dtype=np.uint64)), kind="stable")  # windows of a text apart from each other
+            before, target = before[mixed], target[mixed]
+            p, vectors = stepped(weights, nodes, before, target, odds, of, tree, turned, turn)
+            flat = np.concatenate([p[k].ravel() for k in sorted(p)]).astype(np.float64)
+            times = sum(np.bincount(part[part >= 0], minlength=VOCABULARY) for part in np.array_split(target, 1 + len(target) // 4096))
+            visits = np.add(*tree.counts(np.concatenate(([0], np.cumsum(times[tree.order])))))
+            n, total = n + len(before), total + np.rint(flat * UNIT).astype(np.int64) * len(before)
+            below[:, 0] += visits
+            below[:, 1:] += np.rint(vectors.astype(np.float64) * UNIT).astype(np.int64) * visits[:, None]
+        if n:
+            parts = [total, *np.array_split(below, SLICES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(-1, SLICES), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "n", "body"])
 
-def _sum_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sums of a task's shards: of the weights (part -1), of the nodes' visits and vectors in SLICES parts."""
-    n, total, below = 0, 0, 0
-    for batch in batches:
-        for m, body, nodes in zip(batch.column("n").to_pylist(), batch.column("body").to_pylist(), batch.column("below").to_pylist(), strict=True):
-            n, total, below = n + m, total + np.frombuffer(body, np.int64), below + np.frombuffer(nodes, np.int64).reshape(-1, WIDTH + 1)
-    if n:
-        parts = [total, *np.array_split(below, SLICES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(-1, SLICES), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "n", "body"])
+    return run
 
 
 def _sum_of_part(table: pa.Table) -> pa.Table:
@@ -660,14 +684,7 @@ def stepped(weights: dict[str, np.ndarray], nodes: np.ndarray, before: np.ndarra
         group, ids = before[i : i + BATCH].astype(np.int64), target[i : i + BATCH].astype(np.int64)
 
         def below(h: np.ndarray) -> np.ndarray:
-            inside = np.flatnonzero(ids.ravel() >= 0)
-            where, first, node, slope, vectors, states = at_nodes(tree, turned, nodes, h, inside, group.ravel(), ids.ravel())
-            vectors *= slope[:, None]
-            states *= slope[:, None]
-            dh = np.zeros_like(h)
-            if len(where):
-                dh[where] = np.add.reduceat(vectors, first, axis=0)
-            row, sums = sums_by(node, states)
+            dh, row, sums = slopes(tree, turned, nodes, h, np.flatnonzero(ids.ravel() >= 0), group.ravel(), ids.ravel())
             size = squares.take(row) + np.einsum("ij,ij->i", sums, sums) * np.float32(1 / WIDTH)
             squares[row] = size
             nodes[row] = nodes.take(row, axis=0) - sums * (np.float32(NODE_RATE * slowed) / np.sqrt(size))[:, None]
@@ -694,15 +711,52 @@ def at_nodes(tree: Tree, turned: np.ndarray, nodes: np.ndarray, h: np.ndarray, i
     return inside.take(some), (np.cumsum(n) - n).take(some), node, -side / z, vectors, states
 
 
+def at_levels(tree: Tree, turned: np.ndarray, nodes: np.ndarray, h: np.ndarray, group: np.ndarray, ids: np.ndarray) -> tuple:
+    """Order and counts of `Tree.levels`, and of each visit: node, side, -side times the log odds, vector, state."""
+    order, counts, node, side = tree.levels(ids)
+    state, line = h.take(order, axis=0), group.take(order) * (TOP + 1)
+    states = np.concatenate([state[:0], *[state[:c] for c in counts]])
+    at = np.concatenate([line[:0], *[line[:c] for c in counts]])
+    at += np.minimum(node, np.uint16(TOP))
+    vectors = nodes.take(node, axis=0)
+    z = (vectors * states) @ np.ones(WIDTH, vectors.dtype)
+    z += turned.take(at)
+    z += tree.bias.take(node)
+    z *= -side
+    return order, counts, node, side, z, vectors, states
+
+
+def slopes(tree: Tree, turned: np.ndarray, nodes: np.ndarray, h: np.ndarray, inside: np.ndarray, group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradient of the loss within classes by the states of the places `inside`; distinct nodes there, and the gradient by their vectors. In sums, as `at_nodes` gives them."""
+    order, counts, node, side, z, vectors, states = at_levels(tree, turned, nodes, h.take(inside, axis=0), group.take(inside), ids.take(inside))
+    np.negative(z, out=z)
+    bounded_exp(z)
+    z += 1
+    slope = np.repeat(-side / z, WIDTH).reshape(-1, WIDTH)
+    vectors *= slope
+    states *= slope
+    total, at = np.zeros((len(order), WIDTH), h.dtype), 0
+    for c in counts:
+        total[:c] += vectors[at : at + c]
+        at += c
+    dh = np.zeros_like(h)
+    dh[inside.take(order)] = total
+    return dh, *sums_by(node, states)
+
+
 def within_class(model: Model, h: np.ndarray, group: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Log probability of ids within their classes, by the attention's states."""
-    where, node, side, _ = model.tree.visits(ids)
-    z = dots(model.nodes, node, h, where)[0]
-    z += odds_at(model.tree.bias, model.turned, group, where, node)
-    z *= -side
+    order, counts, _, _, z, _, _ = at_levels(model.tree, model.turned, model.nodes, h, group, ids)
     bounded_exp(z)
     z += 1
-    return -np.bincount(where, np.log(z), len(ids))
+    np.log(z, out=z)
+    total, at = np.zeros(len(ids)), 0
+    for c in counts:
+        total[:c] -= z[at : at + c]
+        at += c
+    out = np.empty(len(ids))
+    out[order] = total
+    return out
 
 
 def fitted(gathered: DataFrame) -> Model:
@@ -725,11 +779,11 @@ def fitted(gathered: DataFrame) -> Model:
     shards = max(1, int(-(-pairs.sum() // (ROUNDS * SHARD * CONTEXT))))
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast((model.weights, model.nodes, np.exp(model.after), model.of, model.group, model.tree, model.turned))
-        pieces = K.map_batches(texts, PIECES, _pieces(shards, turn))
-        trained = pieces.groupBy("shard").applyInArrow(_train(shared, turn), "n long, body binary, below binary")
+        pieces = K.map_batches(texts, PIECES, _pieces(shards, turn)).repartition("shard").sortWithinPartitions("shard", "order", "body")
+        trained = K.map_batches(pieces, TRAINED, _train(shared, turn))
         # rows for each task, then for each part: what comes to the driver does not grow with the corpus
         nodes = np.array_split(model.nodes.copy(), SLICES)
-        for r in K.map_batches(trained, TRAINED, _sum_of_task).groupBy("part").applyInArrow(_sum_of_part, TRAINED).toLocalIterator():
+        for r in trained.groupBy("part").applyInArrow(_sum_of_part, TRAINED).toLocalIterator():
             total = np.frombuffer(r.body, np.int64)
             if r.part >= 0:
                 total = total.reshape(-1, WIDTH + 1)
