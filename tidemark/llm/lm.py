@@ -67,8 +67,8 @@ COMMON = 50
 CELLS, REACH = 64, (1, 4)
 #: Steps of 1 / SCALE in which `coded` gives log probabilities, down to -65535 / SCALE.
 SCALE = 2700
-#: Words whose ids a worker keeps.
-KNOWN = 250_000
+#: Words whose ids a worker keeps, about 50 bytes each.
+KNOWN = 1_000_000
 #: Bytes of words in a bucket.
 BUCKET_BYTES = 128 << 20
 LOG10 = 1 / np.log(10)
@@ -918,8 +918,8 @@ SCORED = "doc_id long, row_key long, held_out boolean, n_tokens long, common_sum
 
 def id_scores(model: Model, ids: np.ndarray, bounds: np.ndarray, at_once: int = 128) -> np.ndarray:
     """Log probability of each id, from the one window that scores it: of its class and within it, both by the attention's state."""
-    classes, before = model.of[ids], np.empty(len(ids), np.int64)
-    before[1:] = model.group[ids[:-1]]
+    classes, before = model.of.take(ids), np.empty(len(ids), np.int64)
+    before[1:] = model.group.take(ids[:-1])
     before[bounds[:-1]] = GROUPS
     first, score, last = windows(bounds)
     scorer = Scorer(model.weights, model.after)
