@@ -3,6 +3,7 @@
 from decimal import Decimal, getcontext
 
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from tidemark.functions import abi, ticks
@@ -33,6 +34,20 @@ def test_arrays_of_data(spark):
     assert got == [([7, -9], []), ([7, -9], None), (None, None), (None, None), (None, None)]
 
 
+def test_arrays_that_point_too_far(spark):
+    far = [1 << 30, 1 << 36, 1 << 62, 1 << 100, (1 << 256) - 1]
+    data = ["0x" + word(x) + word(1) + word(7) for x in far] + ["0x" + word(32) + word(x) + word(7) for x in [2, (1 << 31) - 1, *far]]
+    rows = spark.createDataFrame([(d,) for d in data], "d string")
+    assert [r.a for r in rows.select(abi.array(F.col("d"), 0).alias("a")).collect()] == [None] * len(data)
+
+
+def test_arrays_are_read_once(spark):
+    from tidemark.plans import chain
+
+    plan = chain.vault_changes(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(data") == 1 and plan.count("regexp_replace(") < 20
+
+
 LOGS = "family string, event_name string, address string, topics array<string>, data string, block_number long, transaction_hash string"
 
 

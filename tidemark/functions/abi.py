@@ -5,6 +5,8 @@ Whole numbers are DECIMAL(38,0), null beyond 38 digits; `number_text` gives thos
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,26 +39,33 @@ def first_address(w: Column) -> Column:
 
 def uint(w: Column) -> Column:
     """An unsigned number of up to 38 digits: 30 hex digits are fewer, so longer ones are null."""
-    d = F.lpad(digits(w), WORD, "0")
+    return once(F.lpad(digits(w), WORD, "0"), _number)
+
+
+def _number(d: Column) -> Column:
     part = lambda at: F.conv(F.substring(d, at, 15), 16, 10).cast(NUMBER)
     return F.when(F.substring(d, 1, 34) == "0" * 34, (part(35) * F.lit(1 << 60).cast("decimal(20,0)") + part(50)).cast(NUMBER))
 
 
 def integer(w: Column) -> Column:
     """A signed number in two's complement."""
-    d = F.lpad(digits(w), WORD, "0")
-    flipped = F.translate(d, "0123456789abcdef", "fedcba9876543210")
-    return F.when(F.substring(d, 1, 1) >= "8", -(uint(flipped) + 1)).otherwise(uint(d)).cast(NUMBER)
+    flipped = lambda d: F.translate(d, "0123456789abcdef", "fedcba9876543210")
+    return once(F.lpad(digits(w), WORD, "0"), lambda d: F.when(F.substring(d, 1, 1) >= "8", -(_number(flipped(d)) + 1)).otherwise(_number(d)).cast(NUMBER))
 
 
 def array(data: Column, head: int) -> Column:
-    """Words of a dynamic array; its head word is its place in bytes, where its length stands."""
-    at = (uint(word(data, head)) / 32).cast("int")
-    n = uint(word(data, at)).cast("int")
-    d = digits(data)
-    whole = (n >= 0) & (F.length(d) >= (at + 1 + n) * WORD)
-    items = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(d, ((at + i) * WORD + 1).cast("int"), F.lit(WORD)))
-    return F.when(whole, F.when(n == 0, F.array().cast("array<string>")).otherwise(items))
+    """Words of a dynamic array; its head word is its place in bytes, where its length stands. Null where it is cut off."""
+    place = lambda words: once((uint(F.get(words, F.lit(head))) / 32).try_cast("int"), lambda at: _items(words, at))
+    return once(F.regexp_extract_all(digits(data), F.lit(f"(?s).{{{WORD}}}"), F.lit(0)), place)
+
+
+def _items(words: Column, at: Column) -> Column:
+    return once(uint(F.get(words, at)).try_cast("int"), lambda n: F.when(n <= F.size(words) - at - 1, F.slice(words, at + 2, n)))
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once however often it is named."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 @F.pandas_udf(T.StringType())
