@@ -17,7 +17,7 @@ def zeros(tmp_path_factory):
     return d, c
 
 
-@pytest.mark.parametrize("name", ["vault_changes", "manager_changes"])
+@pytest.mark.parametrize("name", ["vault_changes", "manager_changes", "normalize_liquidity"])
 def test_same_rows(spark, zeros, name):
     d, duck = zeros
     same_rows(Q.QUERIES[name](spark, d), duck, Q.SQL[name])
