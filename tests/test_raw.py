@@ -41,6 +41,16 @@ def test_arrays_that_point_too_far(spark):
     assert [r.a for r in rows.select(abi.array(F.col("d"), 0).alias("a")).collect()] == [None] * len(data)
 
 
+def test_long_negative_numbers_are_exact(spark):
+    from tidemark.operators import events
+
+    low = -(1 << 118) - 1  # 36 digits, the last not 0
+    assert spark.createDataFrame([("0x" + word(low),)], "w string").select(abi.integer(F.col("w"))).first()[0] == low
+    raw = spark.createDataFrame([("PoolBalanceChanged", [Decimal(low), Decimal(2)])], "event_name string, deltas array<decimal(38,0)>")
+    rows = raw.withColumns({c: F.lit(None).cast("string") for c in (*events.BASE, "pool_address", "sender", "amount0", "amount1") if c != "event_type"})
+    assert events.normalize_balancer(rows).first().token0_amount == 2 - low
+
+
 def test_arrays_are_read_once(spark):
     from tidemark.plans import chain
 

@@ -39,18 +39,19 @@ def first_address(w: Column) -> Column:
 
 def uint(w: Column) -> Column:
     """An unsigned number of up to 38 digits: 30 hex digits are fewer, so longer ones are null."""
-    return once(F.lpad(digits(w), WORD, "0"), _number)
-
-
-def _number(d: Column) -> Column:
-    part = lambda at: F.conv(F.substring(d, at, 15), 16, 10).cast(NUMBER)
-    return F.when(F.substring(d, 1, 34) == "0" * 34, (part(35) * F.lit(1 << 60).cast("decimal(20,0)") + part(50)).cast(NUMBER))
+    return once(F.lpad(digits(w), WORD, "0"), lambda d: F.when(F.substring(d, 1, 34) == "0" * 34, _low(d)))
 
 
 def integer(w: Column) -> Column:
     """A signed number in two's complement."""
-    flipped = lambda d: F.translate(d, "0123456789abcdef", "fedcba9876543210")
-    return once(F.lpad(digits(w), WORD, "0"), lambda d: F.when(F.substring(d, 1, 1) >= "8", -(_number(flipped(d)) + 1)).otherwise(_number(d)).cast(NUMBER))
+    negative = lambda d: (_low(d) - F.lit(str(1 << 120)).cast(NUMBER)).cast(NUMBER)
+    return once(F.lpad(digits(w), WORD, "0"), lambda d: F.when(F.substring(d, 1, 34) == "0" * 34, _low(d)).when(F.substring(d, 1, 34) == "f" * 34, negative(d)))
+
+
+def _low(d: Column) -> Column:
+    """The number in the last 30 of a word's digits."""
+    part = lambda at: F.conv(F.substring(d, at, 15), 16, 10).cast(NUMBER)
+    return (part(35) * F.lit(1 << 60).cast("decimal(20,0)") + part(50)).cast(NUMBER)
 
 
 def array(data: Column, head: int) -> Column:
